@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import packing, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words that a window of 35 covers go if its sequence of words starts at two places or more.
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+34], ' ')) AS h FROM p),
+r AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+c AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM g SEMI JOIN r USING (h)) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(ws, ' ')
+    ELSE array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda k: NOT list_contains(gone, k)), lambda k: ws[k]), ' ') END) AS kept_sha256
+FROM w LEFT JOIN c USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_substring_dedup": SUBSTRING_SQL,
+}
