@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, substring
+from . import neardup, packing, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
