@@ -12,7 +12,8 @@ shingle costs about one point.
 
 Registers are banded.  In each bucket every text is checked against the bucket's
 smallest id; afterwards buckets whose texts are still in several classes compare
-those across classes, signatures first.  Each candidate is verified by the
+those across classes, signatures first and each pair in its first common band,
+and report only links that join two classes.  Each candidate is verified by the
 overlap of the two multisets.
 """
 
@@ -137,41 +138,98 @@ def _verify(k: int, least: float):
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """(a, b, similarity) of those pairs (a, b) of ids whose texts are alike enough."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = written(texts.join(asked, "id").dropDuplicates(["id"]), "texts")
-    two = pairs.join(own.withColumnRenamed("id", "a").withColumnRenamed("text", "text_a"), "a").join(own.withColumnRenamed("id", "b").withColumnRenamed("text", "text_b"), "b")
+    first = texts.withColumnsRenamed({"id": "a", "text": "text_a"}).hint("merge")
+    second = texts.withColumnsRenamed({"id": "b", "text": "text_b"}).hint("merge")
+    two = pairs.join(first, "a").join(second, "b")
     return written(per_batch(two.select("a", "b", "text_a", "text_b"), _verify(k, least), "a long, b long, similarity double"), "alike")
 
 
-def _across(m: int, least: float):
-    """Pairs of ids of one bucket and different classes whose signatures agree enough."""
-    schema = "a long, b long"
+def _open_pairs(comps: np.ndarray, sigs: np.ndarray, bands: np.ndarray, own: int, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """i, others and agreement: pairs of different classes whose signatures agree enough and whose first common band is ``own``."""
+    m = sigs.shape[1]
+    _, inv, size = np.unique(comps, return_inverse=True, return_counts=True)
+    order = np.lexsort((inv, size[inv]))
+    inv, sigs, bands = inv[order], sigs[order], bands[order]
+    edge = np.append(np.flatnonzero(np.concatenate([[True], inv[1:] != inv[:-1]])), len(order))
+    for x, y in zip(edge[:-1], edge[1:], strict=True):
+        for i in range(x, y):
+            for z in range(y, len(order), 1 << 14):
+                same = (sigs[z : z + (1 << 14)] == sigs[i]).sum(axis=1)
+                on = np.flatnonzero(same >= least * m)
+                on = on[~(bands[z + on, :own] == bands[i, :own]).any(axis=1)]
+                if len(on):
+                    yield order[i], order[z + on], same[on]
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    held, key = [], None
+    for batch in batches:
+        for k, *x in zip(*(batch.column(c).to_pylist() for c in ("key", *names)), strict=True):
+            if k != key and held:
+                yield key, held
+                held = []
+            key = k
+            held.append(x)
+    if held:
+        yield key, held
+
+
+def _arrays(rows: list, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.array([x[0] for x in rows]), np.array([x[1] for x in rows]), np.frombuffer(b"".join(x[2] for x in rows), np.uint8).reshape(-1, m), np.array([x[3] for x in rows])
+
+
+def _undecided(m: int, least: float):
+    """(key, id) of texts that a pair of their bucket still has to be verified for."""
+    schema = "key long, id long"
     to = arrow_schema(schema)
 
-    def bucket(ids, comps, sigs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        _, inv, size = np.unique(comps, return_inverse=True, return_counts=True)
-        order = np.lexsort((inv, size[inv]))
-        ids, inv, sigs = ids[order], inv[order], sigs[order]
-        edge = np.append(np.flatnonzero(np.concatenate([[True], inv[1:] != inv[:-1]])), len(ids))
-        for x, y in zip(edge[:-1], edge[1:], strict=True):
-            for i in range(x, y):
-                for z in range(y, len(ids), 1 << 14):
-                    on = np.flatnonzero((sigs[z : z + (1 << 14)] == sigs[i]).sum(axis=1) >= least * m) + z
-                    if len(on):
-                        yield np.full(len(on), ids[i]), ids[on]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _by_bucket(batches, ("id", "comp", "sig", "bands")):
+            ids, comps, sigs, bands = _arrays(rows, m)
+            need = np.zeros(len(ids), bool)
+            for i, j, _ in _open_pairs(comps, sigs, bands, int(np.flatnonzero(bands[0] == key)[0]), least):
+                need[i] = True
+                need[j] = True
+            if need.any():
+                yield as_batch({"key": np.full(need.sum(), key), "id": ids[need]}, to)
+
+    return run, schema
+
+
+def _decide(m: int, least: float, k: int, similarity: float):
+    """Links that join the classes of a bucket: pairs in the order of their signatures' agreement, none within a class."""
+    schema = "a long, b long"
+    to = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        out = lambda h: [as_batch({"a": np.minimum(a, b), "b": np.maximum(a, b)}, to) for a, b in bucket(np.array([x[0] for x in h]), np.array([x[1] for x in h]), np.frombuffer(b"".join(x[2] for x in h), np.uint8).reshape(-1, m))]
-        for batch in batches:
-            for k, *x in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "comp", "sig")), strict=True):
-                if k != key and held:
-                    yield from out(held)
-                    held = []
-                key = k
-                held.append(x)
-        if held:
-            yield from out(held)
+        for key, rows in _by_bucket(batches, ("id", "comp", "sig", "bands", "text")):
+            ids, comps, sigs, bands = _arrays(rows, m)
+            found = list(_open_pairs(comps, sigs, bands, int(np.flatnonzero(bands[0] == key)[0]), least))
+            if not found:
+                continue
+            a = np.concatenate([np.full(len(j), i) for i, j, _ in found])
+            b = np.concatenate([j for _, j, _ in found])
+            order = np.argsort(-np.concatenate([s for *_, s in found]), kind="stable")
+            a, b = a[order], b[order]
+            bags = [multisets(*shingles(*utf8(pa.array([x[4]])), k)) for x in rows]
+            _, comps = np.unique(comps, return_inverse=True)
+            links, step = [], 64
+            while len(a):
+                now = slice(0, step)
+                left, right = ([bags[i] for i in x[now]] for x in (a, b))
+                side = lambda bag: (np.repeat(np.arange(len(bag)), [x[2].sum() for x in bag]), np.concatenate([np.repeat(x[1], x[2]) for x in bag]))
+                on = np.flatnonzero(overlaps(side(left), side(right), len(left)) >= similarity)
+                for i, j in zip(a[on], b[on], strict=True):
+                    if comps[i] != comps[j]:
+                        links.append((ids[i], ids[j]))
+                        comps[comps == comps[j]] = comps[i]
+                a, b = a[step:], b[step:]
+                still = comps[a] != comps[b]
+                a, b = a[still], b[still]
+                step = min(step * 2, 2048)
+            if links:
+                x, y = np.array(links).T
+                yield as_batch({"a": np.minimum(x, y), "b": np.maximum(x, y)}, to)
 
     return run, schema
 
@@ -199,16 +257,19 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity: flo
     first = written(occ.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a"), "buckets")
     member = written(occ.join(first, "key"), "members")
     pairs = written(member.where("a < id").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), text.alias("text"))
+    inside = member.select("id").distinct().hint("merge")
+    texts = written(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), text.alias("text")).join(inside, "id").dropDuplicates(["id"]), "texts")
     links = verified(pairs, texts, words_per_shingle, similarity)
     comp = written(components(links), "classes")
-    inside = written(member.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "inside")
-    mixed = inside.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    run, schema = _across(m, similarity - slack)
-    rest = inside.join(mixed, "key").join(reps.select("id", "sig"), "id").repartition("key").sortWithinPartitions("key").select("key", "id", "comp", "sig")
-    more = written(rest.mapInArrow(run, schema).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links2 = verified(more, texts, words_per_shingle, similarity)
-    comp = written(components(links.unionByName(links2)), "classes")
+    placed = written(member.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "inside")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    rest = written(placed.join(mixed, "key").join(reps.select("id", "sig", "bands").hint("merge"), "id"), "mixed")
+    run, schema = _undecided(m, similarity - slack)
+    need = rest.repartition("key").sortWithinPartitions("key").select("key", "id", "comp", "sig", "bands").mapInArrow(run, schema)
+    run, schema = _decide(m, similarity - slack, words_per_shingle, similarity)
+    asked = rest.join(written(need, "undecided"), ["key", "id"]).join(texts.hint("merge"), "id")
+    links2 = written(asked.repartition("key").sortWithinPartitions("key").select("key", "id", "comp", "sig", "bands", "text").mapInArrow(run, schema), "alike")
+    comp = written(components(links.select("a", "b").unionByName(links2)), "classes")
     of_text = reps.join(comp, "id", "left").select("h", F.coalesce("comp", "id").alias("class_id"))
     return signed.select("doc_id", "h").join(written(of_text, "classes"), "h").select("doc_id", "class_id")
 
