@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from .common import arrow_schema, as_batch, components, per_batch, table, writte
 from .kernels import U64, mix, pieces, ragged, slice_hashes, utf8, words
 
 CELLS = 1 << 21
+FILTER_BITS = 1 << 23
 _SLICES = 64
 
 
@@ -100,7 +102,9 @@ def digests(m: np.ndarray, keep: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix((mix(m.ravel()).reshape(m.shape) * keep).sum(axis=1, dtype=U64) + size.astype(U64))
 
 
-ENTRY = np.dtype([("word", "<u8"), ("line", "<i8"), ("bits", "<u8"), ("size", "<u4"), ("at", "<u4")])
+#: Longer lines have bitmaps of 128 bits, whose halves fold into the 64 of the others.
+_LONG = 96
+ENTRY = {"word": "<u8", "line": "<i8", "bits": "<u8", "size": "<u4", "at": "<u4"}
 #: Turns the order of unsigned words into that of Spark's longs.
 _TOP = U64(1 << 63)
 
@@ -127,24 +131,21 @@ def _entries(ranks, least: float, buckets: int):
                 r, c = np.nonzero(take)
                 if not len(r):
                     continue
-                bits = np.bitwise_or.reduce(np.where(keep, U64(1) << (mix(m.ravel()).reshape(m.shape) & U64(63)), U64(0)), axis=1)
-                e = np.empty(len(r), ENTRY)
-                e["word"], e["line"], e["bits"] = m[r, c], dig[r], bits[r]
-                e["size"], e["at"] = size[r], place[r, c]
-                out.append(e)
+                low, high = (np.bitwise_xor.reduce(np.where(keep, x.reshape(m.shape), U64(0)), axis=1) for x in _parity(m.ravel()))
+                out.append((m[r, c], dig[r], (low ^ high)[r], size[r].astype(np.uint32), place[r, c].astype(np.uint32), high[r]))
             if found:
                 w, c = np.concatenate(found), np.concatenate(cls)
-                t = text_of[w]
-                k = len(w)
-                yield {"kind": np.zeros(k, np.int32), "bucket": np.zeros(k, np.int32), "body": pa.nulls(k, pa.binary()), "doc_id": ids.take(pa.array(t + lo)), "line": (w - first[t]).astype(np.int32), "class": c}
+                t, k = text_of[w], len(w)
+                b = (mix(c.view(U64)) % U64(buckets)).astype(np.int32)
+                yield {"kind": np.zeros(k, np.int32), "bucket": b, "body": pa.nulls(k, pa.binary()), "doc_id": ids.take(pa.array(t + lo)), "line": (w - first[t]).astype(np.int32), "class": c}
             if out:
-                e = np.concatenate(out)
-                b = (mix(e["word"]) % U64(buckets)).astype(np.int64)
+                e = [np.concatenate(x) for x in zip(*out, strict=True)]
+                b = (mix(e[0]) % U64(buckets)).astype(np.int64)
                 order = np.argsort(b, kind="stable")
-                e, b = e[order], b[order]
+                e, b = [x[order] for x in e], b[order]
                 edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-                k = len(edge)
-                yield {"kind": np.ones(k, np.int32), "bucket": b[edge].astype(np.int32), "body": [x.tobytes() for x in np.split(e, edge[1:])], "doc_id": pa.nulls(k, pa.int64()), "line": np.zeros(k, np.int32), "class": np.zeros(k, np.int64)}
+                k, cut = len(edge), [*edge.tolist(), len(b)]
+                yield {"kind": np.ones(k, np.int32), "bucket": b[edge].astype(np.int32), "body": [_body([v[x:y] for v in e]) for x, y in zip(cut[:-1], cut[1:], strict=True)], "doc_id": pa.nulls(k, pa.int64()), "line": np.zeros(k, np.int32), "class": np.zeros(k, np.int64)}
 
     def run(batches):
         for batch in batches:
@@ -154,7 +155,15 @@ def _entries(ranks, least: float, buckets: int):
     return run, schema
 
 
-def candidate_pairs(word, cls, size, at, bits, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _parity(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bit of each word in the lower and the upper half of a parity bitmap: two sets' differ in no more bits than the sets in words."""
+    k = mix(v)
+    bit = U64(1) << (k & U64(63))
+    top = (k & U64(64)).astype(bool)
+    return np.where(top, U64(0), bit), np.where(top, bit, U64(0))
+
+
+def candidate_pairs(word, cls, size, at, bits, high, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of one word, sorted by word and size, that pass the filters."""
     live, shift, n = np.arange(len(word)), 1, len(word)
     while True:
@@ -163,37 +172,72 @@ def candidate_pairs(word, cls, size, at, bits, least: float) -> Iterator[tuple[n
         live = live[(word[live] == word[other]) & (size[live] >= least * size[other] - 1e-9)]
         if not len(live):
             return
-        j = live + shift
-        a, b = size[live].astype(np.int64), size[j].astype(np.int64)
+        i, j = live, live + shift
+        a, b = size[i].astype(np.int64), size[j].astype(np.int64)
         need = np.ceil(least / (1 + least) * (a + b) - 1e-9)
-        ok = (np.minimum(a - at[live], b - at[j]) >= need) & (cls[live] != cls[j])
-        ok &= np.bitwise_count(bits[live] ^ bits[j]) <= a + b - 2 * need
-        if ok.any():
-            yield live[ok], j[ok]
+        ok = np.flatnonzero((np.minimum(a - at[i], b - at[j]) >= need) & (cls[i] != cls[j]) & (np.bitwise_count(bits[i] ^ bits[j]) <= a + b - 2 * need))
+        if len(ok):
+            i, j, most = i[ok], j[ok], (a + b - 2 * need)[ok]
+            d, h = bits[i] ^ bits[j], high[i] ^ high[j]
+            ok = (size[i] <= _LONG) | (size[j] <= _LONG) | (np.bitwise_count(d ^ h) + np.bitwise_count(h) <= most)
+            if ok.any():
+                yield i[ok], j[ok]
         shift += 1
 
 
+def _body(e: list[np.ndarray]) -> bytes:
+    """Entries by column; upper halves of bitmaps for long lines only."""
+    return b"".join([len(e[0]).to_bytes(8, "little"), *(v.tobytes() for v in e[:5]), e[5][e[3] > _LONG].tobytes()])
+
+
+def _columns(parts: list[bytes]) -> list[np.ndarray]:
+    """A bucket's entries, one for each word and line, ordered by word and length."""
+    cols: list[list] = [[] for _ in range(len(ENTRY) + 1)]
+    for p in parts:
+        n, at = int.from_bytes(p[:8], "little"), 8
+        for c, kind in zip(cols, ENTRY.values(), strict=False):
+            c.append(np.frombuffer(p, kind, n, at))
+            at += c[-1].nbytes
+        high = np.zeros(n, U64)
+        high[cols[3][-1] > _LONG] = np.frombuffer(p, "<u8", -1, at)
+        cols[5].append(high)
+    word, line, bits, size, at, high = (np.concatenate(c) for c in cols)
+    order = np.lexsort((line, size, word))
+    word, line = word[order], line[order]
+    new = np.concatenate([[True], (word[1:] != word[:-1]) | (line[1:] != line[:-1])])
+    order = order[new]
+    return [word[new], line[new], size[order], at[order], bits[order], high[order]]
+
+
 def _wanted(least: float):
-    schema = "word long, class long, partners long"
+    """Lines as they came (kind 0), and (word, class) of entries that have a candidate (kind 1)."""
+    schema = "kind int, word long, class long, partners long, doc_id long, line int"
     to = arrow_schema(schema)
 
     def bucket(parts: list[bytes]) -> pa.RecordBatch | None:
-        e = np.frombuffer(b"".join(parts), ENTRY)
-        e = e[np.lexsort((e["line"], e["size"], e["word"]))]
-        e = e[np.concatenate([[True], (e["word"][1:] != e["word"][:-1]) | (e["line"][1:] != e["line"][:-1])])]
-        cols = [np.ascontiguousarray(e[c]) for c in ("word", "line", "size", "at", "bits")]
-        need, partners, own = np.zeros(len(e), bool), np.zeros(len(e), U64), mix(cols[1].view(U64))
+        cols = _columns(parts)
+        n = len(cols[0])
+        need, partners, own = np.zeros(n, bool), np.zeros(n, U64), mix(cols[1].view(U64))
         for i, j in candidate_pairs(*cols, least):
             need[i] = True
             need[j] = True
             np.add.at(partners, i, own[j])
             np.add.at(partners, j, own[i])
-        return as_batch({"word": (cols[0][need] ^ _TOP).view(np.int64), "class": cols[1][need], "partners": partners[need].view(np.int64)}, to) if need.any() else None
+        k = int(need.sum())
+        if not k:
+            return None
+        return as_batch({"kind": np.ones(k, np.int32), "word": (cols[0][need] ^ _TOP).view(np.int64), "class": cols[1][need], "partners": partners[need].view(np.int64), "doc_id": pa.nulls(k, pa.int64()), "line": np.zeros(k, np.int32)}, to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
-            for b, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist(), strict=True):
+            kind = batch.column("kind").to_numpy()
+            plain = pa.array(np.flatnonzero(kind == 0))
+            if len(plain):
+                zero = np.zeros(len(plain), np.int64)
+                yield as_batch({"kind": zero, "word": zero, "partners": zero, **{c: batch.column(c).take(plain) for c in ("class", "doc_id", "line")}}, to)
+            on = pa.array(np.flatnonzero(kind == 1))
+            for b, body in zip(batch.column("bucket").take(on).to_pylist(), batch.column("body").take(on).to_pylist(), strict=True):
                 if b != now and held:
                     if (out := bucket(held)) is not None:
                         yield out
@@ -206,6 +250,44 @@ def _wanted(least: float):
     return run, schema
 
 
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        bits[_bit(batch.column("doc_id").to_numpy(zero_copy_only=False))] = True
+    if bits.any():
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([p.tobytes() for p in np.packbits(bits).reshape(_SLICES, -1)], pa.binary())], ["part", "bits"])
+
+
+def _any(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for p, c in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            sums[p] = sums.get(p, np.uint8(0)) | np.frombuffer(c, np.uint8)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "bits"])
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U64)) & U64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def possibly(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose doc_id isn't in ``ids``: one bit array of fixed size goes to all tasks, so that fewer texts are shuffled."""
+    schema = "part int, bits binary"
+    rows = ids.select("doc_id").mapInArrow(_mark, schema).repartition(_SLICES, "part").mapInArrow(_any, schema).collect()
+    bits = np.zeros((_SLICES, FILTER_BITS // 8 // _SLICES), np.uint8)
+    for r in rows:
+        bits[r.part] = np.frombuffer(r.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    @F.pandas_udf("boolean")
+    def there(doc_id: pd.Series) -> pd.Series:
+        k = _bit(doc_id.to_numpy())
+        return pd.Series((shared.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 > 0)
+
+    return docs.where(there("doc_id"))
+
+
 def _extract(ranks):
     def one(batch):
         data, offs = utf8(batch.column("text"))
@@ -244,6 +326,7 @@ def _verify(least: float, at_once: int = 1 << 14):
     to = arrow_schema(schema)
 
     def some(rows: list[tuple]) -> pa.RecordBatch | None:
+        rows = list({r[:2]: r for r in rows}.values())
         word = np.array([r[0] for r in rows]).view(U64) ^ _TOP
         sets = [np.frombuffer(r[4], U64) for r in rows]
         size = np.array([len(s) for s in sets])
@@ -254,7 +337,7 @@ def _verify(least: float, at_once: int = 1 << 14):
         flat = np.concatenate(sets)
         begin = np.cumsum(size) - size
         seg = np.repeat(np.arange(len(rows)), size)
-        bits = np.bitwise_or.reduceat(U64(1) << (mix(flat) & U64(63)), begin)
+        low, high = (np.bitwise_xor.reduceat(x, begin) for x in _parity(flat))
         at = np.zeros(len(rows), np.int64)
         hit = np.flatnonzero(flat == word[seg])
         at[seg[hit]] = hit - begin[seg[hit]]
@@ -270,18 +353,21 @@ def _verify(least: float, at_once: int = 1 << 14):
                 x = root[x]
             return x
 
-        def check(i: np.ndarray, j: np.ndarray) -> None:
+        def shared(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+            """Words that the first ``n`` of each of the two sets have in common."""
             pair = np.arange(len(i))
-            r = np.concatenate([np.repeat(pair, size[i]), np.repeat(pair, size[j])])
-            k = np.concatenate([ragged(begin[i], size[i]), ragged(begin[j], size[j])])
-            o = np.lexsort((flat[k], r))
-            r, v = r[o], flat[k][o]
-            same = np.flatnonzero((r[1:] == r[:-1]) & (v[1:] == v[:-1]))
-            both = np.bincount(r[same], minlength=len(i))
-            #: The first word both have is in both prefixes; the pair counts only under that word.
-            head = np.full(len(i), ~U64(0))
-            np.minimum.at(head, r[same], v[same])
-            on = np.flatnonzero((both >= least * (size[i] + size[j] - both) - 1e-9) & (head == word[i]))
+            r = np.concatenate([np.repeat(pair, n[i]), np.repeat(pair, n[j])])
+            v = flat[np.concatenate([ragged(begin[i], n[i]), ragged(begin[j], n[j])])]
+            o = np.lexsort((v, r))
+            r, v = r[o], v[o]
+            return np.bincount(r[1:][(r[1:] == r[:-1]) & (v[1:] == v[:-1])], minlength=len(i))
+
+        def check(i: np.ndarray, j: np.ndarray) -> None:
+            #: The pair counts only under the first word that both have.
+            first = shared(i, j, at) == 0
+            i, j = i[first], j[first]
+            both = shared(i, j, size)
+            on = np.flatnonzero(both >= least * (size[i] + size[j] - both) - 1e-9)
             i, j = i[on], j[on]
             np.add.at(links, i, 1)
             np.add.at(links, j, 1)
@@ -291,7 +377,7 @@ def _verify(least: float, at_once: int = 1 << 14):
                 if x != y:
                     root[max(x, y)] = min(x, y)
 
-        for i, j in candidate_pairs(word, cls, size, at, bits, least):
+        for i, j in candidate_pairs(word, cls, size, at, low ^ high, high, least):
             for k in range(0, len(i), at_once):
                 check(i[k : k + at_once], j[k : k + at_once])
         on = np.flatnonzero(links)
@@ -331,12 +417,11 @@ def line_matches(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     ranks = spark.sparkContext.broadcast(word_ranks(docs))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     run, schema = _entries(ranks, similarity, buckets)
-    made = docs.mapInArrow(run, schema)
-    made = written(made, "entries")
-    lines = made.where("kind = 0").select("doc_id", "line", "class")
+    made = docs.mapInArrow(run, schema).repartition("bucket").sortWithinPartitions("bucket")
     run, schema = _wanted(similarity)
-    entries = made.where("kind = 1").select("bucket", "body").repartition("bucket").sortWithinPartitions("bucket")
-    wanted = written(entries.mapInArrow(run, schema), "wanted")
+    made = written(made.mapInArrow(run, schema), "lines")
+    lines = made.where("kind = 0").select("doc_id", "line", "class")
+    wanted = made.where("kind = 1").select("word", "class", "partners")
     classes = written(lines.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("x")).select("class", "x.*"), "classes")
     #: Under a word whose candidates are those of the word before, no pair has its first common word.
     firsts = "transform(filter(seen, (x, i) -> i = 0 or x.partners <> seen[i - 1].partners), x -> x.word)"
@@ -344,9 +429,10 @@ def line_matches(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         wanted.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("word", "partners"))).alias("seen")).select("class", F.expr(firsts).alias("words")).join(classes, "class")
         .groupBy("doc_id").agg(F.collect_list(F.struct("class", "doc_id", "line", "words")).alias("asked"))
     )
-    sets = per_batch(docs.join(asked, "doc_id").select("text", "asked"), _extract(ranks), "word long, class long, doc_id long, line int, body binary")
+    asked = written(asked, "asked")
+    sets = per_batch(possibly(docs, asked).join(asked, "doc_id").select("text", "asked"), _extract(ranks), "word long, class long, doc_id long, line int, body binary")
     run, schema = _verify(similarity)
-    found = written(sets.dropDuplicates(["word", "class"]).repartition("word").sortWithinPartitions("word").select("word", "class", "doc_id", "line", "body").mapInArrow(run, schema), "links")
+    found = written(sets.repartition("word").sortWithinPartitions("word").select("word", "class", "doc_id", "line", "body").mapInArrow(run, schema), "links")
     comp = written(components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))), "components").withColumnRenamed("id", "class")
     links = found.groupBy("class").agg(F.sum("n_links").alias("n_links"), F.max("later").alias("later"))
     linked = written(classes.join(links, "class").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "linked")
