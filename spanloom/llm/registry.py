@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, neardup, packing, substring
+from . import linededup, neardup, packing, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_near_duplicates": neardup.op8_near_duplicates,
