@@ -221,7 +221,7 @@ def repeated_windows(keyed: DataFrame, window: int, shard_words: int = 1 << 19)
     asked = (
         classes.join(several, "anchor").groupBy("key").agg(F.collect_list(F.struct("key", "first", "anchor", "n", "n_windows")).alias("asked"))
     )
-    taken = per_batch(keyed.dropDuplicates(["key"]).join(asked, "key").select("text", "asked"), _extract(window), "key long, first int, anchor long, n long, n_windows int, symbols binary")
+    taken = per_batch(keyed.select("key", "text").dropDuplicates(["key"]).join(asked, "key").select("text", "asked"), _extract(window), "key long, first int, anchor long, n long, n_windows int, symbols binary")
     run, schema = _search(window, shard_words)
     single = taken.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
     copies = classes.where("n > 1").select("anchor", "digest")
@@ -229,7 +229,7 @@ def repeated_windows(keyed: DataFrame, window: int, shard_words: int = 1 << 19)
     return single.unionByName(many)
 
 
-def _strip(window: int):
+def _strip(window: int, plain: bool):
     def one(batch):
         data, offs = utf8(batch.column("text"))
         hits = batch.column("hits").to_pylist()
@@ -251,6 +251,9 @@ def _strip(window: int):
             cut = np.concatenate([[0], np.cumsum(gone)])
             for r in range(hi - lo):
                 a, b = by_row[r], by_row[r + 1]
+                if not plain:
+                    kept.append(_without(d[o[r] : o[r + 1]], np.append(start[a:b], o[r + 1]) - o[r], gone[a:b]) if cut[b] > cut[a] else blob[o[r] : o[r + 1]].decode())
+                    continue
                 pick = np.flatnonzero(left[a:b]) + a if cut[b] > cut[a] else range(a, b)
                 kept.append(b" ".join([blob[x:y] for x, y in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]).decode() if len(pick) else "")
             yield {"n_words": n, "n_removed": cut[by_row[1:]] - cut[by_row[:-1]], "kept": kept, **{c: batch.column(c).slice(lo, hi - lo) for c in others}}
@@ -258,21 +261,31 @@ def _strip(window: int):
     return one
 
 
-def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """Rows ``docs`` (doc_id and text) with n_words, n_removed and kept.
+def _without(text: np.ndarray, edge: np.ndarray, gone: np.ndarray) -> str:
+    """The text without those words and the white space after them."""
+    step = np.zeros(len(text) + 1, np.int32)
+    np.add.at(step, edge[:-1][gone], 1)
+    np.add.at(step, edge[1:][gone], -1)
+    return text[np.cumsum(step)[:-1] == 0].tobytes().decode()
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, plain: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """Rows of ``docs``: doc_id, n_words, n_removed, kept and a struct ``carried`` of the columns in ``carry``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  A word goes if a window of ``window``
     words that covers it also starts in another place of any text, its own
     included; kept has the others, joined by one space.  A null text has no
     words; an empty table gives no rows; repeated rows count as texts of their
-    own, so all their windows repeat.  Columns other than doc_id and text don't
-    come back.
+    own, so all their windows repeat.  If not
+    ``plain``, kept is the text without the removed words and the white space
+    after each.
     """
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    carried = F.struct(*[docs[c] for c in carry or ["doc_id"]])
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), *([carried.alias("carried")] if carry else []))
     hits = repeated_windows(keyed, window).groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
-    return per_batch(
-        keyed.join(hits, "key", "left").select("doc_id", "text", "hits"), _strip(window), "doc_id long, n_words long, n_removed long, kept string"
-    )
+    also = [c for c in keyed.columns if c == "carried"]
+    schema = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", carried {dict(keyed.dtypes)[c]}" for c in also)
+    return per_batch(keyed.join(hits, "key", "left").select("doc_id", "text", "hits", *also), _strip(window, plain), schema)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,6 +311,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """``docs``, all columns, without rows that score ``threshold`` or more."""
+    sums = _sums(docs.sparkSession.sparkContext.broadcast((model.characters, model.odds)))
+    slope, base = model.slope, model.base
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = sums()
+        for batch in batches:
+            for lo, hi, total in of(batch.column("text")):
+                yield batch.slice(lo, hi - lo).filter(pa.array(1 / (1 + np.exp(-np.clip(slope * total + base, -40, 40))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
