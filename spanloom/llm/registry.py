@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, neardup, packing, substring, toxicity
+from . import fingerprint, linededup, neardup, packing, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.op1_warc,
+    "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,

@@ -190,7 +190,7 @@ def _sums(shared):
                         x = known[h] = weights.token(blob[s:e].decode())
                     if x:
                         w[k] = x
-                if len(known) > 1 << 21:
+                if len(known) > 1 << 19:
                     known.clear()
                 hit = np.flatnonzero(w[inv] > 0)
                 row = np.searchsorted(by_row, hit, "right") - 1
