@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, linededup, neardup, packing, substring, toxicity, warc
+from . import fingerprint, langid, linededup, neardup, packing, pieces, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op6_language_id": langid.op6_language_id,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op10_substring_dedup": substring.op10_substring_dedup,
