@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, linededup, neardup, packing, pieces, substring, toxicity, warc
+from . import ann, fingerprint, langid, linededup, neardup, packing, pieces, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": langid.op6_language_id,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_near_duplicates": neardup.op8_near_duplicates,
+    "op9_nearest": ann.op9_nearest,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
