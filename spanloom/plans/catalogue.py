@@ -5,6 +5,293 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.spans import PATTERNS, detect, luhn, normal, redact, shape, share
+from ..operators import curate, match
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+RATIOS = {"train": 0.8, "validation": 0.1, "test": 0.05, "hard_test": 0.05}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark, d):
+    return read(spark, d, "documents")
+
+
+def gold(spark, d):
+    return detect(docs(spark, d)).select("doc_id", "category", "start", "end", "value")
+
+
+def pred(spark, d):
+    """Predictions made from the detected spans: some dropped, some cut short, some of another category."""
+    return gold(spark, d).where("doc_id % 7 <> 0").select(
+        "doc_id", F.expr("if(doc_id % 11 = 0, 'phone', category)").alias("category"), "start", F.expr("if(doc_id % 5 = 0, end - 1, end)").alias("end"), F.expr("if(doc_id % 5 = 0, left(value, length(value) - 1), value)").alias("value")
+    )
+
+
+_ONE = """SELECT doc_id, lang, text, '{c}' AS category, regexp_extract_all(text, '{p}', 0) AS m, string_split_regex(text, '{p}') AS g FROM documents"""
+SPANS = "f AS (" + " UNION ALL ".join(_ONE.format(c=c, p=p) for c, p in PATTERNS.items()) + """),
+k AS (SELECT *, unnest(range(0, len(m))) AS i FROM f),
+spans AS (SELECT doc_id, lang, category, value, CAST(s AS INTEGER) AS "start", CAST(s + length(value) AS INTEGER) AS "end" FROM
+  (SELECT doc_id, lang, category, m[i+1] AS value, list_sum(list_transform(g[1:i+1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS s FROM k)),
+gold AS (SELECT doc_id, category, "start", "end", value FROM spans),
+pred AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'phone' ELSE category END AS category, "start", CASE WHEN doc_id % 5 = 0 THEN "end" - 1 ELSE "end" END AS "end",
+  CASE WHEN doc_id % 5 = 0 THEN left(value, length(value) - 1) ELSE value END AS value FROM gold WHERE doc_id % 7 <> 0)
+"""
+W = "WITH " + SPANS
+_REDACT = "text"
+for _c in ("secret", "email", "ipv4", "phone", "card"):
+    _REDACT = f"regexp_replace({_REDACT}, '{PATTERNS[_c]}', '<{_c.upper()}>', 'g')"
+_NORM = r"trim(regexp_replace(lower({}), '[ \t\r\n\f]+', ' ', 'g'))"
+
+
+@query(W + 'SELECT doc_id, category, "start", "end", value FROM gold')
+def span_detect(spark, d):
+    return gold(spark, d)
+
+
+@query(W + """SELECT category, count(*) AS n FROM (SELECT coalesce(s.category, '_hard_negative') AS category FROM documents d LEFT JOIN spans s USING (doc_id)) GROUP BY 1""")
+def span_counts_per_class(spark, d):
+    """Spans by class and documents without any."""
+    s = gold(spark, d)
+    none = docs(spark, d).select("doc_id").join(s, "doc_id", "left_anti").select(F.lit("_hard_negative").alias("category"))
+    return s.select("category").unionByName(none).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(W + "SELECT lang, category, count(*) AS n FROM spans GROUP BY ROLLUP (lang, category)")
+def span_counts_by_lang_class(spark, d):
+    return detect(docs(spark, d), "lang").rollup("lang", "category").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, sha256({_REDACT}) AS redacted_sha256 FROM documents")
+def redact_documents(spark, d):
+    return docs(spark, d).select("doc_id", F.sha2(F.encode(redact(F.col("text")), "UTF-8"), 256).alias("redacted_sha256"))
+
+
+@query(f"SELECT doc_id, skeleton, n FROM (SELECT doc_id, skeleton, CAST(row_number() OVER (PARTITION BY skeleton ORDER BY doc_id) AS INTEGER) AS n FROM (SELECT doc_id, md5({_NORM.format(_REDACT)}) AS skeleton FROM documents)) WHERE n <= 300")
+def skeleton_cap(spark, d):
+    return curate.skeleton_rank(docs(spark, d))
+
+
+_REASON = """CASE WHEN trim(text) = '' THEN 'empty_text' WHEN length(text) < 30 THEN 'too_short' WHEN length(text) > 5000 THEN 'too_long'
+ WHEN regexp_matches(text, '[%]{3}|[$]{3}|[#]{3}') THEN 'artifact:marks' WHEN regexp_matches(text, '[<][a-zA-Z/]') THEN 'artifact:tag' ELSE 'ok' END"""
+
+
+@query(f"SELECT doc_id, {_REASON} AS reason FROM documents")
+def quality_reasons(spark, d):
+    return docs(spark, d).select("doc_id", curate.quality_reason(F.col("text")).alias("reason"))
+
+
+@query(f"SELECT reason, count(*) AS n FROM (SELECT {_REASON} AS reason FROM documents) GROUP BY 1")
+def quality_hist(spark, d):
+    return quality_reasons(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace(text, '[^A-Za-zÀ-ÖØ-öø-ÿ]', '', 'g')), 0), 6) AS ascii_share FROM documents")
+def script_ratios(spark, d):
+    return docs(spark, d).select("doc_id", F.round(share(F.col("text"), "A-Za-z"), 6).alias("ascii_share"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({_NORM.format('text')})")
+def dedup_exact_norm(spark, d):
+    return curate.first_of(docs(spark, d), F.md5(normal(F.col("text")))).select("doc_id")
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def dedup_raw(spark, d):
+    return docs(spark, d).groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
+
+
+_U = "CAST(('0x' || left(md5(concat('42:', doc_id)), 8)) AS BIGINT) / 4294967296.0"
+_SPLIT = f"CASE WHEN {_U} < 0.8 THEN 'train' WHEN {_U} < 0.9 THEN 'validation' ELSE 'test' END"
+
+
+@query(f"SELECT doc_id, {_SPLIT} AS split FROM documents")
+def ratio_split(spark, d):
+    return curate.ratio_split(docs(spark, d), 0.8, 0.1, 42)
+
+
+@query(f"SELECT coalesce(sum(n - 1), 0)::BIGINT AS leaked FROM (SELECT count(DISTINCT split) AS n FROM (SELECT text, {_SPLIT} AS split FROM documents) GROUP BY text)")
+def cross_split_leakage(spark, d):
+    t = docs(spark, d)
+    s = t.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("h")).join(curate.ratio_split(t, 0.8, 0.1, 42), "doc_id")
+    return s.groupBy("h").agg(F.countDistinct("split").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("leaked"))
+
+
+_QUOTA = "VALUES (0,'train',0.8::DOUBLE),(1,'validation',0.1::DOUBLE),(2,'test',0.05::DOUBLE),(3,'hard_test',0.05::DOUBLE)"
+
+
+@query(f"""WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), b(ix, split, w) AS ({_QUOTA}),
+q AS (SELECT lang, n, ix, split, floor(n*w) AS q, n*w - floor(n*w) AS rest FROM n, b),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rest DESC, ix) AS r, n - sum(q) OVER (PARTITION BY lang) AS extra FROM q),
+u AS (SELECT lang, split, ix, q + CASE WHEN r <= extra THEN 1 ELSE 0 END AS q FROM r),
+c AS (SELECT lang, split, sum(q) OVER (PARTITION BY lang ORDER BY ix) AS upto, q FROM u),
+d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('1337:', doc_id))) AS rn FROM documents)
+SELECT doc_id, d.lang, split FROM d JOIN c ON d.lang = c.lang AND rn <= upto AND rn > upto - q""")
+def stratified_split(spark, d):
+    return curate.stratified_split(docs(spark, d), "lang", RATIOS, 1337)
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('7:', doc_id))) AS r FROM documents) WHERE r <= 20")
+def source_quota(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("source").orderBy(curate.draw(7, "doc_id"))
+    return docs(spark, d).select("doc_id", "source", F.row_number().over(w).alias("r")).where("r <= 20").drop("r")
+
+
+@query("""SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) l
+JOIN (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) b ON l.line = b.line WHERE length(l.line) >= 40""")
+def benchmark_contamination(spark, d):
+    lines = lambda t, k: t.select(k, F.explode(F.split("text", "\n")).alias("line")).where("length(line) >= 40")
+    return lines(docs(spark, d), "doc_id").join(lines(read(spark, d, "benchmark"), "item_id"), "line").select("doc_id", "item_id").distinct()
+
+
+@query("SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(^|[^A-Za-z0-9_])(card|email|ipv4|phone|token)($|[^A-Za-z0-9_])')")
+def label_leakage_filter(spark, d):
+    return docs(spark, d).where(~F.col("text").rlike("(^|[^A-Za-z0-9_])(card|email|ipv4|phone|token)($|[^A-Za-z0-9_])")).select("doc_id")
+
+
+@query(W + """SELECT doc_id, count(*) AS kept FROM gold WHERE NOT (category = 'card' AND regexp_matches(value, '^[4-6]')) GROUP BY doc_id""")
+def value_conflict_filter(spark, d):
+    return gold(spark, d).where("not (category = 'card' and value rlike '^[4-6]')").groupBy("doc_id").agg(F.count("*").alias("kept"))
+
+
+@query(W + """SELECT doc_id, category, "start", "end", rule FROM (SELECT s.*, CASE WHEN "start" < 0 OR "start" >= "end" THEN 'offset_order' WHEN "end" > length(text) THEN 'offset_range'
+ WHEN substring(text, "start" + 1, "end" - "start") <> value THEN 'value' END AS rule FROM (SELECT doc_id, category, CASE WHEN doc_id % 3 = 0 THEN "end" ELSE "start" END AS "start", "end" + CASE WHEN doc_id % 4 = 0 THEN 100000 ELSE 0 END AS "end", value FROM gold) s JOIN documents USING (doc_id)) WHERE rule IS NOT NULL""")
+def schema_violations(spark, d):
+    bad = gold(spark, d).withColumn("start", F.expr("if(doc_id % 3 = 0, end, start)")).withColumn("end", F.expr("end + if(doc_id % 4 = 0, 100000, 0)"))
+    return curate.span_violations(docs(spark, d), bad)
+
+
+@query(W + "SELECT category, count(*) AS n FROM gold WHERE category NOT IN ('card', 'email', 'phone') GROUP BY 1")
+def label_space_coverage(spark, d):
+    space = spark.createDataFrame([("card",), ("email",), ("phone",)], "category string")
+    return gold(spark, d).join(space, "category", "left_anti").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(W + "SELECT c.category, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) >= 8 THEN 'OK' ELSE 'LOW' END AS status FROM (VALUES ('card'),('email'),('ipv4'),('iban'),('phone'),('secret')) c(category) LEFT JOIN (SELECT category, count(*) AS n FROM gold GROUP BY 1) g USING (category)")
+def class_coverage(spark, d):
+    space = spark.createDataFrame([(c,) for c in ("card", "email", "ipv4", "iban", "phone", "secret")], "category string")
+    n = space.join(gold(spark, d).groupBy("category").agg(F.count("*").alias("n")), "category", "left").na.fill(0)
+    return n.withColumn("status", F.when(F.col("n") >= 8, "OK").otherwise("LOW"))
+
+
+@query("SELECT lang, source, count(*) AS n, count(*) FILTER (source NOT LIKE 'src1%') AS unknown_source FROM documents GROUP BY GROUPING SETS ((lang), (source))")
+def provenance_audit(spark, d):
+    t = docs(spark, d)
+    unknown = F.count_if(~F.col("source").startswith("src1")).alias("unknown_source")
+    one = lambda c, other: t.groupBy(c).agg(F.count("*").alias("n"), unknown).withColumn(other, F.lit(None).cast("string")).select("lang", "source", "n", "unknown_source")
+    return one("lang", "source").unionByName(one("source", "lang"))
+
+
+_LUHN = "(list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN (2 * CAST(value[i] AS INTEGER)) // 10 + (2 * CAST(value[i] AS INTEGER)) % 10 ELSE CAST(value[i] AS INTEGER) END)) % 10) = 0"
+
+
+@query(W + f"SELECT doc_id, value, {_LUHN} AS valid FROM gold WHERE category = 'card'")
+def value_format_check(spark, d):
+    return gold(spark, d).where("category = 'card'").select("doc_id", "value", luhn(F.col("value")).alias("valid"))
+
+
+_EXACT = """c AS (SELECT category, sum(least(g, p)) AS tp, sum(p) AS np, sum(g) AS ng FROM (SELECT category, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM
+ (SELECT doc_id, category, "start", "end", count(*) AS g FROM gold GROUP BY ALL) FULL JOIN (SELECT doc_id, category, "start", "end", count(*) AS p FROM pred GROUP BY ALL) USING (doc_id, category, "start", "end")) GROUP BY 1)"""
+
+
+@query(W + f", {_EXACT} SELECT category, tp::BIGINT AS tp, (np - tp)::BIGINT AS fp, (ng - tp)::BIGINT AS fn, round(coalesce(tp / nullif(np, 0), 0), 6) AS precision, round(coalesce(tp / nullif(ng, 0), 0), 6) AS recall, round(coalesce(2.0 * tp::DOUBLE / nullif(np + ng, 0), 0), 6) AS f1 FROM c")
+def span_match_exact(spark, d):
+    return match.exact(gold(spark, d), pred(spark, d))
+
+
+@query(W + """SELECT doc_id, g.category AS gold_category, g."start" AS gold_start, g."end" AS gold_end, p.category AS pred_category, p."start" AS pred_start, p."end" AS pred_end
+FROM gold g JOIN pred p USING (doc_id) WHERE g."start" < p."end" AND p."start" < g."end" """)
+def span_match_overlap(spark, d):
+    return match.overlaps(gold(spark, d), pred(spark, d))
+
+
+_CONFUSION = """o AS (SELECT g.doc_id, g.category AS gc, g."start" AS gs, g."end" AS ge, p.category AS pc, p."start" AS ps, p."end" AS pe, least(g."end", p."end") - greatest(g."start", p."start") AS size FROM gold g JOIN pred p USING (doc_id) WHERE g."start" < p."end" AND p."start" < g."end"),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, gc, gs, ge ORDER BY size DESC, ps, pe, pc) AS r FROM o) WHERE r = 1),
+conf AS (SELECT gold_category, pred_category, count(*) AS n FROM (SELECT g.category AS gold_category, coalesce(pc, '(missed)') AS pred_category FROM gold g LEFT JOIN best b ON g.doc_id = b.doc_id AND g.category = gc AND g."start" = gs AND g."end" = ge
+ UNION ALL SELECT '(hallucinated)', category FROM pred p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = p.doc_id AND pc = p.category AND ps = p."start" AND pe = p."end")) GROUP BY 1, 2)"""
+
+
+@query(W + f", {_CONFUSION} SELECT * FROM conf")
+def confusion_matrix(spark, d):
+    return match.confusion(gold(spark, d), pred(spark, d))
+
+
+@query(W + f""", {_CONFUSION} SELECT category, missed, confusion, hallucinated, 3 * missed + 3 * confusion + hallucinated AS score FROM (
+SELECT category, coalesce(sum(missed), 0)::BIGINT AS missed, coalesce(sum(confusion), 0)::BIGINT AS confusion, coalesce(sum(h), 0)::BIGINT AS hallucinated FROM (
+ SELECT gold_category AS category, CASE WHEN pred_category = '(missed)' THEN n ELSE 0 END AS missed, CASE WHEN pred_category <> '(missed)' AND pred_category <> gold_category THEN n ELSE 0 END AS confusion, 0 AS h FROM conf WHERE gold_category <> '(hallucinated)'
+ UNION ALL SELECT pred_category, 0, 0, n FROM conf WHERE gold_category = '(hallucinated)') GROUP BY 1) WHERE 3 * missed + 3 * confusion + hallucinated > 0""")
+def priority_rank(spark, d):
+    return match.priorities(gold(spark, d), pred(spark, d))
+
+
+@query(W + """SELECT sum(least(g, p))::BIGINT AS tp, sum(greatest(p - g, 0))::BIGINT AS fp, sum(greatest(g - p, 0))::BIGINT AS fn FROM (SELECT coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM
+ (SELECT doc_id, category, value, count(*) AS g FROM gold GROUP BY ALL) FULL JOIN (SELECT doc_id, category, value, count(*) AS p FROM pred GROUP BY ALL) USING (doc_id, category, value))""")
+def multiset_match(spark, d):
+    return match.multiset(gold(spark, d), pred(spark, d))
+
+
+@query(W + """SELECT 'both' AS side, count(*) AS n FROM (SELECT category, lower(value) FROM gold INTERSECT SELECT category, lower(value) FROM pred) UNION ALL
+SELECT 'gold', count(*) FROM (SELECT category, lower(value) FROM gold EXCEPT SELECT category, lower(value) FROM pred) UNION ALL SELECT 'pred', count(*) FROM (SELECT category, lower(value) FROM pred EXCEPT SELECT category, lower(value) FROM gold)""")
+def set_match(spark, d):
+    g, p = (x(spark, d).select("category", F.lower("value").alias("value")) for x in (gold, pred))
+    count = lambda x, side: x.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
+    return count(g.intersect(p), "both").unionByName(count(g.subtract(p), "gold")).unionByName(count(p.subtract(g), "pred"))
+
+
+@query(W + """SELECT doc_id, category, replace(substring(text, greatest(0, "start" - 42) + 1, "end" + 42 - greatest(0, "start" - 42)), chr(10), '\\n') AS context, "start" FROM gold JOIN documents USING (doc_id)""")
+def context_window(spark, d):
+    j = gold(spark, d).join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    return j.select("doc_id", "category", F.replace(F.expr("substring(text, greatest(0, start - 42) + 1, end + 42 - greatest(0, start - 42))"), F.lit("\n"), F.lit("\\n")).alias("context"), "start")
+
+
+@query(W + """SELECT doc_id, "start" + 9 AS "start", "end" - 1 AS "end", substring(value, 10, 40) AS value FROM gold WHERE category = 'secret'""")
+def boundary_relabel(spark, d):
+    """Secrets without the assignment around them."""
+    return gold(spark, d).where("category = 'secret'").select("doc_id", (F.col("start") + 9).alias("start"), (F.col("end") - 1).alias("end"), F.substring("value", 10, 40).alias("value"))
+
+
+@query(W + """SELECT category, regexp_replace(regexp_replace(regexp_replace(value, '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '9', 'g') AS shape, count(*) AS n FROM gold GROUP BY 1, 2""")
+def value_shapes(spark, d):
+    return gold(spark, d).groupBy("category", shape(F.col("value")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query(W + """SELECT doc_id, category, value, CAST(strpos(text, value) - 1 AS INTEGER) AS first_start FROM gold JOIN documents USING (doc_id)""")
+def resolve_first(spark, d):
+    j = gold(spark, d).join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    return j.select("doc_id", "category", "value", (F.expr("locate(value, text)") - 1).alias("first_start"))
+
+
+@query("""SELECT conv_id, count(*) AS turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS thread_md5 FROM conversations GROUP BY conv_id""")
+def chat_threads(spark, d):
+    t = read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sort_array(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line")))).alias("x"))
+    return t.select("conv_id", "turns", F.md5(F.array_join("x.line", "\n")).alias("thread_md5"))
+
+
+@query("""SELECT page_id, regexp_matches(html, '[<]script') AS has_script, CAST(len(regexp_extract_all(html, '[<][a-z]+', 0)) AS INTEGER) AS tags FROM pages""")
+def artifact_pages(spark, d):
+    return read(spark, d, "pages").select("page_id", F.col("html").rlike("[<]script").alias("has_script"), F.size(F.regexp_extract_all("html", F.lit("[<][a-z]+"), 0)).alias("tags"))
+
+
+@query("""SELECT origin, count(*) AS n, sum(length(text))::BIGINT AS characters FROM (SELECT 'documents' AS origin, text FROM documents UNION ALL SELECT 'conversations', text FROM conversations UNION ALL SELECT 'benchmark', text FROM benchmark) GROUP BY 1""")
+def union_sources(spark, d):
+    parts = [read(spark, d, t).select(F.lit(t).alias("origin"), "text") for t in ("documents", "conversations", "benchmark")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("origin").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
