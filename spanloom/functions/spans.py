@@ -54,4 +54,4 @@ def shape(value: Column) -> Column:
 
 
 def luhn(digits: Column) -> Column:
-    return F.luhn_check(digits)
+    return F.call_function("luhn_check", digits)
