@@ -295,3 +295,41 @@ def artifact_pages(spark, d):
 def union_sources(spark, d):
     parts = [read(spark, d, t).select(F.lit(t).alias("origin"), "text") for t in ("documents", "conversations", "benchmark")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("origin").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
+
+
+def _triage(rule):
+    def run(spark, d):
+        from ..operators.greedy import triage
+
+        return triage(gold(spark, d), pred(spark, d), rule).groupBy("kind", "gold_category", "pred_category").agg(F.count("*").alias("n"))
+
+    return run
+
+
+for _r in ("gold_first", "pred_first", "max_overlap"):
+    QUERIES[f"span_triage_{_r}"] = _triage(_r)
+
+
+@query(None)
+def greedy_chunks(spark, d):
+    from ..operators.transform import chunks
+
+    return docs(spark, d).select("doc_id", F.posexplode(chunks(F.col("text"), 40, 220)).alias("ix", "chunk"))
+
+
+@query(W + """SELECT doc_id, count(s.category) AS n_spans FROM documents d LEFT JOIN spans s USING (doc_id) GROUP BY doc_id""")
+def to_chat(spark, d):
+    from ..operators.transform import to_chat as chat
+
+    c = chat(docs(spark, d), gold(spark, d), "List the spans.", 10**6)
+    return c.select("doc_id", F.size(F.from_json(F.element_at("messages", 3)["content"], "array<struct<label:string,value:string>>")).cast("long").alias("n_spans"))
+
+
+@query(W + 'SELECT doc_id, category AS label, "start", "end" FROM gold')
+def resolve_cursor_strict(spark, d):
+    """Offsets found again from ordered values; the detected ones come back."""
+    from ..operators.resolve import resolve
+
+    v = gold(spark, d).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "category", "value"))), lambda x: F.struct(x["category"].alias("label"), x["value"].alias("value"))).alias("v"))
+    j = docs(spark, d).select("doc_id", "text").join(v, "doc_id")
+    return j.select("doc_id", F.inline(resolve(F.col("text"), F.col("v"), strict=True))).select("doc_id", "label", "start", "end")
