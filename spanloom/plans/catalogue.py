@@ -333,3 +333,57 @@ def resolve_cursor_strict(spark, d):
     v = gold(spark, d).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "category", "value"))), lambda x: F.struct(x["category"].alias("label"), x["value"].alias("value"))).alias("v"))
     j = docs(spark, d).select("doc_id", "text").join(v, "doc_id")
     return j.select("doc_id", F.inline(resolve(F.col("text"), F.col("v"), strict=True))).select("doc_id", "label", "start", "end")
+
+
+@query("""WITH a AS (SELECT doc_id, source, n_chars > 3000 AS hard, md5(concat('9:', doc_id)) AS o FROM documents),
+b AS (SELECT *, hard AND row_number() OVER (PARTITION BY source ORDER BY hard DESC, o) <= 2 AS in_hard FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY in_hard, o) AS r FROM b)
+SELECT doc_id, source, split FROM (SELECT doc_id, source, CASE WHEN in_hard THEN 'hard_test' WHEN r <= 28 THEN 'train' WHEN r <= 34 THEN 'validation' WHEN r <= 38 THEN 'test' END AS split FROM c) WHERE split IS NOT NULL""")
+def quota_split(spark, d):
+    from ..operators.quota import quota_split as split
+
+    return split(docs(spark, d), "source", "n_chars > 3000", 40, 9)
+
+
+def other_pred(spark, d):
+    """A second run's predictions: other documents are dropped."""
+    return gold(spark, d).where("doc_id % 4 <> 1")
+
+
+@query(W + """, run2 AS (SELECT * FROM gold WHERE doc_id % 4 <> 1)
+SELECT g.doc_id, g.category, g."start", coalesce((SELECT min(p.category) FROM run2 p WHERE p.doc_id = g.doc_id AND p."start" < g."end" AND g."start" < p."end"), '<NOTHING>') AS instead FROM gold g
+WHERE EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND p.category = g.category AND p."start" < g."end" AND g."start" < p."end")
+ AND NOT EXISTS (SELECT 1 FROM run2 p WHERE p.doc_id = g.doc_id AND p.category = g.category AND p."start" < g."end" AND g."start" < p."end")""")
+def model_regressions(spark, d):
+    """Expected spans that the first run found and the second lost, with what stands there instead."""
+    g, two = gold(spark, d), match.overlaps(gold(spark, d), other_pred(spark, d))
+    key = lambda df: df.select("doc_id", *[F.col(f"gold_{c}").alias(c) for c in match.KEY[1:]]).distinct()
+    same = "gold_category = pred_category"
+    lost = g.join(key(match.overlaps(g, pred(spark, d)).where(same)), match.KEY, "left_semi").join(key(two.where(same)), match.KEY, "left_anti")
+    instead = two.groupBy("doc_id", *[F.col(f"gold_{c}").alias(c) for c in match.KEY[1:]]).agg(F.min("pred_category").alias("instead"))
+    return lost.join(instead, match.KEY, "left").select("doc_id", "category", "start", F.coalesce("instead", F.lit("<NOTHING>")).alias("instead"))
+
+
+@query(W + """, v AS (SELECT 'first' AS variant, * FROM pred UNION ALL SELECT 'second', * FROM gold WHERE doc_id % 4 <> 1),
+n AS (SELECT variant, count(*) AS np, count(*) FILTER (EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = v.doc_id AND g.category = v.category AND g."start" = v."start" AND g."end" = v."end")) AS tp FROM v GROUP BY 1)
+SELECT variant, round(2.0 * tp / (np + (SELECT count(*) FROM gold)), 6)::DOUBLE AS f1 FROM n ORDER BY f1 DESC, variant LIMIT 1""")
+def best_variant(spark, d):
+    """The run with the highest F1, the first by name of equals."""
+    g = gold(spark, d)
+    one = lambda name, p: match.exact(g, p).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")).select(F.lit(name).alias("variant"), F.round(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"))
+    return one("first", pred(spark, d)).unionByName(one("second", other_pred(spark, d))).orderBy(F.desc("f1"), "variant").limit(1)
+
+
+@query(W + """SELECT doc_id, category, value, CASE category WHEN 'card' THEN concat(value[1:4], ' ', value[5:8], ' ', value[9:12], ' ', value[13:16]) ELSE regexp_replace(value, '[^0-9]', '', 'g') END AS rewritten FROM gold WHERE category IN ('card', 'phone')""")
+def format_augment(spark, d):
+    """Cards in groups of four and phones as bare digits."""
+    four = F.concat_ws(" ", *[F.substring("value", 4 * k + 1, 4) for k in range(4)])
+    return gold(spark, d).where("category in ('card', 'phone')").select("doc_id", "category", "value", F.when(F.col("category") == "card", four).otherwise(F.regexp_replace("value", "[^0-9]", "")).alias("rewritten"))
+
+
+@query(None)
+def gen_tier1(spark, d):
+    """Generated values with check digits; tested by their properties."""
+    from ..functions.generate import cards_and_devices
+
+    return cards_and_devices(spark, 1000, 17)
