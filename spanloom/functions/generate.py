@@ -29,3 +29,47 @@ def cards_and_devices(spark: SparkSession, n: int, seed: int) -> DataFrame:
     part = lambda k: (F.conv(F.substring(hexes, 13 + 2 * k, 2), 16, 10).cast("int") % 254 + 1).cast("string")
     card = with_luhn(F.concat(F.lit("4"), digits(seed, ix, 14)), 15)
     return spark.range(n).select(ix.alias("ix"), card.alias("card"), with_luhn(digits(seed + 1, ix, 14), 14).alias("imei"), F.concat_ws(".", *[part(k) for k in range(4)]).alias("ipv4"), mac.alias("mac"))
+
+
+#: Case endings by the nominative's: genitive, accusative, vocative. The first that fits counts.
+ENDINGS = {"ος": ("ου", "ο", "ε"), "ός": ("ού", "ό", "έ"), "ης": ("η", "η", "η"), "ής": ("ή", "ή", "ή"), "ας": ("α", "α", "α"), "άς": ("ά", "ά", "ά"), "α": ("ας", "α", "α"), "ά": ("άς", "ά", "ά"), "η": ("ης", "η", "η"), "ή": ("ής", "ή", "ή")}
+
+
+def inflected(name: Column, case: str, endings: dict[str, tuple[str, str, str]] = ENDINGS) -> Column:
+    """A nominative in another case (genitive, accusative, vocative); names with other endings stay."""
+    k, out = ("genitive", "accusative", "vocative").index(case), F
+    for end, to in endings.items():
+        out = out.when(name.endswith(end), F.concat(F.substr(name, F.lit(1), F.length(name) - len(end)), F.lit(to[k])))
+    return out.otherwise(name)
+
+
+def chosen(seed: int, ix: Column, values: list[str] | str) -> Column:
+    """One of ``values`` by digest."""
+    at = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), ix.cast("string"))), 1, 12), 16, 10).cast("decimal(20,0)") % len(values)
+    return F.element_at(F.array(*[F.lit(v) for v in values]), at.cast("int") + 1)
+
+
+def greek_identifiers(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """ix and one value of each kind: amka, afm, adt, iban_gr, phone, account, passport, plate, vin, gemi, cvv, date, secret, email, url."""
+    ix = F.col("id")
+    d = lambda k, m: digits(seed * 100 + k, ix, m)
+    letters = lambda k, m, a: F.concat(*[chosen(seed * 1000 + 10 * k + j, ix, a) for j in range(m)])
+    two = lambda k, low, high: F.lpad((d(k, 6).cast("int") % (high - low + 1) + low).cast("string"), 2, "0")
+    capitals, vin = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "ABCDEFGHJKLMNPRSTUVWXYZ0123456789"
+    name = letters(9, 8, "abcdefghijklmnopqrstuvwxyz")
+    return spark.range(n).select(
+        ix.alias("ix"),
+        F.concat(two(1, 1, 28), two(2, 1, 12), two(3, 40, 99), d(4, 5)).alias("amka"),
+        F.concat(chosen(seed + 1, ix, ["", "EL", "ΑΦΜ ", "Α.Φ.Μ.: "]), d(5, 9)).alias("afm"),
+        F.concat(letters(1, 2, capitals), F.lit(" "), d(6, 6)).alias("adt"),
+        F.concat(F.lit("GR"), d(7, 25)).alias("iban_gr"),
+        F.concat(chosen(seed + 2, ix, ["69", "21", "23"]), d(8, 8)).alias("phone"),
+        F.substr(d(9, 14), F.lit(1), chosen(seed + 3, ix, ["10", "12", "14"]).cast("int")).alias("account"),
+        F.concat(letters(2, 2, "ABEZHIKMNOPTYX"), d(10, 7)).alias("passport"),
+        F.concat(letters(3, 3, "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"), F.lit("-"), d(11, 4)).alias("plate"),
+        letters(4, 10, vin[:23]).alias("vin_head"), d(12, 7).alias("vin_tail"),
+        d(13, 12).alias("gemi"), d(14, 3).alias("cvv"),
+        F.concat_ws("/", two(15, 1, 28), two(16, 1, 12), F.concat(F.lit("19"), two(17, 40, 99))).alias("date"),
+        F.concat(F.lit("sk-"), F.substring(F.md5(F.concat(F.lit(f"{seed}:sk:"), ix.cast("string"))), 1, 24)).alias("secret"),
+        F.concat(name, F.lit("@example.gr")).alias("email"), F.concat(F.lit("https://www.example.gr/"), name).alias("url"),
+    ).withColumn("vin", F.concat("vin_head", "vin_tail")).drop("vin_head", "vin_tail")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import greek
 from ..functions.spans import PATTERNS, detect, luhn, normal, redact, shape, share
-from ..operators import curate, match
+from ..operators import curate, match, report, sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -387,3 +388,150 @@ def gen_tier1(spark, d):
     from ..functions.generate import cards_and_devices
 
     return cards_and_devices(spark, 1000, 17)
+
+
+_SENTENCES = r"""SELECT doc_id, trim(regexp_replace(unnest(string_split(regexp_replace(text, '([.!;·])[ \t\r\n\f]+', '\1' || chr(1), 'g'), chr(1))), '[ \t\r\n\f]+', ' ', 'g')) AS sentence FROM documents"""
+
+
+@query(rf"""SELECT doc_id, sentence FROM ({_SENTENCES}) WHERE length(sentence) BETWEEN 40 AND 220 AND length(sentence) - length(replace(sentence, ' ', '')) + 1 >= 6
+ AND regexp_matches(sentence, '[.!;·]$') AND length(regexp_replace(sentence, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace(sentence, '[^\p{{L}}]', '', 'g')), 0) >= 0.9""")
+def usable_sentences(spark, d):
+    """Whole sentences of 40 to 220 characters and six words, nine letters in ten unaccented."""
+    s = docs(spark, d).select("doc_id", F.explode(greek.sentences(F.col("text"))).alias("sentence"))
+    return s.where(greek.usable(F.col("sentence"), 40, 220, 6, 0.9, ".!;·", "A-Za-z"))
+
+
+_LETTERS = r"length(regexp_replace(text, '[^\p{L}]', '', 'g'))"
+
+
+@query(rf"""SELECT conv_id, turn, CASE WHEN trim(regexp_replace(coalesce(text, ''), '[ \t\r\n\f]+', ' ', 'g')) = '' THEN 'empty_text' WHEN length(text) < 30 THEN 'too_short' WHEN length(text) > 300 THEN 'too_long'
+ WHEN regexp_matches(text, '(?i)here[''’]?s a') THEN 'artifact:(?i)here[''’]?s a' WHEN regexp_matches(text, '(?i)thinking process') THEN 'artifact:(?i)thinking process' WHEN contains(text, '```') THEN 'artifact:```'
+ WHEN regexp_matches(text, '(?i)<[a-z]+[\s>]') THEN 'artifact:<[a-z]+[\s>]' WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / nullif({_LETTERS}, 0) > 0.3 THEN 'low_greek_high_latin' ELSE 'ok' END AS reason FROM conversations""")
+def record_reasons(spark, d):
+    """The whole cascade over turns without spans; tests/test_records.py has the spans' reasons."""
+    none = F.array().cast("array<struct<category:string,start:int,end:int>>")
+    return read(spark, d, "conversations").select("conv_id", "turn", greek.record_reason(F.col("text"), none).alias("reason"))
+
+
+@query(r"""SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(^|[^\p{L}\p{N}_])(""" + "|".join(greek.LABEL_IDS) + r"""|(?i:secret))($|[^\p{L}\p{N}_])')""")
+def label_id_leakage(spark, d):
+    return docs(spark, d).where(~greek.leaks_label(F.col("text"))).select("doc_id")
+
+
+def greek_values(spark, d):
+    """A tax number for each document, some with a prefix, some too long."""
+    mark = F.element_at(F.array(*[F.lit(x) for x in ("", "EL", "ΑΦΜ ", "Α.Φ.Μ.: ", "X ")]), (F.col("doc_id") % 5).cast("int") + 1)
+    number = F.lpad((F.col("doc_id") * 7919 % 1000000000).cast("string"), 9, "0")
+    return docs(spark, d).select("doc_id", F.concat(mark, number, F.expr("if(doc_id % 7 = 0, '1', '')")).alias("value"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 4 THEN NULL ELSE CAST([0, 2, 4, 8][doc_id % 5 + 1] AS INTEGER) END AS shift,
+ CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 4 THEN 'unparseable' WHEN doc_id % 5 = 0 THEN 'clean' ELSE 'relabelled' END AS status FROM documents""")
+def afm_relabel(spark, d):
+    return greek_values(spark, d).select("doc_id", greek.nine_digits(F.col("value")).alias("x")).select("doc_id", "x.*")
+
+
+@query("""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 4 THEN 'afm_format' ELSE 'ok' END AS problem FROM documents) GROUP BY 1""")
+def greek_value_check(spark, d):
+    p = greek.value_problem(F.lit("afm"), F.col("value"))
+    return greek_values(spark, d).groupBy(F.coalesce(p, F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query(W + """SELECT category, shape, count(*) AS n FROM (SELECT category, array_to_string(list_transform(regexp_extract_all(value, '[0-9]+|[A-Z]+|[a-z]+|.', 0),
+ lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN concat('d', length(x)) WHEN regexp_matches(x, '^[A-Z]') THEN concat('A', length(x)) WHEN regexp_matches(x, '^[a-z]') THEN concat('a', length(x)) ELSE x END), '') AS shape FROM gold) GROUP BY 1, 2""")
+def run_shapes(spark, d):
+    return gold(spark, d).groupBy("category", greek.run_shape(F.col("value")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query(W + """, o AS (SELECT g.category AS gc, g."end" AS ge, p.category AS pc, p."end" AS pe FROM gold g LEFT JOIN pred p ON g.doc_id = p.doc_id AND g."start" = p."start"),
+t AS (SELECT gc AS category, CASE WHEN pc IS NULL THEN 'missed' WHEN pc <> gc THEN 'confusion' WHEN pe = ge THEN 'tp' ELSE 'boundary' END AS kind FROM o),
+c AS (SELECT coalesce(category, '(all)') AS category, count(*) FILTER (kind = 'tp') AS tp, count(*) FILTER (kind = 'boundary') AS boundary, count(*) FILTER (kind = 'confusion') AS confusion, count(*) FILTER (kind = 'missed') AS missed, 0::BIGINT AS hallucinated FROM t GROUP BY ROLLUP (category))
+SELECT *, round(coalesce(tp / nullif(tp + boundary + confusion, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + boundary + confusion + missed, 0), 0), 6) AS recall, round(coalesce(2.0::DOUBLE * tp / nullif(2 * (tp + boundary + confusion) + missed, 0), 0), 6) AS f1 FROM c""")
+def class_report(spark, d):
+    """The SQL joins equal starts, which comes to the same here: detected spans don't overlap and predictions keep their starts."""
+    from ..operators.greedy import triage
+
+    return report.class_report(triage(gold(spark, d), pred(spark, d), "max_overlap"))
+
+
+def _metrics(gold, pred):
+    c = match.exact(gold, pred).agg(*[F.sum(k).alias(k) for k in ("tp", "fp", "fn")])
+    r = c.select(*match.rates(F.col("tp"), F.col("fp"), F.col("fn")))
+    return r.select(F.inline(F.array(*[F.struct(F.lit(f"detection.span.{k}").alias("metric"), F.col(k).alias("value")) for k in ("precision", "recall", "f1")])))
+
+
+@query(W + """, hit AS (SELECT (SELECT count(*) FROM gold) AS g, (SELECT count(*) FROM pred) AS p1, (SELECT count(*) FROM gold JOIN pred USING (doc_id, category, "start", "end")) AS t1, (SELECT count(*) FROM gold WHERE doc_id % 4 <> 1) AS p2),
+m AS (SELECT 'precision' AS k, round(t1 / p1, 6) AS baseline, 1.0::DOUBLE AS other FROM hit UNION ALL SELECT 'recall', round(t1 / g, 6), round(p2 / g, 6) FROM hit UNION ALL SELECT 'f1', round(2.0::DOUBLE * t1 / (p1 + g), 6), round(2.0::DOUBLE * p2 / (p2 + g), 6) FROM hit)
+SELECT concat('detection.', x, k) AS metric, CASE WHEN x = '' THEN 0 ELSE baseline END::DOUBLE AS baseline, CASE WHEN x = '' THEN 0 ELSE other END::DOUBLE AS other, CASE WHEN x = '' THEN 0 ELSE round(other - baseline, 6) END::DOUBLE AS delta FROM m, (VALUES (''), ('span.')) v(x)""")
+def metric_delta(spark, d):
+    g = gold(spark, d)
+    return report.metric_delta(_metrics(g, pred(spark, d)), _metrics(g, other_pred(spark, d)))
+
+
+@query(W + """SELECT doc_id, md5(text) AS text_md5, string_agg(category || ':' || "start" || '-' || "end", ' ' ORDER BY "start") AS spans, lang FROM documents JOIN (SELECT doc_id, category, "start", "end" FROM gold) USING (doc_id) GROUP BY ALL""")
+def merged_rows(spark, d):
+    rows = gold(spark, d).join(docs(spark, d).select("doc_id", "text", "lang"), "doc_id").withColumn("info", F.create_map(F.lit("lang"), "lang")).withColumn("ix", F.col("start"))
+    m = report.merged_rows(rows, "doc_id", "ix")
+    show = F.transform("label", lambda s: F.concat(s["category"], F.lit(":"), s["start"].cast("string"), F.lit("-"), s["end"].cast("string")))
+    return m.select("doc_id", F.md5("text").alias("text_md5"), F.array_join(show, " ").alias("spans"), F.col("info")["lang"].alias("lang"))
+
+
+@query("""SELECT 'lang' AS field, count(*) FILTER (coalesce(lang, '') = '') AS missing, count(*) FILTER (lang <> '' AND lang NOT IN ('en', 'fr')) AS unknown FROM documents
+UNION ALL SELECT 'source', count(*) FILTER (coalesce(source, '') = ''), count(*) FILTER (source <> '' AND source NOT LIKE 'src1%') FROM documents""")
+def value_audit(spark, d):
+    return report.value_audit(docs(spark, d), {"lang": ("en", "fr"), "source": ()}, {"source": ("src1",)})
+
+
+@query(W + """SELECT doc_id, coalesce(arg_min(category, "start"), '_hard_negative') AS label FROM documents LEFT JOIN (SELECT doc_id, category, "start" FROM gold) USING (doc_id) GROUP BY 1""")
+def primary_label(spark, d):
+    listed = gold(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "category"))).alias("label"))
+    return docs(spark, d).select("doc_id").join(listed, "doc_id", "left").select("doc_id", report.primary_label(F.col("label"), True, "_hard_negative").alias("label"))
+
+
+_DRAW = "CAST(('0x' || left(md5(concat('{}:', doc_id)), 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query(f"SELECT doc_id, CASE WHEN u < 0.5 THEN 'one' WHEN u < 0.85 THEN 'two' ELSE 'three' END AS spans FROM (SELECT doc_id, {_DRAW.format(5)} AS u FROM documents)")
+def weighted_choice(spark, d):
+    return docs(spark, d).select("doc_id", sample.weighted_choice(sample.uniform(5, "doc_id"), {"one": 0.5, "two": 0.35, "three": 0.15}).alias("spans"))
+
+
+@query(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY -ln(1 - {_DRAW.format(6)}) / n_chars, doc_id) AS r FROM documents WHERE n_chars > 0) WHERE r <= 25")
+def weighted_sample(spark, d):
+    return sample.weighted_sample(docs(spark, d).select("doc_id", "lang", "n_chars"), "n_chars", "lang", 25, 6).select("doc_id", "lang")
+
+
+@query(W + f"SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM gold) OR {_DRAW.format(8)} >= 0.6")
+def empty_dropout(spark, d):
+    held = gold(spark, d).select("doc_id").distinct().withColumn("has", F.lit(True))
+    j = docs(spark, d).select("doc_id").join(held, "doc_id", "left")
+    return sample.empty_dropout(j, F.col("has").isNull(), 0.6, 8).select("doc_id")
+
+
+@query("""SELECT event_id, CAST(nullif(regexp_extract(props, '"k": *(-?[0-9]+)', 1), '') AS BIGINT) AS k FROM events""")
+def parse_props(spark, d):
+    return read(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, d):
+    """The final state of a stream over the table's files."""
+    import tempfile
+    import uuid
+
+    from ..streaming.resume import distinct_stream
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanloom-")
+    at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = "user_id long, event_type string"
+    # A pattern, as the stream's reader takes a plain path for a folder.
+    distinct_stream(spark, f"{d}/events.parque[t]", schema, ["user_id", "event_type"], f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/out")
+
+
+@query(None)
+def gen_greek(spark, d):
+    """Generated identifiers; tested by their properties."""
+    from ..functions.generate import greek_identifiers
+
+    return greek_identifiers(spark, 1000, 3)

@@ -6,7 +6,7 @@ import pytest
 from spanloom.plans import catalogue
 
 AT = "/root/testdata/sf0.01"
-TABLES = ["documents", "benchmark", "pages", "conversations", "labels"]
+TABLES = ["documents", "benchmark", "pages", "conversations", "labels", "events"]
 
 
 @pytest.fixture(scope="module")
