@@ -24,10 +24,14 @@ def find_spans(text: Column, category: str) -> Column:
     return F.transform(found, lambda v, k: F.struct(F.lit(category).alias("category"), start(k).alias("start"), (start(k) + F.length(v)).alias("end"), v.alias("value")))
 
 
+def all_spans(text: Column) -> Column:
+    """The spans of every category in one array; null for a null text."""
+    return F.concat(*[find_spans(text, c) for c in PATTERNS])
+
+
 def detect(docs: DataFrame, *keep: str) -> DataFrame:
     """One row per span of every category: doc_id, kept columns, category, start, end, value."""
-    spans = F.concat(*[find_spans(F.col("text"), c) for c in PATTERNS])
-    return docs.select("doc_id", *keep, F.explode(spans).alias("s")).select("doc_id", *keep, "s.*")
+    return docs.select("doc_id", *keep, F.explode(all_spans(F.col("text"))).alias("s")).select("doc_id", *keep, "s.*")
 
 
 def redact(text: Column) -> Column:

@@ -33,6 +33,20 @@ def draw(seed: int, *key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), *[F.col(k).cast("string") for k in key]))
 
 
+def digest_rank(docs: DataFrame, group: str, seed: int) -> DataFrame:
+    """doc_id, ``group`` and rn, the row's place in its group in digest order.
+
+    A group is ranked in 65,536 parts by the digest's beginning, each behind
+    the count of those before it, so that no task holds a whole group.
+    """
+    d = docs.select("doc_id", group, draw(seed, "doc_id").alias("o")).withColumn("part", F.substring("o", 1, 4))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    n = d.groupBy(group, "part").agg(F.count("*").alias("n"))
+    n = n.select(F.col(group).alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy(group, "part").orderBy("o", "doc_id"))
+    return d.withColumn("own", own).join(n, (F.col("part") == F.col("at")) & F.col(group).eqNullSafe(F.col("of"))).select("doc_id", group, (F.col("own") + F.col("before")).alias("rn"))
+
+
 def stratified_split(docs: DataFrame, stratum: str, ratios: dict[str, float], seed: int) -> DataFrame:
     """Largest-remainder quotas of each stratum, filled in digest order; ties go to the earlier bucket."""
     names = list(ratios)
@@ -43,15 +57,20 @@ def stratified_split(docs: DataFrame, stratum: str, ratios: dict[str, float], se
     quota = quota.withColumn("left", F.col("n") - F.sum("q").over(by)).withColumn("r", F.row_number().over(by.orderBy(F.desc("rest"), "ix"))).withColumn("q", F.col("q") + (F.col("r") <= F.col("left")).cast("int"))
     quota = quota.withColumn("upto", F.sum("q").over(by.orderBy("ix")))
     cuts = quota.groupBy(stratum).agg(F.sort_array(F.collect_list(F.struct("ix", "upto"))).alias("cuts"))
-    ranked = docs.select("doc_id", stratum, F.row_number().over(by.orderBy(draw(seed, "doc_id"))).alias("rn")).join(cuts, stratum)
+    cuts = cuts.withColumnRenamed(stratum, "of")
+    ranked = digest_rank(docs, stratum, seed).join(cuts, F.col(stratum).eqNullSafe(F.col("of")))
     split = F.element_at(F.array(*[F.lit(k) for k in names]), F.element_at(F.filter("cuts", lambda c: F.col("rn") <= c["upto"]), 1)["ix"] + 1)
     return ranked.select("doc_id", stratum, split.alias("split"))
 
 
-def ratio_split(docs: DataFrame, train: float, validation: float, seed: int) -> DataFrame:
-    """Train and validation by digest range: an exact order needs no single task, so each row decides for itself."""
+def split_of(train: float, validation: float, seed: int) -> Column:
+    """Train, validation or test by digest range: each row decides for itself."""
     u = F.conv(F.substring(draw(seed, "doc_id"), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return docs.select("doc_id", F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test").alias("split"))
+    return F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test")
+
+
+def ratio_split(docs: DataFrame, train: float, validation: float, seed: int) -> DataFrame:
+    return docs.select("doc_id", split_of(train, validation, seed).alias("split"))
 
 
 def span_violations(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -19,8 +19,11 @@ def quota_split(docs: DataFrame, group: str, hard: str, target: int, seed: int,
     spare = target - sum(cuts)
     w = Window.partitionBy(group)
     first = docs.select("doc_id", group, F.coalesce(F.expr(hard), F.lit(False)).alias("hard"), draw(seed, "doc_id").alias("o"))
-    first = first.withColumn("h", F.row_number().over(w.orderBy(F.desc("hard"), "o"))).withColumn("in_hard", F.col("hard") & (F.col("h") <= spare))
-    rest = first.withColumn("r", F.row_number().over(w.orderBy("in_hard", "o")))
     edges = [sum(cuts[: k + 1]) for k in range(3)]
-    split = F.when(F.col("in_hard"), "hard_test").when(F.col("r") <= edges[0], "train").when(F.col("r") <= edges[1], "validation").when(F.col("r") <= edges[2], "test")
-    return rest.withColumn("split", split).where("split is not null").select("doc_id", group, "split")
+    # Limits on the ranks, so that each input task keeps only the rows of a group that can have a place.
+    h = first.where("hard").withColumn("r", F.row_number().over(w.orderBy("o", "doc_id"))).where(F.col("r") <= spare + edges[2])
+    rest = first.where("not hard").unionByName(h.where(F.col("r") > spare).drop("r"))
+    rest = rest.withColumn("r", F.row_number().over(w.orderBy("o", "doc_id"))).where(F.col("r") <= edges[2])
+    split = F.when(F.col("r") <= edges[0], "train").when(F.col("r") <= edges[1], "validation").otherwise("test")
+    hard_test = h.where(F.col("r") <= spare).select("doc_id", group, F.lit("hard_test").alias("split"))
+    return hard_test.unionByName(rest.select("doc_id", group, split.alias("split")))

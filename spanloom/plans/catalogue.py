@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import greek
-from ..functions.spans import PATTERNS, detect, luhn, normal, redact, shape, share
+from ..functions.spans import PATTERNS, all_spans, detect, luhn, normal, redact, shape, share
 from ..operators import curate, match, report, sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,9 +70,8 @@ def span_detect(spark, d):
 @query(W + """SELECT category, count(*) AS n FROM (SELECT coalesce(s.category, '_hard_negative') AS category FROM documents d LEFT JOIN spans s USING (doc_id)) GROUP BY 1""")
 def span_counts_per_class(spark, d):
     """Spans by class and documents without any."""
-    s = gold(spark, d)
-    none = docs(spark, d).select("doc_id").join(s, "doc_id", "left_anti").select(F.lit("_hard_negative").alias("category"))
-    return s.select("category").unionByName(none).groupBy("category").agg(F.count("*").alias("n"))
+    s = docs(spark, d).select(F.explode_outer(all_spans(F.col("text"))).alias("s"))
+    return s.groupBy(F.coalesce("s.category", F.lit("_hard_negative")).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query(W + "SELECT lang, category, count(*) AS n FROM spans GROUP BY ROLLUP (lang, category)")
@@ -130,8 +129,7 @@ def ratio_split(spark, d):
 
 @query(f"SELECT coalesce(sum(n - 1), 0)::BIGINT AS leaked FROM (SELECT count(DISTINCT split) AS n FROM (SELECT text, {_SPLIT} AS split FROM documents) GROUP BY text)")
 def cross_split_leakage(spark, d):
-    t = docs(spark, d)
-    s = t.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("h")).join(curate.ratio_split(t, 0.8, 0.1, 42), "doc_id")
+    s = docs(spark, d).select(F.sha2(F.encode("text", "UTF-8"), 256).alias("h"), curate.split_of(0.8, 0.1, 42).alias("split"))
     return s.groupBy("h").agg(F.countDistinct("split").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("leaked"))
 
 
@@ -144,7 +142,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rest DESC, ix) AS
 u AS (SELECT lang, split, ix, q + CASE WHEN r <= extra THEN 1 ELSE 0 END AS q FROM r),
 c AS (SELECT lang, split, sum(q) OVER (PARTITION BY lang ORDER BY ix) AS upto, q FROM u),
 d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('1337:', doc_id))) AS rn FROM documents)
-SELECT doc_id, d.lang, split FROM d JOIN c ON d.lang = c.lang AND rn <= upto AND rn > upto - q""")
+SELECT doc_id, d.lang, split FROM d JOIN c ON d.lang IS NOT DISTINCT FROM c.lang AND rn <= upto AND rn > upto - q""")
 def stratified_split(spark, d):
     return curate.stratified_split(docs(spark, d), "lang", RATIOS, 1337)
 
@@ -260,8 +258,7 @@ def set_match(spark, d):
 
 @query(W + """SELECT doc_id, category, replace(substring(text, greatest(0, "start" - 42) + 1, "end" + 42 - greatest(0, "start" - 42)), chr(10), '\\n') AS context, "start" FROM gold JOIN documents USING (doc_id)""")
 def context_window(spark, d):
-    j = gold(spark, d).join(docs(spark, d).select("doc_id", "text"), "doc_id")
-    return j.select("doc_id", "category", F.replace(F.expr("substring(text, greatest(0, start - 42) + 1, end + 42 - greatest(0, start - 42))"), F.lit("\n"), F.lit("\\n")).alias("context"), "start")
+    return detect(docs(spark, d), "text").select("doc_id", "category", F.replace(F.expr("substring(text, greatest(0, start - 42) + 1, end + 42 - greatest(0, start - 42))"), F.lit("\n"), F.lit("\\n")).alias("context"), "start")
 
 
 @query(W + """SELECT doc_id, "start" + 9 AS "start", "end" - 1 AS "end", substring(value, 10, 40) AS value FROM gold WHERE category = 'secret'""")
@@ -277,8 +274,7 @@ def value_shapes(spark, d):
 
 @query(W + """SELECT doc_id, category, value, CAST(strpos(text, value) - 1 AS INTEGER) AS first_start FROM gold JOIN documents USING (doc_id)""")
 def resolve_first(spark, d):
-    j = gold(spark, d).join(docs(spark, d).select("doc_id", "text"), "doc_id")
-    return j.select("doc_id", "category", "value", (F.expr("locate(value, text)") - 1).alias("first_start"))
+    return detect(docs(spark, d), "text").select("doc_id", "category", "value", (F.expr("locate(value, text)") - 1).alias("first_start"))
 
 
 @query("""SELECT conv_id, count(*) AS turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS thread_md5 FROM conversations GROUP BY conv_id""")
@@ -470,7 +466,7 @@ def metric_delta(spark, d):
 
 @query(W + """SELECT doc_id, md5(text) AS text_md5, string_agg(category || ':' || "start" || '-' || "end", ' ' ORDER BY "start") AS spans, lang FROM documents JOIN (SELECT doc_id, category, "start", "end" FROM gold) USING (doc_id) GROUP BY ALL""")
 def merged_rows(spark, d):
-    rows = gold(spark, d).join(docs(spark, d).select("doc_id", "text", "lang"), "doc_id").withColumn("info", F.create_map(F.lit("lang"), "lang")).withColumn("ix", F.col("start"))
+    rows = detect(docs(spark, d), "text", "lang").withColumn("info", F.create_map(F.lit("lang"), "lang")).withColumn("ix", F.col("start"))
     m = report.merged_rows(rows, "doc_id", "ix")
     show = F.transform("label", lambda s: F.concat(s["category"], F.lit(":"), s["start"].cast("string"), F.lit("-"), s["end"].cast("string")))
     return m.select("doc_id", F.md5("text").alias("text_md5"), F.array_join(show, " ").alias("spans"), F.col("info")["lang"].alias("lang"))
@@ -484,8 +480,7 @@ def value_audit(spark, d):
 
 @query(W + """SELECT doc_id, coalesce(arg_min(category, "start"), '_hard_negative') AS label FROM documents LEFT JOIN (SELECT doc_id, category, "start" FROM gold) USING (doc_id) GROUP BY 1""")
 def primary_label(spark, d):
-    listed = gold(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "category"))).alias("label"))
-    return docs(spark, d).select("doc_id").join(listed, "doc_id", "left").select("doc_id", report.primary_label(F.col("label"), True, "_hard_negative").alias("label"))
+    return docs(spark, d).select("doc_id", report.primary_label(all_spans(F.col("text")), True, "_hard_negative").alias("label"))
 
 
 _DRAW = "CAST(('0x' || left(md5(concat('{}:', doc_id)), 8)) AS BIGINT) / 4294967296.0::DOUBLE"
@@ -503,9 +498,7 @@ def weighted_sample(spark, d):
 
 @query(W + f"SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM gold) OR {_DRAW.format(8)} >= 0.6")
 def empty_dropout(spark, d):
-    held = gold(spark, d).select("doc_id").distinct().withColumn("has", F.lit(True))
-    j = docs(spark, d).select("doc_id").join(held, "doc_id", "left")
-    return sample.empty_dropout(j, F.col("has").isNull(), 0.6, 8).select("doc_id")
+    return sample.empty_dropout(docs(spark, d), F.size(all_spans(F.col("text"))) <= 0, 0.6, 8).select("doc_id")
 
 
 @query("""SELECT event_id, CAST(nullif(regexp_extract(props, '"k": *(-?[0-9]+)', 1), '') AS BIGINT) AS k FROM events""")

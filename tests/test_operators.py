@@ -3,6 +3,8 @@ import hashlib
 from pyspark.sql import functions as F
 
 from spanloom.operators import greedy
+from spanloom.operators.curate import digest_rank, stratified_split
+from spanloom.operators.quota import quota_split
 from spanloom.operators.resolve import json_spans, numbered_lines, resolve
 from spanloom.operators.transform import chunks, splice, transliterate
 from spanloom.sources import records
@@ -61,3 +63,24 @@ def test_records_and_stream(spark, tmp_path):
         spark.createDataFrame([(1,), (2 + k,)], "id long").write.mode("append").parquet(str(tmp_path / "in"))
         distinct_stream(spark, str(tmp_path / "in"), "id long", ["id"], str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_ranks_and_splits_keep_rows_without_stratum(spark):
+    docs = spark.range(500).selectExpr("id as doc_id", "if(id % 10 = 0, null, concat('s', id % 3)) as s", "id % 4 = 0 as hard")
+    got = sorted(digest_rank(docs, "s", 3).collect(), key=lambda r: (r.s or "", r.rn))
+    for s in (None, "s0", "s1", "s2"):
+        own = [r for r in got if r.s == s]
+        assert [r.rn for r in own] == list(range(1, len(own) + 1))
+        assert [r.doc_id for r in own] == sorted((r.doc_id for r in own), key=lambda i: hashlib.md5(f"3:{i}".encode()).hexdigest())
+    split = stratified_split(docs, "s", {"train": 0.8, "test": 0.2}, 3).collect()
+    assert len(split) == 500 and sum(r.split == "train" for r in split if r.s is None) == 40
+    places = quota_split(docs, "s", "hard", 40, 3).groupBy("s", "split").count().collect()
+    assert {r.split: r["count"] for r in places if r.s is None} == {"train": 28, "validation": 6, "test": 4, "hard_test": 2}
+    few = quota_split(docs.where("doc_id < 8"), "s", "hard", 40, 3).collect()
+    assert len(few) == 8
+
+
+def test_rank_limit_reaches_the_input(spark):
+    docs = spark.range(50).selectExpr("id as doc_id", "'a' as s", "false as hard")
+    plan = quota_split(docs, "s", "hard", 20, 1)._jdf.queryExecution().toString()
+    assert plan.count("WindowGroupLimit") >= 2
