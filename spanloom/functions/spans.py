@@ -14,11 +14,16 @@ PATTERNS = {
     "secret": 'token = "[0-9a-f]{40}"',
 }
 
+#: What every value of a category holds; texts without it need no pattern search.
+NEEDED = {"email": "@", "ipv4": ".", "phone": "+1 (", "secret": 'token = "'}
+
 
 def find_spans(text: Column, category: str) -> Column:
     """Array of (category, start, end, value): half-open offsets in code points."""
     p = F.lit(PATTERNS[category])
     found, gaps = F.regexp_extract_all(text, p, 0), F.split(text, PATTERNS[category], -1)
+    if category in NEEDED:
+        found = F.when(F.contains(text, F.lit(NEEDED[category])), found).when(text.isNotNull(), F.array().cast("array<string>"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
     start = lambda k: total(F.slice(gaps, F.lit(1), k + 1)) + total(F.slice(found, F.lit(1), k))
     return F.transform(found, lambda v, k: F.struct(F.lit(category).alias("category"), start(k).alias("start"), (start(k) + F.length(v)).alias("end"), v.alias("value")))
