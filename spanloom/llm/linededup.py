@@ -457,13 +457,13 @@ def remove_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document: doc_id, n_lines (with words), n_removed, removed_lines, n_links, class_id."""
+    """A row per document: doc_id, n_lines (with words), n_removed, removed_lines (numbers between commas), n_links, class_id."""
     docs = table(spark, sf_dir, "documents")
     by_doc = line_matches(docs).groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed_lines"),
+        F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))), ",").alias("removed_lines"),
         F.sum("n_links").alias("n_links"), F.min("class_id").alias("class_id"),
     )
     return docs.select("doc_id").join(by_doc, "doc_id", "left").select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("removed_lines", F.lit("")).alias("removed_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"),
     )

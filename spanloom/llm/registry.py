@@ -34,6 +34,55 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 FROM w LEFT JOIN c USING (doc_id)
 """
 
+#: Of equal payloads of 1000 bytes or more the page with the largest id holds the response.
+WARC_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+#: Every two different word sets that share a word of their prefixes are compared; classes are named by their first line.
+LINES_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM t),
+l AS (SELECT doc_id, i - 1 AS line, list_sort(list_distinct(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+'))) AS ws, row_number() OVER (ORDER BY doc_id, i) AS seq FROM x),
+c AS (SELECT ws, len(ws) AS n, min(seq) AS k, min(doc_id) AS first FROM l WHERE len(ws) > 0 GROUP BY ws),
+u AS (SELECT k, n, unnest(ws) AS w FROM c),
+o AS (SELECT k, n, w, row_number() OVER (PARTITION BY k ORDER BY df, w) AS pos FROM u JOIN (SELECT w, count(*) AS df FROM u GROUP BY w) USING (w)),
+p AS (SELECT k, n, w FROM o WHERE pos <= n - (4 * n + 4) // 5 + 1),
+j AS (SELECT DISTINCT x.k AS a, y.k AS b FROM p x JOIN p y ON x.w = y.w AND x.k < y.k AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n),
+m AS (SELECT a, b, x.n + y.n AS n, len(list_intersect(x.ws, y.ws)) AS common FROM j JOIN c x ON x.k = a JOIN c y ON y.k = b),
+e AS (SELECT a, b FROM m WHERE 5 * common >= 4 * (n - common)),
+s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT k, k AS z FROM c UNION SELECT r.k, s.b FROM r JOIN s ON s.a = r.z),
+g AS (SELECT r.k, min(c.first) AS class_id FROM r JOIN c ON c.k = r.z GROUP BY r.k),
+q AS (SELECT a AS k, count(*) AS n_links, min(b) AS low FROM s GROUP BY a),
+v AS (SELECT l.doc_id, l.line, l.seq > c.k OR coalesce(low < c.k, false) AS removed, coalesce(n_links, 0) AS n_links, class_id
+  FROM l JOIN c USING (ws) JOIN g USING (k) LEFT JOIN q USING (k)),
+b AS (SELECT doc_id, count(*) AS n_lines, count_if(removed) AS n_removed, string_agg(line, ',' ORDER BY line) FILTER (removed) AS removed_lines, sum(n_links) AS n_links, min(class_id) AS class_id FROM v GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed_lines, '') AS removed_lines,
+  CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(class_id, doc_id) AS class_id
+FROM documents LEFT JOIN b USING (doc_id)
+"""
+
+#: Every two different texts that share a shingle are compared as multisets; classes are chains of links.
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (SELECT coalesce(text, '') AS t, min(doc_id) AS id FROM documents GROUP BY 1),
+w AS (SELECT id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+s AS (SELECT id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: md5(array_to_string(ws[i:i+4], ' '))) WHEN len(ws) > 0 THEN [md5(array_to_string(ws, ' '))] ELSE [] END) AS g FROM w),
+c AS (SELECT id, g, count(*) AS n FROM s GROUP BY ALL),
+z AS (SELECT id, sum(n) AS n FROM c GROUP BY id),
+p AS (SELECT x.id AS a, y.id AS b, sum(least(x.n, y.n)) AS common FROM c x JOIN c y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE common / (x.n + y.n - common) >= 0.8),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id, id AS m FROM d UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.m)
+SELECT doc_id, class_id FROM documents x JOIN d ON d.t = coalesce(x.text, '') JOIN (SELECT id, min(m) AS class_id FROM r GROUP BY id) USING (id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": WARC_SQL,
+    "op5_line_dedup": LINES_SQL,
+    "op8_near_duplicates": NEAR_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
 }

@@ -75,5 +75,5 @@ def test_query(spark):
     assert len(got) == len(docs)
     for r in got:
         own = {k[1]: v for k, v in want.items() if k[0] == r.doc_id}
-        assert (r.n_lines, r.removed_lines, r.n_links) == (len(own), sorted(n for n, v in own.items() if v[0]), sum(v[1] for v in own.values()))
+        assert (r.n_lines, r.removed_lines, r.n_links) == (len(own), ",".join(str(n) for n in sorted(own) if own[n][0]), sum(v[1] for v in own.values()))
         assert r.class_id == min((v[2] for v in own.values()), default=r.doc_id)
