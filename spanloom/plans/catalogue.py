@@ -528,3 +528,31 @@ def gen_greek(spark, d):
     from ..functions.generate import greek_identifiers
 
     return greek_identifiers(spark, 1000, 3)
+
+
+@query(None)
+def gen_records(spark, d):
+    """Records of sentence templates in every pack; tested by their properties."""
+    from ..operators import render
+
+    out = None
+    for name in sorted(render.PACKS):
+        one = render.pack(spark, name, 500, 11).select(F.lit(name).alias("pack"), "ix", "text", F.to_json("label").alias("label"), F.col("info")["difficulty"].alias("difficulty"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(None)
+def gen_announced(spark, d):
+    """Values announced by a word of one of three languages or none; tested by their properties."""
+    from ..operators import render
+
+    return render.announced(spark, 500, 7).withColumn("label", F.to_json("label"))
+
+
+@query(None)
+def append_values(spark, d):
+    """Every document's text with a clause of one to three labelled values after it; tested by their properties."""
+    from ..operators import render
+
+    return render.appended(docs(spark, d), 13).select("doc_id", "text", F.to_json("label").alias("label"))
