@@ -39,10 +39,14 @@ def gold(spark, d):
     return detect(docs(spark, d)).select("doc_id", "category", "start", "end", "value")
 
 
+#: Stand-ins for models see no ids: what they miss, cut short or confuse hangs on the value alone.
+MISSED, CONFUSED, SHORT, MISSED_BY_OTHER = (f"substring(md5(value), {k}, 1) < '{x}'" for k, x in ((1, "2"), (2, "2"), (3, "3"), (4, "4")))
+
+
 def pred(spark, d):
-    """Predictions made from the detected spans: some dropped, some cut short, some of another category."""
-    return gold(spark, d).where("doc_id % 7 <> 0").select(
-        "doc_id", F.expr("if(doc_id % 11 = 0, 'phone', category)").alias("category"), "start", F.expr("if(doc_id % 5 = 0, end - 1, end)").alias("end"), F.expr("if(doc_id % 5 = 0, left(value, length(value) - 1), value)").alias("value")
+    """Predictions made from the detected spans: some missed, some cut short, some of another category."""
+    return gold(spark, d).where(f"NOT {MISSED}").select(
+        "doc_id", F.expr(f"if({CONFUSED}, 'phone', category)").alias("category"), "start", F.expr(f"if({SHORT}, end - 1, end)").alias("end"), F.expr(f"if({SHORT}, left(value, length(value) - 1), value)").alias("value")
     )
 
 
@@ -52,8 +56,8 @@ k AS (SELECT *, unnest(range(0, len(m))) AS i FROM f),
 spans AS (SELECT doc_id, lang, category, value, CAST(s AS INTEGER) AS "start", CAST(s + length(value) AS INTEGER) AS "end" FROM
   (SELECT doc_id, lang, category, m[i+1] AS value, list_sum(list_transform(g[1:i+1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS s FROM k)),
 gold AS (SELECT doc_id, category, "start", "end", value FROM spans),
-pred AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'phone' ELSE category END AS category, "start", CASE WHEN doc_id % 5 = 0 THEN "end" - 1 ELSE "end" END AS "end",
-  CASE WHEN doc_id % 5 = 0 THEN left(value, length(value) - 1) ELSE value END AS value FROM gold WHERE doc_id % 7 <> 0)
+""" + f"""pred AS (SELECT doc_id, CASE WHEN {CONFUSED} THEN 'phone' ELSE category END AS category, "start", CASE WHEN {SHORT} THEN "end" - 1 ELSE "end" END AS "end",
+  CASE WHEN {SHORT} THEN left(value, length(value) - 1) ELSE value END AS value FROM gold WHERE NOT {MISSED})
 """
 W = "WITH " + SPANS
 _REDACT = "text"
@@ -343,11 +347,11 @@ def quota_split(spark, d):
 
 
 def other_pred(spark, d):
-    """A second run's predictions: other documents are dropped."""
-    return gold(spark, d).where("doc_id % 4 <> 1")
+    """A second run's predictions: other values are missed."""
+    return gold(spark, d).where(f"NOT {MISSED_BY_OTHER}")
 
 
-@query(W + """, run2 AS (SELECT * FROM gold WHERE doc_id % 4 <> 1)
+@query(W + """, run2 AS (SELECT * FROM gold WHERE NOT """ + MISSED_BY_OTHER + """)
 SELECT g.doc_id, g.category, g."start", coalesce((SELECT min(p.category) FROM run2 p WHERE p.doc_id = g.doc_id AND p."start" < g."end" AND g."start" < p."end"), '<NOTHING>') AS instead FROM gold g
 WHERE EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND p.category = g.category AND p."start" < g."end" AND g."start" < p."end")
  AND NOT EXISTS (SELECT 1 FROM run2 p WHERE p.doc_id = g.doc_id AND p.category = g.category AND p."start" < g."end" AND g."start" < p."end")""")
@@ -361,7 +365,7 @@ def model_regressions(spark, d):
     return lost.join(instead, match.KEY, "left").select("doc_id", "category", "start", F.coalesce("instead", F.lit("<NOTHING>")).alias("instead"))
 
 
-@query(W + """, v AS (SELECT 'first' AS variant, * FROM pred UNION ALL SELECT 'second', * FROM gold WHERE doc_id % 4 <> 1),
+@query(W + """, v AS (SELECT 'first' AS variant, * FROM pred UNION ALL SELECT 'second', * FROM gold WHERE NOT """ + MISSED_BY_OTHER + """),
 n AS (SELECT variant, count(*) AS np, count(*) FILTER (EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = v.doc_id AND g.category = v.category AND g."start" = v."start" AND g."end" = v."end")) AS tp FROM v GROUP BY 1)
 SELECT variant, round(2.0 * tp / (np + (SELECT count(*) FROM gold)), 6)::DOUBLE AS f1 FROM n ORDER BY f1 DESC, variant LIMIT 1""")
 def best_variant(spark, d):
@@ -456,7 +460,7 @@ def _metrics(gold, pred):
     return r.select(F.inline(F.array(*[F.struct(F.lit(f"detection.span.{k}").alias("metric"), F.col(k).alias("value")) for k in ("precision", "recall", "f1")])))
 
 
-@query(W + """, hit AS (SELECT (SELECT count(*) FROM gold) AS g, (SELECT count(*) FROM pred) AS p1, (SELECT count(*) FROM gold JOIN pred USING (doc_id, category, "start", "end")) AS t1, (SELECT count(*) FROM gold WHERE doc_id % 4 <> 1) AS p2),
+@query(W + """, hit AS (SELECT (SELECT count(*) FROM gold) AS g, (SELECT count(*) FROM pred) AS p1, (SELECT count(*) FROM gold JOIN pred USING (doc_id, category, "start", "end")) AS t1, (SELECT count(*) FROM gold WHERE NOT """ + MISSED_BY_OTHER + """) AS p2),
 m AS (SELECT 'precision' AS k, round(t1 / p1, 6) AS baseline, 1.0::DOUBLE AS other FROM hit UNION ALL SELECT 'recall', round(t1 / g, 6), round(p2 / g, 6) FROM hit UNION ALL SELECT 'f1', round(2.0::DOUBLE * t1 / (p1 + g), 6), round(2.0::DOUBLE * p2 / (p2 + g), 6) FROM hit)
 SELECT concat('detection.', x, k) AS metric, CASE WHEN x = '' THEN 0 ELSE baseline END::DOUBLE AS baseline, CASE WHEN x = '' THEN 0 ELSE other END::DOUBLE AS other, CASE WHEN x = '' THEN 0 ELSE round(other - baseline, 6) END::DOUBLE AS delta FROM m, (VALUES (''), ('span.')) v(x)""")
 def metric_delta(spark, d):
