@@ -38,6 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be no column of ``df``."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def per_batch(df: DataFrame, one: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` with ``one`` turning each batch into column dicts."""
     from pyspark.sql.types import StructType

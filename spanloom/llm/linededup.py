@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, components, per_batch, table, written
+from .common import arrow_schema, as_batch, components, per_batch, table, unused, written
 from .kernels import U64, mix, pieces, ragged, slice_hashes, utf8, words
 
 CELLS = 1 << 21
@@ -449,11 +449,11 @@ def remove_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     A text that loses no line is unchanged, one that loses all is empty.
     """
-    gone = line_matches(docs, similarity).where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("gone_lines"))
-    gone = gone.select(F.col("doc_id").alias("gone_doc"), "gone_lines")
-    j = docs.join(gone, docs["doc_id"] == gone["gone_doc"], "left")
-    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n', -1), (x, i) -> struct(x, i)), y -> not array_contains(gone_lines, y.i)), y -> y.x), '\\n')")
-    return j.withColumn("text", F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    doc, lines = unused(docs, "gone_doc"), unused(docs, "gone_lines")
+    gone = line_matches(docs, similarity).where("removed").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(lines))
+    j = docs.join(gone, docs["doc_id"] == gone[doc], "left")
+    kept = F.expr(f"array_join(transform(filter(transform(split(text, '\\n', -1), (x, i) -> struct(x, i)), y -> not array_contains({lines}, y.i)), y -> y.x), '\\n')")
+    return j.withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
