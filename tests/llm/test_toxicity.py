@@ -1,3 +1,4 @@
+import binascii
 import random
 
 from spanloom.llm.toxicity import Weights, character_model, learn, op3_toxicity, restore, score
@@ -61,3 +62,15 @@ def test_held_out_accuracy(spark):
     wrong = sum(p and not t for p, t in hit) / max(1, sum(not t for _, t in hit))
     print("recall", caught, "false", wrong)
     assert caught >= 0.7 and wrong <= 0.01
+
+
+def test_words_of_few_toxic_documents_count(spark):
+    """A word in 5 of 45 toxic documents and no clean one, as in a language with few labels."""
+    rng = random.Random(4)
+    plain = lambda: ["".join(rng.choice(["th", "er", "in", "on", "at", "es"]) for _ in range(rng.randint(1, 4))) for _ in range(30)]
+    ids = [i for i in range(2000) if binascii.crc32(str(i).encode()) % 5][:329]
+    words = ["cretin"] * 5 + ["idiot"] * 40 + [""] * 284
+    docs = spark.createDataFrame([(i, " ".join([*plain(), w])) for i, w in zip(ids, words, strict=True)], "doc_id long, text string")
+    model = learn(docs, spark.createDataFrame([(i, int(w != "")) for i, w in zip(ids, words, strict=True)], "doc_id long, toxic int"))
+    new = spark.createDataFrame([(1, " ".join([*plain(), "cretin"])), (2, " ".join(plain()))], "doc_id long, text string")
+    assert {r.doc_id: r.score >= 0.5 for r in score(new, model).collect()} == {1: True, 2: False}
