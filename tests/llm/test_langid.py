@@ -19,6 +19,17 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_more_than_64_languages(spark):
+    """Every language is learned, those of few documents too."""
+    docs = [(i, " ".join([chr(0x4E00 + 3 * (i % 70) + k) * 3 for k in range(3)] * 4), f"l{i % 70:02}") for i in range(700)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    coder = learn(frame)
+    assert coder.langs == sorted({d[2] for d in docs})
+    truth = {d[0]: d[2] for d in docs}
+    got = predict(frame, coder).collect()
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.95 * len(got)
+
+
 def test_odd_rows(spark):
     docs = [(i, ["the cat and the dog", "der Hund und die Katze"][i % 2], ["en", "de"][i % 2], "k") for i in range(60)]
     coder = learn(spark.createDataFrame(docs, "doc_id long, text string, lang string, h string"))
