@@ -25,6 +25,19 @@ def class_report(triage: DataFrame) -> DataFrame:
     return c.select(F.when(F.col("all") == 1, "(all)").otherwise(F.col("category")).alias("category"), *KINDS, *rates(F.col("tp"), F.col("hallucinated") + wrong, F.col("missed") + wrong))
 
 
+def confusion(triage: DataFrame) -> DataFrame:
+    """gold_category, pred_category, n with (missed), (hallucinated) and, where only the ends are wrong, '<class>*boundary'."""
+    found = F.when(F.col("kind") == "boundary", F.concat("gold_category", F.lit("*boundary"))).otherwise(F.coalesce("pred_category", F.lit("(missed)")))
+    return triage.select(F.coalesce("gold_category", F.lit("(hallucinated)")).alias("gold_category"), found.alias("pred_category")).groupBy("gold_category", "pred_category").agg(F.count("*").alias("n"))
+
+
+def priorities(triage: DataFrame) -> DataFrame:
+    """Failure score by category: three for a miss or confusion, two for wrong ends, one for a hallucination; categories without failures drop out."""
+    kinds = ("missed", "confusion", "boundary", "hallucinated")
+    c = triage.groupBy(F.coalesce("gold_category", "pred_category").alias("category")).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    return c.withColumn("score", 3 * F.col("missed") + 3 * F.col("confusion") + 2 * F.col("boundary") + F.col("hallucinated")).where("score > 0")
+
+
 def metric_delta(first: DataFrame, second: DataFrame, keys: tuple[str, ...] = METRICS) -> DataFrame:
     """metric, baseline, other, delta for each of ``keys``; a metric that a run lacks counts 0."""
     k = first.sparkSession.createDataFrame([(x,) for x in keys], "metric string")

@@ -454,6 +454,28 @@ def class_report(spark, d):
     return report.class_report(triage(gold(spark, d), pred(spark, d), "max_overlap"))
 
 
+#: Equal starts are joined, as in class_report.
+_KINDS = """o AS (SELECT g.category AS gc, g."end" AS ge, p.category AS pc, p."end" AS pe FROM gold g LEFT JOIN pred p ON g.doc_id = p.doc_id AND g."start" = p."start"),
+t AS (SELECT gc AS category, pc, CASE WHEN pc IS NULL THEN 'missed' WHEN pc <> gc THEN 'confusion' WHEN pe = ge THEN 'tp' ELSE 'boundary' END AS kind FROM o)"""
+
+
+@query(W + f""", {_KINDS} SELECT category AS gold_category, CASE kind WHEN 'missed' THEN '(missed)' WHEN 'boundary' THEN concat(category, '*boundary') ELSE pc END AS pred_category, count(*) AS n FROM t GROUP BY ALL""")
+def confusion_matrix_boundary(spark, d):
+    """The reference's matrix: an equal prediction first, else the first free one that overlaps."""
+    from ..operators.greedy import triage
+
+    return report.confusion(triage(gold(spark, d), pred(spark, d), "gold_first"))
+
+
+@query(W + f""", {_KINDS}, c AS (SELECT category, count(*) FILTER (kind = 'missed') AS missed, count(*) FILTER (kind = 'confusion') AS confusion, count(*) FILTER (kind = 'boundary') AS boundary, 0::BIGINT AS hallucinated FROM t GROUP BY 1)
+SELECT *, 3 * missed + 3 * confusion + 2 * boundary + hallucinated AS score FROM c WHERE 3 * missed + 3 * confusion + 2 * boundary + hallucinated > 0""")
+def priority_rank_boundary(spark, d):
+    """The reference's score, over spans that share half of the shorter one."""
+    from ..operators.greedy import triage
+
+    return report.priorities(triage(gold(spark, d), pred(spark, d), "pred_first"))
+
+
 def _metrics(gold, pred):
     c = match.exact(gold, pred).agg(*[F.sum(k).alias(k) for k in ("tp", "fp", "fn")])
     r = c.select(*match.rates(F.col("tp"), F.col("fp"), F.col("fn")))

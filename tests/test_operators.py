@@ -2,7 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import greedy
+from spanloom.operators import greedy, report
 from spanloom.operators.curate import digest_rank, stratified_split
 from spanloom.operators.quota import quota_split
 from spanloom.operators.resolve import json_spans, numbered_lines, resolve
@@ -51,6 +51,14 @@ def test_greedy_rules():
     assert greedy.gold_first([], []) == []
 
 
+def test_boundary_errors_are_booked(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, category string, start int, end int")
+    gold, pred = frame([(1, "x", 0, 10), (1, "y", 20, 30), (1, "z", 40, 50)]), frame([(1, "x", 0, 9), (1, "y", 20, 30), (1, "w", 60, 70)])
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(report.confusion(greedy.triage(gold, pred, "gold_first"))) == [("(hallucinated)", "w", 1), ("x", "x*boundary", 1), ("y", "y", 1), ("z", "(missed)", 1)]
+    assert rows(report.priorities(greedy.triage(gold, pred, "pred_first"))) == [("w", 0, 0, 0, 1, 1), ("x", 0, 0, 1, 0, 2), ("z", 1, 0, 0, 0, 3)]
+
+
 def test_records_and_stream(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text":"x","label":[{"category":"c","start":0,"end":1}]}\n\nbad\n')
     assert records.read_jsonl(spark, str(tmp_path / "a.jsonl"), bad="skip").count() == 1
