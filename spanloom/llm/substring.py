@@ -4,11 +4,13 @@ A passage is ``window`` successive words.  Each window has an anchor, the
 smallest hash of the word grams in it, so equal windows have equal anchors and
 successive windows with one anchor form a segment.  Segments whose anchor stands
 in one place only cannot repeat.  The others are grouped: equal segments become
-one class, and the classes of an anchor go to one shard, which builds an
-FM-index over them (BWT in a wavelet matrix of packed bits) and searches the
-classes that occur once backwards, all windows of the shard side by side.  The
-length matched while the interval holds two suffixes or more is the matching
-statistic; windows where it reaches ``window`` are repeated.
+one class, and the classes of an anchor go to one shard, which builds a
+compressed FM-index over them (BWT in a wavelet matrix whose codes are shorter
+for commoner words) and searches every class backwards, all windows of the shard
+side by side; a class that stands in several places is indexed twice.  The length
+matched while the interval holds two suffixes or more is the matching statistic;
+windows where it reaches ``window`` are repeated.  An anchor with very many
+classes is split by its windows' own hashes, so that shards are bounded.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, per_batch, table, written
+from .common import arrow_schema, as_batch, dropped, per_batch, table, written
 from .kernels import U64, gram_hashes, mix, pieces, ragged, slice_hashes, utf8, words
 
 GRAM = 8
@@ -29,30 +31,61 @@ _STEP = 0xD1342543DE82EF95
 
 
 class WaveletMatrix:
-    """Rank over symbols 0..2**bits-1: a packed bit vector and block counts for each bit."""
+    """Rank over symbols in zero-order compressed bits.
 
-    def __init__(self, symbols: np.ndarray, bits: int):
-        self.bits, self.levels = bits, []
-        at = symbols.astype(np.int64)
-        n = len(at)
-        for k in reversed(range(bits)):
+    A symbol's code has Shannon's length for its frequency, so all levels hold at
+    most one bit a symbol more than the entropy.  At each level codes that end
+    take the first places, which the next level leaves out.  Counts before each
+    512 bits and, in 16 bits, before each 64 within them make up the directory.
+    """
+
+    def __init__(self, symbols: np.ndarray, counts: np.ndarray):
+        n = len(symbols)
+        self.length = np.zeros(len(counts), np.int64)
+        used = np.flatnonzero(counts)
+        self.length[used] = np.maximum(1, np.ceil(np.log2(n / counts[used]) - 1e-12)).astype(np.int64)
+        self.code, self.levels = np.zeros(len(counts), np.int64), []
+        waiting = used[np.argsort(self.length[used], kind="stable")]
+        open_ = np.zeros(1, np.int64)
+        ends = []
+        for k in range(int(self.length.max(initial=0))):
+            kids = np.concatenate([open_, open_ | (1 << k)])
+            done = int(np.searchsorted(self.length[waiting], k + 1, "right"))
+            self.code[waiting[:done]] = kids[:done]
+            ends.append(int(counts[waiting[:done]].sum()))
+            waiting = waiting[done:]
+            open_ = kids[done : done + len(waiting)]
+        at = self.code[symbols]
+        for k, gone in enumerate(ends):
             bit = (at >> k) & 1
-            packed = np.zeros((n // 64 + 1) * 8, np.uint8)
+            m = len(at)
+            packed = np.zeros((m // 512 + 1) * 64, np.uint8)
             raw = np.packbits(bit.astype(np.uint8), bitorder="little")
             packed[: len(raw)] = raw
             block = packed.view("<u8")
-            ones = np.zeros(len(block), np.int64)
-            np.cumsum(np.bitwise_count(block[:-1]), out=ones[1:])
-            zero = n - int(bit.sum())
-            self.levels.append((block, ones, zero))
-            at = np.concatenate([at[bit == 0], at[bit == 1]])
+            ones = np.bitwise_count(block).astype(np.int64).reshape(-1, 8)
+            far = np.zeros(len(ones), np.int64)
+            np.cumsum(ones.sum(axis=1)[:-1], out=far[1:])
+            near = np.zeros((len(ones), 8), np.uint16)
+            near[:, 1:] = np.cumsum(ones, axis=1)[:, :-1]
+            self.levels.append((block, far, near.ravel(), m - int(bit.sum()), gone))
+            at = np.concatenate([at[bit == 0], at[bit == 1]])[gone:]
 
     def rank(self, symbol: np.ndarray, where: np.ndarray) -> np.ndarray:
-        """Where the prefix of length ``where`` ends among the equal symbols, in the last level's order."""
-        for k, (block, ones, zero) in zip(reversed(range(self.bits)), self.levels, strict=True):
-            w = where >> 6
-            r = ones[w] + np.bitwise_count(block[w] & ((U64(1) << (where & 63).astype(U64)) - U64(1)))
-            where = np.where((symbol >> k) & 1, zero + r, where - r)
+        """Where the prefix of length ``where`` ends among the equal symbols, in the order of their last level."""
+        code, size, where = self.code[symbol], self.length[symbol], where.copy()
+        live = np.arange(len(symbol))
+        for k, (block, far, near, zero, gone) in enumerate(self.levels):
+            on = size[live] > k
+            if not on.all():
+                live = live[on]
+            if not len(live):
+                break
+            at = where[live]
+            w = at >> 6
+            r = far[w >> 3] + near[w] + np.bitwise_count(block[w] & ((U64(1) << (at & 63).astype(U64)) - U64(1)))
+            at = np.where((code[live] >> k) & 1, zero + r, at - r)
+            where[live] = np.where(size[live] > k + 1, at - gone, at)
         return where
 
 
@@ -76,11 +109,10 @@ class FMIndex:
             if h >= depth + 1:
                 break
             h <<= 1
-        bwt = text[order - 1]
-        sigma = int(text.max()) + 1
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
-        self.tree = WaveletMatrix(bwt, max(1, int(sigma - 1).bit_length()))
-        self.zero = self.tree.rank(np.arange(sigma), np.zeros(sigma, np.int64))
+        counts = np.bincount(text)
+        self.before = np.concatenate([[0], np.cumsum(counts)])
+        self.tree = WaveletMatrix(text[order - 1], counts)
+        self.zero = self.tree.rank(np.arange(len(counts)), np.zeros(len(counts), np.int64))
         self.size = n
 
     def back(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,84 +181,143 @@ def _segments(window: int, gram: int):
     return one
 
 
+#: A class of equal segments; ``twice``: it stands in several places.
+CLASS = "anchor long, digest long, twice boolean, n_windows int, symbols binary"
+
+
+def _binary(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Arrays of 8-byte values, ``size`` of them each, as binary values."""
+    ends = np.concatenate([[0], np.cumsum(size * 8)])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _extract(window: int):
     def one(batch):
-        asked = batch.column("asked").to_pylist()
+        asked = batch.column("asked")
+        each, x = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))]), asked.flatten()
+        first, n = (x.field(c).to_numpy() for c in ("first", "n_windows"))
         for lo, h, by_row in _word_arrays(batch):
-            cols = {"key": [], "first": [], "anchor": [], "n": [], "n_windows": [], "symbols": []}
-            for r in range(len(by_row) - 1):
-                for a in asked[lo + r]:
-                    s = by_row[r] + a["first"]
-                    cols["symbols"].append(h[s : s + a["n_windows"] + window - 1].tobytes())
-                    cols["key"].append(a["key"])
-                    for c in ("first", "anchor", "n", "n_windows"):
-                        cols[c].append(a[c])
-            yield cols
+            rows = len(by_row) - 1
+            a, b = each[lo], each[lo + rows]
+            begin = np.repeat(by_row[:-1], np.diff(each[lo : lo + rows + 1])) + first[a:b]
+            size = n[a:b].astype(np.int64) + window - 1
+            yield {**{c: x.field(c).slice(a, b - a) for c in ("anchor", "digest", "twice", "n_windows")}, "symbols": _binary(h[ragged(begin, size)], size)}
 
     return one
 
 
+def _joined(held: list[pa.RecordBatch], window: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Rows, their words one after another, and how many windows each has."""
+    t = pa.Table.from_batches(held).combine_chunks()
+    words_ = np.frombuffer(b"".join(t["symbols"].to_pylist()), U64)
+    return t, words_, t["n_windows"].to_numpy().astype(np.int64)
+
+
 def _search(window: int, shard_words: int):
-    schema = "key long, first int, mask int"
+    schema = "anchor long, digest long, mask int"
     to = arrow_schema(schema)
 
-    def shard(segs: list[tuple]) -> pa.RecordBatch | None:
-        own = [k for k, s in enumerate(segs) if s[3] == 1]
-        if not own:
-            return None
-        parts = [np.frombuffer(s[5], U64) for s in segs]
-        size = np.array([len(p) for p in parts])
-        _, dense = np.unique(np.concatenate(parts), return_inverse=True)
-        start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-        text = np.zeros(int(size.sum()) + len(parts), np.int64)
-        text[ragged(start, size)] = dense + 1
-        index = FMIndex(text, window)
-        n = np.array([segs[k][4] for k in own])
-        hit = index.matching(text, ragged(start[own], n), window) >= window
+    def shard(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t, flat, n = _joined(held, window)
+        twice = t["twice"].to_numpy(zero_copy_only=False).astype(bool)
+        size = n + window - 1
+        begin = np.cumsum(size) - size
+        _, dense = np.unique(flat, return_inverse=True)
+        parts = np.concatenate([np.arange(len(size)), np.flatnonzero(twice)])
+        start = np.cumsum(size[parts] + 1) - size[parts] - 1
+        text = np.zeros(int((size[parts] + 1).sum()), np.int64)
+        text[ragged(start, size[parts])] = dense[ragged(begin[parts], size[parts])] + 1
+        hit = FMIndex(text, window).matching(text, ragged(start[: len(n)], n), window) >= window
         bit = ragged(np.zeros(len(n), np.int64), n)
-        mask = np.add.reduceat(np.where(hit, np.left_shift(1, bit), 0), np.concatenate([[0], np.cumsum(n)[:-1]]))
+        mask = np.add.reduceat(np.where(hit, np.left_shift(1, bit), 0), np.cumsum(n) - n)
         keep = np.flatnonzero(mask)
-        return as_batch({"key": [segs[own[k]][0] for k in keep], "first": [segs[own[k]][1] for k in keep], "mask": mask[keep].astype(np.int32)}, to)
+        return as_batch({"anchor": t["anchor"].take(pa.array(keep)), "digest": t["digest"].take(pa.array(keep)), "mask": mask[keep].astype(np.int32)}, to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segs, held, last = [], 0, None
+        held, n, last = [], 0, None
         for batch in batches:
-            for s in zip(*(batch.column(c).to_pylist() for c in ("key", "first", "anchor", "n", "n_windows", "symbols")), strict=True):
-                if held >= shard_words and s[2] != last:
-                    if (out := shard(segs)) is not None:
-                        yield out
-                    segs, held = [], 0
-                segs.append(s)
-                held += len(s[5]) >> 3
-                last = s[2]
-        if segs and (out := shard(segs)) is not None:
-            yield out
+            if not len(batch):
+                continue
+            anchor = batch.column("anchor").to_numpy()
+            sums = np.concatenate([[0], np.cumsum(batch.column("n_windows").to_numpy().astype(np.int64) + window - 1)])
+            at = 0
+            for c in np.flatnonzero(np.concatenate([[bool(held) and anchor[0] != last], anchor[1:] != anchor[:-1]])).tolist():
+                if n + sums[c] - sums[at] >= shard_words:
+                    yield shard([*held, batch.slice(at, c - at)])
+                    held, n, at = [], 0, c
+            held.append(batch.slice(at))
+            n, last = n + int(sums[-1] - sums[at]), anchor[-1]
+        if held:
+            yield shard(held)
 
     return run, schema
 
 
-def repeated_windows(keyed: DataFrame, window: int, shard_words: int = 1 << 19) -> DataFrame:
+def _windows(window: int):
+    """The windows of classes with a hash of each."""
+
+    def one(batch):
+        t, flat, n = _joined([batch], window)
+        size = n + window - 1
+        begin = np.cumsum(size) - size
+        row, i = np.repeat(np.arange(len(n)), n), ragged(np.zeros(len(n), np.int64), n)
+        key = gram_hashes(flat, window).view(np.int64)[ragged(begin, n)] if len(n) else i
+        yield {**{c: t[c].take(pa.array(row)) for c in ("anchor", "digest", "twice")}, "i": i.astype(np.int32), "key": key}
+
+    return one
+
+
+def _pick(window: int):
+    """Some windows of classes as classes of one window."""
+
+    def one(batch):
+        asked = batch.column("asked")
+        _, flat, n = _joined([batch], window)
+        size = n + window - 1
+        row, x = np.repeat(np.arange(len(n)), asked.value_lengths().to_numpy(zero_copy_only=False)), asked.flatten()
+        k = len(row)
+        begin = (np.cumsum(size) - size)[row] + x.field("i").to_numpy()
+        yield {"anchor": x.field("key"), "digest": batch.column("anchor").take(pa.array(row)), "twice": x.field("twice"), "n_windows": np.ones(k, np.int32), "symbols": _binary(flat[ragged(begin, np.full(k, window))], np.full(k, window))}
+
+    return one
+
+
+def repeated_windows(keyed: DataFrame, window: int, shard_words: int = 1 << 19, most_classes: int = 4096) -> DataFrame:
     """(key, first, mask): bit ``i`` of mask is set if window ``first + i`` starts elsewhere too.
 
-    ``keyed`` has key long and text; rows with one key must have one text.
+    ``keyed`` has key long and text; rows with one key must have one text.  The
+    index of a shard holds about ``shard_words`` words, and one anchor's classes
+    more.  Anchors of more than ``most_classes`` classes are split: their windows
+    are grouped by hash, and one of each repeated group is indexed.  Segments are
+    told apart by 64-bit digests within an anchor.
     """
+    texts = keyed.select("key", "text").dropDuplicates(["key"])
     occ = written(per_batch(keyed.select("key", "text"), _segments(window, GRAM), SEGMENT), "segments")
     again = written(occ.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     seg = written(occ.join(again, "anchor"), "segments")
+    dropped(occ, again)
     classes = written(
-        seg.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "n_windows")).alias("x")).select("anchor", "digest", "n", "x.*"),
+        seg.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "n_windows")).alias("x")).select("anchor", "digest", (F.col("n") > 1).alias("twice"), "x.*"),
         "classes",
     )
-    several = classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    asked = (
-        classes.join(several, "anchor").groupBy("key").agg(F.collect_list(F.struct("key", "first", "anchor", "n", "n_windows")).alias("asked"))
-    )
-    taken = per_batch(keyed.select("key", "text").dropDuplicates(["key"]).join(asked, "key").select("text", "asked"), _extract(window), "key long, first int, anchor long, n long, n_windows int, symbols binary")
-    run, schema = _search(window, shard_words)
-    single = taken.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
-    copies = classes.where("n > 1").select("anchor", "digest")
-    many = seg.join(copies, ["anchor", "digest"]).select("key", "first", F.expr("int(shiftleft(1L, n_windows) - 1)").alias("mask"))
-    return single.unionByName(many)
+    many = written(classes.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > most_classes).select("anchor"), "anchors")
+
+    def taken(some: DataFrame) -> DataFrame:
+        asked = some.groupBy("key").agg(F.collect_list(F.struct("first", "n_windows", "anchor", "digest", "twice")).alias("asked"))
+        return per_batch(texts.join(asked, "key").select("text", "asked"), _extract(window), CLASS)
+
+    def found(some: DataFrame) -> DataFrame:
+        run, schema = _search(window, shard_words)
+        return some.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
+
+    masks = found(taken(classes.join(many, "anchor", "left_anti")))
+    hot = written(taken(classes.join(many, "anchor")), "classes")
+    single = written(per_batch(hot, _windows(window), "anchor long, digest long, twice boolean, i int, key long"), "windows")
+    group = single.groupBy("anchor", "key").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n"), F.min(F.struct("digest", "i")).alias("x")).where("n > 1")
+    picked = group.groupBy("anchor", F.col("x.digest").alias("digest")).agg(F.collect_list(F.struct("key", "x.i", F.lit(True).alias("twice"))).alias("asked"))
+    hits = found(per_batch(hot.join(picked, ["anchor", "digest"]).select("anchor", "n_windows", "symbols", "asked"), _pick(window), CLASS)).select(F.col("anchor").alias("key"), F.col("digest").alias("anchor"))
+    split = single.join(hits, ["anchor", "key"]).groupBy("anchor", "digest").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
+    return seg.join(masks.unionByName(split), ["anchor", "digest"]).select("key", "first", "mask")
 
 
 def _strip(window: int, plain: bool):

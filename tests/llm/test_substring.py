@@ -4,8 +4,9 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from spanloom.llm.substring import FMIndex, remove_repeats
+from spanloom.llm.substring import FMIndex, WaveletMatrix, remove_repeats, repeated_windows
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -35,6 +36,18 @@ def test_fm_index_counts():
         assert m == g
 
 
+def test_wavelet_ranks():
+    rng = np.random.default_rng(2)
+    for top in (1, 2, 5, 60, 3000):
+        text = np.minimum(rng.integers(0, top, 2000), rng.integers(0, top, 2000))
+        tree = WaveletMatrix(text, np.bincount(text))
+        symbols, ends = np.repeat(text[:50], 4), rng.integers(0, 2001, 200)
+        got = tree.rank(symbols, ends) - tree.rank(symbols, np.zeros(200, np.int64))
+        assert got.tolist() == [(text[:e] == x).sum() for x, e in zip(symbols, ends, strict=True)]
+        p = np.bincount(text) / len(text)
+        assert tree.length[text].mean() <= -(p[p > 0] * np.log2(p[p > 0])).sum() + 1
+
+
 def test_against_brute_force(spark):
     rng = random.Random(5)
     word = lambda: rng.choice("abcdefghijklmnop") + rng.choice(["", "é", "x", " ", "日"])
@@ -51,6 +64,10 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in docs], "doc_id long, text string, key int, hits string").repartition(4)
     got = sorted(map(tuple, remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept").collect()), key=str)
     assert got == brute(docs, 35)
+    keyed = df.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    #: Anchors of many classes are split and shards are small: the windows found are the same.
+    both = [sorted(map(tuple, repeated_windows(keyed, 35, **how).collect())) for how in ({}, {"most_classes": 2, "shard_words": 300})]
+    assert both[0] and both[0] == both[1]
 
 
 def test_empty_table(spark):
