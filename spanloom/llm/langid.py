@@ -8,11 +8,12 @@ the loss's distance to the runner-up flags ambiguous texts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, as_batch, table
@@ -87,54 +88,123 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4 == 2
 
 
-def learn(docs: DataFrame, each: int = 1500, most: int = 6000, passes: int = 300) -> Coder:
-    """Learn every language, from up to ``each`` texts of each, those first by a hash of doc_id.
+def _examples():
+    """Vectors of each text and of two short stretches anywhere in it, since short texts must be told too."""
+    schema = "lang string, at binary, value binary"
+    to = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
+                cuts = [text] + [text[(a := int(rng.integers(0, len(text)))) : a + int(rng.integers(20, 200))] for _ in range(2)]
+                x, letters = vectors(cuts)
+                at = [np.flatnonzero(v).astype("<u2") for v, n in zip(x, letters, strict=True) if n]
+                if at:
+                    yield as_batch({"lang": [lang] * len(at), "at": [i.tobytes() for i in at], "value": [v[i].tobytes() for v, i in zip(x[letters > 0], at, strict=True)]}, to)
+
+    return run, schema
+
+
+def minimise(f, w: np.ndarray, passes: int, memory: int = 8) -> np.ndarray:
+    """L-BFGS for a convex ``f`` that gives its value and gradient."""
+    value, g = f(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(passes):
+        d, alphas = -g.copy(), []
+        for s, y, r in reversed(past):
+            alphas.append(a := r * np.vdot(s, d))
+            d -= a * y
+        if past:
+            s, y, r = past[-1]
+            d *= 1 / (r * np.vdot(y, y))
+        for (s, y, r), a in zip(past, reversed(alphas), strict=True):
+            d += s * (a - r * np.vdot(y, d))
+        slope, step = float(np.vdot(g, d)), 1.0 if past else 1.0 / max(1e-12, float(np.linalg.norm(g)))
+        while True:
+            new = w + np.float32(step) * d
+            value2, g2 = f(new)
+            if value2 <= value + 1e-4 * step * slope or step < 1e-6:
+                break
+            step /= 2
+        s, y = new - w, g2 - g
+        if (sy := float(np.vdot(s, y))) > 1e-12:
+            past = [*past[-(memory - 1) :], (s, y, 1 / sy)]
+        done = value - value2 < 1e-7 * max(1.0, abs(value))
+        w, value, g = new, value2, g2
+        if done:
+            break
+    return w
+
+
+def _train(names: list[str], codes: np.ndarray, passes: int, penalty: float):
+    """Weights of all bits, in one task, from the examples of a bounded number of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {n: k for k, n in enumerate(names)}
+        rows, own = [], []
+        for batch in batches:
+            for lang, at, value in zip(*(batch.column(c).to_pylist() for c in ("lang", "at", "value")), strict=True):
+                own.append(place[lang])
+                rows.append((at, value))
+        order = sorted(range(len(rows)), key=lambda k: (own[k], *rows[k]))
+        own = np.array([own[k] for k in order], np.int64)
+        x = np.zeros((len(order), DIM + 1), np.float32)
+        x[:, DIM] = 1
+        for r, k in enumerate(order):
+            x[r, np.frombuffer(rows[k][0], "<u2")] = np.frombuffer(rows[k][1], np.float32)
+        del rows
+        w = np.zeros((DIM + 1, codes.shape[1]), np.float32)
+        if len(own):
+            y = codes[own]
+            share = (1 / np.bincount(own)[own])[:, None].astype(np.float32)
+            share /= share.sum()
+
+            def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+                margin = np.clip(y * (x @ w), -60, 60)
+                value = float((share * np.logaddexp(0, -margin)).sum()) + penalty / 2 * float(np.vdot(w, w))
+                return value, x.T @ (-share * y / (1 + np.exp(margin))) + np.float32(penalty) * w
+
+            w = minimise(loss, w, passes)
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary())], ["weights"])
+
+    return run
+
+
+def learn(docs: DataFrame, each: int = 1500, most: int = 6000, passes: int = 120, penalty: float = 1e-5) -> Coder:
+    """Learn every language, from up to ``each`` whole texts of each, those first by a hash of doc_id.
 
     With many languages each has fewer texts, ``most`` in all, but always one.
     Only rows whose crc32(doc_id as text) mod 4 is not 2, with a language and a
-    text of letters in the stretch that is read.  Of each text a stretch of at most 2,000 characters and two
-    short ones are examples, since short texts must be told too; predictions read
-    whole texts.
+    text that has a letter; rows with a null doc_id, lang or text are left out,
+    rows that repeat count each.  Texts and their vectors stay in the executors;
+    one task fits the weights, which alone reach the driver.  An empty table
+    gives a coder that knows no language; other columns are ignored.
     """
-    from pyspark.sql import Window
-
-    rows = docs.where("lang is not null and doc_id is not null").where(~held_out()).where(F.substring("text", 1, 2000).rlike(r"\p{L}"))
-    known = rows.select("lang").distinct().count()
-    if not known:
-        return Coder([], np.zeros((0, 0)), np.zeros((DIM + 1, 0)))
-    h = F.xxhash64("doc_id", "lang")
-    chosen = rows.select("doc_id", "lang", h.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= max(1, min(each, most // known))).agg(F.max("h").alias("top"), F.count("*").alias("n"), F.collect_list(F.struct("doc_id", "lang")).alias("ids")).first()
-    ids = docs.sparkSession.createDataFrame([(x.doc_id,) for x in chosen.ids], "doc_id long").distinct()
-    taken = rows.join(F.broadcast(ids), "doc_id").where("text is not null").select("lang", F.substring("text", 1, 2000).alias("text")).orderBy("lang", "text").collect()
-    rng = np.random.default_rng(5)
-    texts, langs = [], []
-    for r in taken:
-        if any(c.isalpha() for c in r.text):
-            cuts = [(0, len(r.text))] + [(a := int(rng.integers(0, len(r.text))), a + int(rng.integers(20, 200))) for _ in range(2)]
-            for a, b in cuts:
-                if any(c.isalpha() for c in r.text[a:b]):
-                    texts.append(r.text[a:b])
-                    langs.append(r.lang)
-    names = sorted(set(langs))
-    codes = codewords(len(names))
-    if not texts or codes.shape[1] == 0:
+    rows = docs.where("lang is not null and doc_id is not null").where(~held_out()).where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    #: One row for each language, as the coder itself has.
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    names = sorted(r.lang for r in counts.select("lang").collect())
+    codes = codewords(len(names)) if names else np.zeros((0, 0), np.float32)
+    if codes.shape[1] == 0:
         return Coder(names, codes, np.zeros((DIM + 1, codes.shape[1]), np.float32))
-    x = np.concatenate([vectors(texts)[0], np.ones((len(texts), 1), np.float32)], axis=1)
-    own = np.array([names.index(g) for g in langs])
-    y = codes[own]
-    share = (1 / np.bincount(own)[own])[:, None].astype(np.float32)
-    share /= share.sum()
-    w, speed = np.zeros((DIM + 1, codes.shape[1]), np.float32), np.zeros((DIM + 1, codes.shape[1]), np.float32)
-    for _ in range(passes):
-        at = w + 0.9 * speed
-        grad = -(x.T @ (share * y / (1 + np.exp(np.clip(y * (x @ at), -30, 30))))) + 1e-5 * at
-        speed = 0.9 * speed - 8.0 * grad
-        w = w + speed
-    return Coder(names, codes, w)
+    k = max(1, min(each, most // len(names)))
+    #: Twice as many as wanted pass the first sieve, so no task sorts more than that of a language.
+    u = F.xxhash64("doc_id", "lang").bitwiseAND((1 << 63) - 1) / float(1 << 63)
+    sieve = F.broadcast(counts.select("lang", F.least(F.lit(1.0), (2.0 * k + 50) / F.col("n")).alias("top")))
+    near = rows.withColumn("u", u).join(sieve, "lang").where(F.col("u") < F.col("top"))
+    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))).where(F.col("r") <= k)
+    run, schema = _examples()
+    made = chosen.select("lang", "text").mapInArrow(run, schema).repartition(1).mapInArrow(_train(names, codes, passes, penalty), "weights binary").first()
+    return Coder(names, codes, np.frombuffer(made.weights, "<f4").reshape(DIM + 1, -1))
 
 
 def predict(docs: DataFrame, coder: Coder) -> DataFrame:
-    """(doc_id, lang_pred, score, ambiguous) of every row; und, 0 and true where text is null or has no letter."""
+    """(doc_id, lang_pred, score, ambiguous) of every row; und, 0 and true where text is null or has no letter.
+
+    Rows that repeat are predicted each, whole texts of any length are read; an
+    empty table gives no rows; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(coder)
     schema = "doc_id long, lang_pred string, score double, ambiguous boolean"
     to = arrow_schema(schema)
@@ -152,5 +222,6 @@ def predict(docs: DataFrame, coder: Coder) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")

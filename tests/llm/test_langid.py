@@ -1,6 +1,8 @@
+import math
+
 import numpy as np
 
-from spanloom.llm.langid import codewords, learn, op6_language_id, predict
+from spanloom.llm.langid import DIM, Coder, codewords, learn, minimise, op6_language_id, predict, vectors
 
 
 def test_codewords():
@@ -10,6 +12,33 @@ def test_codewords():
         assert c.shape[0] == k and d[~np.eye(k, dtype=bool)].min() >= (1 if k == 2 else 2)
 
 
+def test_decoding_rule():
+    """The nearest codeword by summed logistic loss, worked out bit by bit."""
+    rng = np.random.default_rng(4)
+    for k in (3, 9):
+        codes = codewords(k)
+        coder = Coder([f"l{i}" for i in range(k)], codes, rng.normal(size=(DIM + 1, codes.shape[1])).astype(np.float32) * 5)
+        texts = ["the cat", "der Hund und die Katze", "日本語 text", "x"]
+        lang, score, odd = coder.predict(texts)
+        x = vectors(texts)[0].astype(float)
+        for t in range(len(texts)):
+            loss = []
+            for i in range(k):
+                margins = [sum(x[t, j] * coder.weights[j, b] for j in np.flatnonzero(x[t])) + coder.weights[DIM, b] for b in range(codes.shape[1])]
+                loss.append(sum(math.log1p(math.exp(-codes[i, b] * m)) for b, m in enumerate(margins)))
+            p = np.exp(-np.array(loss))
+            p /= p.sum()
+            assert lang[t] == f"l{int(np.argmax(p))}" and abs(score[t] - p.max()) < 1e-3 and odd[t] == (score[t] < 0.75)
+
+
+def test_minimise():
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(30, 8))
+    q, c = a.T @ a, rng.normal(size=(8, 2))
+    w = minimise(lambda w: (float((w * (q @ w)).sum() / 2 - (c * w).sum()), q @ w - c), np.zeros((8, 2)), 100)
+    assert np.abs(w - np.linalg.solve(q, c)).max() < 1e-3
+
+
 def test_held_out_accuracy(spark):
     at = "/root/testdata/sf0.01"
     got = op6_language_id(spark, at).collect()
