@@ -1,9 +1,9 @@
 """Toxicity of texts whose words may be disguised.
 
 Words are restored first: digits and signs that stand for letters, stretched
-letters and letters set apart form a lattice, in which a Viterbi search under a
-character 4-gram model of the whole corpus finds the likeliest reading (the
-noisy channel).  Restored words are scored by log odds that labelled documents
+letters and spaces between short parts form a lattice, in which an exact Viterbi search
+under a character 4-gram model of the whole corpus finds the likeliest reading
+(the noisy channel).  Restored words are scored by log odds that labelled documents
 give to words and their beginnings, and a document by a logistic curve over the
 sum for its distinct words.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -84,45 +85,83 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
-def decode(token: str, model: np.ndarray, beam: int = 16) -> str:
-    """The likeliest reading of a folded token, by Viterbi over its lattice."""
-    states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+#: What it costs to read over the space between two short parts, over one of several equal letters, an equal sign, another sign, and to read a sign as a letter.
+GAP, REPEAT, AGAIN, SIGN, STANDS = 1.0, 0.4, 3.0, 4.0, 1.0
+#: A run of words of at most two characters each, three at least, may be one word set apart.
+SHORT, RUN = 2, 3
+#: The most that one word weighs.
+TOP = 8.0
+_ARCS: dict[str, list[tuple[int, str, float]]] = {" ": [(0, " ", 0.0)]}
+
+
+def _arcs(c: str) -> list[tuple[int, str, float]]:
+    if c not in _ARCS:
+        _ARCS[c] = [(_SYMBOL.get(c, 27), c, 0.0)] * c.isalpha() + [(_SYMBOL[x], x, STANDS) for x in LEET.get(c, "")]
+    return _ARCS[c]
+
+
+def flat_model(model: np.ndarray | array) -> array:
+    return model if isinstance(model, array) else array("f", np.ascontiguousarray(model, np.float32).tobytes())
+
+
+def decode(token: str, model: np.ndarray | array) -> str:
+    """The likeliest reading of a folded token, by exact Viterbi over its lattice.
+
+    A state is the last three symbols read.  A state falls out only if it is
+    further behind the best than three symbols can ever make good, after which
+    both have the same context.  Spaces stay or are read over.  Time and memory
+    are linear in the token's length.
+    """
+    flat = flat_model(model)
+    reach = 3 * (max(flat) - min(flat)) if len(token) > 64 else math.inf
+    states: dict[int, tuple[float, int]] = {0: (0.0, 0)}
+    parents, letters = [0], [""]
+    run, last = 0, ""
     for k, c in enumerate(token):
-        run = 1
-        while k >= run and token[k - run] == c:
-            run += 1
-        arcs = []
-        if c in _SYMBOL:
-            arcs.append((c, 0.0))
+        run, last = run + 1 if c == last else 1, c
+        arcs = _arcs(c)
+        if c == " ":
+            skip = GAP
         elif c.isalpha():
-            arcs.append((c, 0.0))
-        for x in LEET.get(c, ""):
-            arcs.append((x, 1.0))
-        skip = 0.4 if run > 1 and c.isalpha() and (run > 2 or token[k + 1 : k + 2] == c) else 3.0 if run > 1 else 4.0 if not c.isalpha() else None
-        new: dict[tuple[int, int, int], tuple[float, str]] = {}
-        for s, (score, out) in states.items():
-            if skip is not None and score - skip > new.get(s, (-1e30,))[0]:
-                new[s] = (score - skip, out)
-            for x, cost in arcs:
-                y = _SYMBOL.get(x, 27)
-                t = (s[1], s[2], y)
-                v = score - cost + float(model[s][y])
-                if v > new.get(t, (-1e30,))[0]:
-                    new[t] = (v, out + x)
+            skip = None if run == 1 else REPEAT if run > 2 or token[k + 1 : k + 2] == c else AGAIN
+        else:
+            skip = AGAIN if run > 1 else SIGN
+        new: dict[int, tuple[float, int, str]] = {}
+        for code, (score, node) in states.items():
+            if skip is not None and (code not in new or score - skip > new[code][0]):
+                new[code] = (score - skip, node, "")
+            base, tail = code * _A, code % (_A * _A) * _A
+            for y, x, cost in arcs:
+                v, t = score - cost + flat[base + y], tail + y
+                if t not in new or v > new[t][0]:
+                    new[t] = (v, node, x)
         if not new:
             return ""
-        states = dict(sorted(new.items(), key=lambda i: -i[1][0])[:beam]) if len(new) > beam else new
-    return max(((v + float(model[s][0]), out) for s, (v, out) in states.items()), default=(0, ""))[1]
+        least = max(v[0] for v in new.values()) - reach if len(new) > 8 else -math.inf
+        states = {}
+        for t, (v, node, x) in new.items():
+            if v >= least:
+                if x:
+                    parents.append(node)
+                    letters.append(x)
+                    node = len(parents) - 1
+                states[t] = (v, node)
+    node = max(states.items(), key=lambda i: i[1][0] + flat[i[0] * _A])[1][1]
+    out = []
+    while node:
+        out.append(letters[node])
+        node = parents[node]
+    return "".join(reversed(out))
 
 
-def restore(token: str, model: np.ndarray) -> list[str]:
+def restore(token: str, model: np.ndarray | array) -> list[str]:
     """Words of one token as they would be written plainly; letters only, doubled letters once."""
     token = _EDGE.sub("", fold(token))
     if token.isalpha() and not _STRETCH.search(token):
         return [_DOUBLE.sub(r"\1", token)]
     parts = [p for p in _BREAK.split(token) if p]
-    if len(parts) >= 3 and sum(len(p) == 1 for p in parts) >= 3:
-        parts = ["".join(parts)]
+    if len(parts) >= RUN and sum(len(p) <= SHORT for p in parts) >= RUN:
+        return joined(" ".join(parts), model)
     out = []
     for p in parts:
         if not any(c.isalpha() for c in p):
@@ -134,6 +173,12 @@ def restore(token: str, model: np.ndarray) -> list[str]:
     return out
 
 
+def joined(parts: str, model: np.ndarray | array) -> list[str]:
+    """Words of parts between single spaces, where spaces may be part of the disguise."""
+    parts = fold(parts)
+    return [_DOUBLE.sub(r"\1", w) for w in decode(parts, model).split(" ") if w] if any(c.isalpha() for c in parts) else []
+
+
 def features(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in (4, 5, 6) if len(word) >= k)]
 
@@ -142,7 +187,8 @@ class Weights:
     """Weight of a token: the highest log odds of a feature of its restored words."""
 
     def __init__(self, model: np.ndarray, odds: dict[str, float]):
-        self.model, self.odds = model, odds
+        self.model, self.odds = flat_model(model), odds
+        self.longest = max(map(len, odds), default=1)
 
     def word(self, word: str) -> float:
         odds = self.odds
@@ -151,31 +197,52 @@ class Weights:
     def token(self, token: str) -> float:
         return max((self.word(w) for w in restore(token, self.model)), default=0.0)
 
-    def spaced(self, letters: str) -> float:
-        """Single letters in a row: a word may begin at any of them."""
-        w = "".join(restore(letters, self.model))
-        return max((self.word(w[k:]) for k in range(len(w))), default=0.0)
-
-
-def _single_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, by_row: np.ndarray) -> Iterator[tuple[int, str]]:
-    """Row and letters of three or more one-character words in a row."""
-    one = (end - start == 1) & (data[start] != 0x7C) if len(start) else np.zeros(0, bool)
-    edge = np.diff(np.concatenate([[0], one.view(np.int8), [0]]))
-    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    for x, y in zip(a[b - a > 2].tolist(), b[b - a > 2].tolist(), strict=True):
-        row = int(np.searchsorted(by_row, x, "right")) - 1
-        while x < y:
-            stop = min(y, int(by_row[row + 1]))
-            if stop - x > 2:
-                yield row, bytes(data[start[x:stop]]).decode("ascii", "ignore")
-            x, row = stop, row + 1
+    def spaced(self, parts: str) -> dict[str, float]:
+        """Weights of the words that short parts make together; a word may begin at any of their letters."""
+        plain, out = set(fold(parts).split(" ")), {}
+        for w in joined(parts, self.model):
+            if w not in plain and w not in out:
+                n = len(w)
+                found = max((self.word(w[k:] if n - k <= self.longest else w[k : k + 6]) for k in range(n)), default=0.0)
+                if found:
+                    out[w] = found
+        return out
+
+
+_WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def short_runs(words_: list[str]) -> Iterator[str]:
+    """Runs of ``RUN`` or more words of at most ``SHORT`` characters, joined by spaces; a bar alone ends a run."""
+    held: list[str] = []
+    for w in [*words_, "   "]:
+        if len(w) <= SHORT and w != "|":
+            held.append(w)
+        else:
+            if len(held) >= RUN:
+                yield " ".join(held)
+            held = []
+
+
+def _short_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, by_row: np.ndarray) -> Iterator[tuple[int, str]]:
+    """Row and text of every run, as ``short_runs`` finds them."""
+    if not len(start):
+        return
+    letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    short = (letters[end] - letters[start] <= SHORT) & ~((end - start == 1) & (data[start] == 0x7C))
+    row = np.searchsorted(by_row, np.arange(len(start)), "right") - 1
+    new = np.flatnonzero(np.concatenate([[True], (short[1:] != short[:-1]) | (row[1:] != row[:-1])]))
+    size = np.diff(np.append(new, len(start)))
+    for x, n in zip(*(v[short[new] & (size >= RUN)].tolist() for v in (new, size)), strict=True):
+        yield int(row[x]), " ".join(_WORD.findall(data[start[x] : end[x + n - 1]].tobytes().decode()))
 
 
 def _sums(shared):
-    """Sum of the weights of each text's distinct tokens, each at most 8."""
+    """Sum of the weights of each text's distinct tokens and of the distinct words of its short runs, each at most ``TOP``."""
 
     def sums():
         known: dict[int, float] = {}
+        runs: dict[str, dict[str, float]] = {}
         weights = Weights(*shared.value)
 
         def of(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -196,9 +263,20 @@ def _sums(shared):
                 hit = np.flatnonzero(w[inv] > 0)
                 row = np.searchsorted(by_row, hit, "right") - 1
                 pair = np.unique(row * len(u) + inv[hit])
-                total = np.bincount(pair // max(1, len(u)), np.minimum(w[pair % max(1, len(u))], 8), hi - lo)
-                for r, letters in _single_runs(d, start, end, by_row):
-                    total[r] += min(8, weights.spaced(letters))
+                total = np.bincount(pair // max(1, len(u)), np.minimum(w[pair % max(1, len(u))], TOP), hi - lo)
+                of_row: dict[int, dict[str, float]] = {}
+                for r, parts in _short_runs(d, start, end, by_row):
+                    made = runs.get(parts)
+                    if made is None:
+                        made = weights.spaced(parts)
+                        if len(parts) < 200:
+                            runs[parts] = made
+                    if made:
+                        of_row.setdefault(r, {}).update(made)
+                for r, made in of_row.items():
+                    total[r] += sum(min(TOP, x) for x in made.values())
+                if len(runs) > 1 << 17:
+                    runs.clear()
                 yield lo, hi, total
 
         return of
@@ -211,15 +289,18 @@ def _count_features(shared):
     to = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen, counts = shared.value, {}, (Counter(), Counter())
+        model, seen, counts = flat_model(shared.value), {}, (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 found: set[str] = set()
-                for t in set((text or "").split()):
+                tokens = _WORD.findall(text or "")
+                for t in set(tokens):
                     f = seen.get(t)
                     if f is None:
                         f = seen[t] = [x for w in restore(t, model) for x in features(w)]
                     found.update(f)
+                for parts in short_runs(tokens):
+                    found.update(x for w in joined(parts, model) for x in features(w))
                 counts[0 if toxic else 1].update(found)
                 if len(seen) > 1 << 19:
                     seen.clear()
@@ -250,24 +331,25 @@ def evidence(toxic, clean, of_toxic: int, of_clean: int, doubt: float):
     """Log odds of a feature in so many of the toxic and of the clean documents, shrunken where chance may explain them.
 
     One document's worth is added at the common rate, and the odds are taken times
-    1 - ``doubt`` / likelihood ratio statistic; 0 where that or the odds are negative.
+    log(1 + exp(ratio - ``doubt``)) / ratio, ratio the likelihood ratio statistic:
+    1 - doubt / ratio far above ``doubt``, little below it; 0 where they are negative.
     """
     share = of_toxic / (of_toxic + of_clean)
     t, c = toxic + share, clean + (1 - share)
     odds = F.log(t / of_toxic) - F.log(c / of_clean)
     ratio = 2 * (t * F.log(t / ((t + c) * share)) + c * F.log(c / ((t + c) * (1 - share))))
-    return F.when(odds > 0, odds * F.greatest(F.lit(0.0), 1 - F.try_divide(F.lit(doubt), ratio))).otherwise(0.0)
+    return F.when(odds > 0, odds * F.log1p(F.exp(F.least(ratio - doubt, F.lit(500.0)))) / F.greatest(ratio, F.lit(1e-3))).otherwise(0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 12000, doubt: float = 10.83, most_features: int = 20000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most: int = 12000, doubt: float = 10.83) -> Model:
     """Learn from up to ``most`` labelled documents, those first by a hash of their id.
 
     Rows whose crc32(doc_id as text) mod 5 is 0 and null labels are left out; a
     doc_id with several labels is toxic if one is 1.  The character model counts
     all texts.  A feature weighs its shrunken log odds (``evidence``; 10.83 is the
-    statistic's 0.1 % point), whatever share of the toxic documents has it; the
-    ``most_features`` commonest of those above 0 are kept.  The logistic curve is
-    fitted to sums from which each document's own counts are taken out.  Without
+    statistic's 0.1 % point), whatever share of the toxic documents has it;
+    those above 0 are all kept, and only words of the labelled sample can be.  The
+    logistic curve is fitted to sums from which each document's own counts are taken out.  Without
     labels of both kinds every text scores the share of toxic labels, or 0.
     """
     spark = docs.sparkSession
@@ -286,7 +368,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12000, doubt: float =
     t, c = F.col("toxic"), F.col("clean")
     fewer = lambda n: F.greatest(n - 1, F.lit(0))
     weighed = counted.select("feature", "toxic", evidence(t, c, toxic, clean, doubt).alias("odds"), evidence(fewer(t), c, max(1, toxic - 1), clean, doubt).alias("if_toxic"), evidence(t, fewer(c), toxic, max(1, clean - 1), doubt).alias("if_clean"))
-    kept = weighed.where("odds > 0 or if_clean > 0").orderBy(F.desc("toxic"), "feature").limit(most_features).collect()
+    kept = weighed.where("odds > 0 or if_clean > 0").collect()
     found = {r.feature: r.odds for r in kept if r.odds > 0}
     others = [_sums(spark.sparkContext.broadcast((characters, {r.feature: r[k] for r in kept if r[k] > 0}))) for k in ("if_clean", "if_toxic")]
 
@@ -314,7 +396,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12000, doubt: float =
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row; null and empty texts score like texts without any toxic word."""
+    """(doc_id, score) of every row; null and empty texts score like texts without any toxic word.
+
+    Whole texts are read, tokens of any length in linear time.  Rows that repeat
+    are scored each; an empty table gives no rows; other columns are ignored.
+    """
     sums = _sums(docs.sparkSession.sparkContext.broadcast((model.characters, model.odds)))
 
     to = arrow_schema("doc_id long, score double")
@@ -330,7 +416,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """``docs``, all columns, without rows that score ``threshold`` or more."""
+    """``docs``, all columns, without rows that score ``threshold`` or more.
+
+    Null and empty texts score like texts without any toxic word; rows that repeat
+    or lack a doc_id are judged each; an empty table gives no rows.
+    """
     sums = _sums(docs.sparkSession.sparkContext.broadcast((model.characters, model.odds)))
     slope, base = model.slope, model.base
 
@@ -344,6 +434,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learned from the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
