@@ -6,10 +6,10 @@ successive windows with one anchor form a segment.  Segments whose anchor stands
 in one place only cannot repeat.  The others are grouped: equal segments become
 one class, and the classes of an anchor go to one shard, which builds a
 compressed FM-index over them (BWT in a wavelet matrix whose codes are shorter
-for commoner words) and searches every class backwards, all windows of the shard
+for commoner words) and searches every class backwards, all classes of the shard
 side by side; a class that stands in several places is indexed twice.  The length
 matched while the interval holds two suffixes or more is the matching statistic;
-windows where it reaches ``window`` are repeated.  An anchor with very many
+windows that lie within it are repeated.  An anchor with very many
 classes is split by its windows' own hashes, so that shards are bounded.
 """
 
@@ -121,19 +121,44 @@ class FMIndex:
         both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
         return base + both[:m], base + both[m:]
 
-    def matching(self, text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-        """Words matched backwards from each window's end, while two places or more match."""
-        out = np.zeros(len(starts), np.int32)
-        live = np.arange(len(starts))
-        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64)
-        for k in range(window - 1, -1, -1):
-            lo, hi = self.back(text[starts[live] + k], lo, hi)
+    def reach(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How far back from each end, ``begin`` at most, the words stand in two places or more."""
+        at = end.copy()
+        live = np.flatnonzero(at > begin)
+        lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.size, np.int64)
+        while len(live):
+            lo, hi = self.back(text[at[live] - 1], lo, hi)
             keep = hi - lo >= 2
             live, lo, hi = live[keep], lo[keep], hi[keep]
-            out[live] += 1
-            if not len(live):
-                break
-        return out
+            at[live] -= 1
+            more = at[live] > begin[live]
+            live, lo, hi = live[more], lo[more], hi[more]
+        return at
+
+    def repeated(self, text: np.ndarray, begin: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+        """Bit i is set if the window i words after ``begin`` stands in two places or more, for i under n.
+
+        The words of some windows are searched as one: windows that lie in what is
+        matched are repeated, the last one isn't if too little is.  If not even the
+        words that all the others have in common are repeated, none of them is;
+        else they are searched by halves.
+        """
+        mask = np.zeros(len(n), np.int64)
+        seg, a, k = np.arange(len(n)), np.zeros(len(n), np.int64), n.astype(np.int64)
+        while len(seg):
+            b = begin[seg] + a
+            hits = np.clip(b + k - self.reach(text, b, b + k - 1 + window), 0, k)
+            np.bitwise_or.at(mask, seg, np.left_shift(np.left_shift(1, hits) - 1, a + k - hits))
+            k = k - np.maximum(hits, 1)
+            on = k > 0
+            seg, a, k = seg[on], a[on], k[on]
+            b = begin[seg] + a
+            on = self.reach(text, b + k - 1, b + np.maximum(window, k - 1)) == b + k - 1
+            seg, a, k = seg[on], a[on], k[on]
+            half = k // 2
+            cut = half > 0
+            seg, a, k = np.concatenate([seg[cut], seg]), np.concatenate([a[cut], a + half]), np.concatenate([half[cut], k - half])
+        return mask
 
 
 def _leftmost_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -227,9 +252,7 @@ def _search(window: int, shard_words: int):
         start = np.cumsum(size[parts] + 1) - size[parts] - 1
         text = np.zeros(int((size[parts] + 1).sum()), np.int64)
         text[ragged(start, size[parts])] = dense[ragged(begin[parts], size[parts])] + 1
-        hit = FMIndex(text, window).matching(text, ragged(start[: len(n)], n), window) >= window
-        bit = ragged(np.zeros(len(n), np.int64), n)
-        mask = np.add.reduceat(np.where(hit, np.left_shift(1, bit), 0), np.cumsum(n) - n)
+        mask = FMIndex(text, window).repeated(text, start[: len(n)], n, window)
         keep = np.flatnonzero(mask)
         return as_batch({"anchor": t["anchor"].take(pa.array(keep)), "digest": t["digest"].take(pa.array(keep)), "mask": mask[keep].astype(np.int32)}, to)
 

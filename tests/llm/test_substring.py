@@ -27,7 +27,7 @@ def test_fm_index_counts():
     text[[100, 300, 499]] = 0
     index = FMIndex(text, 6)
     starts = np.array([i for i in range(494) if (text[i : i + 6] > 0).all()])
-    got = index.matching(text, starts, 6)
+    got = starts + 6 - index.reach(text, starts, starts + 6)
     s = text.tolist()
     for i, g in zip(starts, got, strict=True):
         m = 0
@@ -36,6 +36,22 @@ def test_fm_index_counts():
         assert m == g
 
 
+def test_repeated_windows_of_a_segment():
+    rng = np.random.default_rng(7)
+    for top in (2, 4, 30):
+        text = rng.integers(1, top + 1, 1500)
+        for _ in range(6):
+            i, j = rng.integers(0, 1400, 2)
+            text[i : i + 50] = text[j : j + 50]
+        text[[0, 600, 1499]] = 0
+        begin = np.array([i for i in range(1, 1400, 13) if (text[i : i + 40] > 0).all()])
+        n = rng.integers(1, 29, len(begin))
+        n = np.array([k if (text[b : b + k + 11] > 0).all() else 1 for b, k in zip(begin, n, strict=True)])
+        count = Counter(tuple(text[i : i + 12]) for i in range(1489))
+        want = [sum(1 << i for i in range(k) if count[tuple(text[b + i : b + i + 12])] > 1) for b, k in zip(begin, n, strict=True)]
+        assert FMIndex(text, 12).repeated(text, begin, n, 12).tolist() == want and any(want)
+
+
 def test_wavelet_ranks():
     rng = np.random.default_rng(2)
     for top in (1, 2, 5, 60, 3000):
