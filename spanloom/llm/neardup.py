@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_batch, components, per_batch, table, written
+from .common import arrow_schema, as_batch, components, dropped, per_batch, table, unused, written
 from .kernels import U64, gram_hashes, mix, pieces, ragged, slice_hashes, utf8, words
 
 _GOLD = U64(0x9E3779B97F4A7C15)
@@ -234,31 +234,30 @@ def _decide(m: int, least: float, k: int, similarity: float):
     return run, schema
 
 
-def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, bands: int = 24, per_band: int = 4, slack: float = 0.2) -> DataFrame:
-    """(doc_id, class_id): the smallest doc_id that a chain of near-duplicates leads to.
+def text_digest(text: str = "text") -> Column:
+    """What tells texts apart; a null text is an empty one."""
+    return F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
 
-    Two texts are linked if the weighted Jaccard similarity of their shingle
-    multisets is ``similarity`` or more.  Equal texts are one class, found by
-    digest before the signatures are banded; a null text equals an empty one,
-    and texts without words have no links but to their equals.  A text of fewer
-    words than a shingle is one shingle.  Rows with one doc_id get one class; a
-    null doc_id gets that of its equals.  Other columns don't come back; an
-    empty table gives no rows.  A pair at the least similarity is missed with
-    probability (1 - similarity**per_band)**bands, 3e-6 as set.
+
+def near_classes(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, bands: int = 24, per_band: int = 4, slack: float = 0.2) -> DataFrame:
+    """(doc_id, h, class_id, leads) of every row: h is its ``text_digest``, leads whether its text stands for its class.
+
+    A text is named by the smallest doc_id that has it, other texts of that id by
+    a hash, so texts of one id are told apart; see ``near_duplicates``.
     """
     m = bands * per_band
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.md5(F.encode(text, "UTF-8")).alias("h"))
+    keyed = docs.select("doc_id", text.alias("text"), text_digest().alias("h"))
     signed = written(per_batch(keyed, _sign(words_per_shingle, m, per_band), "doc_id long, h string, bands array<long>, sig binary"), "signed")
-    reps = written(
-        signed.groupBy("h").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("x")).select("h", "id", "x.*"), "reps"
-    )
+    reps = signed.groupBy("h").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("x")).select("h", "doc", "x.*")
+    other = F.row_number().over(Window.partitionBy(F.coalesce("doc", F.xxhash64("h"))).orderBy("h")) > 1
+    reps = written(reps.withColumn("other", other).select("h", "doc", F.when(F.col("doc").isNotNull() & F.col("other"), F.xxhash64("doc", "h")).otherwise(F.col("doc")).alias("id"), "bands", "sig"), "reps")
     occ = reps.where("id is not null").select("id", F.explode("bands").alias("key"))
     first = written(occ.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a"), "buckets")
     member = written(occ.join(first, "key"), "members")
     pairs = written(member.where("a < id").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    inside = member.select("id").distinct().hint("merge")
-    texts = written(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), text.alias("text")).join(inside, "id").dropDuplicates(["id"]), "texts")
+    inside = reps.select("h", F.col("doc").alias("doc_id"), "id").join(member.select("id").distinct(), "id").hint("merge")
+    texts = written(keyed.join(inside, ["doc_id", "h"]).select("id", "text").dropDuplicates(["id"]), "texts")
     links = verified(pairs, texts, words_per_shingle, similarity)
     comp = written(components(links), "classes")
     placed = written(member.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "inside")
@@ -270,9 +269,42 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity: flo
     asked = rest.join(written(need, "undecided"), ["key", "id"]).join(texts.hint("merge"), "id")
     links2 = written(asked.repartition("key").sortWithinPartitions("key").select("key", "id", "comp", "sig", "bands", "text").mapInArrow(run, schema), "alike")
     comp = written(components(links.select("a", "b").unionByName(links2)), "classes")
-    of_text = reps.join(comp, "id", "left").select("h", F.coalesce("comp", "id").alias("class_id"))
-    return signed.select("doc_id", "h").join(written(of_text, "classes"), "h").select("doc_id", "class_id")
+    dropped(first, member, pairs, texts, placed, rest)
+    of = reps.select("h", "doc", "id").join(comp, "id", "left")
+    lead = of.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc", F.col("h").alias("by"))).alias("lead")).select("comp", "lead.*").withColumnRenamed("doc", "class_id")
+    of_text = of.join(lead, "comp", "left").select("h", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("by", "h") == F.col("h")).alias("leads"))
+    return signed.select("doc_id", "h").join(written(of_text, "classes"), "h")
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id): the smallest doc_id that a chain of near-duplicates leads to.
+
+    Two texts are linked if the weighted Jaccard similarity of their shingle
+    multisets (``words_per_shingle``, 5) is ``similarity`` (0.8) or more.  Equal
+    texts are one class, found by digest before the signatures are banded; a null
+    text equals an empty one, and texts without words have no links but to their
+    equals.  A text of fewer words than a shingle is one shingle.  Rows with one
+    doc_id have the class of their own text each; a null doc_id gets that of its
+    equals.  Other columns don't come back; an empty table gives no rows.  A pair
+    at the least similarity is missed with probability
+    (1 - similarity**per_band)**bands, 3e-6 as set.
+    """
+    return near_classes(docs, **how).select("doc_id", "class_id")
+
+
+def distinct_texts(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one row of each class of ``near_duplicates``: one that has the class's smallest doc_id.
+
+    Rows with one doc_id and different texts stay, unless their texts are alike.  A
+    row with a null doc_id goes if its text, or one like it, has an id.
+    """
+    doc, digest = unused(docs, "doc"), unused(docs, "digest")
+    left = near_classes(docs, **how).where("leads and doc_id <=> class_id").select(F.col("doc_id").alias(doc), F.col("h").alias(digest)).distinct()
+    rows = docs.withColumn(digest, text_digest()).hint("merge")
+    own = rows.join(left.withColumnRenamed(digest, digest + "_"), (rows["doc_id"].eqNullSafe(F.col(doc))) & (rows[digest] == F.col(digest + "_")))
+    return own.dropDuplicates(["doc_id", digest]).select(*docs.columns)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
