@@ -3,13 +3,16 @@
 Pieces with log scores stand in a double-array trie over bytes.  Texts are cut
 before each run of white-space markers, where no piece can cross, and the Viterbi
 search runs over all different cuts of a batch side by side, one byte position
-after another.  A character without a piece costs the unknown score and falls
+after another.  Long strings without markers are cut too, where no piece that
+stands in them spans, which changes no best way.  A character without a piece costs the unknown score and falls
 back to its bytes' pieces.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +26,8 @@ from .kernels import pieces as ranges
 from .kernels import ragged, slice_hashes, utf8
 
 MARK = "▁"
+#: Longer strings are cut before the search.
+LONG = 64
 
 
 class DoubleArray:
@@ -35,30 +40,33 @@ class DoubleArray:
             for c in key:
                 node = node.setdefault(c, {})
             node[-1] = k
-        base, check, value, used = [0], [-1], [-1], bytearray(b"\1")
+        base, check, value = [0], [-1], [-1]
         free, queue = 1, [(0, root)]
+
+        def grow(n: int) -> None:
+            more = n - len(base)
+            if more > 0:
+                base.extend([0] * more)
+                check.extend([-1] * more)
+                value.extend([-1] * more)
+
         for state, node in queue:
             kids = sorted(c for c in node if c >= 0)
             value[state] = node.get(-1, -1)
             if not kids:
                 continue
-            b, tries = max(1, free - kids[0]), 0
-            #: The first place that fits, or after a bounded search one behind all that is used.
-            while any(b + c < len(used) and used[b + c] for c in kids):
-                tries += 1
-                b = b + 1 if tries < 256 else len(used)
-            more = b + kids[-1] + 1 - len(used)
-            if more > 0:
-                used.extend(bytes(more))
-                for x, fill in ((base, 0), (check, -1), (value, -1)):
-                    x.extend([fill] * more)
+            #: A single child takes the first gap, several together the end of the array.
+            if len(kids) == 1:
+                while free < len(base) and check[free] >= 0 or free <= kids[0]:
+                    free += 1
+                b = free - kids[0]
+            else:
+                b = max(1, len(base) - kids[0])
+            grow(b + kids[-1] + 1)
             base[state] = b
             for c in kids:
-                used[b + c] = 1
                 check[b + c] = state
                 queue.append((b + c, node[c]))
-            while free < len(used) and used[free]:
-                free += 1
         self.base, self.check, self.value = (np.array(x + [fill] * 256, np.int32) for x, fill in ((base, 0), (check, -1), (value, -1)))
 
 
@@ -69,9 +77,9 @@ class Pieces:
         self.names, self.byte_ids, self.unknown = names, byte_ids, unknown
         ids = [k for k, n in enumerate(normal) if n]
         self.ids = np.array(ids, np.int32)
-        self.scores = np.array([scores[k] for k in ids], np.float32)
+        self.scores = np.array([scores[k] for k in ids], np.float64)
         self.trie = DoubleArray([names[k].replace(MARK, " ").encode() for k in ids])
-        self.unknown_score = np.float32(self.scores.min() - 10)
+        self.unknown_score = float(self.scores.min() - 10)
         inner = [names[k] for k in ids if MARK in names[k].lstrip(MARK)]
         if inner:
             raise ValueError(f"{len(inner)} pieces have a marker after other characters; texts can't be cut before markers")
@@ -84,10 +92,19 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str | None = None) -> Pieces:
+        """The model of a file, built once in each driver."""
         import public_tokenizers
+
+        path = path or public_tokenizers.path("piece_bpe_32k.model")
+        state = os.stat(path)
+        return cls._built(path, state.st_mtime_ns, state.st_size)
+
+    @classmethod
+    @functools.lru_cache(maxsize=4)
+    def _built(cls, path: str, changed: int, size: int) -> Pieces:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = range(sp.get_piece_size())
         names = [sp.id_to_piece(k) for k in n]
         special = [sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) for k in n]
@@ -96,7 +113,7 @@ class Pieces:
     def search(self, rows: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Viterbi for byte strings padded into ``rows``: (ids, lengths) joined, row by row."""
         n, width = rows.shape
-        best = np.full((width + 1, n), -np.inf, np.float32)
+        best = np.full((width + 1, n), -np.inf)
         best[0] = 0
         back, piece = np.zeros((width + 1, n), np.int32), np.full((width + 1, n), -1, np.int32)
         t = self.trie
@@ -134,13 +151,93 @@ class Pieces:
                 best[j][r[up]], back[j][r[up]], piece[j][r[up]] = s[up], i, -1
         return best, back, piece
 
+    def matches(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and number of every piece that stands in ``data``, all starts walked side by side."""
+        t, n = self.trie, len(data)
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        state, k, out = np.zeros(len(at), np.int32), 0, []
+        while True:
+            inside = at + k < n
+            at, state = at[inside], state[inside]
+            nxt = t.base[state] + data[at + k]
+            ok = (t.check[np.minimum(nxt, len(t.check) - 1)] == state) & (t.base[state] > 0)
+            at, state = at[ok], nxt[ok]
+            if not len(at):
+                break
+            k += 1
+            v = t.value[state]
+            end = np.flatnonzero(v >= 0)
+            out.append((at[end], at[end] + k, v[end]))
+        return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
+
+    def safe_cuts(self, data: np.ndarray) -> np.ndarray:
+        """Places between characters that no piece of several characters spans: the best ways to both sides are independent."""
+        begin, end, _ = self.matches(data)
+        depth = np.zeros(len(data) + 1, np.int64)
+        np.add.at(depth, begin + 1, 1)
+        np.add.at(depth, end, -1)
+        lead = np.append((data & 0xC0) != 0x80, True)
+        return np.flatnonzero((np.cumsum(depth) <= 0) & lead)
+
+    def one_by_one(self, data: np.ndarray) -> list[int]:
+        """Ids of one long string by the same Viterbi search over its matches, place after place."""
+        n, (begin, end, which) = len(data), self.matches(data)
+        order = np.lexsort((begin, end))
+        begin, end, which = begin[order].tolist(), end[order].tolist(), which[order].tolist()
+        best, back, piece = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0], k, scores = 0.0, 0, self.scores.tolist()
+        lead = np.flatnonzero(np.append((data & 0xC0) != 0x80, True)).tolist()
+        for i, j in zip(lead[:-1], lead[1:], strict=True):
+            bare = True
+            while k < len(end) and end[k] <= j:
+                s = best[begin[k]] + scores[which[k]]
+                if s > best[j]:
+                    best[j], back[j], piece[j] = s, begin[k], int(self.ids[which[k]])
+                bare &= begin[k] != i
+                k += 1
+            if bare and best[i] + self.unknown_score > best[j]:
+                best[j], back[j], piece[j] = best[i] + self.unknown_score, i, -1
+        return self._walk(data.tobytes(), n, back, piece)
+
+    def _walk(self, raw: bytes, s: int, back: list[int], piece: list[int]) -> list[int]:
+        ids: list[int] = []
+        while s:
+            if piece[s] >= 0:
+                ids.append(piece[s])
+            elif self.byte_ids:
+                ids.extend(self.byte_ids[x] for x in reversed(raw[back[s] : s]))
+            else:
+                ids.append(self.unknown)
+            s = back[s]
+        return ids[::-1]
+
     def encode_strings(self, found: list[bytes]) -> list[list[int]]:
-        """Ids of byte strings in which a space stands for the marker."""
+        """Ids of byte strings in which a space stands for the marker; long ones are cut where no piece spans."""
+        parts, owner = [], []
+        for k, raw in enumerate(found):
+            if len(raw) <= LONG:
+                parts.append(raw)
+                owner.append(k)
+                continue
+            cuts = self.safe_cuts(np.frombuffer(raw, np.uint8)).tolist()
+            parts.extend(raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+            owner.extend([k] * (len(cuts) - 1))
+        out: list[list[int]] = [[] for _ in found]
+        for k, ids in zip(owner, self._encode_parts(parts), strict=True):
+            out[k].extend(ids)
+        return out
+
+    def _encode_parts(self, found: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in found]
         size = np.array([len(x) for x in found], np.int64)
+        for k in np.flatnonzero(size > 16 * LONG).tolist():
+            out[k] = self.one_by_one(np.frombuffer(found[k], np.uint8))
+            size[k] = 0
         group = np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
         for g in np.unique(group):
-            at = np.flatnonzero(group == g)
+            at = np.flatnonzero((group == g) & (size > 0))
+            if not len(at):
+                continue
             step = max(1, (1 << 21) >> int(g))
             for lo in range(0, len(at), step):
                 some = at[lo : lo + step]
@@ -151,16 +248,7 @@ class Pieces:
                 _, back, piece = self.search(rows, size[some])
                 back, piece = back.T.tolist(), piece.T.tolist()
                 for k, s, b, p in zip(some.tolist(), size[some].tolist(), back, piece, strict=True):
-                    ids = []
-                    while s:
-                        if p[s] >= 0:
-                            ids.append(p[s])
-                        elif self.byte_ids:
-                            ids.extend(self.byte_ids[x] for x in reversed(found[k][b[s] : s]))
-                        else:
-                            ids.append(self.unknown)
-                        s = b[s]
-                    out[k] = ids[::-1]
+                    out[k] = self._walk(found[k], s, b, p)
         return out
 
     def encode_batch(self, data: np.ndarray, offsets: np.ndarray, known: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
