@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, as_batch, table
@@ -139,19 +139,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     d = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="place", outputCol="bucket").transform(d) if cuts else d.withColumn("bucket", F.lit(0.0))
     d = d.withColumn("slot", -F.col("bucket").cast("int"))
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64("text"))
-    #: One row for each range: its first row in descending order.
-    firsts = {r.slot: (r.first[0], r.first[1]) for r in d.groupBy("slot").agg(F.max(order).alias("first")).collect()}
-    slots = sorted(firsts)
-    ahead = {b: a for a, b in zip(slots, slots[1:] + slots[:1], strict=True)} if slots else {}
-    if ahead:
-        #: A slot's first row is guest of the slot above; the very first of the last one.
-        above = F.create_map(*[F.lit(x) for k in slots for x in (k, ahead[k])])
-        lead = F.create_map(*[x for k in slots for x in (F.lit(k), F.struct(F.lit(firsts[k][0]).cast("long"), F.lit(firsts[k][1]).cast("long")))])
-        is_first = order == lead[F.col("slot")]
-        guests = d.where(is_first).dropDuplicates(["slot"]).select(above[F.col("slot")].alias("slot"), F.lit(True).alias("guest"), "doc_id", "text")
-        rows = d.select("slot", F.lit(False).alias("guest"), "doc_id", "text").unionByName(guests)
-    else:
-        rows = d.select("slot", F.lit(False).alias("guest"), "doc_id", "text")
+    #: One row for each range: its first row in descending order, and the slot above; the very first is guest of the last one.
+    firsts = d.groupBy("slot").agg(F.max(order).alias("first"))
+    above = F.coalesce(F.lag("slot").over(Window.orderBy("slot")), F.max("slot").over(Window.partitionBy(F.lit(0))))
+    lead = F.broadcast(firsts.select(F.col("slot").alias("of"), "first", above.alias("above")))
+    guests = d.join(lead, (F.col("slot") == F.col("of")) & (order == F.col("first"))).dropDuplicates(["slot"]).select(F.col("above").alias("slot"), F.lit(True).alias("guest"), "doc_id", "text")
+    rows = d.select("slot", F.lit(False).alias("guest"), "doc_id", "text").unionByName(guests)
     run, schema = _prints()
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     dealt = rows.withColumn("o1", key).withColumn("o2", F.xxhash64("text")).repartition("slot").sortWithinPartitions("slot", "guest", F.desc("o1"), F.desc("o2"))

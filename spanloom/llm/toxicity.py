@@ -350,7 +350,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12000, doubt: float =
     statistic's 0.1 % point), whatever share of the toxic documents has it;
     those above 0 are all kept, and only words of the labelled sample can be.  The
     logistic curve is fitted to sums from which each document's own counts are taken out.  Without
-    labels of both kinds every text scores the share of toxic labels, or 0.
+    labels of both kinds, or without a labelled document, every text scores the
+    share of toxic labels, or 0.
     """
     spark = docs.sparkSession
     characters = character_model(docs)
@@ -384,6 +385,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12000, doubt: float =
 
     seen = rows.mapInArrow(totals, "total double, toxic int").toArrow()
     x, y = seen["total"].to_numpy(), seen["toxic"].to_numpy().astype(float)
+    if not len(y):
+        return Model(characters, {}, 0.0, math.log(toxic / clean))
     beta = np.array([math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)), 0.0])
     z = np.stack([np.ones(len(x)), x], axis=1)
     for _ in range(50):

@@ -43,3 +43,17 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, odd, AT)
         assert out.columns == odd.columns and out.count() >= 2
+
+
+def test_different_texts_of_one_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, b + " end"), (4, c), (4, c), (None, a), (None, "alone"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, h string")
+    got = sorted(map(str, map(tuple, corpus_pipeline.near_dedup(spark, docs, AT).collect())))
+    assert got == sorted(map(str, [(1, a, "k"), (1, b, "k"), (4, c, "k"), (None, "alone", "k"), (5, None, "k")]))
+
+
+def test_empty_table(spark):
+    empty = spark.read.parquet(f"{AT}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, AT).collect() == []
