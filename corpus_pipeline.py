@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import shared_path, table
 from spanloom.llm.linededup import remove_lines
-from spanloom.llm.neardup import near_duplicates
+from spanloom.llm.neardup import distinct_texts
 from spanloom.llm.packing import pack_documents
 from spanloom.llm.substring import remove_repeats
 from spanloom.llm.toxicity import learn, without_toxic
@@ -25,27 +25,29 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5, learned from the labels; null and empty texts stay, repeated rows are judged each."""
     return without_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that are like an earlier one; every row stays, null texts as they are."""
     return _sized(remove_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows that repeat a doc_id are one."""
-    others = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """The document with the smallest id of each group stays; different texts of one id are different documents."""
+    return distinct_texts(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that stand elsewhere too; every row stays, null texts become empty."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = remove_repeats(docs, plain=False, carry=["doc_id", *others])
     return _sized(out.select("doc_id", F.col("kept").alias("text"), *[F.col(f"carried.`{c}`").alias(c) for c in others]).select(*docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document; null and empty texts are one id long."""
     return pack_documents(docs)
 
 
