@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -84,7 +84,7 @@ def record_reason(text: Column, label: Column, low: int = 30, high: int = 300) -
         out = out.when(text.rlike("(?iU)" + p if not p.startswith("(?i)") else "(?iU)" + p[4:]), f"artifact:{p[:30]}")
     out = out.when((greek_share(text) < 0.4) & (latin_share(text) > 0.3), "low_greek_high_latin")
     bad = lambda s: (
-        F.when(s["category"].isNull(), "bad_category").when(s["start"].isNull() | s["end"].isNull(), "bad_offsets")
+        F.when(s.isNull(), "bad_span_shape").when(s["category"].isNull(), "bad_category").when(s["start"].isNull() | s["end"].isNull(), "bad_offsets")
         .when((s["start"] < 0) | (s["end"] > F.length(text)) | (s["start"] >= s["end"]), "invalid_offsets")
         .when(F.trim(F.regexp_replace(F.substr(text, s["start"] + 1, s["end"] - s["start"]), r"(?U)\s+", " ")) == "", "empty_span")
     )
@@ -117,7 +117,7 @@ def value_problem(category: Column, value: Column) -> Column:
     return (
         F.when((category == "afm") & ~bare(strip_prefix(value, AFM_PREFIXES)).rlike("^[0-9]{9}$"), "afm_format")
         .when((category == "amka") & ~bare(strip_prefix(value, AMKA_PREFIXES)).rlike("^[0-9]{11}$"), "amka_format")
-        .when((category == "iban_gr") & ~bare(value).rlike("^GR.{25}$"), "iban_format")
+        .when((category == "iban_gr") & ~F.upper(F.regexp_replace(value, "[\\s-]", "")).rlike("^GR.{25}$"), "iban_format")
     )
 
 
@@ -164,3 +164,52 @@ def reformatted(category: Column, value: Column, draw: Column) -> Column:
         .when((category == "iban_gr") & compact.rlike("^GR[0-9]{25}$"), pick(F.concat_ws(" ", *fours), F.concat_ws("-", *fours)))
         .when((category == "private_phone") & (F.length(d) == 10), pick(F.concat_ws(" ", *cut(d, 4, 3, 3)), F.concat_ws(".", *cut(d, 4, 3, 3)), F.concat(F.lit("+30 "), d)))
     )
+
+
+#: Words near which a number may be something else than a phone.
+CONFUSABLE = "λογαριασμ|μισθοδοσ|IBAN|account|χρέωση"
+#: Text sources, their licences and whether those are safe for commercial use.
+SOURCES = (("greek_pd", "public-domain", True), ("common_voice", "CC0-1.0", True), ("greek_legal", "CC-BY-4.0", True), ("wiki_el", "CC-BY-SA-4.0", False), ("mc4_el", "ODC-BY-1.0", False))
+
+
+def confusable(text: Column) -> Column:
+    """A word that makes a number ambiguous stands in the text."""
+    return text.rlike(f"(?iu){CONFUSABLE}")
+
+
+def acceptable(line: Column, low: int = 30, high: int = 260, words: int = 5) -> Column:
+    """A generated line of the length and number of words asked for."""
+    return F.length(line).between(low, high) & (F.size(F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")) >= words)
+
+
+def relabelled(text: Column, label: Column) -> Column:
+    """``label`` with each tax number's span on its nine digits alone; what can't be read stays."""
+
+    def one(s: Column) -> Column:
+        shift = nine_digits(F.substr(text, s["start"] + 1, s["end"] - s["start"]))["shift"]
+        own = (s["category"] == "afm") & shift.isNotNull()
+        start = F.when(own, s["start"] + shift).otherwise(s["start"])
+        return F.struct(s["category"].alias("category"), start.alias("start"), F.when(own, start + 9).otherwise(s["end"]).alias("end"))
+
+    return F.transform(label, one)
+
+
+def relabel_report(values: DataFrame, by: str = "split", most: int = 10) -> DataFrame:
+    """Per ``by``: spans, clean, relabelled, unparseable, clean_pct (null without spans), up to ``most`` unparseable samples and counts of their shapes.
+
+    ``values`` has ``by`` and value, a row for each tax number's span.
+    """
+    x = values.select(by, "value", nine_digits(F.col("value"))["status"].alias("status"))
+    n = lambda s: F.count_if(F.col("status") == s)
+    counted = x.groupBy(by).agg(F.count("*").alias("spans"), n("clean").alias("clean"), n("relabelled").alias("relabelled"), n("unparseable").alias("unparseable"))
+    bad = x.where("status = 'unparseable'").select(by, "value").withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("value"))).where(F.col("r") <= most)
+    samples = bad.groupBy(by).agg(F.sort_array(F.collect_list("value")).alias("samples"))
+    shapes = x.where("status = 'relabelled'").groupBy(by, run_shape(F.col("value")).alias("shape")).agg(F.count("*").alias("n"))
+    shapes = shapes.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("shape", "n")))).alias("shapes"))
+    pct = F.round(F.try_divide(100.0 * (F.col("clean") + F.col("relabelled")), F.col("spans")), 2)
+    return counted.withColumn("clean_pct", pct).join(samples, by, "left").join(shapes, by, "left")
+
+
+def over_unparseable(report: DataFrame, most: float = 0.01) -> DataFrame:
+    """Rows of a relabel report with more than a share ``most`` of unparseable spans; a run passes where there are none."""
+    return report.where((F.col("spans") > 0) & (F.col("unparseable") / F.col("spans") > most))

@@ -63,14 +63,48 @@ def stratified_split(docs: DataFrame, stratum: str, ratios: dict[str, float], se
     return ranked.select("doc_id", stratum, split.alias("split"))
 
 
-def split_of(train: float, validation: float, seed: int) -> Column:
-    """Train, validation or test by digest range: each row decides for itself."""
-    u = F.conv(F.substring(draw(seed, "doc_id"), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test")
+def check_ratios(ratios: dict[str, float], off: float = 1e-6) -> None:
+    """Ratios that don't add up to 1 are an error."""
+    if abs(sum(ratios.values()) - 1) > off:
+        raise ValueError(f"ratios add up to {sum(ratios.values())}, not to 1")
 
 
 def ratio_split(docs: DataFrame, train: float, validation: float, seed: int) -> DataFrame:
-    return docs.select("doc_id", split_of(train, validation, seed).alias("split"))
+    """doc_id, split: int(n * train) rows and int(n * validation) rows in digest order, the rest test."""
+    n = docs.count()
+    first = int(n * train)
+    second = first + int(n * validation)
+    ranked = digest_rank(docs.select("doc_id", F.lit(0).alias("every")), "every", seed)
+    return ranked.select("doc_id", F.when(F.col("rn") <= first, "train").when(F.col("rn") <= second, "validation").otherwise("test").alias("split"))
+
+
+def dedup_splits(rows: DataFrame, splits: tuple[str, ...], order: str = "doc_id") -> DataFrame:
+    """The first row of each text, by split in the order of ``splits``, base before add, then ``order``.
+
+    ``rows`` has text, split and origin (base or add); those of other splits go.
+    """
+    at = F.array_position(F.array(*[F.lit(s) for s in splits]), F.col("split"))
+    known = rows.withColumn("h", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).withColumn("place", F.struct(at.alias("at"), (F.col("origin") != "base").alias("later"), F.col(order).alias("o"))).where(at > 0)
+    first = known.groupBy("h").agg(F.min("place").alias("place"))
+    return known.join(first, ["h", "place"], "left_semi").drop("h", "place")
+
+
+def leaks(rows: DataFrame) -> DataFrame:
+    """leaked: for each text, in how many splits besides its first it stands."""
+    h = rows.select(F.sha2(F.encode("text", "UTF-8"), 256).alias("h"), "split")
+    return h.groupBy("h").agg(F.countDistinct("split").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("leaked"))
+
+
+def curation_report(docs: DataFrame, spans: DataFrame, splits: DataFrame) -> DataFrame:
+    """stage, name, n: reasons of rejection, what duplicates took away, and documents and spans of each split."""
+    row = lambda df, stage, name: df.select(F.lit(stage).alias("stage"), name.alias("name"), "n")
+    why = docs.select("doc_id", quality_reason(F.col("text")).alias("reason"), F.md5(normal(F.col("text"))).alias("h"))
+    one = row(why.groupBy("reason").agg(F.count("*").alias("n")), "quality", F.col("reason"))
+    left = why.where("reason = 'ok'").agg(F.countDistinct("h").alias("kept"), F.count("*").alias("all"))
+    two = left.select(F.inline(F.array(F.struct(F.lit("dedup").alias("stage"), F.lit("kept").alias("name"), F.col("kept").alias("n")), F.struct(F.lit("dedup").alias("stage"), F.lit("removed").alias("name"), (F.col("all") - F.col("kept")).alias("n")))))
+    three = row(splits.groupBy("split").agg(F.count("*").alias("n")), "split", F.col("split"))
+    four = row(spans.join(splits, "doc_id").groupBy("split", "category").agg(F.count("*").alias("n")), "spans", F.concat("split", F.lit("/"), "category"))
+    return one.unionByName(two).unionByName(three).unionByName(four)
 
 
 def span_violations(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -1,80 +1,91 @@
 """Order-dependent span matching: three named rules, never merged.
 
-A document's spans are bounded by its text, so they meet as two arrays of a row.
+Expected spans (side 0) and predicted ones (side 1) are rows of one table.  Only
+spans that meet can match, so a document's spans fall into runs without a gap,
+and each rule is a fold over the few spans of a run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _meet(a, b) -> int:
-    return max(0, min(a["end"], b["end"]) - max(a["start"], b["start"]))
-
-
-def gold_first(gold: list, pred: list) -> list[tuple]:
-    """Each expected span takes an equal prediction, else the first unused one that overlaps."""
-    used, out = set(), []
-    for g in gold:
-        free = [k for k in range(len(pred)) if k not in used]
-        same = next((k for k in free if (pred[k]["category"], pred[k]["start"], pred[k]["end"]) == (g["category"], g["start"], g["end"])), None)
-        k = same if same is not None else next((k for k in free if _meet(g, pred[k])), None)
-        if k is None:
-            out.append(("missed", g["category"], None))
-            continue
-        used.add(k)
-        kind = "tp" if same is not None else "boundary" if pred[k]["category"] == g["category"] else "confusion"
-        out.append((kind, g["category"], pred[k]["category"]))
-    return out + [("hallucinated", None, p["category"]) for k, p in enumerate(pred) if k not in used]
-
-
-def pred_first(gold: list, pred: list, share: float = 0.5) -> list[tuple]:
-    """Each prediction takes the first free expected span that it shares half of the shorter one with."""
-    used, out = set(), []
-    for p in pred:
-        k = next((k for k, g in enumerate(gold) if k not in used and _meet(g, p) > 0 and _meet(g, p) >= share * min(g["end"] - g["start"], p["end"] - p["start"])), None)
-        if k is None:
-            out.append(("hallucinated", None, p["category"]))
-            continue
-        used.add(k)
-        g = gold[k]
-        kind = "confusion" if g["category"] != p["category"] else "tp" if (g["start"], g["end"]) == (p["start"], p["end"]) else "boundary"
-        out.append((kind, g["category"], p["category"]))
-    return out + [("missed", g["category"], None) for k, g in enumerate(gold) if k not in used]
-
-
-def max_overlap(gold: list, pred: list) -> list[tuple]:
-    """Each expected span takes the free prediction that overlaps most, the first of equals."""
-    used, out = set(), []
-    for g in gold:
-        best = max(((_meet(g, p), -k) for k, p in enumerate(pred) if k not in used), default=(0, 0))
-        if not best[0]:
-            out.append(("missed", g["category"], None))
-            continue
-        k = -best[1]
-        used.add(k)
-        p = pred[k]
-        kind = "confusion" if g["category"] != p["category"] else "tp" if (g["start"], g["end"]) == (p["start"], p["end"]) else "boundary"
-        out.append((kind, g["category"], p["category"]))
-    return out + [("hallucinated", None, p["category"]) for k, p in enumerate(pred) if k not in used]
-
-
-RULES = {"gold_first": gold_first, "pred_first": pred_first, "max_overlap": max_overlap}
-
-
-def triage(gold: DataFrame, pred: DataFrame, rule: str) -> DataFrame:
-    """doc_id, kind (tp, boundary, confusion, missed, hallucinated), gold_category, pred_category."""
-    own = RULES[rule]
-    listed = lambda df, c: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "category"))).alias(c))
-    j = listed(gold, "g").join(listed(pred, "p"), "doc_id", "full")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, *x) for d, g, p in zip(f["doc_id"], f["g"], f["p"], strict=True) for x in own(list(g) if g is not None else [], list(p) if p is not None else [])]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "gold_category", "pred_category"])
-
-    return j.mapInPandas(run, "doc_id long, kind string, gold_category string, pred_category string")
+def sides(*spans: DataFrame) -> DataFrame:
+    """Tables of spans as one: doc_id, side (the table's place), category, start, end, value."""
+    out = None
+    for k, df in enumerate(spans):
+        one = df.select("doc_id", F.lit(k).alias("side"), "category", "start", "end", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def runs(spans: DataFrame) -> DataFrame:
+    """``spans`` with a number for each stretch of a document that its spans, touching ones included, cover without a gap."""
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    new = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    return spans.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+
+def by_run(spans: DataFrame, *names: str) -> DataFrame:
+    """doc_id, run and for each side an array of structs k, start, end, category in order."""
+    one = lambda k: F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("start", "end", "category"))))
+    numbered = lambda c: F.transform(c, lambda x, k: F.struct(k.alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["category"].alias("category")))
+    listed = runs(spans).groupBy("doc_id", "run").agg(*[one(k).alias(n) for k, n in enumerate(names)])
+    return listed.select("doc_id", "run", *[numbered(n).alias(n) for n in names])
+
+
+def meet(a: Column, b: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"]))
+
+
+def _equal(a: Column, b: Column) -> Column:
+    return (a["category"] == b["category"]) & (a["start"] == b["start"]) & (a["end"] == b["end"])
+
+
+def _first(found: Column) -> Column:
+    return F.get(found, F.lit(0))["k"]
+
+
+def gold_first(g: Column, free: Column) -> Column:
+    """An expected span takes an equal prediction, else the first free one that overlaps."""
+    return F.coalesce(_first(F.filter(free, lambda p: _equal(g, p))), _first(F.filter(free, lambda p: meet(g, p) > 0)))
+
+
+def pred_first(p: Column, free: Column) -> Column:
+    """A prediction takes the first free expected span that it shares half of the shorter one with."""
+    size = lambda x: x["end"] - x["start"]
+    return _first(F.filter(free, lambda g: (meet(g, p) > 0) & (meet(g, p) >= 0.5 * F.least(size(g), size(p)))))
+
+
+def max_overlap(g: Column, free: Column) -> Column:
+    """An expected span takes the free prediction that overlaps most, the first of equals."""
+    best = F.array_max(F.transform(F.filter(free, lambda p: meet(g, p) > 0), lambda p: F.struct(meet(g, p).alias("n"), (-p["k"]).alias("k"))))
+    return -best["k"]
+
+
+#: Which side is gone through, and how one of its spans picks among the other side's free ones.
+RULES: dict[str, tuple[int, Callable[[Column, Column], Column]]] = {"gold_first": (0, gold_first), "pred_first": (1, pred_first), "max_overlap": (0, max_overlap)}
+
+
+def triage(spans: DataFrame, rule: str) -> DataFrame:
+    """doc_id, kind (tp, boundary, confusion, missed, hallucinated), the expected and the predicted span's category, start and end."""
+    side, pick = RULES[rule]
+    ours, theirs = ("g", "p") if side == 0 else ("p", "g")
+    kind = "struct<used:array<int>,out:array<struct<g:int,p:int>>>"
+    none = F.lit(None).cast("int")
+    pair = lambda a, b: F.struct((a if side == 0 else b).alias("g"), (b if side == 0 else a).alias("p"))
+    zero = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<g:int,p:int>>").alias("out")).cast(kind)
+
+    def step(s: Column, x: Column) -> Column:
+        k = pick(x, F.filter(theirs, lambda y: ~F.array_contains(s["used"], y["k"])))
+        return F.struct(F.when(k.isNotNull(), F.concat(s["used"], F.array(k))).otherwise(s["used"]).alias("used"), F.concat(s["out"], F.array(pair(x["k"], k))).alias("out")).cast(kind)
+
+    left = lambda s: F.transform(F.filter(theirs, lambda y: ~F.array_contains(s["used"], y["k"])), lambda y: pair(none, y["k"]))
+    pairs = F.aggregate(ours, zero, step, lambda s: F.concat(s["out"], left(s)))
+    rows = by_run(spans, "g", "p").select("doc_id", "g", "p", F.explode(pairs).alias("m"))
+    g, p = F.get("g", F.col("m.g")), F.get("p", F.col("m.p"))
+    why = F.when(F.col("m.p").isNull(), "missed").when(F.col("m.g").isNull(), "hallucinated").when(_equal(g, p), "tp").when(g["category"] == p["category"], "boundary").otherwise("confusion")
+    return rows.select("doc_id", why.alias("kind"), *[x[c].alias(f"{n}_{c}") for n, x in (("gold", g), ("pred", p)) for c in ("category", "start", "end")])

@@ -1,10 +1,12 @@
-"""Predicted against expected spans."""
+"""Predicted against expected spans, rows of one table told apart by ``side`` (0 expected, 1 and up predicted)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .greedy import by_run, meet
+
 KEY = ["doc_id", "category", "start", "end"]
 
 
@@ -16,45 +18,40 @@ def rates(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1")]
 
 
-def exact(gold: DataFrame, pred: DataFrame) -> DataFrame:
+def _counted(spans: DataFrame, key: list[str], side: int = 1) -> DataFrame:
+    """g and p: how often each key is expected and predicted."""
+    return spans.where(F.col("side").isin(0, side)).groupBy(*key).agg(F.count_if(F.col("side") == 0).alias("g"), F.count_if(F.col("side") == side).alias("p"))
+
+
+def exact(spans: DataFrame, side: int = 1) -> DataFrame:
     """Counts and rates by category for equal category and offsets; repeated spans match one for one."""
-    n = gold.groupBy(*KEY).agg(F.count("*").alias("g")).join(pred.groupBy(*KEY).agg(F.count("*").alias("p")), KEY, "full").na.fill(0, ["g", "p"])
-    c = n.groupBy("category").agg(F.sum(F.least("g", "p")).alias("tp"), F.sum("p").alias("np"), F.sum("g").alias("ng"))
+    c = _counted(spans, KEY, side).groupBy("category").agg(F.sum(F.least("g", "p")).alias("tp"), F.sum("p").alias("np"), F.sum("g").alias("ng"))
     c = c.select("category", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn"))
     return c.select("*", *rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def overlaps(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Pairs of one document whose ranges meet: equi-join on the document, interval condition after it."""
-    g = gold.select("doc_id", *[F.col(c).alias(f"gold_{c}") for c in KEY[1:]])
-    p = pred.select("doc_id", *[F.col(c).alias(f"pred_{c}") for c in KEY[1:]])
-    return g.join(p, "doc_id").where("gold_start < pred_end and pred_start < gold_end")
-
+def overlaps(spans: DataFrame) -> DataFrame:
+    """Pairs of an expected and a predicted span of one document whose ranges meet."""
+    pairs = F.flatten(F.transform("g", lambda g: F.transform(F.filter("p", lambda p: meet(g, p) > 0), lambda p: F.struct(*[x[c].alias(f"{n}_{c}") for n, x in (("gold", g), ("pred", p)) for c in KEY[1:]]))))
+    return by_run(spans, "g", "p").select("doc_id", F.inline(pairs))
 
-def confusion(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """gold_category, pred_category, n: each expected span's largest overlap, (missed) without one, and (hallucinated) predictions."""
-    o = overlaps(gold, pred).withColumn("size", F.expr("least(gold_end, pred_end) - greatest(gold_start, pred_start)"))
-    w = Window.partitionBy("doc_id", "gold_category", "gold_start", "gold_end").orderBy(F.desc("size"), "pred_start", "pred_end", "pred_category")
-    best = o.withColumn("r", F.row_number().over(w)).where("r = 1").select("doc_id", *[F.col(f"gold_{c}").alias(c) for c in KEY[1:]], F.col("pred_category").alias("found"))
-    hit = gold.join(best, KEY, "left").select(F.col("category").alias("gold_category"), F.coalesce("found", F.lit("(missed)")).alias("pred_category"))
-    used = o.select("doc_id", *[F.col(f"pred_{c}").alias(c) for c in KEY[1:]]).distinct()
-    extra = pred.join(used, KEY, "left_anti").select(F.lit("(hallucinated)").alias("gold_category"), F.col("category").alias("pred_category"))
-    return hit.unionByName(extra).groupBy("gold_category", "pred_category").agg(F.count("*").alias("n"))
 
-
-def multiset(gold: DataFrame, pred: DataFrame) -> DataFrame:
+def multiset(spans: DataFrame) -> DataFrame:
     """tp, fp and fn over (category, value) of each document, repeats counted."""
-    k = ["doc_id", "category", "value"]
-    n = gold.groupBy(*k).agg(F.count("*").alias("g")).join(pred.groupBy(*k).agg(F.count("*").alias("p")), k, "full").na.fill(0, ["g", "p"])
+    n = _counted(spans, ["doc_id", "category", "value"])
     return n.agg(F.sum(F.least("g", "p")).alias("tp"), F.sum(F.greatest(F.col("p") - F.col("g"), F.lit(0))).alias("fp"), F.sum(F.greatest(F.col("g") - F.col("p"), F.lit(0))).alias("fn"))
 
 
-def priorities(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Failure score by category: three for a miss or confusion, one for a hallucination; categories without failures drop out."""
-    c = confusion(gold, pred)
-    missed = F.when(F.col("pred_category") == "(missed)", F.col("n")).otherwise(0)
-    wrong = F.when((F.col("pred_category") != "(missed)") & (F.col("pred_category") != F.col("gold_category")), F.col("n")).otherwise(0)
-    own = c.where("gold_category <> '(hallucinated)'").groupBy(F.col("gold_category").alias("category")).agg(F.sum(missed).alias("missed"), F.sum(wrong).alias("confusion"))
-    extra = c.where("gold_category = '(hallucinated)'").select(F.col("pred_category").alias("category"), F.col("n").alias("hallucinated"))
-    j = own.join(extra, "category", "full").na.fill(0)
-    return j.withColumn("score", 3 * F.col("missed") + 3 * F.col("confusion") + F.col("hallucinated")).where("score > 0")
+def regressions(spans: DataFrame) -> DataFrame:
+    """Expected spans that side 1 found and side 2 lost: doc_id, category, start, end, and the category of side 2's first span there or <NOTHING>."""
+    same = lambda g, side: F.exists(side, lambda p: (p["category"] == g["category"]) & (meet(g, p) > 0))
+    lost = F.filter("g", lambda g: same(g, "p") & ~same(g, "q"))
+    there = lambda g: F.coalesce(F.get(F.filter("q", lambda p: meet(g, p) > 0), F.lit(0))["category"], F.lit("<NOTHING>"))
+    return by_run(spans, "g", "p", "q").select("doc_id", F.inline(F.transform(lost, lambda g: F.struct(g["category"].alias("category"), g["start"].alias("start"), g["end"].alias("end"), there(g).alias("instead")))))
+
+
+def recalls(spans: DataFrame) -> DataFrame:
+    """category, first, second, lost: expected spans that sides 1 and 2 found, and those found by side 1 alone."""
+    same = lambda g, side: F.exists(side, lambda p: (p["category"] == g["category"]) & (meet(g, p) > 0))
+    rows = by_run(spans, "g", "p", "q").select(F.inline(F.transform("g", lambda g: F.struct(g["category"].alias("category"), same(g, "p").alias("one"), same(g, "q").alias("two")))))
+    return rows.groupBy("category").agg(F.count_if("one").alias("first"), F.count_if("two").alias("second"), F.count_if(F.col("one") & ~F.col("two")).alias("lost"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .match import rates
@@ -31,18 +31,82 @@ def confusion(triage: DataFrame) -> DataFrame:
     return triage.select(F.coalesce("gold_category", F.lit("(hallucinated)")).alias("gold_category"), found.alias("pred_category")).groupBy("gold_category", "pred_category").agg(F.count("*").alias("n"))
 
 
-def priorities(triage: DataFrame) -> DataFrame:
-    """Failure score by category: three for a miss or confusion, two for wrong ends, one for a hallucination; categories without failures drop out."""
-    kinds = ("missed", "confusion", "boundary", "hallucinated")
-    c = triage.groupBy(F.coalesce("gold_category", "pred_category").alias("category")).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
-    return c.withColumn("score", 3 * F.col("missed") + 3 * F.col("confusion") + 2 * F.col("boundary") + F.col("hallucinated")).where("score > 0")
+def least_f1(triage: DataFrame) -> DataFrame:
+    """category, f1 of the class with the lowest F1 among those that are expected at all, the first by name of equals."""
+    return class_report(triage).where("category <> '(all)' and tp + boundary + confusion + missed > 0").orderBy("f1", "category").limit(1).select("category", "f1")
+
+
+def gate_f1(triage: DataFrame, least: float) -> DataFrame:
+    """Classes whose F1 is under ``least``; a run passes where there are none."""
+    return class_report(triage).where((F.col("category") != "(all)") & (F.col("f1") < least)).select("category", "f1")
+
+
+def counters(triage: DataFrame) -> DataFrame:
+    """A class's five counters, with what they come to as expected and as predicted spans."""
+    c = triage.groupBy(F.coalesce("gold_category", "pred_category").alias("category")).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
+    own = F.col("tp") + F.col("boundary") + F.col("confusion")
+    return c.select("*", (own + F.col("missed")).alias("n_gold"), (own + F.col("hallucinated")).alias("n_pred"))
+
+
+#: What to record more of, by class and by kind of failure.
+HINTS = {
+    "private_person": "qwen_narrative/person_vocative_polytonic: surnames, vocatives, titles, two-person messages",
+    "private_email": "qwen_contrastive/email_vs_secret: normal email plus adjacent token/key-like strings",
+    "private_phone": "qwen_contrastive/phone_vs_account: phone markers and account markers in the same record",
+    "mac_address": "qwen_contrastive/mac_vs_ip_vs_vin: network logs with MAC, IP, VIN-like device ids",
+}
+_PROSE = ("amka", "afm", "ama", "driver_license")
+_TECHNICAL = ("ip_address", "imei", "card_pan", "cvv")
 
 
-def metric_delta(first: DataFrame, second: DataFrame, keys: tuple[str, ...] = METRICS) -> DataFrame:
-    """metric, baseline, other, delta for each of ``keys``; a metric that a run lacks counts 0."""
-    k = first.sparkSession.createDataFrame([(x,) for x in keys], "metric string")
-    one = lambda df, c: df.groupBy("metric").agg(F.first("value").alias(c))
-    j = k.join(one(first, "baseline"), "metric", "left").join(one(second, "other"), "metric", "left").na.fill(0.0)
+def hint(category: Column, other: Column) -> Column:
+    """What records a failing class needs; ``other`` is what it is most often taken for, null if nothing."""
+    out = F
+    for name, text in HINTS.items():
+        out = out.when(category == name, text)
+    return (
+        out.when(category.isin(*_PROSE), F.concat(F.lit("qwen_narrative/"), category, F.lit("_administrative: dense Greek admin prose with nearby numeric confusables")))
+        .when(category.isin(*_TECHNICAL), F.concat(F.lit("qwen_contrastive/"), category, F.lit("_technical_or_payment: same-record positive plus numeric confusable")))
+        .when(other.isNotNull(), F.concat(F.lit("contrastive: same record contains "), category, F.lit(" and "), other, F.lit(" with explicit local context")))
+        .otherwise("small_qwen_narrative_pack: 300-1000 local Qwen records, then ablate")
+    )
+
+
+def priorities(triage: DataFrame) -> DataFrame:
+    """Classes by failure score: three for a miss or confusion, two for wrong ends, one for a hallucination.
+
+    Ordered by score, F1 and name; those without failures drop out.  top_confusion
+    is what a class is most often taken for, the first by name of equals.
+    """
+    r = class_report(triage).where("category <> '(all)'")
+    w = Window.partitionBy("gold_category").orderBy(F.desc("n"), "pred_category")
+    pairs = triage.where("kind = 'confusion'").groupBy("gold_category", "pred_category").agg(F.count("*").alias("n"))
+    top = pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("gold_category").alias("category"), F.col("pred_category").alias("top_confusion"))
+    score = 3 * F.col("missed") + 3 * F.col("confusion") + 2 * F.col("boundary") + F.col("hallucinated")
+    out = r.withColumn("score", score).where("score > 0").join(top, "category", "left")
+    return out.select("category", "score", "f1", "precision", "recall", "missed", "confusion", "boundary", "hallucinated", "top_confusion", hint(F.col("category"), F.col("top_confusion")).alias("pack")).orderBy(F.desc("score"), "f1", "category")
+
+
+def examples(triage: DataFrame, docs: DataFrame, most: int = 8, around: int = 42) -> DataFrame:
+    """Up to ``most`` failures of each kind and class in document order, with the texts and what stands around them."""
+    own = F.coalesce("gold_start", "pred_start")
+    label = F.when(F.col("kind") == "confusion", F.concat("gold_category", F.lit("->"), "pred_category")).otherwise(F.coalesce("gold_category", "pred_category"))
+    bad = triage.where("kind <> 'tp'").withColumns({"label": label, "start": own, "end": F.coalesce("gold_end", "pred_end")})
+    w = Window.partitionBy("kind", "label").orderBy("doc_id", "start", "end", "pred_start", "pred_end")
+    some = bad.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    j = some.join(docs.select("doc_id", "text"), "doc_id")
+    cut = lambda a, b: F.expr(f"substring(text, {a} + 1, {b} - {a})")
+    context = F.replace(F.expr(f"substring(text, greatest(0, start - {around}) + 1, end + {around} - greatest(0, start - {around}))"), F.lit("\n"), F.lit("\\n"))
+    meet = F.greatest(F.lit(0), F.least("gold_end", "pred_end") - F.greatest("gold_start", "pred_start"))
+    ratio = F.when(F.col("kind").isin("boundary", "confusion"), F.round(F.try_divide(meet, F.least(F.expr("gold_end - gold_start"), F.expr("pred_end - pred_start"))), 6))
+    return j.select("kind", "label", "r", "doc_id", cut("gold_start", "gold_end").alias("expected"), cut("pred_start", "pred_end").alias("predicted"), ratio.alias("overlap_ratio"), context.alias("context"))
+
+
+def metric_delta(metrics: DataFrame, first: str, second: str, keys: tuple[str, ...] = METRICS) -> DataFrame:
+    """metric, baseline, other, delta for each of ``keys`` from rows metric, variant, value; a metric that a run lacks counts 0."""
+    k = metrics.sparkSession.createDataFrame([(x,) for x in keys], "metric string")
+    of = lambda v: F.max(F.when(F.col("variant") == v, F.col("value")))
+    j = k.join(metrics.groupBy("metric").agg(of(first).alias("baseline"), of(second).alias("other")), "metric", "left").na.fill(0.0)
     return j.withColumn("delta", F.round(F.col("other") - F.col("baseline"), 6))
 
 
@@ -83,10 +147,22 @@ def primary_label(label: Column, by_start: bool, without: str) -> Column:
     return F.coalesce(F.get(first, F.lit(0))["category"], F.lit(without))
 
 
-def markdown(confusions: DataFrame, priorities: DataFrame, most: int = 20) -> str:
-    """Both tables' top rows as Markdown; at most ``most`` rows of each reach the driver."""
+def markdown(confusions: DataFrame, priorities: DataFrame, misses: DataFrame | None = None, most: int = 20) -> str:
+    """The tables' top rows and up to five misses of each class as Markdown; at most ``most`` rows, or five a class, reach the driver."""
     out = []
-    for title, df, by in (("Priorities", priorities, "score"), ("Confusions", confusions, "n")):
+    for title, df, by in (("Priorities", priorities, "score"), ("Top Confusions", confusions, "n")):
         rows = df.orderBy(F.desc(by), *[c for c in df.columns if c != by]).limit(most).collect()
         out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *("| " + " | ".join(str(x) for x in r) + " |" for r in rows), ""]
+    if misses is not None:
+        out += ["## Example Misses", ""]
+        last = None
+        for r in misses.where("kind = 'missed' and r <= 5").orderBy("label", "r").collect():
+            out += ([] if r.label == last else [f"### {r.label}"]) + [f"- `{r.doc_id}`: `{r.expected}` in `{r.context}`"]
+            last = r.label
+        out.append("")
     return "\n".join(out)
+
+
+def as_tsv(df: DataFrame) -> str:
+    """A report's rows as lines of values between tabs, its header first; for reports of a fixed number of rows."""
+    return "\n".join(["\t".join(df.columns), *("\t".join("" if x is None else str(x) for x in r) for r in df.collect())]) + "\n"

@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_STATE = "struct<cursor:int,ok:boolean,spans:array<struct<label:string,start:int,end:int>>>"
+_SPANS = "array<struct<label:string,start:int,end:int>>"
+_STATE = f"struct<cursor:int,ok:boolean,spans:{_SPANS},found:array<struct<value:string,end:int>>>"
 
 
-def resolve(text: Column, values: Column, cursor: bool = True, fall_back: bool = False, strict: bool = False) -> Column:
+def resolve(text: Column, values: Column, cursor: str = "all", fall_back: bool = False, strict: bool = False, ordered: bool = False) -> Column:
     """Spans of ``values`` (array of struct label, value) in ``text``.
 
-    ``cursor``: each value is sought behind the one before; else its first place
-    is taken.  ``fall_back``: what isn't found behind is sought anywhere.
-    ``strict``: null if a value isn't found; else such values are left out.
-    Null and empty values are never found.
+    ``cursor``: all: each value is sought behind the one before; each: behind the
+    last place of the same value; none: its first place is taken.  ``fall_back``:
+    what isn't found behind is sought anywhere.  ``strict``: null if a value isn't
+    found; else such values are left out.  ``ordered``: by start instead of as
+    listed.  Null and empty values are never found.
     """
-    zero = F.struct(F.lit(0).alias("cursor"), F.lit(True).alias("ok"), F.array().cast("array<struct<label:string,start:int,end:int>>").alias("spans")).cast(_STATE)
+    zero = F.struct(F.lit(0).alias("cursor"), F.lit(True).alias("ok"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<struct<value:string,end:int>>").alias("found")).cast(_STATE)
 
     def step(s: Column, v: Column) -> Column:
-        at = F.call_function("locate", v["value"], text, (s["cursor"] + 1) if cursor else F.lit(1))
+        last = F.filter(s["found"], lambda x: x["value"] == v["value"])
+        behind = {"all": s["cursor"], "each": F.coalesce(F.get(last, F.size(last) - 1)["end"], F.lit(0)), "none": F.lit(0)}[cursor]
+        at = F.call_function("locate", v["value"], text, behind + 1)
         if fall_back:
             at = F.when(at > 0, at).otherwise(F.call_function("locate", v["value"], text, F.lit(1)))
         hit = (at > 0) & (F.length(v["value"]) > 0)
         end = at - 1 + F.length(v["value"])
         one = F.array(F.struct(v["label"].alias("label"), (at - 1).alias("start"), end.alias("end")))
-        return F.when(hit, F.struct(end.alias("cursor"), s["ok"].alias("ok"), F.concat(s["spans"], one).alias("spans"))).otherwise(F.struct(s["cursor"].alias("cursor"), F.lit(False).alias("ok"), s["spans"].alias("spans"))).cast(_STATE)
+        found = F.concat(s["found"], F.array(F.struct(v["value"].alias("value"), end.alias("end")))) if cursor == "each" else s["found"]
+        return F.when(hit, F.struct(end.alias("cursor"), s["ok"].alias("ok"), F.concat(s["spans"], one).alias("spans"), found.alias("found"))).otherwise(
+            F.struct(s["cursor"].alias("cursor"), F.lit(False).alias("ok"), s["spans"].alias("spans"), s["found"].alias("found"))
+        ).cast(_STATE)
 
-    done = F.aggregate(values, zero, step)
-    return F.when(done["ok"], done["spans"]) if strict else done["spans"]
+    def finish(s: Column) -> Column:
+        spans = F.array_sort(s["spans"], lambda a, b: a["start"] - b["start"]) if ordered else s["spans"]
+        return F.when(s["ok"], spans) if strict else spans
+
+    return F.aggregate(values, zero, step, finish)
 
 
 def json_spans(content: Column) -> Column:
@@ -37,7 +47,21 @@ def json_spans(content: Column) -> Column:
     return F.coalesce(F.from_json(content, kind), F.from_json(F.regexp_extract(content, r"(?s)(\[.*?\])", 1), kind))
 
 
-def numbered_lines(content: Column) -> Column:
-    """Array of struct number, line for lines that begin ``N.`` or ``N)``."""
-    lines = F.transform(F.split(content, "\n"), lambda x: F.struct(F.expr("1").alias("u"), F.regexp_extract(x, r"^\s*([0-9]+)[.)]\s*(.*)$", 1).alias("number"), F.regexp_extract(x, r"^\s*([0-9]+)[.)]\s*(.*)$", 2).alias("line")))
-    return F.transform(F.filter(lines, lambda x: x["number"] != ""), lambda x: F.struct(x["number"].cast("int").alias("number"), x["line"].alias("line")))
+def numbered_lines(content: Column, most: int | None = None) -> Column:
+    """Array of struct number, line for lines that begin ``N.`` or ``N)``, in their order.
+
+    The first line of a number counts if it isn't empty; with ``most`` only 1 to ``most`` count.
+    """
+    p = r"^\s*([0-9]{1,9})[.)]\s*(.*)$"
+    lines = F.transform(F.split(content, "\r?\n"), lambda x: F.struct(F.try_to_number(F.regexp_extract(x, p, 1), F.lit("999999999")).cast("int").alias("number"), F.trim(F.regexp_extract(x, p, 2)).alias("line")))
+    ok = lambda x: x["number"].isNotNull() & (x["line"] != "") & (x["number"].between(1, most) if most else F.lit(True))
+    return F.aggregate(
+        F.filter(lines, ok), F.array().cast("array<struct<number:int,line:string>>"), lambda s, x: F.when(F.exists(s, lambda y: y["number"] == x["number"]), s).otherwise(F.concat(s, F.array(x)))
+    )
+
+
+def accounted(df: DataFrame, parsed: str, resolved: str) -> DataFrame:
+    """records, parse_drop, offset_drop, kept: answers that aren't JSON, those with a value that isn't in the text, and the rest."""
+    return df.agg(
+        F.count("*").alias("records"), F.count_if(F.col(parsed).isNull()).alias("parse_drop"), F.count_if(F.col(parsed).isNotNull() & F.col(resolved).isNull()).alias("offset_drop"), F.count_if(F.col(resolved).isNotNull()).alias("kept")
+    )

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.greek import reformatted
+
 #: Greek letters and their Latin forms, one to one and then digraphs.
 _SINGLE = ("αβγδεζηικλμνξοπρσςτυφωΑΒΓΔΕΖΗΙΚΛΜΝΞΟΠΡΣΤΥΦΩ", "avgdeziiklmnxoprsstyfoAVGDEZIIKLMNXOPRSTYFO")
 _DOUBLE = {"θ": "th", "χ": "ch", "ψ": "ps", "Θ": "Th", "Χ": "Ch", "Ψ": "Ps"}
-_ACCENTED = ("άέήίόύώϊϋΐΰΆΈΉΊΌΎΏΪΫ", "αεηιουωιυιυΑΕΗΙΟΥΩΙΥ")
+
+
+def _accented() -> tuple[str, str]:
+    """Greek letters with marks, polytonic ones too, and their plain forms, by decomposition."""
+    pairs = []
+    for c in map(chr, [*range(0x370, 0x400), *range(0x1F00, 0x2000)]):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(bare) == 1 and bare != c:
+            pairs.append((c, bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED = _accented()
 
 
 def transliterate(text: Column) -> Column:
@@ -51,9 +67,73 @@ def chunks(text: Column, least: int, most: int) -> Column:
     return F.filter(F.when(F.length(flat) <= most, F.array(flat)).otherwise(packed), lambda c: F.length(c) >= least)
 
 
-def to_chat(docs: DataFrame, spans: DataFrame, prompt: str, most: int = 20) -> DataFrame:
-    """doc_id and messages: the prompt, the text and its first ``most`` spans as JSON."""
-    listed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("category").alias("label"), "value"))).alias("s"))
+def skeleton(text: Column, label: Column) -> Column:
+    """The text with ``<category>`` in each span's place."""
+    return splice(text, F.transform(label, lambda s: F.struct(s["category"].alias("category"), s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), s["category"], F.lit(">")).alias("value"))))["text"]
+
+
+def slots(text: Column, label: Column) -> Column:
+    """The text with ``{slot_0}``, ``{slot_1}``, .. in the places of its spans by start."""
+    order = F.array_sort(label, lambda a, b: a["start"] - b["start"])
+    return splice(text, F.transform(order, lambda s, k: F.struct(s["category"].alias("category"), s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("{slot_"), k.cast("string"), F.lit("}")).alias("value"))))["text"]
+
+
+def rewritten(text: Column, label: Column, value) -> Column:
+    """``splice`` with each span's value replaced by ``value(category, value, k)``, or kept where that is null."""
+    own = lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"])
+    order = F.array_sort(label, lambda a, b: a["start"] - b["start"])
+    return splice(text, F.transform(order, lambda s, k: F.struct(s["category"].alias("category"), s["start"].alias("start"), s["end"].alias("end"), F.coalesce(value(s["category"], own(s), k), own(s)).alias("value"))))
+
+
+def latinised(text: Column, label: Column, key: Column, seed: int, keep: float = 0.2) -> Column:
+    """Struct text, spans: e-mail addresses and URLs with Greek letters in Latin ones, but for a share ``keep`` drawn by ``key`` and the span's place."""
+    u = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(":"), k.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    change = lambda c, v, k: F.when(c.isin("private_email", "private_url") & v.rlike(r"[\x{370}-\x{3FF}\x{1F00}-\x{1FFF}]") & (u(k) >= keep), transliterate(v))
+    return rewritten(text, label, change)
+
+
+def augmented(records: DataFrame, key: str, variants: int, seed: int, share: float = 0.5) -> DataFrame:
+    """key, variant, text, label: records with some values in other spellings and offsets that fit.
+
+    A share of the spans, by a digest of key, variant and place, is reformatted; a
+    variant in which nothing changes gives no row.
+    """
+    draw = lambda k, what: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{what}:"), F.col(key).cast("string"), F.lit(":"), F.col("variant").cast("string"), F.lit(":"), k.cast("string"))), 1, 8), 16, 10).cast("long")
+    change = lambda c, v, k: F.when(draw(k, "a") < share * 4294967296.0, reformatted(c, v, draw(k, "b")))
+    out = records.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(variants)))).withColumn("x", rewritten(F.col("text"), F.col("label"), change))
+    return out.where("x.text <> text").select(key, "variant", "x.text", F.col("x.spans").alias("label"))
+
+
+def chat_text(messages: Column) -> Column:
+    """Turns in one text, each between role marks."""
+    return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit("<|end|>"))), "\n")
+
+
+def whole_number(value: Column) -> Column:
+    """An offset as text (digits, or a float without a fraction) as a number; null for anything else."""
+    return F.when(value.rlike(r"^\s*-?[0-9]{1,9}\s*$"), F.trim(value).cast("int")).when(value.rlike(r"^-?[0-9]{1,9}[.]0+$"), F.regexp_extract(value, "^(-?[0-9]+)", 1).cast("int"))
+
+
+def row_records(rows: DataFrame, text: str, category: str, start: str, end: str, info: tuple[str, ...] = ()) -> DataFrame:
+    """text, spans, info and problem from rows of one span each; spans is a map from ``category: value`` to its offsets.
+
+    problem is null for a sound row, else text, category, offsets or range, and spans is null.
+    """
+    a, b = whole_number(F.col(start)), whole_number(F.col(end))
+    empty = lambda c: F.coalesce(F.trim(F.regexp_replace(F.col(c), r"(?U)\s+", " ")), F.lit("")) == ""
+    problem = F.when(a.isNull() | b.isNull(), "offsets").when(empty(text), "text").when(empty(category), "category").when(~((a >= 0) & (a < b) & (b <= F.length(text))), "range")
+    key = F.concat(F.trim(F.col(category)), F.lit(": "), F.substr(F.col(text), a + 1, b - a))
+    more = F.create_map(*[x for c in info for x in (F.lit(c), F.col(c).cast("string"))]) if info else F.lit(None).cast("map<string,string>")
+    return rows.select(F.col(text).alias("text"), F.when(problem.isNull(), F.create_map(key, F.array(F.array(a, b)))).alias("spans"), more.alias("info"), problem.alias("problem"))
+
+
+def to_chat(docs: DataFrame, spans: DataFrame, prompt: str, most: int = 20, seed: int | None = None) -> DataFrame:
+    """doc_id and messages: the prompt, the text and up to ``most`` of its spans as JSON.
+
+    With a ``seed`` spans are put in digest order before the cut, so it falls on any of them.
+    """
+    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("start").cast("string"))) if seed is not None else F.lit("")
+    listed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(shuffled.alias("o"), "start", "end", F.col("category").alias("label"), "value"))).alias("s"))
     j = docs.select("doc_id", "text").join(listed, "doc_id", "left")
     answer = F.coalesce(F.to_json(F.transform(F.slice("s", 1, most), lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value")))), F.lit("[]"))
     say = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import greek
 from ..functions.spans import PATTERNS, all_spans, detect, luhn, normal, redact, shape, share
-from ..operators import curate, match, report, sample
+from ..operators import curate, report, sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,21 +35,14 @@ def docs(spark, d):
     return read(spark, d, "documents")
 
 
-def gold(spark, d):
-    return detect(docs(spark, d)).select("doc_id", "category", "start", "end", "value")
+def gold(spark, d, *categories):
+    return detect(docs(spark, d), categories=categories or tuple(PATTERNS)).select("doc_id", "category", "start", "end", "value")
 
 
 #: Stand-ins for models see no ids: what they miss, cut short or confuse hangs on the value alone.
 MISSED, CONFUSED, SHORT, MISSED_BY_OTHER = (f"substring(md5(value), {k}, 1) < '{x}'" for k, x in ((1, "2"), (2, "2"), (3, "3"), (4, "4")))
 
 
-def pred(spark, d):
-    """Predictions made from the detected spans: some missed, some cut short, some of another category."""
-    return gold(spark, d).where(f"NOT {MISSED}").select(
-        "doc_id", F.expr(f"if({CONFUSED}, 'phone', category)").alias("category"), "start", F.expr(f"if({SHORT}, end - 1, end)").alias("end"), F.expr(f"if({SHORT}, left(value, length(value) - 1), value)").alias("value")
-    )
-
-
 _ONE = """SELECT doc_id, lang, text, '{c}' AS category, regexp_extract_all(text, '{p}', 0) AS m, string_split_regex(text, '{p}') AS g FROM documents"""
 SPANS = "f AS (" + " UNION ALL ".join(_ONE.format(c=c, p=p) for c, p in PATTERNS.items()) + """),
 k AS (SELECT *, unnest(range(0, len(m))) AS i FROM f),
@@ -122,19 +115,18 @@ def dedup_raw(spark, d):
     return docs(spark, d).groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
 
-_U = "CAST(('0x' || left(md5(concat('42:', doc_id)), 8)) AS BIGINT) / 4294967296.0"
-_SPLIT = f"CASE WHEN {_U} < 0.8 THEN 'train' WHEN {_U} < 0.9 THEN 'validation' ELSE 'test' END"
+SPLIT = """r AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42:', doc_id)), doc_id) AS rn, count(*) OVER () AS n FROM documents),
+split AS (SELECT *, CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM r)"""
 
 
-@query(f"SELECT doc_id, {_SPLIT} AS split FROM documents")
+@query(f"WITH {SPLIT} SELECT doc_id, split FROM split")
 def ratio_split(spark, d):
     return curate.ratio_split(docs(spark, d), 0.8, 0.1, 42)
 
 
-@query(f"SELECT coalesce(sum(n - 1), 0)::BIGINT AS leaked FROM (SELECT count(DISTINCT split) AS n FROM (SELECT text, {_SPLIT} AS split FROM documents) GROUP BY text)")
+@query(f"WITH {SPLIT} SELECT coalesce(sum(n - 1), 0)::BIGINT AS leaked FROM (SELECT count(DISTINCT split) AS n FROM split GROUP BY text)")
 def cross_split_leakage(spark, d):
-    s = docs(spark, d).select(F.sha2(F.encode("text", "UTF-8"), 256).alias("h"), curate.split_of(0.8, 0.1, 42).alias("split"))
-    return s.groupBy("h").agg(F.countDistinct("split").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("leaked"))
+    return curate.leaks(docs(spark, d).select("doc_id", "text").join(ratio_split(spark, d), "doc_id"))
 
 
 _QUOTA = "VALUES (0,'train',0.8::DOUBLE),(1,'validation',0.1::DOUBLE),(2,'test',0.05::DOUBLE),(3,'hard_test',0.05::DOUBLE)"
@@ -209,55 +201,7 @@ _LUHN = "(list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 TH
 
 @query(W + f"SELECT doc_id, value, {_LUHN} AS valid FROM gold WHERE category = 'card'")
 def value_format_check(spark, d):
-    return gold(spark, d).where("category = 'card'").select("doc_id", "value", luhn(F.col("value")).alias("valid"))
-
-
-_EXACT = """c AS (SELECT category, sum(least(g, p)) AS tp, sum(p) AS np, sum(g) AS ng FROM (SELECT category, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM
- (SELECT doc_id, category, "start", "end", count(*) AS g FROM gold GROUP BY ALL) FULL JOIN (SELECT doc_id, category, "start", "end", count(*) AS p FROM pred GROUP BY ALL) USING (doc_id, category, "start", "end")) GROUP BY 1)"""
-
-
-@query(W + f", {_EXACT} SELECT category, tp::BIGINT AS tp, (np - tp)::BIGINT AS fp, (ng - tp)::BIGINT AS fn, round(coalesce(tp / nullif(np, 0), 0), 6) AS precision, round(coalesce(tp / nullif(ng, 0), 0), 6) AS recall, round(coalesce(2.0 * tp::DOUBLE / nullif(np + ng, 0), 0), 6) AS f1 FROM c")
-def span_match_exact(spark, d):
-    return match.exact(gold(spark, d), pred(spark, d))
-
-
-@query(W + """SELECT doc_id, g.category AS gold_category, g."start" AS gold_start, g."end" AS gold_end, p.category AS pred_category, p."start" AS pred_start, p."end" AS pred_end
-FROM gold g JOIN pred p USING (doc_id) WHERE g."start" < p."end" AND p."start" < g."end" """)
-def span_match_overlap(spark, d):
-    return match.overlaps(gold(spark, d), pred(spark, d))
-
-
-_CONFUSION = """o AS (SELECT g.doc_id, g.category AS gc, g."start" AS gs, g."end" AS ge, p.category AS pc, p."start" AS ps, p."end" AS pe, least(g."end", p."end") - greatest(g."start", p."start") AS size FROM gold g JOIN pred p USING (doc_id) WHERE g."start" < p."end" AND p."start" < g."end"),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, gc, gs, ge ORDER BY size DESC, ps, pe, pc) AS r FROM o) WHERE r = 1),
-conf AS (SELECT gold_category, pred_category, count(*) AS n FROM (SELECT g.category AS gold_category, coalesce(pc, '(missed)') AS pred_category FROM gold g LEFT JOIN best b ON g.doc_id = b.doc_id AND g.category = gc AND g."start" = gs AND g."end" = ge
- UNION ALL SELECT '(hallucinated)', category FROM pred p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = p.doc_id AND pc = p.category AND ps = p."start" AND pe = p."end")) GROUP BY 1, 2)"""
-
-
-@query(W + f", {_CONFUSION} SELECT * FROM conf")
-def confusion_matrix(spark, d):
-    return match.confusion(gold(spark, d), pred(spark, d))
-
-
-@query(W + f""", {_CONFUSION} SELECT category, missed, confusion, hallucinated, 3 * missed + 3 * confusion + hallucinated AS score FROM (
-SELECT category, coalesce(sum(missed), 0)::BIGINT AS missed, coalesce(sum(confusion), 0)::BIGINT AS confusion, coalesce(sum(h), 0)::BIGINT AS hallucinated FROM (
- SELECT gold_category AS category, CASE WHEN pred_category = '(missed)' THEN n ELSE 0 END AS missed, CASE WHEN pred_category <> '(missed)' AND pred_category <> gold_category THEN n ELSE 0 END AS confusion, 0 AS h FROM conf WHERE gold_category <> '(hallucinated)'
- UNION ALL SELECT pred_category, 0, 0, n FROM conf WHERE gold_category = '(hallucinated)') GROUP BY 1) WHERE 3 * missed + 3 * confusion + hallucinated > 0""")
-def priority_rank(spark, d):
-    return match.priorities(gold(spark, d), pred(spark, d))
-
-
-@query(W + """SELECT sum(least(g, p))::BIGINT AS tp, sum(greatest(p - g, 0))::BIGINT AS fp, sum(greatest(g - p, 0))::BIGINT AS fn FROM (SELECT coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM
- (SELECT doc_id, category, value, count(*) AS g FROM gold GROUP BY ALL) FULL JOIN (SELECT doc_id, category, value, count(*) AS p FROM pred GROUP BY ALL) USING (doc_id, category, value))""")
-def multiset_match(spark, d):
-    return match.multiset(gold(spark, d), pred(spark, d))
-
-
-@query(W + """SELECT 'both' AS side, count(*) AS n FROM (SELECT category, lower(value) FROM gold INTERSECT SELECT category, lower(value) FROM pred) UNION ALL
-SELECT 'gold', count(*) FROM (SELECT category, lower(value) FROM gold EXCEPT SELECT category, lower(value) FROM pred) UNION ALL SELECT 'pred', count(*) FROM (SELECT category, lower(value) FROM pred EXCEPT SELECT category, lower(value) FROM gold)""")
-def set_match(spark, d):
-    g, p = (x(spark, d).select("category", F.lower("value").alias("value")) for x in (gold, pred))
-    count = lambda x, side: x.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
-    return count(g.intersect(p), "both").unionByName(count(g.subtract(p), "gold")).unionByName(count(p.subtract(g), "pred"))
+    return gold(spark, d, "card").select("doc_id", "value", luhn(F.col("value")).alias("valid"))
 
 
 @query(W + """SELECT doc_id, category, replace(substring(text, greatest(0, "start" - 42) + 1, "end" + 42 - greatest(0, "start" - 42)), chr(10), '\\n') AS context, "start" FROM gold JOIN documents USING (doc_id)""")
@@ -268,7 +212,7 @@ def context_window(spark, d):
 @query(W + """SELECT doc_id, "start" + 9 AS "start", "end" - 1 AS "end", substring(value, 10, 40) AS value FROM gold WHERE category = 'secret'""")
 def boundary_relabel(spark, d):
     """Secrets without the assignment around them."""
-    return gold(spark, d).where("category = 'secret'").select("doc_id", (F.col("start") + 9).alias("start"), (F.col("end") - 1).alias("end"), F.substring("value", 10, 40).alias("value"))
+    return gold(spark, d, "secret").select("doc_id", (F.col("start") + 9).alias("start"), (F.col("end") - 1).alias("end"), F.substring("value", 10, 40).alias("value"))
 
 
 @query(W + """SELECT category, regexp_replace(regexp_replace(regexp_replace(value, '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '9', 'g') AS shape, count(*) AS n FROM gold GROUP BY 1, 2""")
@@ -298,19 +242,6 @@ def union_sources(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("origin").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
 
 
-def _triage(rule):
-    def run(spark, d):
-        from ..operators.greedy import triage
-
-        return triage(gold(spark, d), pred(spark, d), rule).groupBy("kind", "gold_category", "pred_category").agg(F.count("*").alias("n"))
-
-    return run
-
-
-for _r in ("gold_first", "pred_first", "max_overlap"):
-    QUERIES[f"span_triage_{_r}"] = _triage(_r)
-
-
 @query(None)
 def greedy_chunks(spark, d):
     from ..operators.transform import chunks
@@ -346,40 +277,11 @@ def quota_split(spark, d):
     return split(docs(spark, d), "source", "n_chars > 3000", 40, 9)
 
 
-def other_pred(spark, d):
-    """A second run's predictions: other values are missed."""
-    return gold(spark, d).where(f"NOT {MISSED_BY_OTHER}")
-
-
-@query(W + """, run2 AS (SELECT * FROM gold WHERE NOT """ + MISSED_BY_OTHER + """)
-SELECT g.doc_id, g.category, g."start", coalesce((SELECT min(p.category) FROM run2 p WHERE p.doc_id = g.doc_id AND p."start" < g."end" AND g."start" < p."end"), '<NOTHING>') AS instead FROM gold g
-WHERE EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND p.category = g.category AND p."start" < g."end" AND g."start" < p."end")
- AND NOT EXISTS (SELECT 1 FROM run2 p WHERE p.doc_id = g.doc_id AND p.category = g.category AND p."start" < g."end" AND g."start" < p."end")""")
-def model_regressions(spark, d):
-    """Expected spans that the first run found and the second lost, with what stands there instead."""
-    g, two = gold(spark, d), match.overlaps(gold(spark, d), other_pred(spark, d))
-    key = lambda df: df.select("doc_id", *[F.col(f"gold_{c}").alias(c) for c in match.KEY[1:]]).distinct()
-    same = "gold_category = pred_category"
-    lost = g.join(key(match.overlaps(g, pred(spark, d)).where(same)), match.KEY, "left_semi").join(key(two.where(same)), match.KEY, "left_anti")
-    instead = two.groupBy("doc_id", *[F.col(f"gold_{c}").alias(c) for c in match.KEY[1:]]).agg(F.min("pred_category").alias("instead"))
-    return lost.join(instead, match.KEY, "left").select("doc_id", "category", "start", F.coalesce("instead", F.lit("<NOTHING>")).alias("instead"))
-
-
-@query(W + """, v AS (SELECT 'first' AS variant, * FROM pred UNION ALL SELECT 'second', * FROM gold WHERE NOT """ + MISSED_BY_OTHER + """),
-n AS (SELECT variant, count(*) AS np, count(*) FILTER (EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = v.doc_id AND g.category = v.category AND g."start" = v."start" AND g."end" = v."end")) AS tp FROM v GROUP BY 1)
-SELECT variant, round(2.0 * tp / (np + (SELECT count(*) FROM gold)), 6)::DOUBLE AS f1 FROM n ORDER BY f1 DESC, variant LIMIT 1""")
-def best_variant(spark, d):
-    """The run with the highest F1, the first by name of equals."""
-    g = gold(spark, d)
-    one = lambda name, p: match.exact(g, p).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")).select(F.lit(name).alias("variant"), F.round(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"))
-    return one("first", pred(spark, d)).unionByName(one("second", other_pred(spark, d))).orderBy(F.desc("f1"), "variant").limit(1)
-
-
 @query(W + """SELECT doc_id, category, value, CASE category WHEN 'card' THEN concat(value[1:4], ' ', value[5:8], ' ', value[9:12], ' ', value[13:16]) ELSE regexp_replace(value, '[^0-9]', '', 'g') END AS rewritten FROM gold WHERE category IN ('card', 'phone')""")
 def format_augment(spark, d):
     """Cards in groups of four and phones as bare digits."""
     four = F.concat_ws(" ", *[F.substring("value", 4 * k + 1, 4) for k in range(4)])
-    return gold(spark, d).where("category in ('card', 'phone')").select("doc_id", "category", "value", F.when(F.col("category") == "card", four).otherwise(F.regexp_replace("value", "[^0-9]", "")).alias("rewritten"))
+    return gold(spark, d, "card", "phone").select("doc_id", "category", "value", F.when(F.col("category") == "card", four).otherwise(F.regexp_replace("value", "[^0-9]", "")).alias("rewritten"))
 
 
 @query(None)
@@ -443,53 +345,6 @@ def run_shapes(spark, d):
     return gold(spark, d).groupBy("category", greek.run_shape(F.col("value")).alias("shape")).agg(F.count("*").alias("n"))
 
 
-@query(W + """, o AS (SELECT g.category AS gc, g."end" AS ge, p.category AS pc, p."end" AS pe FROM gold g LEFT JOIN pred p ON g.doc_id = p.doc_id AND g."start" = p."start"),
-t AS (SELECT gc AS category, CASE WHEN pc IS NULL THEN 'missed' WHEN pc <> gc THEN 'confusion' WHEN pe = ge THEN 'tp' ELSE 'boundary' END AS kind FROM o),
-c AS (SELECT coalesce(category, '(all)') AS category, count(*) FILTER (kind = 'tp') AS tp, count(*) FILTER (kind = 'boundary') AS boundary, count(*) FILTER (kind = 'confusion') AS confusion, count(*) FILTER (kind = 'missed') AS missed, 0::BIGINT AS hallucinated FROM t GROUP BY ROLLUP (category))
-SELECT *, round(coalesce(tp / nullif(tp + boundary + confusion, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + boundary + confusion + missed, 0), 0), 6) AS recall, round(coalesce(2.0::DOUBLE * tp / nullif(2 * (tp + boundary + confusion) + missed, 0), 0), 6) AS f1 FROM c""")
-def class_report(spark, d):
-    """The SQL joins equal starts, which comes to the same here: detected spans don't overlap and predictions keep their starts."""
-    from ..operators.greedy import triage
-
-    return report.class_report(triage(gold(spark, d), pred(spark, d), "max_overlap"))
-
-
-#: Equal starts are joined, as in class_report.
-_KINDS = """o AS (SELECT g.category AS gc, g."end" AS ge, p.category AS pc, p."end" AS pe FROM gold g LEFT JOIN pred p ON g.doc_id = p.doc_id AND g."start" = p."start"),
-t AS (SELECT gc AS category, pc, CASE WHEN pc IS NULL THEN 'missed' WHEN pc <> gc THEN 'confusion' WHEN pe = ge THEN 'tp' ELSE 'boundary' END AS kind FROM o)"""
-
-
-@query(W + f""", {_KINDS} SELECT category AS gold_category, CASE kind WHEN 'missed' THEN '(missed)' WHEN 'boundary' THEN concat(category, '*boundary') ELSE pc END AS pred_category, count(*) AS n FROM t GROUP BY ALL""")
-def confusion_matrix_boundary(spark, d):
-    """The reference's matrix: an equal prediction first, else the first free one that overlaps."""
-    from ..operators.greedy import triage
-
-    return report.confusion(triage(gold(spark, d), pred(spark, d), "gold_first"))
-
-
-@query(W + f""", {_KINDS}, c AS (SELECT category, count(*) FILTER (kind = 'missed') AS missed, count(*) FILTER (kind = 'confusion') AS confusion, count(*) FILTER (kind = 'boundary') AS boundary, 0::BIGINT AS hallucinated FROM t GROUP BY 1)
-SELECT *, 3 * missed + 3 * confusion + 2 * boundary + hallucinated AS score FROM c WHERE 3 * missed + 3 * confusion + 2 * boundary + hallucinated > 0""")
-def priority_rank_boundary(spark, d):
-    """The reference's score, over spans that share half of the shorter one."""
-    from ..operators.greedy import triage
-
-    return report.priorities(triage(gold(spark, d), pred(spark, d), "pred_first"))
-
-
-def _metrics(gold, pred):
-    c = match.exact(gold, pred).agg(*[F.sum(k).alias(k) for k in ("tp", "fp", "fn")])
-    r = c.select(*match.rates(F.col("tp"), F.col("fp"), F.col("fn")))
-    return r.select(F.inline(F.array(*[F.struct(F.lit(f"detection.span.{k}").alias("metric"), F.col(k).alias("value")) for k in ("precision", "recall", "f1")])))
-
-
-@query(W + """, hit AS (SELECT (SELECT count(*) FROM gold) AS g, (SELECT count(*) FROM pred) AS p1, (SELECT count(*) FROM gold JOIN pred USING (doc_id, category, "start", "end")) AS t1, (SELECT count(*) FROM gold WHERE NOT """ + MISSED_BY_OTHER + """) AS p2),
-m AS (SELECT 'precision' AS k, round(t1 / p1, 6) AS baseline, 1.0::DOUBLE AS other FROM hit UNION ALL SELECT 'recall', round(t1 / g, 6), round(p2 / g, 6) FROM hit UNION ALL SELECT 'f1', round(2.0::DOUBLE * t1 / (p1 + g), 6), round(2.0::DOUBLE * p2 / (p2 + g), 6) FROM hit)
-SELECT concat('detection.', x, k) AS metric, CASE WHEN x = '' THEN 0 ELSE baseline END::DOUBLE AS baseline, CASE WHEN x = '' THEN 0 ELSE other END::DOUBLE AS other, CASE WHEN x = '' THEN 0 ELSE round(other - baseline, 6) END::DOUBLE AS delta FROM m, (VALUES (''), ('span.')) v(x)""")
-def metric_delta(spark, d):
-    g = gold(spark, d)
-    return report.metric_delta(_metrics(g, pred(spark, d)), _metrics(g, other_pred(spark, d)))
-
-
 @query(W + """SELECT doc_id, md5(text) AS text_md5, string_agg(category || ':' || "start" || '-' || "end", ' ' ORDER BY "start") AS spans, lang FROM documents JOIN (SELECT doc_id, category, "start", "end" FROM gold) USING (doc_id) GROUP BY ALL""")
 def merged_rows(spark, d):
     rows = detect(docs(spark, d), "text", "lang").withColumn("info", F.create_map(F.lit("lang"), "lang")).withColumn("ix", F.col("start"))
@@ -582,3 +437,6 @@ def append_values(spark, d):
     from ..operators import render
 
     return render.appended(docs(spark, d), 13).select("doc_id", "text", F.to_json("label").alias("label"))
+
+
+from . import curation, matching  # noqa: E402, F401

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import subprocess
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +33,101 @@ def read_sentences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(text.alias("text")).where("text <> ''")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, size_bytes, sha256 and line_count of each file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit("\n")).alias("line_count"))
+#: A benchmark case and a triage result's spans.
+CASE = "id string, register string, text string, spans array<struct<label:string,text:string,start:int,end:int>>"
+CHAT = "messages array<struct<role:string,content:string>>"
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CASE).json(path)
+
+
+def read_batches(spark: SparkSession, folder: str, pattern: str = "cases_batch*.jsonl", schema: str = CASE) -> DataFrame:
+    """All batches of a folder whose names match, with the batch's name."""
+    rows = spark.read.schema(schema).option("pathGlobFilter", pattern).json(folder)
+    return rows.withColumn("batch", F.element_at(F.split(F.input_file_name(), "/"), -1))
+
+
+def read_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A report: one JSON document over many lines."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def read_label_space(spark: SparkSession, path: str, strict: bool = False) -> list[str]:
+    """Labels of a label space without O, sorted: an object with classes, span_class_names or labels, or a bare list.
+
+    ``strict``: the list as it stands, which must begin with O and hold each name once.
+    """
+    content = spark.read.text(path, wholetext=True).first().value
+    found = json.loads(content)
+    if isinstance(found, dict):
+        found = next((found[k] for k in ("classes", "span_class_names", "labels") if k in found), None)
+    if not isinstance(found, list) or not all(isinstance(x, str) and x.strip() for x in found):
+        raise ValueError(f"no list of labels: {path}")
+    if strict:
+        if not found or found[0] != "O" or len(set(found)) < len(found):
+            raise ValueError(f"labels must begin with O and differ: {path}")
+        return found
+    return sorted({x for x in found if x != "O"})
+
+
+def read_chat(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Chat records, the first ``most`` if given."""
+    rows = spark.read.schema(CHAT).json(path)
+    return rows.limit(most) if most else rows
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A configuration as JSON, or as YAML where that can be parsed here."""
+    content = spark.read.text(path, wholetext=True).first().value
+    if path.endswith(".json"):
+        return json.loads(content)
+    try:
+        import yaml
+    except ImportError as error:
+        raise ValueError(f"no YAML parser for {path}") from error
+    return yaml.safe_load(content)
+
+
+def manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, size_bytes, sha256, line_count and error of each file; a named file that isn't there has only its path and an error.
+
+    Sizes and digests are of whole files, each of which a task holds.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [p for p in paths if fs(p).globStatus(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    gone = spark.createDataFrame([(p,) for p in paths if p not in there], "path string").select("path", F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("int").alias("line_count"), F.lit("missing").alias("error"))
+    if not there:
+        return gone
+    files = spark.read.format("binaryFile").load(there)
+    rows = files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit("\n")).alias("line_count"), F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(gone)
+
+
+def commit_state(folder: str) -> dict:
+    """The commit of a git folder and whether it has changes; nulls outside of git."""
+    run = lambda *args: subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True)
+    head, changes = run("rev-parse", "HEAD"), run("status", "--porcelain")
+    return {"commit": head.stdout.strip() or None, "dirty": bool(changes.stdout.strip()) if changes.returncode == 0 else None}
+
+
+def write_jsonl(df: DataFrame, path: str, files: int | None = None) -> None:
+    """JSON lines in UTF-8, nulls left out; in ``files`` files if given."""
+    (df.coalesce(files) if files else df).write.mode("errorifexists").json(path)
+
+
+def sibling(path: str, suffix: str = "_clean") -> str:
+    """The path beside ``path`` with ``suffix`` before its extension."""
+    head, dot, tail = path.rpartition(".")
+    return f"{head}{suffix}.{tail}" if dot and "/" not in tail else path + suffix
+
+
+def report_json(**parts: DataFrame) -> str:
+    """Report tables as one JSON document; for tables of a fixed number of rows."""
+    out = {name: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).collect()] for name, df in parts.items()}
+    return json.dumps(out, ensure_ascii=False, indent=2)
 
 
 def write_splits(df: DataFrame, path: str) -> None:

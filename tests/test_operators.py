@@ -1,8 +1,11 @@
 import hashlib
+import random
+import time
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import greedy, report
+from spanloom.functions.spans import detect
+from spanloom.operators import greedy, match, report
 from spanloom.operators.curate import digest_rank, stratified_split
 from spanloom.operators.quota import quota_split
 from spanloom.operators.resolve import json_spans, numbered_lines, resolve
@@ -20,7 +23,7 @@ def one(spark, schema, row, *cols):
 def test_resolve_rules(spark):
     row = ("ab x ab y", [("p", "ab"), ("p", "ab"), ("q", "x"), ("r", "zz")])
     t, v = F.col("t"), F.col("v")
-    r = one(spark, f"t string, v {VALUES}", row, resolve(t, v).alias("a"), resolve(t, v, fall_back=True).alias("b"), resolve(t, v, strict=True).alias("c"), resolve(t, v, cursor=False).alias("d"))
+    r = one(spark, f"t string, v {VALUES}", row, resolve(t, v).alias("a"), resolve(t, v, fall_back=True).alias("b"), resolve(t, v, strict=True).alias("c"), resolve(t, v, cursor="none").alias("d"))
     assert [tuple(x) for x in r.a] == [("p", 0, 2), ("p", 5, 7)]
     assert [tuple(x) for x in r.b] == [("p", 0, 2), ("p", 5, 7), ("q", 3, 4)]
     assert r.c is None and [x.start for x in r.d] == [0, 0, 3]
@@ -41,22 +44,63 @@ def test_transform(spark):
     assert one(spark, "t string", ("One two. Three four! Five",), chunks(F.col("t"), 5, 12).alias("x")).x == ["One two.", "Three four!"]
 
 
-def test_greedy_rules():
-    s = lambda c, a, b: {"category": c, "start": a, "end": b}
-    gold, pred = [s("x", 0, 10), s("y", 10, 20)], [s("x", 8, 14), s("y", 10, 20), s("z", 30, 31)]
-    kinds = {k: [x[0] for x in f(gold, pred)] for k, f in greedy.RULES.items()}
-    assert kinds["gold_first"] == ["boundary", "tp", "hallucinated"]
-    assert kinds["pred_first"] == ["confusion", "hallucinated", "hallucinated", "missed"]
-    assert kinds["max_overlap"] == ["boundary", "tp", "hallucinated"]
-    assert greedy.gold_first([], []) == []
+SPAN = "doc_id long, side int, category string, start int, end int"
+
+
+def python_rule(gold, pred, rule):
+    """The three rules by plain loops over (category, start, end)."""
+    over = lambda a, b: max(0, min(a[2], b[2]) - max(a[1], b[1]))
+    own, other, used, out = (pred, gold, set(), []) if rule == "pred_first" else (gold, pred, set(), [])
+    for i, x in enumerate(own):
+        free = [k for k in range(len(other)) if k not in used]
+        if rule == "gold_first":
+            found = [k for k in free if other[k] == x] or [k for k in free if over(x, other[k])]
+        elif rule == "pred_first":
+            found = [k for k in free if over(x, other[k]) and 2 * over(x, other[k]) >= min(x[2] - x[1], other[k][2] - other[k][1])]
+        else:
+            found = sorted((k for k in free if over(x, other[k])), key=lambda k: (-over(x, other[k]), k))
+        used.update(found[:1])
+        out.append((x, other[found[0]] if found else None))
+    out += [(None, other[k]) for k in range(len(other)) if k not in used]
+    return [(b, a) if rule == "pred_first" else (a, b) for a, b in out]
+
+
+def test_greedy_rules_against_loops(spark):
+    rng = random.Random(3)
+    docs = {}
+    for i in range(60):
+        one = lambda: (rng.choice("xy"), a := rng.randrange(40), a + rng.choice([0, 1, 3, 8]))
+        docs[i] = tuple(sorted((one() for _ in range(rng.randrange(7))), key=lambda s: (s[1], s[2], s[0])) for _ in range(2))
+    rows = [(i, side, *s) for i, both in docs.items() for side in (0, 1) for s in both[side]]
+    spans = spark.createDataFrame(rows, SPAN)
+    for rule in greedy.RULES:
+        got = sorted(((r.doc_id, r.gold_category, r.gold_start, r.gold_end, r.pred_category, r.pred_start, r.pred_end) for r in greedy.triage(spans, rule).collect()), key=str)
+        want = sorted(((i, *(g or (None,) * 3), *(p or (None,) * 3)) for i, (gold, pred) in docs.items() for g, p in python_rule(gold, pred, rule)), key=str)
+        assert got == want, rule
+    pairs = sorted(tuple(r) for r in match.overlaps(spans).collect())
+    assert pairs == sorted((i, *g, *p) for i, (gold, pred) in docs.items() for g in gold for p in pred if min(g[2], p[2]) > max(g[1], p[1]))
 
 
 def test_boundary_errors_are_booked(spark):
-    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, category string, start int, end int")
-    gold, pred = frame([(1, "x", 0, 10), (1, "y", 20, 30), (1, "z", 40, 50)]), frame([(1, "x", 0, 9), (1, "y", 20, 30), (1, "w", 60, 70)])
+    spans = spark.createDataFrame([(1, 0, "x", 0, 10), (1, 0, "y", 20, 30), (1, 0, "z", 40, 50), (1, 1, "x", 0, 9), (1, 1, "y", 20, 30), (1, 1, "w", 60, 70)], SPAN)
     rows = lambda df: sorted(tuple(r) for r in df.collect())
-    assert rows(report.confusion(greedy.triage(gold, pred, "gold_first"))) == [("(hallucinated)", "w", 1), ("x", "x*boundary", 1), ("y", "y", 1), ("z", "(missed)", 1)]
-    assert rows(report.priorities(greedy.triage(gold, pred, "pred_first"))) == [("w", 0, 0, 0, 1, 1), ("x", 0, 0, 1, 0, 2), ("z", 1, 0, 0, 0, 3)]
+    assert rows(report.confusion(greedy.triage(spans, "gold_first"))) == [("(hallucinated)", "w", 1), ("x", "x*boundary", 1), ("y", "y", 1), ("z", "(missed)", 1)]
+    p = report.priorities(greedy.triage(spans, "pred_first")).collect()
+    assert [(r.category, r.score, r.missed, r.confusion, r.boundary, r.hallucinated) for r in p] == [("z", 3, 1, 0, 0, 0), ("x", 2, 0, 0, 1, 0), ("w", 1, 0, 0, 0, 1)]
+
+
+def test_hints(spark):
+    df = spark.createDataFrame([("mac_address", "x"), ("afm", None), ("cvv", "y"), ("other", "z"), ("other", None)], "a string, b string")
+    got = [r.h.split(":")[0] for r in df.select(report.hint(F.col("a"), F.col("b")).alias("h")).collect()]
+    assert got == ["qwen_contrastive/mac_vs_ip_vs_vin", "qwen_narrative/afm_administrative", "qwen_contrastive/cvv_technical_or_payment", "contrastive", "small_qwen_narrative_pack"]
+
+
+def test_many_matches_in_one_text(spark):
+    n = 100000
+    began = time.time()
+    df = spark.createDataFrame([(1, "é1.2.3.4 " * n), (2, None), (3, "none"), (4, "")], "doc_id long, text string")
+    got = detect(df, categories=("ipv4",)).agg(F.count("*").alias("n"), F.max("start").alias("last"), F.sum(F.expr("start - 1") % 9).alias("off")).first()
+    assert tuple(got) == (n, 9 * (n - 1) + 1, 0) and time.time() - began < 60
 
 
 def test_records_and_stream(spark, tmp_path):

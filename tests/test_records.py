@@ -74,8 +74,8 @@ def test_reports(spark):
     assert (got["a"].precision, got["a"].recall, got["b"].f1) == (0.5, 0.5, 0.0)
     assert (got["(all)"].tp, got["(all)"].missed, round(got["(all)"].f1, 6)) == (1, 1, 0.333333)
     assert report.class_report(t.where("false")).collect() == []
-    m = lambda *r: spark.createDataFrame(list(r), "metric string, value double")
-    d = {r.metric: r.delta for r in report.metric_delta(m(("detection.f1", 0.5)), m(("detection.f1", 0.75), ("other", 1.0))).collect()}
+    m = spark.createDataFrame([("detection.f1", "a", 0.5), ("detection.f1", "b", 0.75), ("other", "b", 1.0)], "metric string, variant string, value double")
+    d = {r.metric: r.delta for r in report.metric_delta(m, "a", "b").collect()}
     assert len(d) == 6 and d["detection.f1"] == 0.25 and d["detection.span.f1"] == 0.0
     text = report.markdown(spark.createDataFrame([("a", "b", 3)], "gold string, pred string, n int"), spark.createDataFrame([("a", 9)], "category string, score int"))
     assert "| a | 9 |" in text and "| a | b | 3 |" in text
