@@ -13,6 +13,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
@@ -26,12 +27,19 @@ SKIPPABLE = 0x184D2A5D
 LEAST_REVISIT = 1000
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def info(name: str, date: str) -> bytes:
+    """The record that opens an archive and tells what wrote it."""
+    block = b"software: spanloom\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One WARC/1.1 record; a revisit has the HTTP head alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     b32 = base64.b32encode(bytes.fromhex(digest)).decode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     head += [f"WARC-Target-URI: {''.join(c for c in url if c not in '\r\n')}", f"WARC-Payload-Digest: sha1:{b32}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -97,7 +105,7 @@ def unarchive(data: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def _write(directory: str, archive_bytes: int):
+def _write(directory: str, archive_bytes: int, date: str):
     schema = "path string, records long, bytes long"
     to = arrow_schema(schema)
 
@@ -106,7 +114,8 @@ def _write(directory: str, archive_bytes: int):
         where.create_dir(base, recursive=True)
 
         def close(held: list[bytes]) -> pa.RecordBatch:
-            name, data = f"{uuid.uuid4().hex}.warc.zst", archive(held)
+            name = f"{uuid.uuid4().hex}.warc.zst"
+            data = archive([info(name, date), *held])
             with where.open_output_stream(f"{base}/{name}") as f:
                 f.write(data)
             return as_batch({"path": [f"{directory}/{name}"], "records": [len(held)], "bytes": [len(data)]}, to)
@@ -115,7 +124,7 @@ def _write(directory: str, archive_bytes: int):
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
                 page, url, html, digest, refers = row
-                held.append(record(page, url or "", (html or "").encode(), digest, refers))
+                held.append(record(page, url or "", (html or "").encode(), digest, refers, date))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield close(held)
@@ -126,9 +135,12 @@ def _write(directory: str, archive_bytes: int):
     return run, schema
 
 
-def write_archives(pages: DataFrame, directory: str, archive_bytes: int = 16 << 20, salts: int = 16) -> DataFrame:
+def write_archives(pages: DataFrame, directory: str, archive_bytes: int = 16 << 20, salts: int = 16, date: str | None = None) -> DataFrame:
     """Write every row of ``pages`` (page_id, url, html) as a record under ``directory``; the manifest (path, records, bytes).
 
+    Each archive opens with a warcinfo record; all records bear ``date``, the time
+    of this call unless given.
+
     Of equal payloads of 1000 bytes or more the one with the largest page_id is
     a response and the others revisit it; of rows that repeat that page_id each
     is a response.  Shorter payloads are all responses; a null html is empty;
@@ -143,7 +155,7 @@ def write_archives(pages: DataFrame, directory: str, archive_bytes: int = 16 <<
     p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).withColumn("d", F.when(F.col("large"), F.col("digest")).otherwise(F.concat(F.lit("small "), F.xxhash64("page_id", "url", "html").cast("string"))))
     p = p.join(first, ["salt", "d"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    run, schema = _write(directory, archive_bytes)
+    run, schema = _write(directory, archive_bytes, date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
     return written(p.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(run, schema), "manifest")
 
 
@@ -159,7 +171,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 where, at = fs.FileSystem.from_uri(path)
                 with where.open_input_stream(at) as f:
-                    rows = [parse(r) for r in unarchive(f.read())]
+                    rows = [parse(r) for r in unarchive(f.read()) if not r.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")]
                 yield as_batch({c: [r[c] for r in rows] for c in to.names}, to)
 
     spread = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -167,4 +179,5 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
     return read_archives(write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc")))
