@@ -152,4 +152,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and that of its edited text."""
     return fingerprints(table(spark, sf_dir, "documents"))

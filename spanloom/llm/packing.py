@@ -204,4 +204,5 @@ def _follow(moved: DataFrame, to: DataFrame, level: int) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces packed into sequences."""
     return pack_documents(table(spark, sf_dir, "documents"))

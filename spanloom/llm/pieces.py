@@ -316,4 +316,5 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True) ->
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
     return encode(table(spark, sf_dir, "documents"), with_ids=False)

@@ -403,4 +403,5 @@ def remove_repeats(docs: DataFrame, window: int = 35, plain: bool = True, carry:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that stand elsewhere too."""
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))

@@ -4,12 +4,25 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from spanloom.llm import packing
 from spanloom.llm.packing import OpenBins, pack_documents
 
 
+def test_ids_are_those_of_the_named_tokenizer():
+    """On every text of the 0.1 tables and on strings that are made to differ."""
+    tok, ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.load_tokenizer()
+    rng = random.Random(11)
+    parts = ["<|endoftext|>", "<|end", "oftext|>", "\u00a0", "\u3000", "\ufeff", "\x00", "\x1f", "'s", "'RE", "’ll", "\r\n", "\n\n ", "\t", "é", "e\u0301", "日本", "\U0001f600", "١٢", "²", "a", "A1", " ", "   ", "_", "\u200b", "ǅ", "ﬁ"]
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist() + ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(5000)]
+    for lo in range(0, len(texts), 1000):
+        some = [t or "" for t in texts[lo : lo + 1000]]
+        for t, e in zip(some, tok.encode_batch(some, add_special_tokens=False), strict=True):
+            assert list(ids(t)) == e.ids, t
+
+
 def check(rows, docs, capacity):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = defaultdict(list)
