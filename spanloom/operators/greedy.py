@@ -89,3 +89,45 @@ def triage(spans: DataFrame, rule: str) -> DataFrame:
     g, p = F.get("g", F.col("m.g")), F.get("p", F.col("m.p"))
     why = F.when(F.col("m.p").isNull(), "missed").when(F.col("m.g").isNull(), "hallucinated").when(_equal(g, p), "tp").when(g["category"] == p["category"], "boundary").otherwise("confusion")
     return rows.select("doc_id", why.alias("kind"), *[x[c].alias(f"{n}_{c}") for n, x in (("gold", g), ("pred", p)) for c in ("category", "start", "end")])
+
+
+def discard_overlaps(spans: DataFrame) -> DataFrame:
+    """doc_id, category, start, end of the spans that overlap no earlier one that stays; earlier by start, the longer of equals first."""
+    listed = F.array_sort(F.collect_list(F.struct("start", "end", "category")), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).when(a["category"] < b["category"], -1).when(a["category"] > b["category"], 1).otherwise(0))
+    kind = "array<struct<start:int,end:int,category:string>>"
+    kept = F.aggregate("s", F.array().cast(kind), lambda k, x: F.when(F.exists(k, lambda y: meet(x, y) > 0), k).otherwise(F.concat(k, F.array(x))))
+    return runs(spans).groupBy("doc_id", "run").agg(listed.alias("s")).select("doc_id", F.inline(kept)).select("doc_id", "category", "start", "end")
+
+
+def detected_by(docs: DataFrame, detector: Callable[[list[str]], list[list[tuple[str, int, int]]]], at_once: int = 8) -> DataFrame:
+    """doc_id, category, start, end, value from a detector outside of Spark, such as a model.
+
+    ``detector`` gets up to ``at_once`` texts and returns each one's spans; it is
+    called in the executors, batch after batch, and a null text counts as empty.
+    """
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = []
+            for lo in range(0, len(f), at_once):
+                texts = [t or "" for t in f["text"].iloc[lo : lo + at_once]]
+                for i, t, spans in zip(f["doc_id"].iloc[lo : lo + at_once], texts, detector(texts), strict=True):
+                    rows.extend((i, c, a, b, t[a:b]) for c, a, b in spans)
+            yield pd.DataFrame(rows, columns=["doc_id", "category", "start", "end", "value"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, category string, start int, end int, value string")
+
+
+def answered_by(prompts: DataFrame, answer: Callable[[list[str]], list[str]], at_once: int = 10) -> DataFrame:
+    """``prompts`` (key, prompt) with the content that a text generator outside of Spark gives for each, ``at_once`` at a time."""
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            out = [x for lo in range(0, len(f), at_once) for x in answer(list(f["prompt"].iloc[lo : lo + at_once]))]
+            yield pd.DataFrame({"key": f["key"], "prompt": f["prompt"], "content": out})
+
+    return prompts.select("key", "prompt").mapInPandas(run, "key long, prompt string, content string")

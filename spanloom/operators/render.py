@@ -13,13 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.generate import address, cards_and_devices, chosen, digits, identifiers, person, with_luhn
+from ..functions.values import values
 from .sample import uniform, weighted_choice
 
 _SLOT = re.compile(r"\{(~?)(\w+)\}")
 LABEL = "array<struct<category:string,start:int,end:int>>"
 
 #: Categories by slot where the two differ.
-CATEGORY = {"person": "private_person", "other": "private_person", "phone": "private_phone", "email": "private_email", "url": "private_url", "address": "private_address", "date": "private_date", "account": "account_number"}
+CATEGORY = {
+    "person": "private_person", "other": "private_person", "phone": "private_phone", "email": "private_email", "url": "private_url", "address": "private_address", "date": "private_date", "account": "account_number", "token": "secret", "password": "secret", "ip": "ip_address", "mac": "mac_address", "licence": "driver_license", "deep_url": "private_url",
+    "boundary_address": "private_address", "old_address": "private_address", "titled_person": "private_person", "foreign_person": "private_person", "greek_date": "private_date", "vin": "vehicle_vin", "plate": "license_plate", "brand_card": "card_pan", "card": "card_pan",
+}
 
 TEMPLATES = {
     "easy": ["Το ΑΦΜ μου είναι {afm}.", "Με λένε {person}.", "Καλέστε με στο {phone}.", "Στείλτε το αρχείο στο {email}.", "Μένω στη διεύθυνση {address}."],
@@ -35,6 +39,25 @@ TEMPLATES = {
     "secret": ["Το κλειδί του συστήματος είναι {secret}.", "API_KEY={secret}"],
     "one_name": ["Μίλησα με {person} για τη σύμβαση.", "Υπογραφή: {person}."],
     "two_names": ["Παρόντες: {person} και {other}.", "{person} έγραψε σε {other} χθες."],
+    "token": ["Το διακριτικό είναι {token}", "export KEY={token};", "(«{token}»)"],
+    "password": ["Ο κωδικός πρόσβασης είναι {password}.", "login: admin / {password}"],
+    "network": ["Σύνδεση από {ip} στις {~date}.", "Η συσκευή {mac} πήρε τη διεύθυνση {ip}."],
+    "pcn": ["Ο αριθμός επικοινωνίας είναι {pcn}.", "PCN: {pcn}"],
+    "licence": ["Η άδεια οδήγησης {licence} έληξε.", "Άδεια {licence}, ΑΦΜ {afm}."],
+    "boundary": ["Διεύθυνση: {boundary_address}; ώρα {~cvv}.", "({boundary_address})", "Παράδοση: {boundary_address}."],
+    "called": ["Αγαπητέ {person}, σας περιμένουμε.", "Καλημέρα {titled_person}!"],
+    "foreign": ["Η συνάντηση με {foreign_person} αναβλήθηκε.", "From: {foreign_person}"],
+    "dense": ["{person}, φάκελος {~gemi}, {~amount}, κωδικός {~account}, {~room}."],
+    "addresses": ["Από {address} προς {boundary_address}.", "Έδρα: {address}· υποκατάστημα: {boundary_address}."],
+    "old": ["Ἐν τῇ ὁδῷ {old_address} κατοικεῖ.", "Γράμμα πρὸς {old_address}."],
+    "brief": ["Στο {boundary_address}.", "{address}"],
+    "no_address": ["{person}, {~room}, {~amount}, {greek_date}.", "{~office}: {person}, {amka}."],
+    "ama": ["Αριθμός μητρώου ασφαλισμένου {ama}.", "ΑΜΑ: {ama}, όχι {~account}."],
+    "amka": ["ΑΜΚΑ {amka}.", "Ο ασφαλισμένος {amka} ζητά ραντεβού στις {~date}."],
+    "afm": ["ΑΦΜ {afm} και κωδικός {~licence}.", "Τιμολόγιο προς {afm}."],
+    "gemi": ["ΓΕΜΗ {gemi}.", "Η εταιρεία με αριθμό {gemi} έχει κωδικό {~account}."],
+    "looks_alike": ["Το {~loose_imei} δεν είναι συσκευή, το {imei} είναι.", "Ο κωδικός {~pcn} και το ΑΦΜ {afm}.", "Πλαίσιο {vin}, πινακίδα {plate}, δέμα {~gemi}."],
+    "plain": ["Με λένε {person} και μένω στη διεύθυνση {address}.", "ΑΦΜ {afm}, ΑΔΤ {adt}, IBAN {iban_gr}.", "Γράψτε στο {email} ή στο {deep_url}."],
     "one": [" Τηλέφωνο: {phone}.", " Γράψτε στο {email}.", " ΑΦΜ {afm}."],
     "two": [" {person}, τηλέφωνο {phone}.", " ΑΜΚΑ {amka}, ταυτότητα {adt}."],
     "three": [" {person}, {address}, {phone}.", " IBAN {iban_gr}, ΑΦΜ {afm}, {email}."],
@@ -48,6 +71,11 @@ PACKS = {
     "confusables": {"confusable": 0.7, "hard_negative": 0.3},
     "cvv_url_secret": {"cvv": 0.4, "url": 0.3, "secret": 0.3},
     "people": {"one_name": 0.85, "two_names": 0.15},
+    "early": {"plain": 0.8, "hard_negative": 0.2},
+    "boundaries": {"token": 0.10, "network": 0.10, "pcn": 0.08, "called": 0.40, "licence": 0.16, "boundary": 0.16},
+    "people_and_places": {"called": 0.22, "foreign": 0.10, "dense": 0.22, "addresses": 0.12, "old": 0.07, "brief": 0.09, "no_address": 0.06, "password": 0.12},
+    "recall": {"ama": 0.25, "amka": 0.20, "afm": 0.15, "gemi": 0.15, "licence": 0.13, "network": 0.12},
+    "alike": {"looks_alike": 0.7, "confusable": 0.3},
 }
 #: How many values a carrier sentence gets (fixed values).
 APPENDED = {"one": 0.5, "two": 0.35, "three": 0.15}
@@ -115,23 +143,28 @@ def render(values: DataFrame, weights: dict[str, float], seed: int, templates: d
     return r.select(key, "r.text", "r.label", info.alias("info"))
 
 
-def with_values(rows: DataFrame, seed: int, key: str = "ix") -> DataFrame:
-    """``key`` and a value for each slot of the templates, beside ``rows``' own columns."""
+def slots_of(kinds, templates: dict[str, list[str]] = TEMPLATES) -> list[str]:
+    """Names of the columns that the templates of some kinds need."""
+    return sorted({p["slot"] for k in kinds for t in templates[k] for p in parsed(t) if "slot" in p})
+
+
+def with_values(rows: DataFrame, seed: int, key: str = "ix", only: list[str] | None = None) -> DataFrame:
+    """``key`` and a value for each slot of the templates, or for those in ``only``, beside ``rows``' own columns."""
     ix = F.col(key)
-    drawn = identifiers(ix, seed) | {"person": person(ix, seed + 50), "other": person(ix, seed + 70), "address": address(ix, seed + 90)}
+    drawn = values(ix, seed + 30) | identifiers(ix, seed) | {"person": person(ix, seed + 50), "other": person(ix, seed + 70), "address": address(ix, seed + 90)}
     drawn["card"] = with_luhn(F.concat(F.lit("4"), digits(seed + 95, ix, 14)), 15)
-    return rows.select("*", *[v.alias(k) for k, v in drawn.items()])
+    return rows.select("*", *[v.alias(k) for k, v in drawn.items() if only is None or k in only])
 
 
 def pack(spark: SparkSession, name: str, n: int, seed: int) -> DataFrame:
     """``n`` records of a pack: ix, text, label, info."""
-    return render(with_values(spark.range(n).withColumnRenamed("id", "ix"), seed), PACKS[name], seed)
+    return render(with_values(spark.range(n).withColumnRenamed("id", "ix"), seed, only=slots_of(PACKS[name])), PACKS[name], seed)
 
 
 def appended(carriers: DataFrame, seed: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, text, label and info: every carrier's text with a clause of one to three values after it."""
     lead = carriers.select(key, F.col(text).alias("lead"))
-    return render(with_values(lead, seed, key), APPENDED, seed, key=key, lead="lead")
+    return render(with_values(lead, seed, key, slots_of(APPENDED)), APPENDED, seed, key=key, lead="lead")
 
 
 def announced(spark: SparkSession, per_class: int, seed: int) -> DataFrame:

@@ -372,3 +372,21 @@ def augmented_records(spark, d):
     return transform.augmented(t, "doc_id", 2, 5).withColumn("label", F.to_json("label"))
 
 
+
+
+@query(None)
+def gen_values(spark, d):
+    """A thousand values of every kind in their spellings; tested by their properties."""
+    from ..functions.values import value_table
+
+    return value_table(spark, 1000, 21)
+
+
+@query(W + """ SELECT doc_id, category, "start", "end" FROM gold""")
+def without_overlaps(spark, d):
+    """Predictions that overlap an earlier one that stays are discarded: each span with a piece of itself before it keeps the whole."""
+    from ..operators.greedy import discard_overlaps
+
+    g = gold(spark, d).select("doc_id", "category", "start", "end")
+    inner = g.where("end - start > 3").select("doc_id", F.lit("inner").alias("category"), (F.col("start") + 1).alias("start"), (F.col("end") + 1).alias("end"))
+    return discard_overlaps(g.unionByName(inner))
