@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,7 +54,7 @@ def _grams():
         total = np.zeros(_A**4, np.int64)
         for batch in batches:
             data, offs = utf8(batch.column("text"))
-            for lo, hi in pieces(offs, 4 << 20):
+            for lo, hi in pieces(offs, 1 << 20):
                 d = data[offs[lo] : offs[hi]]
                 s = _FOLD[0][d]
                 after = np.flatnonzero(d[:-1] == 0xC3)
@@ -100,11 +99,19 @@ def _arcs(c: str) -> list[tuple[int, str, float]]:
     return _ARCS[c]
 
 
-def flat_model(model: np.ndarray | array) -> array:
-    return model if isinstance(model, array) else array("f", np.ascontiguousarray(model, np.float32).tobytes())
+class FlatModel:
+    """A character model for lookups one by one; ``reach`` is what three symbols can differ by at most."""
 
+    def __init__(self, model: np.ndarray):
+        self.values = np.ascontiguousarray(model, np.float32).ravel().tolist()
+        self.reach = 3 * float(np.max(model) - np.min(model))
 
-def decode(token: str, model: np.ndarray | array) -> str:
+
+def flat_model(model: np.ndarray | FlatModel) -> FlatModel:
+    return model if isinstance(model, FlatModel) else FlatModel(model)
+
+
+def decode(token: str, model: np.ndarray | FlatModel) -> str:
     """The likeliest reading of a folded token, by exact Viterbi over its lattice.
 
     A state is the last three symbols read.  A state falls out only if it is
@@ -112,8 +119,8 @@ def decode(token: str, model: np.ndarray | array) -> str:
     both have the same context.  Spaces stay or are read over.  Time and memory
     are linear in the token's length.
     """
-    flat = flat_model(model)
-    reach = 3 * (max(flat) - min(flat)) if len(token) > 64 else math.inf
+    model = flat_model(model)
+    flat, reach = model.values, model.reach
     states: dict[int, tuple[float, int]] = {0: (0.0, 0)}
     parents, letters = [0], [""]
     run, last = 0, ""
@@ -154,7 +161,7 @@ def decode(token: str, model: np.ndarray | array) -> str:
     return "".join(reversed(out))
 
 
-def restore(token: str, model: np.ndarray | array) -> list[str]:
+def restore(token: str, model: np.ndarray | FlatModel) -> list[str]:
     """Words of one token as they would be written plainly; letters only, doubled letters once."""
     token = _EDGE.sub("", fold(token))
     if token.isalpha() and not _STRETCH.search(token):
@@ -173,7 +180,7 @@ def restore(token: str, model: np.ndarray | array) -> list[str]:
     return out
 
 
-def joined(parts: str, model: np.ndarray | array) -> list[str]:
+def joined(parts: str, model: np.ndarray | FlatModel) -> list[str]:
     """Words of parts between single spaces, where spaces may be part of the disguise."""
     parts = fold(parts)
     return [_DOUBLE.sub(r"\1", w) for w in decode(parts, model).split(" ") if w] if any(c.isalpha() for c in parts) else []
@@ -247,7 +254,7 @@ def _sums(shared):
 
         def of(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
             data, offs = utf8(col)
-            for lo, hi in pieces(offs, 4 << 20):
+            for lo, hi in pieces(offs, 1 << 20):
                 d, o = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 start, end, by_row = words(d, o)
                 u, first, inv = np.unique(slice_hashes(d, start, end), return_index=True, return_inverse=True)
