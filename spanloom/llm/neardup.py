@@ -85,7 +85,7 @@ def bag_min_hash(rows: np.ndarray, items: np.ndarray, weights: np.ndarray, n_row
 def _sign(k: int, m: int, per_band: int):
     def one(batch):
         data, offs = utf8(batch.column("text"))
-        for lo, hi in pieces(offs, 4 << 20):
+        for lo, hi in pieces(offs, 1 << 20):
             n = hi - lo
             rows, hashes = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)
             sig = mix(bag_min_hash(*multisets(rows, hashes), n, m).view(U64).ravel()).reshape(n, m)
@@ -128,7 +128,7 @@ def _verify(k: int, least: float):
     def one(batch):
         a, ao = utf8(batch.column("text_a"))
         b, bo = utf8(batch.column("text_b"))
-        for lo, hi in pieces(ao + bo, 4 << 20):
+        for lo, hi in pieces(ao + bo, 1 << 20):
             x = overlaps(shingles(a[ao[lo] : ao[hi]], ao[lo : hi + 1] - ao[lo], k), shingles(b[bo[lo] : bo[hi]], bo[lo : hi + 1] - bo[lo], k), hi - lo)
             on = pa.array(np.flatnonzero(x >= least))
             yield {"a": batch.column("a").slice(lo, hi - lo).take(on), "b": batch.column("b").slice(lo, hi - lo).take(on), "similarity": x[x >= least]}
