@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, fingerprint, langid, linededup, neardup, packing, pieces, substring, toxicity, warc
+from . import ann, filteraudit, fingerprint, langid, linededup, neardup, packing, pieces, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_nearest": ann.op9_nearest,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    "op11_filter_audit": filteraudit.op11_filter_audit,
 }
 
 #: Words that a window of 35 covers go if its sequence of words starts at two places or more.
@@ -80,9 +81,31 @@ r AS (SELECT id, id AS m FROM d UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.
 SELECT doc_id, class_id FROM documents x JOIN d ON d.t = coalesce(x.text, '') JOIN (SELECT id, min(m) AS class_id FROM r GROUP BY id) USING (id)
 """
 
+#: Documents by their failing filters, once for each order; a filter that fails at the first place removes.
+AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+u AS (SELECT t, min(doc_id) AS first FROM t GROUP BY t),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, concat(CASE WHEN len(ws) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' END,
+  CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > first THEN 'E' END) AS fails
+  FROM t JOIN u USING (t) LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, good, bad, fails, count(*) AS n FROM f GROUP BY ALL),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT concat(a.c, b.c, c.c, d.c, e.c) AS o FROM x a JOIN x b ON b.c <> a.c JOIN x c ON c.c NOT IN (a.c, b.c) JOIN x d ON d.c NOT IN (a.c, b.c, c.c) JOIN x e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+s AS (SELECT g.*, o, CASE WHEN fails = '' THEN 6 ELSE list_min(list_transform(range(1, length(fails) + 1), lambda i: strpos(o, fails[i]))) END AS hit FROM g CROSS JOIN o),
+r AS (SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, o[step] AS x, coalesce(sum(n) FILTER (hit > step), 0) AS kept, coalesce(sum(n) FILTER (hit = step), 0) AS removed,
+  coalesce(sum(n) FILTER (contains(fails, o[step]) AND hit < step), 0) AS redundant, coalesce(sum(n) FILTER (fails = o[step]), 0) AS unique_fails,
+  coalesce(sum(n) FILTER (hit = step AND good), 0) AS good_lost, coalesce(sum(n) FILTER (hit = step AND bad), 0) AS toxic_lost
+  FROM s, (SELECT unnest(range(1, 6)) AS step) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": WARC_SQL,
     "op5_line_dedup": LINES_SQL,
     "op8_near_duplicates": NEAR_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
+    "op11_filter_audit": AUDIT_SQL,
 }
