@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, filteraudit, fingerprint, langid, linededup, neardup, packing, pieces, substring, toxicity, warc
+from . import ann, filteraudit, fingerprint, langid, linededup, neardup, packing, pieces, substring, toxicity, vectorcodes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": ann.op9_nearest,
     "op10_substring_dedup": substring.op10_substring_dedup,
     "op11_filter_audit": filteraudit.op11_filter_audit,
+    "op12_vector_codes": vectorcodes.op12_vector_codes,
 }
 
 #: Words that a window of 35 covers go if its sequence of words starts at two places or more.
@@ -102,10 +103,32 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM r
 """
 
+
+
+def _codes_sql(rounds: int) -> str:
+    """Every part against all entries of its codebook, round after round."""
+    near = "n{k} AS MATERIALIZED (SELECT r, part, v, min(d) AS d, arg_min(e, (d, e)) AS e FROM (SELECT r, p.part, p.v, c.e, list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) AS d FROM p JOIN c{k} c USING (part)) GROUP BY ALL)"
+    mean = """c{m} AS MATERIALIZED (SELECT part, e, coalesce(x.v, c.v) AS v FROM c{k} c LEFT JOIN (SELECT part, e, list((s - (s % n + n) % n) // n ORDER BY i) AS v FROM
+ (SELECT part, e, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, e, v, unnest(range(1, len(v) + 1)) AS i FROM n{k}) GROUP BY ALL) GROUP BY ALL) x USING (part, e))"""
+    steps = [s for k in range(rounds) for s in (near.format(k=k), mean.format(k=k, m=k + 1))] + [near.format(k=rounds)]
+    return f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS v FROM k, (SELECT unnest(range(8)) AS part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS e, v FROM p WHERE r <= 16),
+{", ".join(steps)},
+o AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(x, ',' ORDER BY part, e, i)) FROM (SELECT part, e, unnest(v) AS x, unnest(range(len(v))) AS i FROM c{rounds})) AS codebooks_sha256
+FROM k JOIN o USING (r)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": WARC_SQL,
     "op5_line_dedup": LINES_SQL,
     "op8_near_duplicates": NEAR_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
     "op11_filter_audit": AUDIT_SQL,
+    "op12_vector_codes": _codes_sql(vectorcodes.ROUNDS),
 }
