@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, filteraudit, fingerprint, langid, linededup, neardup, packing, pieces, substring, toxicity, vectorcodes, warc
+from . import ann, filteraudit, fingerprint, langid, linededup, lmscore, neardup, packing, pieces, substring, toxicity, vectorcodes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": substring.op10_substring_dedup,
     "op11_filter_audit": filteraudit.op11_filter_audit,
     "op12_vector_codes": vectorcodes.op12_vector_codes,
+    "op13_lm_scores": lmscore.op13_lm_scores,
 }
 
 #: Words that a window of 35 covers go if its sequence of words starts at two places or more.
