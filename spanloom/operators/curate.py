@@ -16,10 +16,10 @@ def quality_reason(text: Column, low: int = 30, high: int = 5000) -> Column:
     )
 
 
-def first_of(docs: DataFrame, key: Column) -> DataFrame:
-    """The row with the smallest doc_id of each key."""
-    firsts = docs.select("doc_id", key.alias("k")).groupBy("k").agg(F.min("doc_id").alias("doc_id"))
-    return docs.join(firsts.select("doc_id"), "doc_id", "left_semi")
+def first_of(docs: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
+    """The row that comes first by ``order`` (an id, or ``seq`` of files read in order) of each key."""
+    firsts = docs.select(order, key.alias("k")).groupBy("k").agg(F.min(order).alias(order))
+    return docs.join(firsts.select(order), order, "left_semi")
 
 
 def skeleton_rank(docs: DataFrame, most: int = 300) -> DataFrame:

@@ -390,13 +390,10 @@ def parse_props(spark, d):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
     """The final state of a stream over the table's files."""
-    import tempfile
-    import uuid
-
+    from ..sources.storage import scratch
     from ..streaming.resume import distinct_stream
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanloom-")
-    at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     schema = "user_id long, event_type string"
     # A pattern, as the stream's reader takes a plain path for a folder.
     distinct_stream(spark, f"{d}/events.parque[t]", schema, ["user_id", "event_type"], f"{at}/out", f"{at}/state").awaitTermination()
@@ -439,4 +436,4 @@ def append_values(spark, d):
     return render.appended(docs(spark, d), 13).select("doc_id", "text", F.to_json("label").alias("label"))
 
 
-from . import curation, matching  # noqa: E402, F401
+from . import curation, files, matching  # noqa: E402, F401

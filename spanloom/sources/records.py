@@ -113,9 +113,21 @@ def commit_state(folder: str) -> dict:
     return {"commit": head.stdout.strip() or None, "dirty": bool(changes.stdout.strip()) if changes.returncode == 0 else None}
 
 
-def write_jsonl(df: DataFrame, path: str, files: int | None = None) -> None:
-    """JSON lines in UTF-8, nulls left out; in ``files`` files if given."""
-    (df.coalesce(files) if files else df).write.mode("errorifexists").json(path)
+def write_jsonl(df: DataFrame, path: str, files: int | None = None, order: str | list[str] | None = None) -> None:
+    """JSON lines in UTF-8, nulls left out; in ``files`` files if given.
+
+    With ``order`` the files, by name, hold the rows in it: rows are dealt by its
+    ranges and sorted in each, so no task holds them all.  A column ``seq`` that
+    alone gives the order is not written.
+    """
+    if order:
+        by = [order] if isinstance(order, str) else list(order)
+        dealt = df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)
+        df = dealt.sortWithinPartitions(*by)
+        df = df.drop("seq") if by == ["seq"] else df
+    elif files:
+        df = df.coalesce(files)
+    df.write.mode("errorifexists").json(path)
 
 
 def sibling(path: str, suffix: str = "_clean") -> str:
