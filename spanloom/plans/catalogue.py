@@ -436,4 +436,4 @@ def append_values(spark, d):
     return render.appended(docs(spark, d), 13).select("doc_id", "text", F.to_json("label").alias("label"))
 
 
-from . import curation, files, matching  # noqa: E402, F401
+from . import curation, decoders, files, matching  # noqa: E402, F401
