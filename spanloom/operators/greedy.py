@@ -2,16 +2,19 @@
 
 Expected spans (side 0) and predicted ones (side 1) are rows of one table.  Only
 spans that meet can match, so a document's spans fall into runs without a gap,
-and each rule is a fold over the few spans of a run.
+and each rule is a sweep over a run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sweep
+
 
 def sides(*spans: DataFrame) -> DataFrame:
     """Tables of spans as one: doc_id, side (the table's place), category, start, end, value."""
@@ -30,73 +33,48 @@ def runs(spans: DataFrame) -> DataFrame:
 
 
 def by_run(spans: DataFrame, *names: str) -> DataFrame:
-    """doc_id, run and for each side an array of structs k, start, end, category in order."""
+    """doc_id, run and for each side an array of structs start, end, category in order."""
     one = lambda k: F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("start", "end", "category"))))
-    numbered = lambda c: F.transform(c, lambda x, k: F.struct(k.alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["category"].alias("category")))
-    listed = runs(spans).groupBy("doc_id", "run").agg(*[one(k).alias(n) for k, n in enumerate(names)])
-    return listed.select("doc_id", "run", *[numbered(n).alias(n) for n in names])
-
-
-def meet(a: Column, b: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"]))
-
-
-def _equal(a: Column, b: Column) -> Column:
-    return (a["category"] == b["category"]) & (a["start"] == b["start"]) & (a["end"] == b["end"])
-
-
-def _first(found: Column) -> Column:
-    return F.get(found, F.lit(0))["k"]
+    return runs(spans).groupBy("doc_id", "run").agg(*[one(k).alias(n) for k, n in enumerate(names)])
 
 
-def gold_first(g: Column, free: Column) -> Column:
-    """An expected span takes an equal prediction, else the first free one that overlaps."""
-    return F.coalesce(_first(F.filter(free, lambda p: _equal(g, p))), _first(F.filter(free, lambda p: meet(g, p) > 0)))
+_PAIR = "kind string, gold_category string, gold_start int, gold_end int, pred_category string, pred_start int, pred_end int"
 
 
-def pred_first(p: Column, free: Column) -> Column:
-    """A prediction takes the first free expected span that it shares half of the shorter one with."""
-    size = lambda x: x["end"] - x["start"]
-    return _first(F.filter(free, lambda g: (meet(g, p) > 0) & (meet(g, p) >= 0.5 * F.least(size(g), size(p)))))
-
-
-def max_overlap(g: Column, free: Column) -> Column:
-    """An expected span takes the free prediction that overlaps most, the first of equals."""
-    best = F.array_max(F.transform(F.filter(free, lambda p: meet(g, p) > 0), lambda p: F.struct(meet(g, p).alias("n"), (-p["k"]).alias("k"))))
-    return -best["k"]
-
-
-#: Which side is gone through, and how one of its spans picks among the other side's free ones.
-RULES: dict[str, tuple[int, Callable[[Column, Column], Column]]] = {"gold_first": (0, gold_first), "pred_first": (1, pred_first), "max_overlap": (0, max_overlap)}
+def _parted(categories: np.ndarray, side: sweep.Side, at: np.ndarray, name: str) -> dict:
+    """Columns of the spans at the places ``at``; -1 gives nulls."""
+    some = at >= 0
+    pick = lambda x: [int(v) if s else None for v, s in zip(x[np.maximum(at, 0)] if len(x) else np.zeros(len(at), int), some, strict=True)]
+    codes = pick(side[2])
+    return {f"{name}_category": [None if c is None else str(categories[c]) for c in codes], f"{name}_start": pick(side[0]), f"{name}_end": pick(side[1])}
 
 
 def triage(spans: DataFrame, rule: str) -> DataFrame:
     """doc_id, kind (tp, boundary, confusion, missed, hallucinated), the expected and the predicted span's category, start and end."""
-    side, pick = RULES[rule]
-    ours, theirs = ("g", "p") if side == 0 else ("p", "g")
-    kind = "struct<used:array<int>,out:array<struct<g:int,p:int>>>"
-    none = F.lit(None).cast("int")
-    pair = lambda a, b: F.struct((a if side == 0 else b).alias("g"), (b if side == 0 else a).alias("p"))
-    zero = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<g:int,p:int>>").alias("out")).cast(kind)
+    side, *how = sweep.RULES[rule]
 
-    def step(s: Column, x: Column) -> Column:
-        k = pick(x, F.filter(theirs, lambda y: ~F.array_contains(s["used"], y["k"])))
-        return F.struct(F.when(k.isNotNull(), F.concat(s["used"], F.array(k))).otherwise(s["used"]).alias("used"), F.concat(s["out"], F.array(pair(x["k"], k))).alias("out")).cast(kind)
+    def one(categories: np.ndarray, g: sweep.Side, p: sweep.Side) -> dict:
+        ours, theirs = (g, p) if side == 0 else (p, g)
+        took = sweep.matched(ours, theirs, *how)
+        left = np.setdiff1d(np.arange(len(theirs[0])), took)
+        a, b = np.concatenate([np.arange(len(took)), np.full(len(left), -1)]), np.concatenate([took, left])
+        at = (a, b) if side == 0 else (b, a)
+        out = _parted(categories, g, at[0], "gold") | _parted(categories, p, at[1], "pred")
+        both = zip(out["gold_category"], out["gold_start"], out["gold_end"], out["pred_category"], out["pred_start"], out["pred_end"], strict=True)
+        kind = ["missed" if pc is None else "hallucinated" if gc is None else "tp" if (gc, gs, ge) == (pc, ps, pe) else "boundary" if gc == pc else "confusion" for gc, gs, ge, pc, ps, pe in both]
+        return {"kind": kind, **out}
 
-    left = lambda s: F.transform(F.filter(theirs, lambda y: ~F.array_contains(s["used"], y["k"])), lambda y: pair(none, y["k"]))
-    pairs = F.aggregate(ours, zero, step, lambda s: F.concat(s["out"], left(s)))
-    rows = by_run(spans, "g", "p").select("doc_id", "g", "p", F.explode(pairs).alias("m"))
-    g, p = F.get("g", F.col("m.g")), F.get("p", F.col("m.p"))
-    why = F.when(F.col("m.p").isNull(), "missed").when(F.col("m.g").isNull(), "hallucinated").when(_equal(g, p), "tp").when(g["category"] == p["category"], "boundary").otherwise("confusion")
-    return rows.select("doc_id", why.alias("kind"), *[x[c].alias(f"{n}_{c}") for n, x in (("gold", g), ("pred", p)) for c in ("category", "start", "end")])
+    return sweep.by_run(by_run(spans, "g", "p"), ("g", "p"), one, _PAIR)
 
 
 def discard_overlaps(spans: DataFrame) -> DataFrame:
     """doc_id, category, start, end of the spans that overlap no earlier one that stays; earlier by start, the longer of equals first."""
-    listed = F.array_sort(F.collect_list(F.struct("start", "end", "category")), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).when(a["category"] < b["category"], -1).when(a["category"] > b["category"], 1).otherwise(0))
-    kind = "array<struct<start:int,end:int,category:string>>"
-    kept = F.aggregate("s", F.array().cast(kind), lambda k, x: F.when(F.exists(k, lambda y: meet(x, y) > 0), k).otherwise(F.concat(k, F.array(x))))
-    return runs(spans).groupBy("doc_id", "run").agg(listed.alias("s")).select("doc_id", F.inline(kept)).select("doc_id", "category", "start", "end")
+
+    def one(categories: np.ndarray, s: sweep.Side) -> dict:
+        at = sweep.kept_apart(s)
+        return {"category": [str(categories[c]) for c in s[2][at]], "start": s[0][at].tolist(), "end": s[1][at].tolist()}
+
+    return sweep.by_run(by_run(spans.withColumn("side", F.lit(0)), "s"), ("s",), one, "category string, start int, end int")
 
 
 def detected_by(docs: DataFrame, detector: Callable[[list[str]], list[list[tuple[str, int, int]]]], at_once: int = 8) -> DataFrame:

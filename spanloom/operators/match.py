@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .greedy import by_run, meet
+from . import sweep
+from .greedy import by_run
 
 KEY = ["doc_id", "category", "start", "end"]
 
@@ -32,8 +34,12 @@ def exact(spans: DataFrame, side: int = 1) -> DataFrame:
 
 def overlaps(spans: DataFrame) -> DataFrame:
     """Pairs of an expected and a predicted span of one document whose ranges meet."""
-    pairs = F.flatten(F.transform("g", lambda g: F.transform(F.filter("p", lambda p: meet(g, p) > 0), lambda p: F.struct(*[x[c].alias(f"{n}_{c}") for n, x in (("gold", g), ("pred", p)) for c in KEY[1:]]))))
-    return by_run(spans, "g", "p").select("doc_id", F.inline(pairs))
+
+    def one(categories, g: sweep.Side, p: sweep.Side) -> dict:
+        a, b = sweep.pairs(g, p)
+        return {f"{n}_{c}": [str(categories[v]) for v in x[2][at]] if c == "category" else x[k][at].tolist() for n, x, at in (("gold", g, a), ("pred", p, b)) for k, c in ((2, "category"), (0, "start"), (1, "end"))}
+
+    return sweep.by_run(by_run(spans, "g", "p"), ("g", "p"), one, "gold_category string, gold_start int, gold_end int, pred_category string, pred_start int, pred_end int")
 
 
 def multiset(spans: DataFrame) -> DataFrame:
@@ -44,14 +50,20 @@ def multiset(spans: DataFrame) -> DataFrame:
 
 def regressions(spans: DataFrame) -> DataFrame:
     """Expected spans that side 1 found and side 2 lost: doc_id, category, start, end, and the category of side 2's first span there or <NOTHING>."""
-    same = lambda g, side: F.exists(side, lambda p: (p["category"] == g["category"]) & (meet(g, p) > 0))
-    lost = F.filter("g", lambda g: same(g, "p") & ~same(g, "q"))
-    there = lambda g: F.coalesce(F.get(F.filter("q", lambda p: meet(g, p) > 0), F.lit(0))["category"], F.lit("<NOTHING>"))
-    return by_run(spans, "g", "p", "q").select("doc_id", F.inline(F.transform(lost, lambda g: F.struct(g["category"].alias("category"), g["start"].alias("start"), g["end"].alias("end"), there(g).alias("instead")))))
+
+    def one(categories, g: sweep.Side, p: sweep.Side, q: sweep.Side) -> dict:
+        at = np.flatnonzero(sweep.same_met(g, p) & ~sweep.same_met(g, q))
+        there = sweep.first_met(g, q)[at]
+        return {"category": [str(categories[c]) for c in g[2][at]], "start": g[0][at].tolist(), "end": g[1][at].tolist(), "instead": [str(categories[q[2][k]]) if k >= 0 else "<NOTHING>" for k in there]}
+
+    return sweep.by_run(by_run(spans, "g", "p", "q"), ("g", "p", "q"), one, "category string, start int, end int, instead string")
 
 
 def recalls(spans: DataFrame) -> DataFrame:
     """category, first, second, lost: expected spans that sides 1 and 2 found, and those found by side 1 alone."""
-    same = lambda g, side: F.exists(side, lambda p: (p["category"] == g["category"]) & (meet(g, p) > 0))
-    rows = by_run(spans, "g", "p", "q").select(F.inline(F.transform("g", lambda g: F.struct(g["category"].alias("category"), same(g, "p").alias("one"), same(g, "q").alias("two")))))
+
+    def one(categories, g: sweep.Side, p: sweep.Side, q: sweep.Side) -> dict:
+        return {"category": [str(categories[c]) for c in g[2]], "one": sweep.same_met(g, p).tolist(), "two": sweep.same_met(g, q).tolist()}
+
+    rows = sweep.by_run(by_run(spans, "g", "p", "q"), ("g", "p", "q"), one, "category string, one boolean, two boolean")
     return rows.groupBy("category").agg(F.count_if("one").alias("first"), F.count_if("two").alias("second"), F.count_if(F.col("one") & ~F.col("two")).alias("lost"))

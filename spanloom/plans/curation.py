@@ -40,11 +40,30 @@ def resolve_each_wrapping(spark, d):
     return listed(spark, d, True).select("doc_id", F.inline(resolve.resolve(F.col("text"), F.col("v"), "each", fall_back=True)))
 
 
-@query(W + _AGAIN + ' SELECT doc_id, label, "start", "end" FROM p WHERE doc_id NOT IN (SELECT doc_id FROM p WHERE r > places)')
+@query(W + _LISTED + """, l2 AS (SELECT doc_id, label, value, i FROM l1 UNION ALL SELECT doc_id, label, value, i + n FROM l1 JOIN documents USING (doc_id) WHERE n_chars % 2 = 1),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, value ORDER BY i) AS r, string_split(text, value) AS parts FROM l2 JOIN (SELECT doc_id, text FROM documents) USING (doc_id))
+SELECT doc_id, label, CAST(list_sum(list_transform(parts[1:r], lambda x: length(x))) + (r - 1) * length(value) AS INTEGER) AS "start", CAST(list_sum(list_transform(parts[1:r], lambda x: length(x))) + r * length(value) AS INTEGER) AS "end"
+FROM c2 WHERE doc_id NOT IN (SELECT doc_id FROM c2 WHERE r > len(parts) - 1)""")
 def resolve_each_strict(spark, d):
-    """A cursor for each value; a record with a value that runs out is dropped."""
-    x = listed(spark, d, True).select("doc_id", resolve.resolve(F.col("text"), F.col("v"), "each", strict=True).alias("s"))
-    return x.where("s is not null").select("doc_id", F.inline("s"))
+    """A cursor for each value; a record with a value that runs out is dropped, as are all that list their values twice and hold them once."""
+    return _twice(spark, d).select("doc_id", F.inline(resolve.resolve(F.col("text"), F.col("v"), "each", strict=True)))
+
+
+def _twice(spark, d):
+    """doc_id, text and v: found values in digest order, twice over where n_chars is odd."""
+    rows = listed(spark, d).join(docs(spark, d).select("doc_id", "n_chars"), "doc_id")
+    return rows.select("doc_id", "text", F.when(F.col("n_chars") % 2 == 1, F.concat("v", "v")).otherwise(F.col("v")).alias("v"))
+
+
+@query(W + _LISTED + """, l2 AS (SELECT doc_id, label, value, i FROM l1 UNION ALL SELECT doc_id, label, value, i + n FROM l1 JOIN documents USING (doc_id) WHERE n_chars % 2 = 1),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, value ORDER BY i) > len(string_split(text, value)) - 1 AS missed FROM l2 JOIN (SELECT doc_id, text FROM documents) USING (doc_id)),
+w AS (SELECT doc_id, i, CASE WHEN missed THEN concat('not_found: ', value) WHEN label NOT IN ('card', 'email', 'ipv4', 'phone') THEN concat('unknown_label: ', label) END AS problem FROM c2)
+SELECT doc_id, coalesce(arg_min(problem, i) FILTER (problem IS NOT NULL), '') AS problem, CASE WHEN count(problem) = 0 THEN count(*) ELSE 0 END AS n_spans FROM w GROUP BY doc_id""")
+def resolved_cases(spark, d):
+    """Cases whose values can't all be placed or whose labels the label space lacks, with the first fault, and the sound ones."""
+    cases = _twice(spark, d)
+    out = resolve.resolved_cases(cases, ("card", "email", "ipv4", "phone"), "doc_id")
+    return out.select("doc_id", F.coalesce("problem", F.lit("")).alias("problem"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"))
 
 
 def _walk(miss: str) -> str:
@@ -76,28 +95,50 @@ def numbered_items(spark, d):
     return docs(spark, d).select("doc_id", F.inline(resolve.numbered_lines(content, 5)))
 
 
-def answers(spark, d):
-    """Answers of a model, plain, led in or broken, over texts that hold the value or don't."""
-    good = F.lit('[{"label": "x", "value": "alpha"}, {"label": "y", "value": "beta"}]')
-    content = F.when(F.col("doc_id") % 4 == 0, good).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Ορίστε:\n"), good, F.lit("\nok"))).when(F.col("doc_id") % 4 == 2, "no list").otherwise("[]")
-    text = F.when(F.col("doc_id") % 3 == 0, "alpha or beta").when(F.col("doc_id") % 3 == 1, "beta, then alpha").otherwise("alpha alone")
-    a = docs(spark, d).select("doc_id", text.alias("text"), resolve.json_spans(content).alias("v"))
+def answers(spark, d, objects: bool = False):
+    """Answers of a model that list each document's values in digest order: plain, led in, with brackets in labels, with an item that is no object, as prose, or inside an object."""
+    listed_ = docs(spark, d).select("doc_id", "text", "n_chars", all_spans(F.col("text")).alias("s")).where("text is not null")
+    order = F.array_sort(F.transform("s", lambda x: F.struct(F.md5(F.concat(x["value"], x["start"].cast("string"))).alias("o"), x["category"].alias("label"), x["value"].alias("value"))))
+    kind = F.col("n_chars") % 6
+    plain = F.to_json(F.transform(order, lambda x: F.struct(F.concat(x["label"], F.when(kind == 2, "]").otherwise("")).alias("label"), x["value"].alias("value"))))
+    content = (
+        F.when(kind == 0, plain).when(kind == 1, F.concat(F.lit("As in [1]:\n"), plain, F.lit("\nok"))).when(kind == 2, F.concat(F.lit("They are "), plain, F.lit(" [end]")))
+        .when(kind == 3, F.concat(F.lit("[5"), F.when(F.size("s") > 0, ", ").otherwise(""), F.substring(plain, 2, 1 << 30))).when(kind == 4, F.concat(F.lit("There are "), F.size("s").cast("string"), F.lit(" [spans]."))).otherwise(F.concat(F.lit('{"spans": '), plain, F.lit("}")))
+    )
+    a = listed_.select("doc_id", "text", resolve.json_spans(content, objects).alias("v"))
     return a.withColumn("s", resolve.resolve(F.col("text"), F.col("v"), strict=True))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN NULL WHEN doc_id % 4 = 3 THEN 0 ELSE 2 END::INTEGER AS n FROM documents")
+_ANSWERED = """, a AS (SELECT doc_id, n_chars % 6 AS kind, coalesce(n, 0) AS n, coalesce(found, 0) AS found FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM l1 GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) FILTER (i > 0 AND s >= 0) AS found FROM w GROUP BY 1) USING (doc_id) WHERE text IS NOT NULL)"""
+
+
+def _accounts(extra: str) -> str:
+    out = _walk("-1").rpartition("SELECT doc_id, label, CAST(s AS INTEGER)")[0].rstrip()
+    return out + _ANSWERED + extra
+
+
+@query(_accounts(" SELECT doc_id, CASE kind WHEN 4 THEN NULL WHEN 3 THEN n + 1 ELSE n END::INTEGER AS n, CASE kind WHEN 4 THEN NULL ELSE n END::INTEGER AS n_objects FROM a"))
 def parsed_answers(spark, d):
-    return answers(spark, d).select("doc_id", F.size("v").alias("n")).withColumn("n", F.expr("if(n < 0, null, n)"))
+    """How many items each answer lists, all and objects only; null where it holds no list."""
+    both = answers(spark, d).select("doc_id", F.size("v").alias("n")).join(answers(spark, d, True).select("doc_id", F.size("v").alias("n_objects")), "doc_id")
+    return both.select("doc_id", *[F.expr(f"if({c} < 0, null, {c})").alias(c) for c in ("n", "n_objects")])
 
 
-@query("""SELECT count(*) AS records, count(*) FILTER (doc_id % 4 = 2) AS parse_drop, count(*) FILTER (doc_id % 4 IN (0, 1) AND doc_id % 3 <> 0) AS offset_drop, count(*) FILTER (doc_id % 4 = 3 OR doc_id % 4 IN (0, 1) AND doc_id % 3 = 0) AS kept FROM documents""")
+@query(_accounts(""" SELECT items, count(*) AS records, count(*) FILTER (kind = 4) AS parse_drop, count(*) FILTER (kind <> 4 AND (found < n OR kind = 3 AND items = 'all')) AS offset_drop, count(*) FILTER (kind <> 4 AND found = n AND (kind <> 3 OR items = 'objects')) AS kept
+ FROM a, (VALUES ('all'), ('objects')) v(items) GROUP BY items"""))
 def answer_accounting(spark, d):
-    return resolve.accounted(answers(spark, d), "v", "s")
+    """Answers without a list, those with a value that isn't where it should be, and the rest, with items that are no objects held against an answer or left out."""
+    one = lambda items, objects: resolve.accounted(answers(spark, d, objects), "v", "s").select(F.lit(items).alias("items"), "*")
+    return one("all", False).unionByName(one("objects", True))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '' ELSE 'Η πρόταση.' END AS line FROM documents")
+@query(r"""WITH r AS (SELECT doc_id, CASE n_chars % 5 WHEN 0 THEN text WHEN 1 THEN 'Σίγουρα!' || chr(10) || chr(10) || '- «' || text WHEN 2 THEN '"' || string_split(text, chr(10))[1] || '"' WHEN 3 THEN 'Ορίστε:' ELSE 'Παράδειγμα: ' || chr(10) || '• ' || text END AS raw FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(trim(raw), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT list_bool_or(list_transform(['Παράδειγμα', 'Σίγουρα!', 'Φυσικά!', 'Βεβαίως!', 'Συγχαρητήρια!', 'Ορίστε:', 'Ιδού:', 'Εδώ είναι:', 'Ναι!', 'Ένα παράδειγμα πρότασης είναι:', 'Ένα παράδειγμα είναι:'], lambda p: starts_with(x, p)))) AS ls FROM r)
+SELECT doc_id, coalesce(trim(regexp_replace(regexp_replace(ls[1], '^([-•—*] |["«''`])+[ \t\r\n\f]*', ''), '["»''`]+$', '')), '') AS line FROM l""")
 def unwrapped_answers(spark, d):
-    raw = F.element_at(F.array(F.lit("Η πρόταση."), F.lit("Σίγουρα!\n\n- «Η πρόταση.»\nκαι άλλη"), F.lit('"Η πρόταση."'), F.lit("Ορίστε:"), F.lit("Παράδειγμα: \n• Η πρόταση.")), (F.col("doc_id") % 5 + 1).cast("int"))
+    """Each document's first line, taken back out of an answer that leads to it, quotes it or lists it."""
+    kind, text, first = F.col("n_chars") % 5, F.col("text"), F.get(F.split("text", "\n"), F.lit(0))
+    raw = F.when(kind == 0, text).when(kind == 1, F.concat(F.lit("Σίγουρα!\n\n- «"), text)).when(kind == 2, F.concat(F.lit('"'), first, F.lit('"'))).when(kind == 3, "Ορίστε:").otherwise(F.concat(F.lit("Παράδειγμα: \n• "), text))
     return docs(spark, d).select("doc_id", greek.unwrapped(raw).alias("line"))
 
 

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from spanloom.functions.spans import detect
-from spanloom.operators import greedy, match, report
+from spanloom.operators import greedy, match, report, sweep
 from spanloom.operators.curate import digest_rank, stratified_split
 from spanloom.operators.quota import quota_split
 from spanloom.operators.resolve import json_spans, numbered_lines, resolve
@@ -73,7 +73,7 @@ def test_greedy_rules_against_loops(spark):
         docs[i] = tuple(sorted((one() for _ in range(rng.randrange(7))), key=lambda s: (s[1], s[2], s[0])) for _ in range(2))
     rows = [(i, side, *s) for i, both in docs.items() for side in (0, 1) for s in both[side]]
     spans = spark.createDataFrame(rows, SPAN)
-    for rule in greedy.RULES:
+    for rule in sweep.RULES:
         got = sorted(((r.doc_id, r.gold_category, r.gold_start, r.gold_end, r.pred_category, r.pred_start, r.pred_end) for r in greedy.triage(spans, rule).collect()), key=str)
         want = sorted(((i, *(g or (None,) * 3), *(p or (None,) * 3)) for i, (gold, pred) in docs.items() for g, p in python_rule(gold, pred, rule)), key=str)
         assert got == want, rule
