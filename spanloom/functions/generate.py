@@ -106,7 +106,11 @@ def person(ix: Column, seed: int, titled: float = 0.2, turned: float = 0.2) -> C
     return F.concat(F.when(share(2) < titled, F.element_at(of["titles"], (share(3) * 3).cast("int") + 1)).otherwise(""), name)
 
 
+STREETS = ("Κυκλαμίνων", "Αμυγδαλιάς", "Ρεματιάς", "Πευκώνα", "Δελφινιών", "Ανεμώνας")
+CITIES = ("Νάουσα", "Άμφισσα", "Λεωνίδιο", "Μέτσοβο", "Ύδρα")
+
+
 def address(ix: Column, seed: int) -> Column:
-    street, city = chosen(seed, ix, ["Ερμού", "Σταδίου", "Αθηνάς", "Κοραή", "Σόλωνος"]), chosen(seed + 1, ix, ["Αθήνα", "Πάτρα", "Βόλος", "Χανιά"])
+    street, city = chosen(seed, ix, list(STREETS)), chosen(seed + 1, ix, list(CITIES))
     number, code = (digits(seed + 2, ix, 4).cast("int") % 199 + 1).cast("string"), digits(seed + 3, ix, 3)
     return F.concat(street, F.lit(" "), number, F.lit(", "), F.lit("1"), F.substr(code, F.lit(1), F.lit(2)), F.lit(" "), F.substr(code, F.lit(2), F.lit(2)), F.lit(" "), city)

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .generate import NAMES, SURNAMES, person, with_luhn
+from .generate import CITIES, NAMES, STREETS, SURNAMES, person, with_luhn
 from .spans import let
 
 # Fixed values.
@@ -17,12 +17,11 @@ VIN_LETTERS = "ABCDEFGHJKLMNPRSTUVWXYZ" + string.digits
 TOKEN_PREFIXES = ("tk_live_", "tk_test_", "gpat_", "ghs_", "AKIA", "ASIA", "tok_", "key_", "whsec_", "xoxb-", "xoxp-", "Bearer ", "ya29.", "EAA", "")
 SHORT_MONTHS = ("Ιαν", "Φεβ", "Μαρ", "Απρ", "Μαϊ", "Ιουν", "Ιουλ", "Αυγ", "Σεπ", "Οκτ", "Νοε", "Δεκ")
 
-STREETS = ("Ερμού", "Σταδίου", "Αθηνάς", "Κοραή", "Σόλωνος", "Πατησίων")
-OLD_STREETS = ("Ἑρμοῦ", "Ἀθηνᾶς", "Σταδίου", "Αἰόλου")
-CITIES = ("Αθήνα", "Πάτρα", "Βόλος", "Χανιά", "Λάρισα")
-OLD_CITIES = ("Ἀθῆναι", "Πάτραι", "Πειραιεύς")
+#: Own lists; streets and cities of old spellings have the same names with their old marks.
+OLD_STREETS = ("Κυκλαμίνων", "Ἀμυγδαλιᾶς", "Ῥεματιᾶς", "Ἀνεμώνας")
+OLD_CITIES = ("Ἄμφισσα", "Ὕδρα", "Λεωνίδιον")
 MONTHS = ("Ιανουαρίου", "Μαρτίου", "Μαΐου", "Ιουλίου", "Οκτωβρίου")
-WORDS = ("Pass", "Admin", "Token", "Athens", "Server", "Local")
+WORDS = ("Marble", "Kite", "Violet", "Harbour", "Quince")
 HOSTS = ("example.gr", "shop.example.gr", "portal.example.gr", "docs.example.com")
 LATIN = string.ascii_lowercase + string.digits
 
@@ -86,7 +85,6 @@ def values(ix: Column, seed: int) -> dict[str, Column]:
     brand = valid(F.substring(F.concat(pick(s + 36, ix, "4", "5", "37"), n(37, 15)), 1, 15), 15)
     part = lambda k: signs(s + k, ix, pick(s + k + 1, ix, 4, 6, 8, 12), LATIN)
     path = F.concat(F.lit("/"), part(40), F.when(share(s + 42, ix, 0.6), F.concat(F.lit("/"), part(43))).otherwise(""), F.when(share(s + 45, ix, 0.3), F.concat(F.lit("?"), pick(s + 46, ix, "id", "token", "ref", "q"), F.lit("="), signs(s + 47, ix, 8, LATIN))).otherwise(""))
-    word = lambda k: F.when(share(s + k, ix, 0.5), pick(s + k + 1, ix, *WORDS)).otherwise(signs(s + k + 2, ix, whole(s + k + 3, ix, 3, 6), string.ascii_letters + string.digits))
     mark = lambda k: pick(s + k, ix, "#", "$", "!", "&", "@", "?", "*", "_", "")
     name = person(ix, seed + 11, 0.0)
     return {
@@ -99,14 +97,16 @@ def values(ix: Column, seed: int) -> dict[str, Column]:
         "url": pick(s + 39, ix, *[F.concat(F.lit(a), latin(48, first), whole(s + 49, ix, 10, 99).cast("string"), F.lit(b)) for a, b in (("https://www.example.gr/", ""), ("http://", ".example.gr"), ("https://example.gr/user/", "/"), ("www.example.gr/~", ""), ("https://example.com/in/", ""))]),
         "deep_url": F.concat(pick(s + 50, ix, "https://", "http://"), pick(s + 51, ix, *HOSTS), path),
         "address": pick(s + 52, ix, F.concat_ws(" ", street, F.concat(number, F.lit(",")), city, code), F.concat_ws(" ", street, F.concat(number, F.lit(",")), code, city), F.concat_ws(" ", street, number, F.lit("-"), city)),
-        "boundary_address": pick(s + 53, ix, F.concat(street, F.lit(" "), suffixed, F.lit(", "), code, F.lit(" "), city), F.concat(street, F.lit(" "), suffixed, F.lit(", Τ.Κ. "), code, F.lit(", "), city), F.concat(F.lit("Οδός "), street, F.lit(" "), suffixed), F.concat(street, F.lit(" "), suffixed)),
+        # A street and a number that may have a letter, alone or before a city with its code.
+        "boundary_address": F.concat(street, F.lit(" "), suffixed, F.when(share(s + 53, ix, 0.5), F.concat(F.lit(", Τ.Κ. "), code, F.lit(" "), city)).otherwise("")),
         "old_address": F.concat(pick(s + 54, ix, *OLD_STREETS), F.lit(" "), whole(s + 55, ix, 1, 99).cast("string"), F.when(share(s + 56, ix, 0.5), F.concat(F.lit(", "), pick(s + 57, ix, *OLD_CITIES))).otherwise("")),
         "date": pick(s + 58, ix, F.concat_ws("/", two(day), two(month), year), F.concat_ws("-", two(day), two(month), year), F.concat_ws(" ", day.cast("string"), F.element_at(F.array(*[F.lit(m) for m in SHORT_MONTHS]), month), year), year),
         "greek_date": F.concat_ws(" ", day.cast("string"), pick(s + 59, ix, *MONTHS), year),
         "account": signs(s + 60, ix, pick(s + 61, ix, 10, 12, 14)),
         "secret": F.concat(F.lit("sk-"), signs(s + 62, ix, pick(s + 63, ix, 16, 20, 24, 32), string.ascii_uppercase + string.digits)),
         "token": F.concat(pick(s + 64, ix, *TOKEN_PREFIXES), signs(s + 65, ix, pick(s + 66, ix, 20, 24, 28, 32, 36, 40, 48, 56, 64), string.ascii_letters + string.digits + "_-")),
-        "password": F.concat(word(70), mark(74), word(75), F.when(share(s + 79, ix, 0.6), pick(s + 80, ix, "!", "#", "$", "@", "?", "*")).otherwise(""), F.when(share(s + 81, ix, 0.7), whole(s + 82, ix, 2024, 2027).cast("string")).otherwise("")),
+        # A word and six to ten signs with a mark between or behind.
+        "password": let(F.struct(pick(s + 70, ix, *WORDS).alias("w"), signs(s + 71, ix, whole(s + 72, ix, 6, 10), string.ascii_letters + string.digits).alias("x"), mark(74).alias("m")), lambda v: pick(s + 73, ix, F.concat(v["w"], v["m"], v["x"]), F.concat(v["x"], v["w"], v["m"]))),
         "passport": F.concat(signs(s + 83, ix, 2, string.ascii_uppercase), n(84, 7)),
         "plate": F.concat(signs(s + 85, ix, 3, PLATE_LETTERS), pick(s + 86, ix, "-", " ", ""), n(87, 4)),
         "vin": signs(s + 88, ix, 17, VIN_LETTERS),

@@ -47,8 +47,15 @@ def digest_rank(docs: DataFrame, group: str, seed: int) -> DataFrame:
     return d.withColumn("own", own).join(n, (F.col("part") == F.col("at")) & F.col(group).eqNullSafe(F.col("of"))).select("doc_id", group, (F.col("own") + F.col("before")).alias("rn"))
 
 
+def check_ratios(ratios: dict[str, float], off: float = 1e-6) -> None:
+    """Ratios that are negative or don't add up to 1 are an error."""
+    if min(ratios.values(), default=0) < 0 or abs(sum(ratios.values()) - 1) > off:
+        raise ValueError(f"ratios, none of them negative, add up to {sum(ratios.values())}, not to 1: {ratios}")
+
+
 def stratified_split(docs: DataFrame, stratum: str, ratios: dict[str, float], seed: int) -> DataFrame:
     """Largest-remainder quotas of each stratum, filled in digest order; ties go to the earlier bucket."""
+    check_ratios(ratios)
     names = list(ratios)
     n = docs.groupBy(stratum).agg(F.count("*").alias("n"))
     quota = n.select(stratum, "n", F.posexplode(F.array(*[F.struct(F.lit(k).alias("split"), F.lit(r).cast("double").alias("ratio")) for k, r in ratios.items()])).alias("ix", "b"))
@@ -63,14 +70,9 @@ def stratified_split(docs: DataFrame, stratum: str, ratios: dict[str, float], se
     return ranked.select("doc_id", stratum, split.alias("split"))
 
 
-def check_ratios(ratios: dict[str, float], off: float = 1e-6) -> None:
-    """Ratios that don't add up to 1 are an error."""
-    if abs(sum(ratios.values()) - 1) > off:
-        raise ValueError(f"ratios add up to {sum(ratios.values())}, not to 1")
-
-
 def ratio_split(docs: DataFrame, train: float, validation: float, seed: int) -> DataFrame:
     """doc_id, split: int(n * train) rows and int(n * validation) rows in digest order, the rest test."""
+    check_ratios({"train": train, "validation": validation, "test": 1 - train - validation})
     n = docs.count()
     first = int(n * train)
     second = first + int(n * validation)

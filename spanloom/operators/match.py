@@ -48,6 +48,14 @@ def multiset(spans: DataFrame) -> DataFrame:
     return n.agg(F.sum(F.least("g", "p")).alias("tp"), F.sum(F.greatest(F.col("p") - F.col("g"), F.lit(0))).alias("fp"), F.sum(F.greatest(F.col("g") - F.col("p"), F.lit(0))).alias("fn"))
 
 
+def sets(spans: DataFrame) -> DataFrame:
+    """category (and (all)), tp, fp, fn over each document's set of (category, value), white space collapsed and case kept."""
+    value = F.trim(F.regexp_replace("value", r"(?U)\s+", " "))
+    own = spans.where("side in (0, 1)").groupBy("doc_id", "category", value.alias("v")).agg(F.max(F.col("side") == 0).alias("g"), F.max(F.col("side") == 1).alias("p"))
+    c = own.rollup("category").agg(F.grouping("category").alias("every"), F.count_if(F.col("g") & F.col("p")).alias("tp"), F.count_if(~F.col("g") & F.col("p")).alias("fp"), F.count_if(F.col("g") & ~F.col("p")).alias("fn"))
+    return c.select(F.when(F.col("every") == 1, "(all)").otherwise(F.col("category")).alias("category"), "tp", "fp", "fn")
+
+
 def regressions(spans: DataFrame) -> DataFrame:
     """Expected spans that side 1 found and side 2 lost: doc_id, category, start, end, and the category of side 2's first span there or <NOTHING>."""
 

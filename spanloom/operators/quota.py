@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .curate import draw
+from .curate import check_ratios, draw
 
 
 def quota_split(docs: DataFrame, group: str, hard: str, target: int, seed: int, shares: tuple[float, ...] = (0.7, 0.15, 0.1)) -> DataFrame:
@@ -15,6 +15,7 @@ def quota_split(docs: DataFrame, group: str, hard: str, target: int, seed: int,
     for which ``hard`` is true fill it first, in digest order, and those that
     don't fit join the others, who fill train, validation and test.
     """
+    check_ratios({str(k): x for k, x in enumerate((*shares, 1 - sum(shares)))})
     cuts = [int(target * s) for s in shares]
     spare = target - sum(cuts)
     w = Window.partitionBy(group)

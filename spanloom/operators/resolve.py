@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .validate import whole_json
+
 _SPANS = "array<struct<label:string,start:int,end:int>>"
 _ARROW = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -124,7 +126,7 @@ def json_spans(content: Column, objects: bool = False) -> Column:
     Items that are no objects, or without a label or a value, have a null value,
     which ``resolve`` never finds; with ``objects`` items that are none are left out.
     """
-    whole, part = F.try_parse_json(F.trim(content)), F.try_parse_json(F.regexp_extract(content, ANSWER_LIST, 1))
+    whole, part = whole_json(F.trim(content)), F.try_parse_json(F.regexp_extract(content, ANSWER_LIST, 1))
     listed = lambda v: F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
     items = F.try_variant_get(F.when(listed(whole), whole).when(listed(part), part), "$", "array<variant>")
     if objects:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,25 +13,53 @@ from ..functions.greek import reformatted
 
 #: Greek letters and their Latin forms, one to one and then digraphs.
 _SINGLE = ("αβγδεζηικλμνξοπρσςτυφωΑΒΓΔΕΖΗΙΚΛΜΝΞΟΠΡΣΤΥΦΩ", "avgdeziiklmnxoprsstyfoAVGDEZIIKLMNXOPRSTYFO")
-_DOUBLE = {"θ": "th", "χ": "ch", "ψ": "ps", "Θ": "Th", "Χ": "Ch", "Ψ": "Ps"}
-
-
-def _accented() -> tuple[str, str]:
-    """Greek letters with marks, polytonic ones too, and their plain forms, by decomposition."""
-    pairs = []
-    for c in map(chr, [*range(0x370, 0x400), *range(0x1F00, 0x2000)]):
-        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
-        if len(bare) == 1 and bare != c:
-            pairs.append((c, bare))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-_ACCENTED = _accented()
+_DOUBLE = {"θ": "th", "χ": "ch", "ψ": "ps", "Θ": "Th", "Χ": "Ch", "Ψ": "Ps", "ϴ": "Th"}
+_HANGUL = range(0xAC00, 0xD7A4)
+
+
+@cache
+def _marks() -> tuple[str, str, str, dict[str, str]]:
+    """A class of all marks that take no room, letters with such marks and their plain forms, one to one, and those of several characters."""
+    marks, one, many = [], {}, {}
+    for k in range(sys.maxunicode + 1):
+        c = chr(k)
+        if unicodedata.category(c) == "Mn":
+            if marks and marks[-1][1] == k - 1:
+                marks[-1][1] = k
+            else:
+                marks.append([k, k])
+        elif k not in _HANGUL and unicodedata.decomposition(c) and (bare := unicodedata.normalize("NFD", c)) != c:
+            bare = "".join(x for x in bare if unicodedata.category(x) != "Mn")
+            (one if len(bare) == 1 else many)[c] = bare
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in marks) + "]", "".join(one), "".join(one.values()), many
+
+
+def _syllables(text: Column) -> Column:
+    """Each Hangul syllable as its two or three letters."""
+    letter = lambda k: F.decode(F.unhex(F.lpad(F.hex(k), 4, "0")), "UTF-16BE")
+
+    def one(c: Column) -> Column:
+        k = F.call_function("ascii", c) - _HANGUL.start
+        last = F.pmod(k, F.lit(28))
+        parts = F.concat(letter(F.floor(k / 588) + 0x1100), letter(F.floor(F.pmod(k, F.lit(588)) / 28) + 0x1161), F.when(last > 0, letter(last + 0x11A7)).otherwise(""))
+        return F.when(c.rlike(r"^[\x{AC00}-\x{D7A3}]$"), parts).otherwise(c)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)[\x{AC00}-\x{D7A3}]|[^\x{AC00}-\x{D7A3}]+"), 0), one), "")
+
+
+def without_marks(text: Column) -> Column:
+    """The canonical decomposition without marks that take no room, as in café: cafe."""
+    marks, letters, bare, many = _marks()
+    out = F.translate(text, letters, bare)
+    for c, to in many.items():
+        out = F.replace(out, F.lit(c), F.lit(to))
+    out = F.when(out.rlike(r"[\x{AC00}-\x{D7A3}]"), _syllables(out)).otherwise(out)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(out, marks, "")).otherwise(text)
 
 
 def transliterate(text: Column) -> Column:
-    """Greek letters in Latin ones, accents dropped; other characters stay."""
-    out = F.translate(F.translate(text, *_ACCENTED), *_SINGLE)
+    """Greek letters in Latin ones; all text is decomposed and loses its accents, other characters stay."""
+    out = F.translate(without_marks(text), *_SINGLE)
     for a, b in _DOUBLE.items():
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -54,17 +84,24 @@ def splice(text: Column, spans: Column) -> Column:
 
 
 def chunks(text: Column, least: int, most: int) -> Column:
-    """Sentences packed greedily into chunks of at most ``most`` characters; chunks under ``least`` go, a longer sentence stays whole."""
+    """Sentences packed greedily into chunks of at most ``most`` characters; chunks under ``least`` go, a longer sentence stays whole.
+
+    A chunk that fills up from nothing counts one more than it has, for a space
+    before its first sentence, against both limits; one that begins where another
+    ends doesn't.  A text of at most ``most`` characters is one chunk.
+    """
     flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    kind = "struct<buffer:string,done:array<string>>"
-    zero = F.struct(F.lit("").alias("buffer"), F.array().cast("array<string>").alias("done")).cast(kind)
+    kind = "struct<buffer:string,n:int,done:array<string>>"
+    zero = F.struct(F.lit(None).cast("string").alias("buffer"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("done")).cast(kind)
+    long_enough = lambda s: F.concat(s["done"], F.when(s["buffer"].isNotNull() & (s["n"] >= least), F.array(s["buffer"])).otherwise(F.array().cast("array<string>")))
 
     def step(s: Column, x: Column) -> Column:
-        fits = F.length(s["buffer"]) + F.length(x) + 1 <= most
-        return F.when(s["buffer"] == "", F.struct(x.alias("buffer"), s["done"].alias("done"))).when(fits, F.struct(F.concat(s["buffer"], F.lit(" "), x).alias("buffer"), s["done"].alias("done"))).otherwise(F.struct(x.alias("buffer"), F.concat(s["done"], F.array(s["buffer"])).alias("done"))).cast(kind)
+        over = s["n"] + F.length(x) + 1 > most
+        more = F.struct(F.concat_ws(" ", s["buffer"], x).alias("buffer"), (s["n"] + F.length(x) + 1).alias("n"), s["done"].alias("done"))
+        return F.when(over, F.struct(x.alias("buffer"), F.length(x).alias("n"), long_enough(s).alias("done"))).otherwise(more).cast(kind)
 
-    packed = F.aggregate(F.split(flat, r"(?<=[.!?·;])\s+"), zero, step, lambda s: F.concat(s["done"], F.array(s["buffer"])))
-    return F.filter(F.when(F.length(flat) <= most, F.array(flat)).otherwise(packed), lambda c: F.length(c) >= least)
+    packed = F.aggregate(F.split(flat, r"(?<=[.!?·;])\s+"), zero, step, long_enough)
+    return F.when(F.length(flat) > most, packed).otherwise(F.filter(F.array(flat), lambda c: F.length(c) >= least))
 
 
 def skeleton(text: Column, label: Column) -> Column:

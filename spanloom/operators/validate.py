@@ -35,6 +35,12 @@ _RULE = f"""CASE WHEN v IS NULL THEN 'json' WHEN {_KIND.format(_TEXT)} <> 'STRIN
  WHEN {_THERE.format("info")} AND NOT startswith({_KIND.format("variant_get(v, '$.info', 'variant')")}, 'OBJECT') THEN 'info' END"""
 
 
+def whole_json(text: Column) -> Column:
+    """A text that is one JSON value and nothing more, as a variant; else null."""
+    v = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
+
+
 def line_rules(lines: DataFrame, line: str = "value") -> DataFrame:
     """``lines`` and rule: the first rule that a JSON record breaks, null if it breaks none.
 
@@ -42,7 +48,7 @@ def line_rules(lines: DataFrame, line: str = "value") -> DataFrame:
     lists) or label (a list of objects category, start, end) and perhaps an object
     info; offsets are whole numbers, not booleans, with 0 <= start < end <= length.
     """
-    v = lines.withColumn("v", F.try_parse_json(F.col(line)))
+    v = lines.withColumn("v", whole_json(F.col(line)))
     n = v.withColumn("n", F.expr("length(variant_get(v, '$.text', 'string'))"))
     return n.withColumn("rule", F.expr(_RULE)).drop("v", "n")
 

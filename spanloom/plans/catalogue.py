@@ -242,7 +242,17 @@ def union_sources(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("origin").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
 
 
-@query(None)
+#: Sentence after sentence: where its chunk begins and how long it counts by then.
+CHUNKS = r"""f AS (SELECT doc_id, source, trim(regexp_replace(text, '[ \t\r\n\f]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+s0 AS (SELECT doc_id, source, string_split(regexp_replace(t, '([.!?·;]) +', '\1' || chr(1), 'g'), chr(1)) AS xs FROM f WHERE length(t) > 220),
+s AS MATERIALIZED (SELECT doc_id, source, unnest(range(1, len(xs) + 1)) AS i, unnest(xs) AS x FROM s0),
+w(doc_id, i, n, first) AS (SELECT DISTINCT doc_id, 0::BIGINT, 0::BIGINT, 1::BIGINT FROM s UNION ALL
+ SELECT s.doc_id, s.i, CASE WHEN n + length(x) + 1 > 220 THEN length(x) ELSE n + length(x) + 1 END, CASE WHEN n + length(x) + 1 > 220 THEN s.i ELSE first END FROM w JOIN s ON s.doc_id = w.doc_id AND s.i = w.i + 1),
+c0 AS (SELECT doc_id, any_value(source) AS source, first, string_agg(x, ' ' ORDER BY i) AS chunk, max(n) AS n FROM w JOIN s USING (doc_id, i) GROUP BY doc_id, first),
+chunks AS MATERIALIZED (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS ix, chunk FROM c0 WHERE n >= 40 UNION ALL SELECT doc_id, source, 0, t FROM f WHERE length(t) BETWEEN 40 AND 220)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, CAST(ix AS INTEGER) AS ix, chunk FROM chunks")
 def greedy_chunks(spark, d):
     from ..operators.transform import chunks
 
@@ -315,28 +325,56 @@ def record_reasons(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", greek.record_reason(F.col("text"), none).alias("reason"))
 
 
-@query(r"""SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(^|[^\p{L}\p{N}_])(""" + "|".join(greek.LABEL_IDS) + r"""|(?i:secret))($|[^\p{L}\p{N}_])')""")
+@query(r"""SELECT doc_id FROM documents WHERE NOT regexp_matches(replace(text, 'license', 'private_person'), '(^|[^\p{L}\p{N}_])(""" + "|".join(greek.LABEL_IDS) + r"""|(?i:secret))($|[^\p{L}\p{N}_])')""")
 def label_id_leakage(spark, d):
-    return docs(spark, d).where(~greek.leaks_label(F.col("text"))).select("doc_id")
+    """Texts without a label's name, over texts that name one wherever they name a license."""
+    return docs(spark, d).where(~greek.leaks_label(F.replace("text", F.lit("license"), F.lit("private_person")))).select("doc_id")
+
+
+MARKS = ("", "EL", "ΑΦΜ ", "Α.Φ.Μ.: ", "X ")
+
+
+def spelled(value, size: int, hard=None):
+    """Struct value, mark, long of a number in one of five spellings by its digest, too long for some; ``hard`` says where it may be wrong."""
+    sign = lambda k: F.conv(F.substring(F.md5(value), k, 1), 16, 10).cast("int")
+    own = F.lpad(F.substring(value, 1, size), size, "0")
+    wrong = F.lit(True) if hard is None else hard
+    mark = F.element_at(F.array(*[F.lit(m) for m in MARKS]), F.when(wrong, sign(1) % 5).otherwise(sign(1) % 4) + 1)
+    return F.concat(mark, own, F.when(wrong & (sign(2) < 3), "1").otherwise(""))
+
+
+def numbers(spark, d):
+    """doc_id, k, lang and v: every number of three digits or more in the texts."""
+    return docs(spark, d).select("doc_id", "lang", F.posexplode(F.regexp_extract_all("text", F.lit("[0-9]{3,}"), 0)).alias("k", "v"))
 
 
 def greek_values(spark, d):
-    """A tax number for each document, some with a prefix, some too long."""
-    mark = F.element_at(F.array(*[F.lit(x) for x in ("", "EL", "ΑΦΜ ", "Α.Φ.Μ.: ", "X ")]), (F.col("doc_id") % 5).cast("int") + 1)
-    number = F.lpad((F.col("doc_id") * 7919 % 1000000000).cast("string"), 9, "0")
-    return docs(spark, d).select("doc_id", F.concat(mark, number, F.expr("if(doc_id % 7 = 0, '1', '')")).alias("value"))
+    """A tax number made from each number of the texts; English ones are sound."""
+    return numbers(spark, d).select("doc_id", "k", "lang", spelled(F.col("v"), 9, F.coalesce(F.col("lang") != "en", F.lit(True))).alias("value"))
+
+
+_HEX = "CAST(('0x' || substring(md5(v), {}, 1)) AS INTEGER)"
+NUMBERS = f"""x0 AS (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[0-9]{{3,}}')) AS v, unnest(range(len(regexp_extract_all(text, '[0-9]{{3,}}')))) AS k FROM documents),
+x AS (SELECT doc_id, CAST(k AS INTEGER) AS k, lang, v, CASE WHEN lang = 'en' THEN {_HEX.format(1)} % 4 ELSE {_HEX.format(1)} % 5 END AS m, coalesce(lang <> 'en', true) AND {_HEX.format(2)} < 3 AS long FROM x0),
+sized AS (SELECT *, [0, 2, 4, 8, 2][m + 1] AS shift, CASE WHEN m = 4 OR long THEN 'unparseable' WHEN m = 0 THEN 'clean' ELSE 'relabelled' END AS status FROM x)"""
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 4 THEN NULL ELSE CAST([0, 2, 4, 8][doc_id % 5 + 1] AS INTEGER) END AS shift,
- CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 4 THEN 'unparseable' WHEN doc_id % 5 = 0 THEN 'clean' ELSE 'relabelled' END AS status FROM documents""")
+@query(f"WITH {NUMBERS} SELECT doc_id, k, CASE WHEN status <> 'unparseable' THEN CAST(shift AS INTEGER) END AS shift, status FROM sized")
 def afm_relabel(spark, d):
-    return greek_values(spark, d).select("doc_id", greek.nine_digits(F.col("value")).alias("x")).select("doc_id", "x.*")
+    return greek_values(spark, d).select("doc_id", "k", greek.nine_digits(F.col("value")).alias("x")).select("doc_id", "k", "x.*")
 
 
-@query("""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 4 THEN 'afm_format' ELSE 'ok' END AS problem FROM documents) GROUP BY 1""")
+@query(f"""WITH {NUMBERS}, k AS (SELECT ['afm', 'amka', 'iban_gr'][{_HEX.format(3)} % 3 + 1] AS category, *, {_HEX.format(2)} < 3 AS odd FROM x)
+SELECT category, coalesce(problem, 'ok') AS problem, count(*) AS n FROM (SELECT category, CASE category WHEN 'afm' THEN CASE WHEN {_HEX.format(1)} % 5 = 4 OR odd THEN 'afm_format' END WHEN 'amka' THEN CASE WHEN {_HEX.format(1)} % 5 > 0 OR odd THEN 'amka_format' END
+ ELSE CASE WHEN odd THEN 'iban_format' END END AS problem FROM k) GROUP BY ALL""")
 def greek_value_check(spark, d):
-    p = greek.value_problem(F.lit("afm"), F.col("value"))
-    return greek_values(spark, d).groupBy(F.coalesce(p, F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
+    """Tax, insurance and account numbers made from the numbers of the texts, by what is wrong with them."""
+    v = F.col("v")
+    sign = lambda k: F.conv(F.substring(F.md5(v), k, 1), 16, 10).cast("int")
+    category = F.element_at(F.array(*[F.lit(c) for c in ("afm", "amka", "iban_gr")]), sign(3) % 3 + 1)
+    iban = F.concat(F.lit("gr"), F.lpad(v, 16, "0"), F.when(sign(1) < 8, " ").otherwise("-"), F.lpad(v, 9, "1"), F.when(sign(2) < 3, "0").otherwise(""))
+    value = F.when(category == "iban_gr", iban).when(category == "amka", spelled(v, 11)).otherwise(spelled(v, 9))
+    return numbers(spark, d).select(category.alias("category"), F.coalesce(greek.value_problem(category, value), F.lit("ok")).alias("problem")).groupBy("category", "problem").agg(F.count("*").alias("n"))
 
 
 @query(W + """SELECT category, shape, count(*) AS n FROM (SELECT category, array_to_string(list_transform(regexp_extract_all(value, '[0-9]+|[A-Z]+|[a-z]+|.', 0),

@@ -8,7 +8,7 @@ from ..functions import greek
 from ..functions.spans import all_spans, detect
 from ..operators import curate, resolve, transform, validate
 from ..streaming.resume import unseen
-from .catalogue import _SENTENCES, SPLIT, W, docs, gold, query, ratio_split, read
+from .catalogue import _HEX, _SENTENCES, CHUNKS, NUMBERS, SPLIT, W, docs, gold, query, ratio_split, read
 
 RECORD = "array<struct<category:string,start:int,end:int>>"
 
@@ -148,28 +148,23 @@ def bare_labels(spark, d):
     return docs(spark, d).select("doc_id", greek.without_bio(raw).alias("label"))
 
 
-#: JSON records and the rule that each breaks.
-LINES = (
-    ('{"text": "abc", "label": [{"category": "x", "start": 0, "end": 3}], "info": {"a": 1}}', None),
-    ('{"text": "abc", "label": [{"category": "x", "start": true, "end": 3}]}', "label_offsets"),
-    ('{"text": "abc", "label": [{"category": "x", "start": 0, "end": 4}]}', "label_range"),
-    ('{"text": "abc", "label": [{"category": " ", "start": 0, "end": 3}]}', "label_category"),
-    ('{"text": "abc", "spans": {"x: ab": [[0, 2]]}}', None),
-    ('{"text": "abc", "spans": {"x: ab": [[0, 2.5]]}}', "span_offsets"),
-    ('{"text": "abc", "spans": {"x: ab": [[2, 2]]}}', "span_range"),
-    ('{"text": "abc"}', "no_labels"),
-    ('{"text": "  ", "label": []}', "text"),
-    ('{"text": 5, "label": []}', "text"),
-    ('{"text": "abc", "label": {}}', "label"),
-    ('{"text": "abc", "label": [], "info": []}', "info"),
-    ("not json", "json"),
-)
-
-
-@query("SELECT doc_id, (" + repr([r or "" for _, r in LINES]) + "[doc_id % " + str(len(LINES)) + " + 1]) AS rule FROM documents")
+@query(W + """, s AS (SELECT doc_id, count(s.category) AS n, any_value(n_chars) % 12 AS kind, trim(regexp_replace(coalesce(any_value(d.text), ''), '[ \\t\\r\\n\\f]+', ' ', 'g')) = '' AS blank FROM documents d LEFT JOIN spans s USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN kind = 0 THEN 'json' WHEN blank OR kind = 1 THEN 'text' WHEN kind = 2 THEN 'no_labels' WHEN kind = 3 THEN 'label' WHEN kind = 4 AND n > 0 THEN 'label_offsets' WHEN kind = 5 AND n > 0 THEN 'label_range' WHEN kind = 6 AND n > 0 THEN 'label_category'
+ WHEN kind = 7 AND n > 0 THEN 'span_offsets' WHEN kind = 8 AND n > 0 THEN 'span_range' WHEN kind = 9 THEN 'info' ELSE '' END AS rule FROM s""")
 def record_rules(spark, d):
-    line = F.element_at(F.array(*[F.lit(x) for x, _ in LINES]), (F.col("doc_id") % len(LINES) + 1).cast("int"))
-    return validate.line_rules(docs(spark, d).select("doc_id", line.alias("value"))).select("doc_id", F.coalesce("rule", F.lit("")).alias("rule"))
+    """Documents and their spans as JSON lines, most of them broken in one of ten ways: the first rule that each breaks."""
+    kind = F.col("n_chars") % 12
+    own = lambda *more: F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), *more))
+    label = lambda start=lambda x: x["start"], end=lambda x: x["end"], category=lambda x: x["category"]: F.transform("s", lambda x: F.struct(category(x).alias("category"), start(x).alias("start"), end(x).alias("end"))).alias("label")
+    spans = lambda start, end: F.map_from_entries(F.transform("s", lambda x, k: F.struct(F.concat(x["category"], F.lit(": "), k.cast("string")), F.array(F.array(start(x), end(x)))))).alias("spans")
+    end, start = (lambda x: x["end"].cast("double")), (lambda x: x["start"].cast("double"))
+    line = (
+        F.when(kind == 0, F.concat(own(label()), F.lit("}"))).when(kind == 1, F.to_json(F.struct(F.lit(5).alias("text"), label()))).when(kind == 2, own()).when(kind == 3, own(F.struct(F.lit(1).alias("x")).alias("label")))
+        .when(kind == 4, own(label(start=lambda x: x["start"] >= 0))).when(kind == 5, own(label(end=lambda x: x["end"] + F.length("text")))).when(kind == 6, own(label(category=lambda x: F.lit(" "))))
+        .when(kind == 7, own(spans(start, lambda x: end(x) - 0.5))).when(kind == 8, own(spans(lambda x: x["end"], lambda x: x["end"]))).when(kind == 9, own(label(), F.array(F.lit(1)).alias("info"))).when(kind == 10, own(spans(lambda x: x["start"], lambda x: x["end"]))).otherwise(own(label()))
+    )
+    rows = docs(spark, d).select("doc_id", "text", "n_chars", F.coalesce(all_spans(F.col("text")), F.array().cast("array<struct<category:string,start:int,end:int,value:string>>")).alias("s"))
+    return validate.line_rules(rows.select("doc_id", line.alias("value"))).select("doc_id", F.coalesce("rule", F.lit("")).alias("rule"))
 
 
 @query(W + """, s AS (SELECT CASE WHEN category IN ('card', 'email', 'phone') THEN NULL ELSE 'unknown_label' END AS problem, category FROM gold)
@@ -211,17 +206,17 @@ def line_acceptance(spark, d):
     return validate.acceptance(docs(spark, d).select("lang", F.trim("text").alias("t")), "lang", greek.acceptable(F.col("t"), 30, 5000))
 
 
-@query("""SELECT doc_id, s.license FROM documents JOIN (VALUES (0, 'public-domain'), (1, 'CC0-1.0'), (2, 'CC-BY-4.0')) s(k, license) ON doc_id % 6 = k""")
+@query("""SELECT doc_id, ['public-domain', 'CC0-1.0', 'CC-BY-4.0'][k + 1] AS license FROM (SELECT doc_id, CAST(substring(source, 4) AS INTEGER) % 5 AS k FROM documents WHERE regexp_full_match(source, 'src[0-9]')) WHERE k < 3""")
 def licensed_sources(spark, d):
-    names = [n for n, *_ in greek.SOURCES] + ["unknown"]
-    rows = docs(spark, d).select("doc_id", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 6 + 1).cast("int")).alias("source"))
-    return validate.licensed(rows, greek.SOURCES).select("doc_id", "license")
+    """Documents of the ten sources whose licences are known, those safe for commercial use only."""
+    known = [(f"src{k}", greek.SOURCES[k % 5][1], greek.SOURCES[k % 5][2]) for k in range(10)]
+    return validate.licensed(docs(spark, d), tuple(known)).select("doc_id", "license")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 4 IN (1, 3)")
+@query("SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i)license|account|iban')")
 def without_confusables(spark, d):
-    t = F.element_at(F.array(*[F.lit(x) for x in ("ο ΛΟΓΑΡΙΑΣΜΌΣ μου, 69", "τηλέφωνο 69", "my Account 69", "κλήση")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    return docs(spark, d).where(~greek.confusable(t)).select("doc_id")
+    """Texts without words that make a number ambiguous, over texts with a Greek one for each license."""
+    return docs(spark, d).where(~greek.confusable(F.regexp_replace("text", "(?i)license", "ΛΟΓΑΡΙΑΣΜΌΣ"))).select("doc_id")
 
 
 _MAPPED = "translate(text, 'aeiou', 'αεηιυ')"
@@ -251,15 +246,16 @@ def usable_legal(spark, d):
     return docs(spark, d).select("doc_id", F.explode(greek.sentences(F.col("text"))).alias("sentence")).where(greek.usable(F.col("sentence"), 40, 260, 6, 0.6, ".!;·)", "A-Za-z"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 1 WHEN doc_id % 4 = 2 THEN 1 ELSE 0 END::INTEGER AS n FROM documents""")
+@query(W + """, w AS (SELECT doc_id, regexp_matches(substring(value, CAST(j + 1 AS BIGINT), 10), '^(69|2[1-8])') AS phone FROM gold, (SELECT unnest(range(7)) AS j) WHERE category = 'card' UNION ALL SELECT doc_id, false FROM gold WHERE category = 'ipv4')
+SELECT doc_id, CASE WHEN count(phone) = 0 THEN 0 WHEN count(*) FILTER (NOT phone) > 0 THEN count(*) FILTER (NOT phone) END::INTEGER AS n FROM documents LEFT JOIN w USING (doc_id) GROUP BY doc_id""")
 def phone_accounts(spark, d):
-    """Account numbers that are phone numbers go; n is null where nothing else was labelled."""
-    v = F.element_at(F.array(F.lit("6912345678"), F.lit("1912345678"), F.lit("2112345678"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
-    own = F.array(F.struct(F.lit("account_number").alias("category"), F.lit(2).alias("start"), F.lit(12).alias("end")))
-    more = F.concat(own, F.array(F.struct(F.lit("x").alias("category"), F.lit(0).alias("start"), F.lit(1).alias("end"))))
-    label = F.when(F.col("doc_id") % 4 == 3, F.array().cast(RECORD)).when(F.col("doc_id") % 4 == 2, more.cast(RECORD)).otherwise(own.cast(RECORD))
-    kept = greek.without_phone_accounts(F.concat(F.lit("a "), v), label)
-    return docs(spark, d).select("doc_id", F.when(kept.isNotNull(), F.size(kept)).alias("n"))
+    """Account numbers that are phone numbers go, of all ten digits in a row in the texts' cards; n is null where nothing else was labelled."""
+    s = F.coalesce(all_spans(F.col("text"), ("card", "ipv4")), F.array().cast("array<struct<category:string,start:int,end:int,value:string>>"))
+    span = lambda c, a, b: F.struct(F.lit(c).alias("category"), a.alias("start"), b.alias("end"))
+    windows = lambda x: F.transform(F.sequence(F.lit(0), F.lit(6)), lambda j: span("account_number", x["start"] + j, x["start"] + j + 10))
+    label = F.flatten(F.transform("s", lambda x: F.when(x["category"] == "card", windows(x)).otherwise(F.array(span("ip_address", x["start"], x["end"])))))
+    kept = greek.without_phone_accounts(F.col("text"), F.col("label"))
+    return docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), s.alias("s")).withColumn("label", label).select("doc_id", F.when(kept.isNotNull(), F.size(kept)).alias("n"))
 
 
 _ORDERED = """, o AS (SELECT gold.*, text, row_number() OVER w AS i, coalesce(lag("end") OVER w, 0) AS was FROM gold JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY "start"))"""
@@ -294,19 +290,23 @@ def narrow_context(spark, d):
     return detect(docs(spark, d), "text").select("doc_id", "category", F.expr("substring(text, greatest(0, start - 30) + 1, end + 30 - greatest(0, start - 30))").alias("context"), "start")
 
 
-@query("SELECT doc_id, md5(" + "replace(replace(" * 1 + "translate(text, 'βδ', 'vd')" + ", 'x', 'ch'), 'w', 'ps')" + ") AS latin_md5 FROM documents")
+@query("SELECT doc_id, md5(replace(replace(replace(strip_accents(text), 'x', 'ch'), 'w', 'ps'), 'f', 'F')) AS latin_md5 FROM documents")
 def transliterated(spark, d):
-    """Texts with some letters in Greek, written in Latin ones again."""
-    mapped = F.translate(F.col("text"), "vdxw", "βδχψ")
+    """Texts with some letters in Greek, accents on them, written in Latin ones again; all texts lose their accents."""
+    mapped = F.translate(F.col("text"), "aeiovdxwf", "άέίόβδχψΦ")
     return docs(spark, d).select("doc_id", F.md5(transform.transliterate(mapped)).alias("latin_md5"))
 
 
-@query(W + """SELECT doc_id, value FROM gold WHERE category = 'email'""")
+@query(W + """, u AS (SELECT doc_id, "start", k, CASE WHEN contains(value, 't') AND CAST(('0x' || left(md5(concat('3:', doc_id, ':', k)), 8)) AS BIGINT) / 4294967296.0::DOUBLE >= 0.3 THEN replace(value, 't', 'th') ELSE replace(value, 't', 'θ') END AS v FROM gold, (VALUES (0), (1)) t(k) WHERE category = 'email')
+SELECT x.doc_id, concat('<', x.v, '> or <', y.v, '>') AS text, concat('1-', length(x.v) + 1, ' ', length(x.v) + 7, '-', length(x.v) + length(y.v) + 7) AS spans FROM u x JOIN u y ON x.doc_id = y.doc_id AND x."start" = y."start" WHERE x.k = 0 AND y.k = 1""")
 def latinised_contacts(spark, d):
-    """E-mail addresses with a Greek letter for each k are written as they were found."""
-    m = docs(spark, d).select("doc_id", F.explode(all_spans(F.col("text"), ("email",))).alias("s")).select("doc_id", F.translate("s.value", "k", "κ").alias("v"), F.struct(F.lit("private_email").alias("category"), F.lit(0).alias("start"), F.length("s.value").alias("end")).alias("l"))
-    x = transform.latinised(F.col("v"), F.array("l"), F.col("doc_id"), 3, 0.0)
-    return m.select("doc_id", x["text"].alias("value"))
+    """Every e-mail address twice, with a Greek letter for each t: some stay, the others are written in Latin letters, and offsets fit."""
+    m = docs(spark, d).select("doc_id", F.explode(all_spans(F.col("text"), ("email",))).alias("s")).select("doc_id", F.translate("s.value", "t", "θ").alias("v"))
+    span = lambda a, b: F.struct(F.lit("private_email").alias("category"), a.alias("start"), b.alias("end"))
+    n = F.length("v")
+    x = transform.latinised(F.concat(F.lit("<"), "v", F.lit("> or <"), "v", F.lit(">")), F.array(span(F.lit(1), n + 1), span(n + 7, 2 * n + 7)), F.col("doc_id"), 3, 0.3)
+    shown = F.array_join(F.transform("x.spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), " ")
+    return m.select("doc_id", x.alias("x")).select("doc_id", "x.text", shown.alias("spans"))
 
 
 @query(W + """SELECT doc_id, coalesce('[' || string_agg(concat('{"label":"', category, '","value":"', replace(value, '"', '\\"'), '"}'), ',' ORDER BY o, "start", "end") FILTER (category IS NOT NULL AND r <= 3) || ']', '[]') AS content
@@ -333,29 +333,45 @@ def rows_to_records(spark, d):
     return r.select(F.col("info")["id"].cast("long").alias("doc_id"), F.coalesce("problem", F.lit("")).alias("problem"), F.get(F.map_keys("spans"), F.lit(0)).alias("span"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 4 THEN 5 ELSE 5 + [0, 2, 4, 8][doc_id % 5 + 1] END::INTEGER AS "start", CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 4 THEN 14 + [0, 2, 4, 8, 2][doc_id % 5 + 1] + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END ELSE 14 + [0, 2, 4, 8][doc_id % 5 + 1] END::INTEGER AS "end" FROM documents""")
-def afm_spans(spark, d):
-    """Tax numbers' spans rewritten to their nine digits; unreadable ones stay."""
-    from .catalogue import greek_values
+_AFM = W + _ORDERED.replace("FROM gold JOIN", "FROM (SELECT * FROM gold WHERE category = 'card') gold JOIN") + f""", n0 AS (SELECT *, value AS v, {_HEX.format(1)} % 5 AS m, {_HEX.format(2)} < 3 AS long FROM (SELECT *, value AS v FROM o)),
+n AS (SELECT doc_id, i, m, long, [0, 2, 4, 8, 2][m + 1] AS shift, [0, 2, 4, 8, 2][m + 1] + 9 + CAST(long AS INTEGER) AS size, "start" - was AS gap FROM n0),
+sized AS (SELECT *, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM n)"""
+
+
+def afm_records(spark, d):
+    """doc_id, text and label: documents with a tax number in each card's place."""
+    from .catalogue import spelled
+
+    cards = docs(spark, d).select("doc_id", "text", all_spans(F.col("text"), ("card",)).alias("s")).where("size(s) > 0")
+    label = F.transform("s", lambda x: F.struct(F.lit("afm").alias("category"), x["start"].alias("start"), x["end"].alias("end")))
+    return cards.select("doc_id", transform.rewritten(F.col("text"), label, lambda c, v, k: spelled(v, 9)).alias("x")).select("doc_id", "x.text", F.col("x.spans").alias("label"))
+
 
-    t = greek_values(spark, d).select("doc_id", F.concat(F.lit("τιμή "), "value", F.lit(" τέλος")).alias("text"), F.array(F.struct(F.lit("afm").alias("category"), F.lit(5).alias("start"), (F.length("value") + 5).alias("end"))).alias("label"))
-    return t.select("doc_id", F.inline(greek.relabelled(F.col("text"), F.col("label")))).drop("category")
+@query(_AFM + """ SELECT doc_id, CAST(CASE WHEN m = 4 OR long THEN e - size ELSE e - size + shift END AS INTEGER) AS "start", CAST(CASE WHEN m = 4 OR long THEN e ELSE e - size + shift + 9 END AS INTEGER) AS "end" FROM sized""")
+def afm_spans(spark, d):
+    """Tax numbers' spans in texts rewritten to their nine digits; unreadable ones stay."""
+    return afm_records(spark, d).select("doc_id", F.inline(greek.relabelled(F.col("text"), F.col("label")))).drop("category")
 
 
-@query("""WITH x AS (SELECT concat('s', doc_id % 3) AS split, doc_id % 7 = 0 OR doc_id % 5 = 4 AS bad, doc_id % 5 = 0 AS plain FROM documents)
-SELECT split, count(*) AS spans, count(*) FILTER (NOT bad AND plain) AS clean, count(*) FILTER (NOT bad AND NOT plain) AS relabelled, count(*) FILTER (bad) AS unparseable, round(100.0::DOUBLE * count(*) FILTER (NOT bad) / count(*), 2) AS clean_pct, least(10, count(*) FILTER (bad)) AS n_samples FROM x GROUP BY 1""")
+@query(f"""WITH {NUMBERS}, y AS (SELECT *, [ '', 'EL', 'ΑΦΜ ', 'Α.Φ.Μ.: ', 'X '][m + 1] || lpad(left(v, 9), 9, '0') || CASE WHEN long THEN '1' ELSE '' END AS value, ['d9', 'A2d9', 'A3 d9', 'A1.A1.A1.: d9', ''][m + 1] AS shape FROM sized),
+b AS (SELECT lang, string_agg(value, '|' ORDER BY value) AS samples FROM (SELECT lang, value, row_number() OVER (PARTITION BY lang ORDER BY value) AS r FROM y WHERE status = 'unparseable') WHERE r <= 10 GROUP BY lang),
+s AS (SELECT lang, string_agg(shape || '=' || n, '|' ORDER BY shape) AS shapes FROM (SELECT lang, shape, count(*) AS n FROM y WHERE status = 'relabelled' GROUP BY ALL) GROUP BY lang)
+SELECT lang, count(*) AS spans, count(*) FILTER (status = 'clean') AS clean, count(*) FILTER (status = 'relabelled') AS relabelled, count(*) FILTER (status = 'unparseable') AS unparseable, round(100.0::DOUBLE * count(*) FILTER (status <> 'unparseable') / count(*), 2) AS clean_pct,
+ coalesce(any_value(samples), '') AS samples, coalesce(any_value(shapes), '') AS shapes FROM y LEFT JOIN b USING (lang) LEFT JOIN s USING (lang) GROUP BY lang""")
 def relabel_report(spark, d):
     from .catalogue import greek_values
 
-    r = greek.relabel_report(greek_values(spark, d).select(F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("split"), "value"))
-    return r.select("split", "spans", "clean", "relabelled", "unparseable", "clean_pct", F.size("samples").cast("long").alias("n_samples"))
+    r = greek.relabel_report(greek_values(spark, d), "lang")
+    shapes = F.array_join(F.transform(F.array_sort(F.map_entries("shapes")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), "|")
+    return r.select("lang", "spans", "clean", "relabelled", "unparseable", "clean_pct", F.coalesce(F.array_join("samples", "|"), F.lit("")).alias("samples"), F.coalesce(shapes, F.lit("")).alias("shapes"))
 
 
-@query("""SELECT split FROM (SELECT doc_id % 3 AS split, count(*) AS n, count(*) FILTER (doc_id % 7 = 0 OR doc_id % 5 = 4) AS bad FROM documents GROUP BY 1) WHERE bad / n > 0.01""")
+@query(f"WITH {NUMBERS} SELECT lang FROM sized GROUP BY lang HAVING count(*) FILTER (status = 'unparseable') > 0.01 * count(*)")
 def relabel_gate(spark, d):
+    """Languages with more than one unreadable tax number in a hundred."""
     from .catalogue import greek_values
 
-    return greek.over_unparseable(greek.relabel_report(greek_values(spark, d).select((F.col("doc_id") % 3).alias("split"), "value"))).select("split")
+    return greek.over_unparseable(greek.relabel_report(greek_values(spark, d), "lang")).select("lang")
 
 
 _ORIGIN = "CASE WHEN doc_id % 4 = 0 THEN 'add' ELSE 'base' END"
@@ -394,9 +410,10 @@ def distinct_lines(spark, d):
     return lines.dropDuplicates(["source", "chunk"]).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {CHUNKS}, once AS (SELECT chunk, min((source, doc_id)) AS x FROM chunks GROUP BY chunk), own AS (SELECT x[1] AS source, x[2] AS doc_id, chunk FROM once)
+SELECT source, doc_id, chunk FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(chunk)) AS r FROM own) WHERE r <= 100""")
 def corpus_chunks(spark, d):
-    """Chunks of sentences, each once over all sources, up to 100 of each source in digest order; tested by its parts."""
+    """Chunks of sentences, each once over all sources, up to 100 of each source in digest order."""
     from pyspark.sql import Window
 
     c = docs(spark, d).select("doc_id", "source", F.explode(transform.chunks(F.col("text"), 40, 220)).alias("chunk")).withColumn("h", F.md5("chunk"))
@@ -404,15 +421,30 @@ def corpus_chunks(spark, d):
     return once.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("h"))).where("r <= 100").select("source", "doc_id", "chunk")
 
 
-@query(None)
-def augmented_records(spark, d):
-    """Two variants of tax number records in other spellings; tested by their properties."""
-    from .catalogue import greek_values
-
-    t = greek_values(spark, d).select("doc_id", F.concat(F.lit("τιμή "), "value", F.lit(" τέλος")).alias("text"), F.array(F.struct(F.lit("afm").alias("category"), F.lit(5).alias("start"), (F.length("value") + 5).alias("end"))).alias("label"))
-    return transform.augmented(t, "doc_id", 2, 5).withColumn("label", F.to_json("label"))
+#: A value of each of five categories in the place of each card, from its digits.
+_KINDS = ("amka", "afm", "adt", "iban_gr", "private_phone")
+_AUGMENTED = W + _ORDERED.replace("FROM gold JOIN", "FROM (SELECT * FROM gold WHERE category IN ('card', 'ipv4')) gold JOIN") + """, a0 AS (SELECT *, ['amka', 'afm', 'adt', 'iban_gr', 'private_phone'][CAST(('0x' || substring(md5(value), 5, 1)) AS INTEGER) % 5 + 1] AS kind FROM o),
+a1 AS (SELECT doc_id, i, text, was, "start", "end", CASE WHEN category = 'card' THEN kind ELSE 'ip' END AS kind, CASE WHEN category <> 'card' THEN value WHEN kind = 'amka' THEN left(value, 11) WHEN kind = 'afm' THEN left(value, 9) WHEN kind = 'adt' THEN 'ΑΖ ' || left(value, 6) WHEN kind = 'iban_gr' THEN 'GR' || value || left(value, 9) ELSE left(value, 10) END AS v FROM a0),
+a2 AS (SELECT *, variant, CAST(('0x' || left(md5(concat('5a:', doc_id, ':', variant, ':', i - 1)), 8)) AS BIGINT) < 2147483648 AS coin, CAST(('0x' || left(md5(concat('5b:', doc_id, ':', variant, ':', i - 1)), 8)) AS BIGINT) AS way FROM a1, (VALUES (1), (2)) x(variant)),
+a3 AS (SELECT *, CASE WHEN NOT coin THEN v WHEN kind = 'amka' THEN CASE way % 3 WHEN 0 THEN v[1:6] || '-' || v[7:11] WHEN 1 THEN v[1:3] || ' ' || v[4:6] || ' ' || v[7:11] ELSE v[1:6] || ' ' || v[7:11] END
+ WHEN kind = 'afm' THEN ['EL', 'ΑΦΜ ', 'Α.Φ.Μ.: '][way % 3 + 1] || v WHEN kind = 'adt' THEN CASE way % 4 WHEN 0 THEN 'ΑΖ' || v[4:9] WHEN 1 THEN 'ΑΖ-' || v[4:9] WHEN 2 THEN v ELSE 'AZ ' || v[4:9] END
+ WHEN kind = 'iban_gr' THEN CASE way % 2 WHEN 0 THEN array_to_string([v[1:4], v[5:8], v[9:12], v[13:16], v[17:20], v[21:24], v[25:27]], ' ') ELSE array_to_string([v[1:4], v[5:8], v[9:12], v[13:16], v[17:20], v[21:24], v[25:27]], '-') END
+ WHEN kind = 'private_phone' THEN CASE way % 3 WHEN 0 THEN v[1:4] || ' ' || v[5:7] || ' ' || v[8:10] WHEN 1 THEN v[1:4] || '.' || v[5:7] || '.' || v[8:10] ELSE '+30 ' || v END ELSE v END AS t FROM a2),
+a4 AS (SELECT *, sum("start" - was + length(t)) OVER (PARTITION BY doc_id, variant ORDER BY i) AS e FROM a3)
+SELECT doc_id, variant, md5(string_agg(substring(text, was + 1, "start" - was) || t, '' ORDER BY i) || substring(any_value(text), max("end") + 1)) AS text_md5, string_agg(kind || ':' || (e - length(t)) || '-' || e, ' ' ORDER BY i) AS spans FROM a4 GROUP BY doc_id, variant HAVING bool_or(t <> v)"""
 
 
+@query(_AUGMENTED)
+def augmented_records(spark, d):
+    """Two variants of texts with values of five categories in their cards' places: some values in other spellings, offsets that fit, no row where nothing changes."""
+    x = docs(spark, d).select("doc_id", "text", F.array_sort(all_spans(F.col("text"), ("card", "ipv4")), lambda a, b: a["start"] - b["start"]).alias("s")).where("size(s) > 0")
+    value = lambda v: F.substring(v, 1, 10)
+    kind = lambda v: F.element_at(F.array(*[F.lit(k) for k in _KINDS]), F.conv(F.substring(F.md5(v), 5, 1), 16, 10).cast("int") % 5 + 1)
+    made = lambda v: F.when(kind(v) == "amka", F.substring(v, 1, 11)).when(kind(v) == "afm", F.substring(v, 1, 9)).when(kind(v) == "adt", F.concat(F.lit("ΑΖ "), F.substring(v, 1, 6))).when(kind(v) == "iban_gr", F.concat(F.lit("GR"), v, F.substring(v, 1, 9))).otherwise(value(v))
+    label = F.transform("s", lambda s: F.struct(F.when(s["category"] == "card", kind(s["value"])).otherwise("ip").alias("category"), s["start"].alias("start"), s["end"].alias("end"), F.when(s["category"] == "card", made(s["value"])).otherwise(s["value"]).alias("value")))
+    records = x.select("doc_id", transform.splice(F.col("text"), label).alias("x")).select("doc_id", "x.text", F.col("x.spans").alias("label"))
+    shown = F.array_join(F.transform("label", lambda s: F.concat(s["category"], F.lit(":"), s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), " ")
+    return transform.augmented(records, "doc_id", 2, 5).select("doc_id", "variant", F.md5("text").alias("text_md5"), shown.alias("spans"))
 
 
 @query(None)

@@ -154,13 +154,14 @@ def multiset_match(spark, d):
     return match.multiset(sided(spark, d, _PRED))
 
 
-@query(W + """SELECT 'both' AS side, count(*) AS n FROM (SELECT category, lower(value) FROM gold INTERSECT SELECT category, lower(value) FROM pred) UNION ALL
-SELECT 'gold', count(*) FROM (SELECT category, lower(value) FROM gold EXCEPT SELECT category, lower(value) FROM pred) UNION ALL SELECT 'pred', count(*) FROM (SELECT category, lower(value) FROM pred EXCEPT SELECT category, lower(value) FROM gold)""")
+_CASES = r"""(SELECT DISTINCT doc_id, category, trim(regexp_replace(value, '[ \t\r\n\f]+', ' ', 'g')) AS v FROM {})"""
+
+
+@query(W + f"""SELECT coalesce(category, '(all)') AS category, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn
+FROM (SELECT doc_id, category, v, g IS NOT NULL AS g, p IS NOT NULL AS p FROM (SELECT *, 1 AS g FROM {_CASES.format('gold')}) FULL JOIN (SELECT *, 1 AS p FROM {_CASES.format('pred')}) USING (doc_id, category, v)) GROUP BY ROLLUP (category)""")
 def set_match(spark, d):
-    """Intersection and both differences of the sets of normalised values, from one aggregation."""
-    own = sided(spark, d, _PRED).groupBy("category", F.lower("value").alias("value")).agg(F.max(F.col("side") == 0).alias("g"), F.max(F.col("side") == 1).alias("p"))
-    n = own.agg(F.count_if(F.col("g") & F.col("p")).alias("both"), F.count_if(F.col("g") & ~F.col("p")).alias("gold"), F.count_if(~F.col("g") & F.col("p")).alias("pred"))
-    return n.select(F.expr("stack(3, 'both', both, 'gold', gold, 'pred', pred) AS (side, n)"))
+    """Each document's set of class and value, white space collapsed: found, wrong and missed, by class and in all."""
+    return match.sets(sided(spark, d, _PRED))
 
 
 _REGRESSED = """ FROM gold g WHERE EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND p.category = g.category AND p."start" < g."end" AND g."start" < p."end")

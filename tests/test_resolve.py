@@ -71,7 +71,7 @@ def test_answers(spark):
     good = '{"label": "a", "value": "b"}'
     rows = [
         (f"[{good}]", [("a", "b")]), (f"noise [1] then [{good}]", [("a", "b")]), ('so [{"label": "a", "value": "x]y"}] ok', [("a", "x]y")]), (f"[{good}, 5, null]", [("a", "b"), (None, None), (None, None)]),
-        (f'{{"spans": [{good}]}}', [("a", "b")]), ("none", None), ("[]", []), ("x [ ] y", []), ('[{"label": "", "value": "b"}]', [(None, None)]), ('[{"label": "a", "value": 5}]', [("a", None)]), (None, None), ("[1", None), (f"see [x] [{good}", None),
+        (f'{{"spans": [{good}]}}', [("a", "b")]), ("none", None), ("[]", []), ("x [ ] y", []), ('[{"label": "", "value": "b"}]', [(None, None)]), ('[{"label": "a", "value": 5}]', [("a", None)]), (None, None), ("[1", None), (f"[1] and [{good}]", [("a", "b")]), (f"[1], [{good}]", [("a", "b")]), (f"see [x] [{good}", None),
     ]
     df = spark.createDataFrame([(c,) for c, _ in rows], "c string")
     got = df.select(json_spans(F.col("c")).alias("x"), json_spans(F.col("c"), objects=True).alias("y")).collect()

@@ -5,9 +5,28 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import greek
 from spanloom.operators import curate, report, transform, validate
-from spanloom.plans.curation import LINES
 from spanloom.sources import records
 
+#: JSON records and the rule that each breaks.
+LINES = (
+    ('{"text": "abc", "label": [{"category": "x", "start": 0, "end": 3}], "info": {"a": 1}}', None),
+    ('{"text": "abc", "label": [{"category": "x", "start": true, "end": 3}]}', "label_offsets"),
+    ('{"text": "abc", "label": [{"category": "x", "start": 0, "end": 4}]}', "label_range"),
+    ('{"text": "abc", "label": [{"category": " ", "start": 0, "end": 3}]}', "label_category"),
+    ('{"text": "abc", "spans": {"x: ab": [[0, 2]]}}', None),
+    ('{"text": "abc", "spans": {"x: ab": [[0, 2.5]]}}', "span_offsets"),
+    ('{"text": "abc", "spans": {"x: ab": [[2, 2]]}}', "span_range"),
+    ('{"text": "abc"}', "no_labels"),
+    ('{"text": "  ", "label": []}', "text"),
+    ('{"text": 5, "label": []}', "text"),
+    ('{"text": "abc", "label": {}}', "label"),
+    ('{"text": "abc", "label": [], "info": []}', "info"),
+    ("not json", "json"),
+    ('{"text": "abc", "label": []}}', "json"),
+    ('{"text": "abc", "label": []} 1', "json"),
+    ('{"text": "abc", "label": []}, 1', "json"),
+)
+
 LABEL = "array<struct<category:string,start:int,end:int>>"
 
 
