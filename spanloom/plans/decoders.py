@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.spans import NEEDED, PATTERNS, all_spans
 from ..operators import match
 from ..operators.decode import best_disjoint, decoded
+from ..sources.storage import scratch
 from .catalogue import SPANS, docs, query
 
 CLASSES = tuple(PATTERNS)
@@ -61,8 +62,9 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(noise) > 500_000:
                 noise.clear()
             ws = [t[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            for w in set(ws) - noise.keys():
-                noise[w] = hashlib.md5(w.encode()).digest()
+            for w in ws:
+                if w not in noise:
+                    noise[w] = hashlib.md5(w.encode()).digest()
             own = np.frombuffer(b"".join([noise[w] for w in ws]), np.uint8).reshape(-1, 16)[:, :WIDTH].astype(np.int16) + lead[true_labels(t, starts, ends)]
             cuts = np.arange(0, len(starts), WINDOW)
             rows.append((np.full(len(cuts), i), np.diff(np.append(cuts, len(starts))), starts, ends, own))
@@ -81,6 +83,9 @@ def scored(spark, d):
 def variants(spark, d):
     """variant, doc_id, category, start, end of three decoders of one table of scores."""
     spans = decoded(scored(spark, d), CLASSES)
+    at = scratch(spark, "decoded")
+    spans.write.partitionBy("variant").parquet(at)
+    spans = spark.read.schema("doc_id long, category string, start int, end int, gain long, variant string").parquet(at)
     plain = spans.where("variant <> 'by_class'").select("variant", "doc_id", "category", "start", "end")
     return plain.unionByName(best_disjoint(spans.where("variant = 'by_class'")).select(F.lit("no_overlap").alias("variant"), "doc_id", "category", "start", "end"))
 
