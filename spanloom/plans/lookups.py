@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.cumulative import drawn, running_sum
+from ..operators.prefixes import audit, counted_by_prefix
+from ..operators.sample import uniform
 from ..operators.terms import WORD, find_terms
 from .catalogue import docs, query, read
 
@@ -44,3 +47,39 @@ SELECT f.doc_id, f.term, f."start", f."end" FROM all_found f JOIN go ON go.doc_i
 def term_spans(spark, d):
     """Phrases of the benchmark in the documents: from the left, the longest at each place."""
     return find_terms(docs(spark, d), bench_terms(spark, d))
+
+
+_DRAWS = """r AS (SELECT doc_id, sum(n) OVER (ORDER BY doc_id) - n AS before, sum(n) OVER (ORDER BY doc_id) AS upto, sum(n) OVER () AS total FROM (SELECT doc_id, greatest(coalesce(n_chars, 0), 0) AS n FROM documents)),
+a AS (SELECT doc_id AS drawer, CAST(floor(CAST(('0x' || left(md5(concat('31:', doc_id)), 8)) AS BIGINT) / 4294967296.0::DOUBLE * total) AS BIGINT) AS u FROM r)"""
+
+
+@query(f"WITH {_DRAWS} SELECT drawer, u, doc_id FROM a JOIN r ON u >= before AND u < upto")
+def weighted_draws(spark, d):
+    """A draw for each document, with replacement: every document as likely as it is long."""
+    t = docs(spark, d).select("doc_id", "n_chars")
+    rows = running_sum(t, "n_chars", "doc_id")
+    total = t.agg(F.coalesce(F.sum(F.greatest(F.coalesce("n_chars", F.lit(0)), F.lit(0))), F.lit(0))).first()[0]
+    return drawn(rows, "doc_id", t.select(F.col("doc_id").alias("drawer"), F.floor(uniform(31, "doc_id") * total).alias("u")), "u")
+
+
+#: The first four to seven letters of the benchmark's words, in digest order.
+_PREFIXES = r"""bl AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}{4,}')) AS w FROM benchmark),
+pre AS (SELECT prefix, md5(prefix) AS rank FROM (SELECT DISTINCT left(w, n) AS prefix FROM bl, (VALUES (4), (5), (6), (7)) v(n)) WHERE length(prefix) >= 4)"""
+
+
+@query(rf"""WITH {_PREFIXES}, w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\p{{L}}{{3,}}')) AS word FROM documents) GROUP BY 1),
+m AS (SELECT word, n, arg_min(prefix, rank) AS prefix FROM w LEFT JOIN pre ON starts_with(word, prefix) GROUP BY ALL) SELECT prefix, count(*) AS different, sum(n)::BIGINT AS n FROM m GROUP BY prefix""")
+def prefix_counts(spark, d):
+    """Words of the documents by the beginnings of the benchmark's words, the first in digest order where several fit."""
+    bench = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{4,}"), 0)).alias("w")).distinct()
+    known = bench.select(F.explode(F.array(*[F.substring("w", 1, n) for n in (4, 5, 6, 7)])).alias("prefix")).distinct().withColumn("rank", F.md5("prefix"))
+    words = docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{3,}"), 0)).alias("word"))
+    return counted_by_prefix(words, "word", known)
+
+
+@query("""SELECT 'lang' AS field, count(*) FILTER (coalesce(lang, '') = '') AS missing, count(*) FILTER (lang <> '' AND lang NOT LIKE 'e%') AS unknown FROM documents
+UNION ALL SELECT 'source', count(*) FILTER (coalesce(source, '') = ''), count(*) FILTER (source <> '' AND source NOT LIKE 'src1%' AND source NOT LIKE 'src2%') FROM documents
+UNION ALL SELECT 'text', count(*) FILTER (coalesce(text, '') = ''), count(*) FILTER (text <> '') FROM documents""")
+def prefix_audit(spark, d):
+    known = spark.createDataFrame([("lang", "e"), ("source", "src1"), ("source", "src2"), ("text", "\u0002")], "field string, prefix string")
+    return audit(docs(spark, d), {"lang": F.col("lang"), "source": F.col("source"), "text": F.substring("text", 1, 1)}, known)
