@@ -64,10 +64,13 @@ def detect(docs: DataFrame, *keep: str, categories: tuple[str, ...] = tuple(PATT
 
 
 def redact(text: Column) -> Column:
-    """Spans replaced by their category in upper case, secrets first."""
+    """Spans replaced by their category in upper case, secrets first; a pattern is run where its mark is."""
+    out = text
     for c in ("secret", "email", "ipv4", "phone", "card"):
-        text = F.regexp_replace(text, PATTERNS[c], f"<{c.upper()}>")
-    return text
+        done = F.regexp_replace(out, PATTERNS[c], f"<{c.upper()}>")
+        # Replacing one category puts no mark of another in, so the marks are sought in the text itself.
+        out = F.when(F.contains(text, F.lit(NEEDED[c])), done).otherwise(out) if c in NEEDED else done
+    return out
 
 
 def normal(text: Column) -> Column:

@@ -33,18 +33,18 @@ def draw(seed: int, *key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), *[F.col(k).cast("string") for k in key]))
 
 
-def digest_rank(docs: DataFrame, group: str, seed: int) -> DataFrame:
-    """doc_id, ``group`` and rn, the row's place in its group in digest order.
+def digest_rank(docs: DataFrame, group: str, seed: int, *carry: str) -> DataFrame:
+    """doc_id, ``group``, rn, the row's place in its group in digest order, and the columns ``carry``.
 
     A group is ranked in 65,536 parts by the digest's beginning, each behind
     the count of those before it, so that no task holds a whole group.
     """
-    d = docs.select("doc_id", group, draw(seed, "doc_id").alias("o")).withColumn("part", F.substring("o", 1, 4))
+    d = docs.select("doc_id", group, *carry, draw(seed, "doc_id").alias("o")).withColumn("part", F.substring("o", 1, 4))
     before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     n = d.groupBy(group, "part").agg(F.count("*").alias("n"))
     n = n.select(F.col(group).alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy(group, "part").orderBy("o", "doc_id"))
-    return d.withColumn("own", own).join(n, (F.col("part") == F.col("at")) & F.col(group).eqNullSafe(F.col("of"))).select("doc_id", group, (F.col("own") + F.col("before")).alias("rn"))
+    return d.withColumn("own", own).join(n, (F.col("part") == F.col("at")) & F.col(group).eqNullSafe(F.col("of"))).select("doc_id", group, *carry, (F.col("own") + F.col("before")).alias("rn"))
 
 
 def check_ratios(ratios: dict[str, float], off: float = 1e-6) -> None:
@@ -70,14 +70,14 @@ def stratified_split(docs: DataFrame, stratum: str, ratios: dict[str, float], se
     return ranked.select("doc_id", stratum, split.alias("split"))
 
 
-def ratio_split(docs: DataFrame, train: float, validation: float, seed: int) -> DataFrame:
-    """doc_id, split: int(n * train) rows and int(n * validation) rows in digest order, the rest test."""
+def ratio_split(docs: DataFrame, train: float, validation: float, seed: int, *carry: str) -> DataFrame:
+    """doc_id, split and the columns ``carry``: int(n * train) rows and int(n * validation) rows in digest order, the rest test."""
     check_ratios({"train": train, "validation": validation, "test": 1 - train - validation})
     n = docs.count()
     first = int(n * train)
     second = first + int(n * validation)
-    ranked = digest_rank(docs.select("doc_id", F.lit(0).alias("every")), "every", seed)
-    return ranked.select("doc_id", F.when(F.col("rn") <= first, "train").when(F.col("rn") <= second, "validation").otherwise("test").alias("split"))
+    ranked = digest_rank(docs.select("doc_id", F.lit(0).alias("every"), *carry), "every", seed, *carry)
+    return ranked.select("doc_id", *carry, F.when(F.col("rn") <= first, "train").when(F.col("rn") <= second, "validation").otherwise("test").alias("split"))
 
 
 def dedup_splits(rows: DataFrame, splits: tuple[str, ...], order: str = "doc_id") -> DataFrame:
@@ -91,10 +91,13 @@ def dedup_splits(rows: DataFrame, splits: tuple[str, ...], order: str = "doc_id"
     return known.join(first, ["h", "place"], "left_semi").drop("h", "place")
 
 
+def text_digest(text: Column) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
 def leaks(rows: DataFrame) -> DataFrame:
-    """leaked: for each text, in how many splits besides its first it stands."""
-    h = rows.select(F.sha2(F.encode("text", "UTF-8"), 256).alias("h"), "split")
-    return h.groupBy("h").agg(F.countDistinct("split").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("leaked"))
+    """leaked: for each text digest h, in how many splits besides its first it stands."""
+    return rows.groupBy("h").agg(F.countDistinct("split").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("leaked"))
 
 
 def curation_report(docs: DataFrame, spans: DataFrame, splits: DataFrame) -> DataFrame:

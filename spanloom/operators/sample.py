@@ -43,3 +43,16 @@ def scaled_quotas(targets: dict[str, int], total: int) -> dict[str, int]:
     for k in able[: abs(off)]:
         out[k] += step
     return out
+
+
+def first_sentences(docs: DataFrame, sentences: Column, usable, most_docs: int | None, most: int, order: str = "doc_id") -> DataFrame:
+    """doc_id, ix, sentence: usable ones of the first ``most_docs`` documents by ``order``, empty ones included, and of those the first ``most``.
+
+    ``sentences`` is an array column and ``usable`` a function of one of them.
+    Both limits are ranks that each task cuts for itself before it hands rows on.
+    """
+    some = docs.select("doc_id", order, "text") if order != "doc_id" else docs.select("doc_id", "text")
+    if most_docs is not None:
+        some = some.orderBy(order).limit(most_docs)
+    own = some.select("doc_id", *([order] if order != "doc_id" else []), F.posexplode(F.coalesce(sentences, F.array().cast("array<string>"))).alias("ix", "sentence")).where(usable(F.col("sentence")))
+    return own.orderBy(order, "ix").limit(most).select("doc_id", "ix", "sentence")

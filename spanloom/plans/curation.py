@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import greek
 from ..functions.spans import all_spans, detect
-from ..operators import curate, resolve, transform, validate
+from ..operators import curate, resolve, sample, transform, validate
 from ..streaming.resume import unseen
 from .catalogue import _HEX, _SENTENCES, CHUNKS, NUMBERS, SPLIT, W, docs, gold, query, ratio_split, read
 
@@ -181,6 +181,38 @@ def labels_outside(spark, d):
     return validate.outside_labels(detect(docs(spark, d), "lang"), "lang", ("card", "email", "phone")).withColumn("unknown", F.array_join("unknown", ","))
 
 
+def _limited(low, high, words, share, ends, most_docs, most):
+    last = f" AND regexp_matches(sentence, '[{ends}]$')" if ends else ""
+    some = f"(SELECT * FROM documents ORDER BY doc_id LIMIT {most_docs})" if most_docs else "documents"
+    return rf"""WITH x AS (SELECT doc_id, string_split(regexp_replace(text, '([.!;·])[ \t\r\n\f]+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM {some}),
+y AS (SELECT doc_id, list_filter(list_transform(parts, lambda p: trim(regexp_replace(p, '[ \t\r\n\f]+', ' ', 'g'))), lambda p: p <> '') AS ss FROM x),
+z AS (SELECT doc_id, CAST(unnest(range(len(ss))) AS INTEGER) AS ix, unnest(ss) AS sentence FROM y)
+SELECT doc_id, ix, sentence FROM z WHERE length(sentence) BETWEEN {low} AND {high} AND length(sentence) - length(replace(sentence, ' ', '')) + 1 >= {words}{last}
+ AND length(regexp_replace(sentence, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace(sentence, '[^\p{{L}}]', '', 'g')), 0) >= {share} ORDER BY doc_id, ix LIMIT {most}"""
+
+
+def _carriers(spark, d, most_docs, most, *rule):
+    return sample.first_sentences(docs(spark, d), greek.sentences(F.col("text")), lambda s: greek.usable(s, *rule, "A-Za-z"), most_docs, most)
+
+
+@query(_limited(40, 220, 6, 0.9, ".!;·", 500, 2000))
+def carrier_sentences(spark, d):
+    """The first 2,000 usable sentences of the first 500 documents."""
+    return _carriers(spark, d, 500, 2000, 40, 220, 6, 0.9, ".!;·")
+
+
+@query(_limited(20, 180, 4, 0.7, None, None, 1500))
+def carrier_spoken(spark, d):
+    """The first 1,500 sentences that could be spoken."""
+    return _carriers(spark, d, None, 1500, 20, 180, 4, 0.7, None)
+
+
+@query(_limited(40, 260, 6, 0.6, ".!;·)", None, 1000))
+def carrier_legal(spark, d):
+    """The first 1,000 sentences that could be of a law."""
+    return _carriers(spark, d, None, 1000, 40, 260, 6, 0.6, ".!;·)")
+
+
 @query("""WITH c AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'c0' ELSE concat('c', item_id) END AS id FROM benchmark)
 SELECT id, 'duplicate_id' AS problem, count(*) AS n FROM c GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, CASE item_id % 3 WHEN 1 THEN 'unknown_label' ELSE 'not_found' END, count(*) FROM c WHERE item_id % 3 <> 0 GROUP BY ALL""")
 def case_problems(spark, d):
