@@ -268,7 +268,7 @@ def learn_weights(counts: DataFrame, total: int, different: int, rounds: int = 2
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, batch_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def scores(docs: DataFrame, batch_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Learns from rows whose crc32(doc_id as text) mod 7 is not 2; a tenth of them,
