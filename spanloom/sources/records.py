@@ -8,6 +8,8 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import digests
+
 RECORD = "text string, label array<struct<category:string,start:int,end:int>>, info map<string,string>"
 MODES = {"strict": "FAILFAST", "skip": "DROPMALFORMED", "keep": "PERMISSIVE"}
 
@@ -93,17 +95,19 @@ def read_config(spark: SparkSession, path: str) -> dict:
 def manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, size_bytes, sha256, line_count and error of each file; a named file that isn't there has only its path and an error.
 
-    Sizes and digests are of whole files, each of which a task holds.
+    Patterns and folders stand for the files in them.  Each file is one task, which
+    reads it by blocks, so files may be of any size.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration())
-    there = [p for p in paths if fs(p).globStatus(spark._jvm.org.apache.hadoop.fs.Path(p))]
-    gone = spark.createDataFrame([(p,) for p in paths if p not in there], "path string").select("path", F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("int").alias("line_count"), F.lit("missing").alias("error"))
-    if not there:
-        return gone
-    files = spark.read.format("binaryFile").load(there)
-    rows = files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit("\n")).alias("line_count"), F.lit(None).cast("string").alias("error"))
-    return rows.unionByName(gone)
+    found = []
+    for p in [path] if isinstance(path, str) else path:
+        here = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.globStatus(here) or []:
+            own = [s for s in fs.listStatus(status.getPath()) if s.isFile()] if status.isDirectory() else [status]
+            found += [s.getPath().toString() for s in own if not s.getPath().getName().startswith(("_", "."))]
+        if not fs.globStatus(here):
+            found.append(p)
+    return digests(spark, found)
 
 
 def commit_state(folder: str) -> dict:
