@@ -477,4 +477,4 @@ def append_values(spark, d):
     return render.appended(docs(spark, d), 13).select("doc_id", "text", F.to_json("label").alias("label"))
 
 
-from . import curation, decoders, files, lookups, matching, streams  # noqa: E402, F401
+from . import curation, decoders, exchange, files, lookups, matching, streams  # noqa: E402, F401
