@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.greek import reformatted
+from ..functions.spans import let
 
 #: Greek letters and their Latin forms, one to one and then digraphs.
 _SINGLE = ("αβγδεζηικλμνξοπρσςτυφωΑΒΓΔΕΖΗΙΚΛΜΝΞΟΠΡΣΤΥΦΩ", "avgdeziiklmnxoprsstyfoAVGDEZIIKLMNXOPRSTYFO")
@@ -18,20 +19,16 @@ _HANGUL = range(0xAC00, 0xD7A4)
 
 
 @cache
-def _marks() -> tuple[str, str, str, dict[str, str]]:
-    """A class of all marks that take no room, letters with such marks and their plain forms, one to one, and those of several characters."""
-    marks, one, many = [], {}, {}
+def _marks() -> tuple[dict[str, str], str]:
+    """What characters become without marks, several characters for some, and all marks that take no room."""
+    bare, marks = {}, []
     for k in range(sys.maxunicode + 1):
         c = chr(k)
         if unicodedata.category(c) == "Mn":
-            if marks and marks[-1][1] == k - 1:
-                marks[-1][1] = k
-            else:
-                marks.append([k, k])
-        elif k not in _HANGUL and unicodedata.decomposition(c) and (bare := unicodedata.normalize("NFD", c)) != c:
-            bare = "".join(x for x in bare if unicodedata.category(x) != "Mn")
-            (one if len(bare) == 1 else many)[c] = bare
-    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in marks) + "]", "".join(one), "".join(one.values()), many
+            marks.append(c)
+        elif k not in _HANGUL and unicodedata.decomposition(c) and (plain := unicodedata.normalize("NFD", c)) != c:
+            bare[c] = "".join(x for x in plain if unicodedata.category(x) != "Mn")
+    return bare, "".join(marks)
 
 
 def _syllables(text: Column) -> Column:
@@ -47,19 +44,35 @@ def _syllables(text: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)[\x{AC00}-\x{D7A3}]|[^\x{AC00}-\x{D7A3}]+"), 0), one), "")
 
 
+def _decomposed(text: Column, then: dict[str, str]) -> Column:
+    """The canonical decomposition without marks that take no room, and ``then`` what single characters become, in one pass.
+
+    Characters that become several, Hangul among them, are looked for before they
+    are replaced; texts in ASCII stay as they are.
+    """
+    bare, marks = _marks()
+    one = then | {c: then.get(x, x) for c, x in bare.items() if len(x) == 1}
+    many = {c: x for c, x in bare.items() if len(x) != 1}
+
+    def rare(x: Column) -> Column:
+        for c, to in many.items():
+            x = F.replace(x, F.lit(c), F.lit(to))
+        return let(x, lambda y: F.when(y.rlike(r"[\x{AC00}-\x{D7A3}]"), _syllables(y)).otherwise(y))
+
+    # Characters without a counterpart, the marks, go.
+    plain = F.translate(text, "".join(one) + marks, "".join(one.values()))
+    found = r"(?=[^\x00-\x{7FF}])[" + "".join(rf"\x{{{ord(c):X}}}" for c in many) + r"\x{AC00}-\x{D7A3}]"
+    return F.when(text.rlike(r"[^\x00-\x7F]"), let(plain, lambda x: F.when(x.rlike(found), rare(x)).otherwise(x))).otherwise(text)
+
+
 def without_marks(text: Column) -> Column:
-    """The canonical decomposition without marks that take no room, as in café: cafe."""
-    marks, letters, bare, many = _marks()
-    out = F.translate(text, letters, bare)
-    for c, to in many.items():
-        out = F.replace(out, F.lit(c), F.lit(to))
-    out = F.when(out.rlike(r"[\x{AC00}-\x{D7A3}]"), _syllables(out)).otherwise(out)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(out, marks, "")).otherwise(text)
+    """As in café: cafe; all text is decomposed."""
+    return _decomposed(text, {})
 
 
 def transliterate(text: Column) -> Column:
     """Greek letters in Latin ones; all text is decomposed and loses its accents, other characters stay."""
-    out = F.translate(without_marks(text), *_SINGLE)
+    out = _decomposed(text, dict(zip(*_SINGLE, strict=True)))
     for a, b in _DOUBLE.items():
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
