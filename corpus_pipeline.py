@@ -25,29 +25,55 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5, learned from the labels; null and empty texts stay, repeated rows are judged each."""
+    """Documents that score under 0.5, learned from the labels.
+
+    Null and empty texts stay, repeated rows are judged each, by their text alone;
+    labels without a document, null ones and an empty table of them teach nothing.
+    Whole texts of any length are read.  An empty table gives no rows; columns of
+    any name stay.
+    """
     return without_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that are like an earlier one; every row stays, null texts as they are."""
+    """Texts without lines that are like an earlier one.
+
+    Every row stays, null texts as they are.  Rows that repeat, with one id and one
+    text, are the same document: neither is earlier than the other.  An empty table
+    gives no rows; columns of any name stay.
+    """
     return _sized(remove_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; different texts of one id are different documents."""
+    """The document with the smallest id of each group stays.
+
+    Equal texts are one group, null and empty ones together; different texts of
+    one id are different documents, and of rows that repeat one stays.  A row with
+    a null id goes if its text, or one like it, has an id.  An empty table gives
+    no rows; columns of any name stay.
+    """
     return distinct_texts(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand elsewhere too; every row stays, null texts become empty."""
+    """Texts without passages that stand elsewhere too.
+
+    Every row stays, null texts become empty; what stands in several places goes
+    from all of them, in rows that repeat as well.  An empty table gives no rows;
+    columns of any name stay.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = remove_repeats(docs, plain=False, carry=["doc_id", *others])
     return _sized(out.select("doc_id", F.col("kept").alias("text"), *[F.col(f"carried.`{c}`").alias(c) for c in others]).select(*docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document; null and empty texts are one id long."""
+    """A row for each piece of each document; null and empty texts are one id long.
+
+    Rows that repeat are packed each; an empty table gives no rows; columns other
+    than doc_id and text are left out.
+    """
     return pack_documents(docs)
 
 
