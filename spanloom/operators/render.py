@@ -167,6 +167,20 @@ def appended(carriers: DataFrame, seed: int, key: str = "doc_id", text: str = "t
     return render(with_values(lead, seed, key, slots_of(APPENDED)), APPENDED, seed, key=key, lead="lead")
 
 
+def announced_values(rows: DataFrame, words: dict[str, dict[str, str]], shares: dict[str, float], seed: int) -> DataFrame:
+    """ix, category, mode, text, label of rows ix, category, value: each value behind a word of its class, drawn by ix and class.
+
+    ``words`` has a word for each class and mode, ``shares`` how often a mode is
+    drawn; the word isn't in the value's span.  A mode without a word for a class
+    announces nothing, and a class without words has no row.
+    """
+    listed = F.from_json(F.lit(json.dumps(words, ensure_ascii=False)), "map<string,map<string,string>>")
+    rows = rows.withColumn("words_", listed[F.col("category")]).where("words_ is not null").withColumn("mode", weighted_choice(uniform(seed, "category", "ix"), shares))
+    before = F.coalesce(F.concat(F.col("words_")[F.col("mode")], chosen(seed + 1, F.concat_ws(":", "category", "ix"), [": ", " ", " - "])), F.lit(""))
+    ends = F.struct(F.col("category"), F.length(before), F.length(before) + F.length("value"))
+    return rows.select("ix", "category", "mode", F.concat(before, F.col("value"), F.lit(".")).alias("text"), F.array(ends).cast(LABEL).alias("label"))
+
+
 def announced(spark: SparkSession, per_class: int, seed: int) -> DataFrame:
     """``per_class`` records for each class of ``WORDS``: ix, category, mode, text, label; the word that announces a value isn't in its span."""
     rows = cards_and_devices(spark, per_class, seed)
