@@ -76,3 +76,12 @@ def test_placed(spark):
     rows = [("f", 100, 9), ("f", 100, 10), ("f", 0, 500), ("e", 7, 0), ("f", 100, 11)]
     got = placed(spark.createDataFrame(rows, "file string, block long, x long"), ["file"], "block", "x").orderBy("seq").collect()
     assert [(r.file, r.x, r.line, r.seq) for r in got] == [("e", 0, 0, 0), ("f", 500, 0, 1), ("f", 9, 1, 2), ("f", 10, 2, 3), ("f", 11, 3, 4)]
+
+
+def test_first_sentences(spark):
+    from spanloom.operators.sample import first_sentences
+
+    docs = spark.createDataFrame([(3, "d e. f."), (1, "a b. c. x."), (2, None), (0, "")], "doc_id long, text string").repartition(3)
+    parts, usable = F.split("text", " (?=[a-z])"), lambda s: F.length(s) > 1
+    got = lambda docs_, n: [tuple(r) for r in first_sentences(docs, parts, usable, docs_, n).orderBy("doc_id", "ix").collect()]
+    assert got(None, 9) == [(1, 1, "b."), (1, 2, "c."), (1, 3, "x."), (3, 1, "e."), (3, 2, "f.")] and got(None, 4)[-1] == (3, 1, "e.") and got(2, 9) == got(None, 3) and got(1, 9) == []
