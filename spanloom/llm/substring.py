@@ -3,14 +3,16 @@
 A passage is ``window`` successive words.  Each window has an anchor, the
 smallest hash of the word grams in it, so equal windows have equal anchors and
 successive windows with one anchor form a segment.  Segments whose anchor stands
-in one place only cannot repeat.  The others are grouped: equal segments become
-one class, and the classes of an anchor go to one shard, which builds a
-compressed FM-index over them (BWT in a wavelet matrix whose codes are shorter
-for commoner words) and searches every class backwards, all classes of the shard
-side by side; a class that stands in several places is indexed twice.  The length
-matched while the interval holds two suffixes or more is the matching statistic;
-windows that lie within it are repeated.  An anchor with very many
-classes is split by its windows' own hashes, so that shards are bounded.
+in one place only cannot repeat.  The others are grouped by their digests, and
+the words of two places of each class, its first and its last, are read from
+their texts; a class with one place gives the words of that.  They go to the
+anchor's shard, which builds a compressed FM-index over them (BWT in a wavelet
+matrix whose codes are shorter for commoner words) and searches every class
+backwards, all classes of the shard side by side.  The length matched while the
+interval holds two suffixes or more is the matching statistic; windows that lie
+within it are repeated.  So it is the words found in the texts that decide: a
+class whose two places hold different words is left alone.  An anchor with very
+many classes is split by its windows' own hashes, so that shards are bounded.
 """
 
 from __future__ import annotations
@@ -206,36 +208,48 @@ def _segments(window: int, gram: int):
     return one
 
 
-#: A class of equal segments; ``twice``: it stands in several places.
-CLASS = "anchor long, digest long, twice boolean, n_windows int, symbols binary"
+#: The words at a place of a class, as the text has them: 0 its first, 1 its last, 2 and 3 the same in a second row of that text.
+CLASS = "anchor long, digest long, place int, n_windows int, words binary"
 
 
-def _binary(values: np.ndarray, size: np.ndarray) -> pa.Array:
-    """Arrays of 8-byte values, ``size`` of them each, as binary values."""
-    ends = np.concatenate([[0], np.cumsum(size * 8)])
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))])
+def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Byte slices as binary values."""
+    ends = np.concatenate([[0], np.cumsum(end - start)])
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[ragged(start, end - start)])])
 
 
 def _extract(window: int):
     def one(batch):
-        asked = batch.column("asked")
+        asked, twice = batch.column("asked"), batch.column("copies").to_numpy() > 1
         each, x = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))]), asked.flatten()
-        first, n = (x.field(c).to_numpy() for c in ("first", "n_windows"))
-        for lo, h, by_row in _word_arrays(batch):
-            rows = len(by_row) - 1
-            a, b = each[lo], each[lo + rows]
-            begin = np.repeat(by_row[:-1], np.diff(each[lo : lo + rows + 1])) + first[a:b]
+        first, n, place = (x.field(c).to_numpy() for c in ("first", "n_windows", "place"))
+        data, offs = utf8(batch.column("text"))
+        for lo, hi in pieces(offs):
+            d = data[offs[lo] : offs[hi]]
+            start, end, by_row = words(d, offs[lo : hi + 1] - offs[lo])
+            rows = hi - lo
+            a, b = each[lo], each[hi]
             size = n[a:b].astype(np.int64) + window - 1
-            yield {**{c: x.field(c).slice(a, b - a) for c in ("anchor", "digest", "twice", "n_windows")}, "symbols": _binary(h[ragged(begin, size)], size)}
+            row = np.repeat(np.arange(rows), np.diff(each[lo : hi + 1]))
+            begin = by_row[:-1][row] + first[a:b]
+            # A text that several rows have stands in as many places.
+            again = np.flatnonzero(twice[lo : lo + rows][row])
+            pick = np.concatenate([np.arange(b - a), again])
+            yield {
+                **{c: x.field(c).slice(a, b - a).take(pa.array(pick)) for c in ("anchor", "digest", "n_windows")},
+                "place": np.concatenate([place[a:b], place[a:b][again] + 2]).astype(np.int32), "words": _slices(d, start[begin[pick]], end[begin[pick] + size[pick] - 1]),
+            }
 
     return one
 
 
-def _joined(held: list[pa.RecordBatch], window: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """Rows, their words one after another, and how many windows each has."""
+def _read(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, their bytes one after another, where each word starts and ends, and how many windows each row has."""
     t = pa.Table.from_batches(held).combine_chunks()
-    words_ = np.frombuffer(b"".join(t["symbols"].to_pylist()), U64)
-    return t, words_, t["n_windows"].to_numpy().astype(np.int64)
+    parts = t["words"].to_pylist()
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    start, end, _ = words(data, np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]))
+    return t, data, start, end, t["n_windows"].to_numpy().astype(np.int64)
 
 
 def _search(window: int, shard_words: int):
@@ -243,18 +257,28 @@ def _search(window: int, shard_words: int):
     to = arrow_schema(schema)
 
     def shard(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t, flat, n = _joined(held, window)
-        twice = t["twice"].to_numpy(zero_copy_only=False).astype(bool)
+        t, data, first, last, n = _read(held)
+        flat = slice_hashes(data, first, last)
+        anchor, digest, place = (t[c].to_numpy() for c in ("anchor", "digest", "place"))
         size = n + window - 1
         begin = np.cumsum(size) - size
         _, dense = np.unique(flat, return_inverse=True)
-        parts = np.concatenate([np.arange(len(size)), np.flatnonzero(twice)])
-        start = np.cumsum(size[parts] + 1) - size[parts] - 1
-        text = np.zeros(int((size[parts] + 1).sum()), np.int64)
-        text[ragged(start, size[parts])] = dense[ragged(begin[parts], size[parts])] + 1
-        mask = FMIndex(text, window).repeated(text, start[: len(n)], n, window)
-        keep = np.flatnonzero(mask)
-        return as_batch({"anchor": t["anchor"].take(pa.array(keep)), "digest": t["digest"].take(pa.array(keep)), "mask": mask[keep].astype(np.int32)}, to)
+        text = np.zeros(int((size + 1).sum()), np.int64)
+        start = np.cumsum(size + 1) - size - 1
+        text[ragged(start, size)] = dense + 1
+        # The first place of each class is searched; the class is left alone if another holds other words.
+        order = np.lexsort((place, digest, anchor))
+        new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (digest[order][1:] != digest[order][:-1])])
+        head = order[new][np.cumsum(new) - 1]
+        own, other = head[~new], order[~new]
+        same = size[own] == size[other]
+        at = np.flatnonzero(same)
+        off = dense[ragged(begin[own[at]], size[own[at]])] != dense[ragged(begin[other[at]], size[other[at]])]
+        same[at[np.add.reduceat(off, np.cumsum(size[own[at]]) - size[own[at]]) > 0] if len(at) else at] = False
+        asked = np.setdiff1d(order[new], own[~same])
+        mask = FMIndex(text, window).repeated(text, start[asked], n[asked], window)
+        keep = asked[mask != 0]
+        return as_batch({"anchor": anchor[keep], "digest": digest[keep], "mask": mask[mask != 0].astype(np.int32)}, to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, last = [], 0, None
@@ -280,12 +304,13 @@ def _windows(window: int):
     """The windows of classes with a hash of each."""
 
     def one(batch):
-        t, flat, n = _joined([batch], window)
+        t, data, start, end, n = _read([batch])
+        flat = slice_hashes(data, start, end)
         size = n + window - 1
         begin = np.cumsum(size) - size
         row, i = np.repeat(np.arange(len(n)), n), ragged(np.zeros(len(n), np.int64), n)
         key = gram_hashes(flat, window).view(np.int64)[ragged(begin, n)] if len(n) else i
-        yield {**{c: t[c].take(pa.array(row)) for c in ("anchor", "digest", "twice")}, "i": i.astype(np.int32), "key": key}
+        yield {**{c: t[c].take(pa.array(row)) for c in ("anchor", "digest", "place")}, "i": i.astype(np.int32), "key": key}
 
     return one
 
@@ -295,12 +320,12 @@ def _pick(window: int):
 
     def one(batch):
         asked = batch.column("asked")
-        _, flat, n = _joined([batch], window)
+        _, data, start, end, n = _read([batch])
         size = n + window - 1
         row, x = np.repeat(np.arange(len(n)), asked.value_lengths().to_numpy(zero_copy_only=False)), asked.flatten()
         k = len(row)
         begin = (np.cumsum(size) - size)[row] + x.field("i").to_numpy()
-        yield {"anchor": x.field("key"), "digest": batch.column("anchor").take(pa.array(row)), "twice": x.field("twice"), "n_windows": np.ones(k, np.int32), "symbols": _binary(flat[ragged(begin, np.full(k, window))], np.full(k, window))}
+        yield {"anchor": x.field("key"), "digest": batch.column("anchor").take(pa.array(row)), "place": x.field("side"), "n_windows": np.ones(k, np.int32), "words": _slices(data, start[begin], end[begin + window - 1])}
 
     return one
 
@@ -314,20 +339,19 @@ def repeated_windows(keyed: DataFrame, window: int, shard_words: int = 1 << 19,
     are grouped by hash, and one of each repeated group is indexed.  Segments are
     told apart by 64-bit digests within an anchor.
     """
-    texts = keyed.select("key", "text").dropDuplicates(["key"])
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     occ = written(per_batch(keyed.select("key", "text"), _segments(window, GRAM), SEGMENT), "segments")
     again = written(occ.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     seg = written(occ.join(again, "anchor"), "segments")
     dropped(occ, again)
-    classes = written(
-        seg.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "n_windows")).alias("x")).select("anchor", "digest", (F.col("n") > 1).alias("twice"), "x.*"),
-        "classes",
-    )
-    many = written(classes.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > most_classes).select("anchor"), "anchors")
+    ends = F.struct("key", "first", "n_windows")
+    two = seg.groupBy("anchor", "digest").agg(F.min(ends).alias("x"), F.max(ends).alias("y"))
+    classes = written(two.select("anchor", "digest", F.posexplode(F.array_distinct(F.array("x", "y"))).alias("place", "x")).select("anchor", "digest", "place", "x.*"), "classes")
+    many = written(classes.where("place = 0").groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > most_classes).select("anchor"), "anchors")
 
     def taken(some: DataFrame) -> DataFrame:
-        asked = some.groupBy("key").agg(F.collect_list(F.struct("first", "n_windows", "anchor", "digest", "twice")).alias("asked"))
-        return per_batch(texts.join(asked, "key").select("text", "asked"), _extract(window), CLASS)
+        asked = some.groupBy("key").agg(F.collect_list(F.struct("first", "n_windows", "anchor", "digest", "place")).alias("asked"))
+        return per_batch(texts.join(asked, "key").select("text", "copies", "asked"), _extract(window), CLASS)
 
     def found(some: DataFrame) -> DataFrame:
         run, schema = _search(window, shard_words)
@@ -335,10 +359,12 @@ def repeated_windows(keyed: DataFrame, window: int, shard_words: int = 1 << 19,
 
     masks = found(taken(classes.join(many, "anchor", "left_anti")))
     hot = written(taken(classes.join(many, "anchor")), "classes")
-    single = written(per_batch(hot, _windows(window), "anchor long, digest long, twice boolean, i int, key long"), "windows")
-    group = single.groupBy("anchor", "key").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n"), F.min(F.struct("digest", "i")).alias("x")).where("n > 1")
-    picked = group.groupBy("anchor", F.col("x.digest").alias("digest")).agg(F.collect_list(F.struct("key", "x.i", F.lit(True).alias("twice"))).alias("asked"))
-    hits = found(per_batch(hot.join(picked, ["anchor", "digest"]).select("anchor", "n_windows", "symbols", "asked"), _pick(window), CLASS)).select(F.col("anchor").alias("key"), F.col("digest").alias("anchor"))
+    single = written(per_batch(hot, _windows(window), "anchor long, digest long, place int, i int, key long"), "windows")
+    place = F.struct("digest", "place", "i")
+    group = single.groupBy("anchor", "key").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
+    sides = group.select("anchor", "key", F.posexplode(F.array("x", "y")).alias("side", "x")).select("anchor", "key", "side", "x.*")
+    picked = sides.groupBy("anchor", "digest", "place").agg(F.collect_list(F.struct("key", "i", "side")).alias("asked"))
+    hits = found(per_batch(hot.join(picked, ["anchor", "digest", "place"]).select("anchor", "n_windows", "words", "asked"), _pick(window), CLASS)).select(F.col("anchor").alias("key"), F.col("digest").alias("anchor"))
     split = single.join(hits, ["anchor", "key"]).groupBy("anchor", "digest").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
     return seg.join(masks.unionByName(split), ["anchor", "digest"]).select("key", "first", "mask")
 

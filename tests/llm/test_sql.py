@@ -9,7 +9,7 @@ AT = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "labels", "pages"):
         con.execute(f"create view {t} as select * from '{AT}/{t}.parquet'")
     df = registry.QUERIES[name](spark, AT)
     cur = con.execute(registry.ORACLE_SQL[name])

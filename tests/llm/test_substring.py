@@ -96,3 +96,35 @@ def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     want = sorted((i, n, m, hashlib.sha256(k.encode()).hexdigest()) for i, n, m, k in brute(docs, 35))
     assert sorted(map(tuple, op10_substring_dedup(spark, "/root/testdata/sf0.001").collect())) == want
+
+
+def test_words_decide(spark, monkeypatch):
+    """Where different segments have one digest the index sees that their words differ: nothing unique goes, whatever the digests say."""
+    import pyarrow as pa
+
+    from spanloom.llm import substring
+
+    rng = random.Random(8)
+    own = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(n))
+    same = own(60)
+    docs = [(1, same), (2, "x " + same), (3, own(80)), (4, own(80)), (5, own(35)), (6, own(35))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = {r.doc_id: r.n_removed for r in remove_repeats(df).collect()}
+    assert plain == {1: 60, 2: 60, 3: 0, 4: 0, 5: 0, 6: 0}
+    before = substring._segments
+
+    def forged(window, gram):
+        one = before(window, gram)
+        return lambda batch: ({**cols, "anchor": np.zeros(len(cols["anchor"]), np.int64), "digest": np.zeros(len(cols["digest"]), np.int64)} for cols in one(batch))
+
+    monkeypatch.setattr(substring, "_segments", forged)
+    got = {r.doc_id: r.n_removed for r in remove_repeats(df).collect()}
+    assert all(got[k] <= plain[k] for k in plain) and not any(got[k] for k in (3, 4, 5, 6))
+
+    # In a shard itself: two places of one class are found by their words, one place or different words aren't.
+    run, _ = substring._search(3, 1000)
+    rows = lambda *xs: pa.RecordBatch.from_pydict({"anchor": [x[0] for x in xs], "digest": [x[1] for x in xs], "place": pa.array([x[2] for x in xs], pa.int32()), "n_windows": pa.array([len(x[3]) - 2 for x in xs], pa.int32()), "words": pa.array([" ".join(map(str, x[3])).encode() for x in xs], pa.binary())})
+    found = lambda *xs: [tuple(r.values()) for b in run([rows(*xs)]) for r in b.to_pylist()]
+    assert found((1, 5, 0, [1, 2, 3, 4]), (1, 5, 1, [1, 2, 3, 4])) == [(1, 5, 3)]
+    assert found((1, 5, 0, [1, 2, 3, 4])) == [] and found((1, 5, 0, [1, 2, 3, 4]), (1, 5, 1, [1, 2, 9, 4])) == []
+    assert found((1, 5, 0, [1, 2, 3, 4]), (1, 6, 0, [7, 2, 3, 4])) == [(1, 5, 2), (1, 6, 2)]
