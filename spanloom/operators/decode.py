@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from .greedy import runs
 
-LOW = -(1 << 40)
 
 
 def labels(classes: tuple[str, ...]) -> list[str]:
@@ -35,11 +34,12 @@ def viterbi_labels(scores: np.ndarray) -> np.ndarray:
     ``scores``: windows x tokens x (O, B-, I- of each class).  Of equal ways to a
     label the one by the first previous label wins, at the end too.
     """
+    scores = scores if scores.dtype.kind == "i" else scores.astype(np.int64)
     n, size, k = scores.shape
     back = np.zeros((n, size, k), np.int16)
-    best = scores[:, 0].astype(np.int64) if size else np.zeros((n, k), np.int64)
+    best = scores[:, 0].copy() if size else np.zeros((n, k), scores.dtype)
     inside = np.arange(2, k, 2)
-    best[:, inside] = LOW
+    best[:, inside] = np.iinfo(scores.dtype).min // 4
     for t in range(1, size):
         prev = best.argmax(axis=1)
         top = np.take_along_axis(best, prev[:, None], 1)
@@ -88,7 +88,9 @@ def _decode(batch: pa.RecordBatch, classes: tuple[str, ...], variants: tuple[str
     starts, ends = (_padded(batch.column(c), 1)[0][:, :, 0] for c in ("start", "end"))
     ids = np.asarray(batch.column("doc_id"))
     there = np.arange(scores.shape[1]) < length[:, None]
-    scores = np.where(there[:, :, None], scores.astype(np.int64), LOW // 1024)
+    # Small scores add up in 32 bits; behind a window's end every label but O is out of reach.
+    wide = np.int32 if scores.dtype.itemsize <= 2 and scores.shape[1] < 1 << 12 else np.int64
+    scores = np.where(there[:, :, None], scores.astype(wide), np.iinfo(wide).min >> 16)
     scores[:, :, 0] = np.where(there, scores[:, :, 0], 0)
 
     def found(variant: str, w, a, b, c, gain) -> dict:
@@ -102,12 +104,14 @@ def _decode(batch: pa.RecordBatch, classes: tuple[str, ...], variants: tuple[str
         yield found("viterbi", w, a, b, c, np.zeros(len(w), np.int64))
     if "by_class" in variants:
         for k in range(len(classes)):
-            own = scores[:, :, [0, 1 + 2 * k, 2 + 2 * k]]
+            # Where no token scores the class above O, all are O.
+            some = np.flatnonzero((scores[:, :, 1 + 2 * k : 3 + 2 * k].max(axis=2) > scores[:, :, 0]).any(axis=1)) if scores.shape[1] else np.zeros(0, np.int64)
+            own = scores[some][:, :, [0, 1 + 2 * k, 2 + 2 * k]]
             label = viterbi_labels(own)
-            w, a, b, _ = spans_of(label, length)
+            w, a, b, _ = spans_of(label, length[some])
             more = np.take_along_axis(own, label[:, :, None], 2)[:, :, 0] - own[:, :, 0]
-            sums = np.concatenate([np.zeros((len(own), 1), np.int64), np.cumsum(np.where(there, more, 0), axis=1)], axis=1)
-            yield found("by_class", w, a, b, np.full(len(w), k), sums[w, b + 1] - sums[w, a])
+            sums = np.concatenate([np.zeros((len(own), 1), np.int64), np.cumsum(np.where(there[some], more, 0), axis=1)], axis=1)
+            yield found("by_class", some[w], a, b, np.full(len(w), k), sums[w, b + 1] - sums[w, a])
 
 
 SPANS = "variant string, doc_id long, category string, start int, end int, gain long"
