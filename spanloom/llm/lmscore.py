@@ -10,11 +10,14 @@ batch sends every n-gram it holds once, with its count, to the n-gram's bucket,
 which adds the counts of all batches up and sends each its n-grams' sums back in
 the order they came: so what one batch asks for and learns is bounded by its own
 text, and a frequent n-gram is as many rows as there are batches that hold it.
+Words are sent and counted by their bytes; pairs, which only ``score`` needs, by
+hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, as_batch, dropped, per_batch, table, written
-from .kernels import U64, gram_hashes, mix, pieces, slice_hashes, utf8, words
+from .kernels import SPACE, U64, gram_hashes, mix, pieces, utf8, words
 
 #: Kinds of documents: counted for frequencies, counted for the weights, scored only.
 KEPT, DELETED, HELD_OUT = 0, 1, 2
@@ -32,7 +35,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: The hash of a text's end, which is also the context of its first word.
 END = mix(np.array([0x5EED0E2D], U64))[0]
-#: Bits of a hash that tell n-grams of one bucket apart; a bucket holds about a million, of which one pair in two buckets clashes.
+#: Bits of a hash that tell pairs of one bucket apart; a bucket holds about a million, of which two clash in one bucket of two.
 _KEY = 40
 
 
@@ -58,21 +61,39 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, an end after each text, and token offsets by text."""
-    hashes, sizes = [], []
+def _strings(lengths: np.ndarray, data: bytes) -> pa.Array:
+    offs = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offs), pa.py_buffer(data)])
+
+
+def spelt(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different tokens of all texts by their bytes, the place of each token among them, and token offsets by text; an end, one after each text, is empty."""
+    found, sizes = [], []
     for a, b in pieces(offs):
         own = _LOWER[data[offs[a] : offs[b]]]
         start, end, at = words(own, offs[a : b + 1] - offs[a])
-        hashes.append(np.insert(slice_hashes(own, start, end), at[1:], END))
+        found.append(_strings(np.insert(end - start, at[1:], 0), own[~SPACE[own]].tobytes()))
         sizes.append(np.diff(at) + 1)
+    every = pa.chunked_array(found, pa.large_binary()).combine_chunks().dictionary_encode()
     n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-    return np.concatenate(hashes) if hashes else np.zeros(0, U64), np.concatenate([[0], np.cumsum(n)])
+    return every.dictionary, np.asarray(every.indices).astype(np.int64), np.concatenate([[0], np.cumsum(n)])
+
+
+def hashes(different: pa.Array) -> np.ndarray:
+    """Of different tokens."""
+    out = np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in different.to_pylist()]), "<u8").astype(U64)
+    out[np.diff(_offsets(different)) == 0] = END
+    return out
 
 
-def grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each token and of each pair of a token and the one before; what stands before a batch's first token is an end, as it is before every text."""
-    return mix(h ^ U64(0x0117)), gram_hashes(np.concatenate([[END], h]), 2)
+def _offsets(strings: pa.Array) -> np.ndarray:
+    return np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+
+
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, an end after each text, and token offsets by text."""
+    different, place, at = spelt(data, offs)
+    return hashes(different)[place], at
 
 
 def _batched(size: int):
@@ -117,9 +138,16 @@ class Batch:
         raw = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, int(lengths.sum())))
         ids, known = _unpacked(row["ids"])
         self.ids = pa.array(ids.view(np.int64), mask=known == 0)
-        h, self.offs = tokens(np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
-        #: By n: different n-grams, the place of each token's among them, and how often each occurs.
-        self.grams = [np.unique(g, return_inverse=True, return_counts=True) for g in grams(h)]
+        different, place, self.offs = spelt(np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
+        h = hashes(different)
+        order = np.argsort(h, kind="stable")
+        rank = np.empty(len(h), np.int64)
+        rank[order] = np.arange(len(h))
+        #: Different words in the order of their hashes.
+        self.words = different.take(pa.array(order))
+        #: By n: hashes of different n-grams, the place of each token's among them, and how often each occurs.  What stands before a batch's first token is an end, as it is before every text.
+        pairs = np.unique(gram_hashes(np.concatenate([[END], h[place]]), 2), return_inverse=True, return_counts=True)
+        self.grams = [(h[order], rank[place], np.bincount(place, minlength=len(h))[order]), pairs]
         #: The place of each token's context among the different tokens.
         one = self.grams[0][1]
         self.before = np.empty(len(one), np.int64)
@@ -133,24 +161,28 @@ def buckets(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _asks(n_buckets: list[int]):
-    """Every different n-gram of a batch, by bucket, with its count."""
+    """Every different n-gram of a batch, by bucket, with its count: a word by its bytes, a pair by the lower bits of its hash."""
 
     def run(rows: pa.RecordBatch) -> Iterator[dict]:
         for row in rows.to_pylist():
             b = Batch(row)
+            ends = _offsets(b.words)
+            text = b.words.buffers()[2].to_pybytes() if ends[-1] else b""
             for n, ((keys, _, count), many) in enumerate(zip(b.grams, n_buckets, strict=True), 1):
                 at = buckets(keys, many)
                 cut = np.flatnonzero(np.diff(at, prepend=-1))
-                low = keys & U64((1 << _KEY) - 1)
+                told = np.diff(ends) if n == 1 else keys & U64((1 << _KEY) - 1)
+                upto = np.append(cut[1:], len(keys))
                 yield {
                     "n": np.full(len(cut), n, np.int32), "bucket": at[cut], "batch": np.full(len(cut), row["batch"]), "kind": np.full(len(cut), row["kind"], np.int32),
-                    "body": [_packed(k, c) for k, c in zip(np.split(low, cut[1:]), np.split(count, cut[1:]), strict=True)],
+                    "body": [_packed(told[i:k], count[i:k]) for i, k in zip(cut, upto, strict=True)],
+                    "words": [zstandard.ZstdCompressor(level=1).compress(text[ends[i] : ends[k]]) if n == 1 else None for i, k in zip(cut, upto, strict=True)],
                 }
 
     return run
 
 
-ASK = "n int, bucket long, batch long, kind int, body binary"
+ASK = "n int, bucket long, batch long, kind int, body binary, words binary"
 #: ``batch`` -1 has the bucket's sums: different ones and all, of the kept and of both.
 REPLY = "batch long, n int, bucket long, kind int, body binary, seen array<long>"
 
@@ -159,7 +191,11 @@ def _answer(group: pa.Table) -> pa.Table:
     """Counts of a bucket's n-grams over all batches, for each batch in its own order."""
     rows = group.to_pylist()
     got = [_unpacked(r["body"]) for r in rows]
-    _, place = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
+    told = np.concatenate([k for k, _ in got])
+    if rows[0]["n"] == 1:
+        place = np.asarray(_strings(told, b"".join([zstandard.ZstdDecompressor().decompress(r["words"]) for r in rows])).dictionary_encode().indices)
+    else:
+        _, place = np.unique(told, return_inverse=True)
     count = np.concatenate([c for _, c in got]).astype(np.int64)
     kind = np.repeat([r["kind"] for r in rows], [len(k) for k, _ in got])
     sums = []
@@ -179,13 +215,16 @@ def _answer(group: pa.Table) -> pa.Table:
 
 
 def _counts(batch: Batch, replies: pa.Table, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: counts of the pair, of its context and of itself; ``which`` is 0 for the kept documents' and 1 for all."""
+    """Of each token: counts of the pair, of its context and of itself; ``which`` is 0 for the kept documents' and 1 for all.
+
+    A pair, which may share its count with another, is never counted more often than its words.
+    """
     by = []
     for n in (1, 2):
         own = sorted((r["bucket"], r["body"]) for r in replies.to_pylist() if r["n"] == n)
         by.append(np.concatenate([_unpacked(body)[which] for _, body in own]).astype(np.int64) if own else np.zeros(0, np.int64))
-    one = by[0][batch.grams[0][1]]
-    return by[1][batch.grams[1][1]], by[0][batch.before], one
+    one, context = by[0][batch.grams[0][1]], by[0][batch.before]
+    return np.minimum(by[1][batch.grams[1][1]], np.minimum(one, context)), context, one
 
 
 def levels(context: np.ndarray) -> np.ndarray:
@@ -280,8 +319,9 @@ def scores(docs: DataFrame, batch_bytes: int = 4 << 20, bucket_bytes: int = 8 <<
     each; a row with a null doc_id is held out.  Without training documents every
     token is unknown: base_score is 0 and score what the uniform share gives.  An
     empty table gives no rows; other columns are ignored.  Texts are read whole; a
-    text longer than a batch is a batch of its own.  N-grams are told apart by 40
-    bits within a bucket, so about one in 10^7 shares its count with another.
+    text longer than a batch is a batch of its own.  Words are told apart by their
+    bytes, pairs by 40 bits within a bucket: about one pair in 10^6 shares its
+    count with another, which ``score`` alone sees.
     """
     h = F.encode(F.col("doc_id").cast("string"), "UTF-8")
     kind = F.when(F.coalesce(F.crc32(h) % 7 == 2, F.lit(True)), HELD_OUT).when(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0, DELETED).otherwise(KEPT)

@@ -141,3 +141,15 @@ def test_kernels():
 def test_batches_do_not_matter(spark, size):
     df = spark.createDataFrame([(i, f"a b{i % 3} c{i % 11}") for i in range(80)], DOCS)
     same(scores(df, size, 100).collect(), brute([tuple(r) for r in df.collect()], deleted_of(df)))
+
+
+def test_words_are_told_apart_by_their_bytes(spark):
+    """Long words without periods, whose polynomial hashes of 64 bits are equal."""
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    docs = [(i, f"{a} x" if i < 30 else f"{b} y" if i < 40 else f"{a}{i} {b}") for i in range(60)]
+    got = scores(spark.createDataFrame(docs, DOCS), 1 << 15, 1 << 13).collect()
+    want = brute(docs, deleted_of(spark.createDataFrame(docs, DOCS)))
+    same(got, want)
+    assert len({r.n_known for r in got if r.held_out}) > 1
