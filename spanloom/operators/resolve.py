@@ -48,7 +48,7 @@ def _resolved(text: str | None, values: list[dict], cursor: str, fall_back: bool
     found = places(text or "", {v["value"] for v in values if v["value"]})
     if cursor == "each":
         found = {v: apart(at, len(v)) for v, at in found.items()}
-    out, behind, rank = [], 0, dict.fromkeys(found, 0)
+    out, behind, rank, own = [], 0, dict.fromkeys(found, 0), {}
     for x in values:
         v = x["value"]
         at = found.get(v) if v else None
@@ -60,11 +60,11 @@ def _resolved(text: str | None, values: list[dict], cursor: str, fall_back: bool
             if fall_back:
                 k %= len(at)
         else:
-            k = bisect_left(at, behind) if cursor == "all" else 0
+            k = bisect_left(at, own.get(x["label"], 0) if cursor == "label" else behind) if cursor != "none" else 0
             if k == len(at) and fall_back:
                 k = 0
         if k < len(at):
-            behind = at[k] + len(v)
+            behind = own[x["label"]] = at[k] + len(v)
             out.append({"label": x["label"], "start": at[k], "end": behind})
     return out, len(out) == len(values)
 
@@ -73,7 +73,9 @@ def resolve(text: Column, values: Column, cursor: str = "all", fall_back: bool =
     """Spans of ``values`` (array of struct label, value) in ``text``.
 
     ``cursor``: all: each value is sought behind the one before; each: behind the
-    last place of the same value; none: its first place is taken.  ``fall_back``:
+    last place of the same value; label: behind the one before of the same label,
+    so that values of different labels may overlap; none: its first place is taken.
+    ``fall_back``:
     what isn't found behind is sought anywhere.  ``strict``: null if a value isn't
     found; else such values are left out.  ``ordered``: by start instead of as
     listed.  Null and empty values are never found, in a null text none is; null

@@ -272,12 +272,12 @@ def to_chat(spark, d):
 
 @query(W + 'SELECT doc_id, category AS label, "start", "end" FROM gold')
 def resolve_cursor_strict(spark, d):
-    """Offsets found again from ordered values; the detected ones come back."""
+    """Offsets found again from ordered values, a cursor for each class, as the classes' spans may overlap; the detected ones come back."""
     from ..operators.resolve import resolve
 
     v = gold(spark, d).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "category", "value"))), lambda x: F.struct(x["category"].alias("label"), x["value"].alias("value"))).alias("v"))
     j = docs(spark, d).select("doc_id", "text").join(v, "doc_id")
-    return j.select("doc_id", F.inline(resolve(F.col("text"), F.col("v"), strict=True))).select("doc_id", "label", "start", "end")
+    return j.select("doc_id", F.inline(resolve(F.col("text"), F.col("v"), "label", strict=True))).select("doc_id", "label", "start", "end")
 
 
 @query("""WITH a AS (SELECT doc_id, source, n_chars > 3000 AS hard, md5(concat('9:', doc_id)) AS o FROM documents),
