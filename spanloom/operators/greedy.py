@@ -25,17 +25,17 @@ def sides(*spans: DataFrame) -> DataFrame:
     return out
 
 
-def runs(spans: DataFrame) -> DataFrame:
-    """``spans`` with a number for each stretch of a document that its spans, touching ones included, cover without a gap."""
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+def runs(spans: DataFrame, *within: str) -> DataFrame:
+    """``spans`` with a number for each stretch of a document, and of the columns ``within``, that its spans, touching ones included, cover without a gap."""
+    order = Window.partitionBy("doc_id", *within).orderBy("start", "end")
     new = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     return spans.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def by_run(spans: DataFrame, *names: str) -> DataFrame:
+def by_run(spans: DataFrame, *names: str, within: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, run and for each side an array of structs start, end, category in order."""
     one = lambda k: F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("start", "end", "category"))))
-    return runs(spans).groupBy("doc_id", "run").agg(*[one(k).alias(n) for k, n in enumerate(names)])
+    return runs(spans, *within).groupBy("doc_id", *within, "run").agg(*[one(k).alias(n) for k, n in enumerate(names)])
 
 
 _PAIR = "kind string, gold_category string, gold_start int, gold_end int, pred_category string, pred_start int, pred_end int"
@@ -67,14 +67,17 @@ def triage(spans: DataFrame, rule: str) -> DataFrame:
     return sweep.by_run(by_run(spans, "g", "p"), ("g", "p"), one, _PAIR)
 
 
-def discard_overlaps(spans: DataFrame) -> DataFrame:
-    """doc_id, category, start, end of the spans that overlap no earlier one that stays; earlier by start, the longer of equals first."""
+def discard_overlaps(spans: DataFrame, *within: str) -> DataFrame:
+    """doc_id, category, start, end of the spans that overlap no earlier one that stays; earlier by start, the longer of equals first.
+
+    Only spans that agree in the columns ``within`` compete.
+    """
 
     def one(categories: np.ndarray, s: sweep.Side) -> dict:
         at = sweep.kept_apart(s)
         return {"category": [str(categories[c]) for c in s[2][at]], "start": s[0][at].tolist(), "end": s[1][at].tolist()}
 
-    return sweep.by_run(by_run(spans.withColumn("side", F.lit(0)), "s"), ("s",), one, "category string, start int, end int")
+    return sweep.by_run(by_run(spans.withColumn("side", F.lit(0)), "s", within=within), ("s",), one, "category string, start int, end int")
 
 
 def detected_by(docs: DataFrame, detector: Callable[[list[str]], list[list[tuple[str, int, int]]]], at_once: int = 8) -> DataFrame:
