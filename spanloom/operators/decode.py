@@ -167,7 +167,7 @@ def best_disjoint(spans: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
             kept = [[s[k] for k in chosen([(x["start"], x["end"], x["gain"]) for x in s])] for s in batch.column("s").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, type=batch.column("s").type)], ["doc_id", "s"])
 

@@ -24,6 +24,8 @@ from .catalogue import SPANS, docs, query
 CLASSES = tuple(PATTERNS)
 WIDTH = 2 * len(CLASSES) + 1
 WINDOW, LEAD = 64, 230
+#: What a task that scores holds at once: texts as strings, digests of words, and tokens with their scores, each up to one text more.
+TEXTS, DIGESTS, TOKENS = 256, 1 << 16, 1 << 16
 SCORED = "doc_id long, start array<int>, end array<int>, score array<short>"
 
 
@@ -50,7 +52,7 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = [pa.ListArray.from_arrays(offs * w, pa.array(p.ravel(), t.value_type)) for p, t, w in zip(parts, kinds[1:], (1, 1, WIDTH), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(ids), *lists], ["doc_id", "start", "end", "score"])
 
-    for batch in batches:
+    for batch in (b.slice(lo, TEXTS) for b in batches for lo in range(0, b.num_rows, TEXTS)):
         rows, held = [], 0
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             c = np.frombuffer((t or "").encode("utf-32-le", "replace"), np.uint32)
@@ -59,7 +61,7 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends = edges[::2], edges[1::2]
             if not len(starts):
                 continue
-            if len(noise) > 500_000:
+            if len(noise) > DIGESTS:
                 noise.clear()
             ws = [t[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             for w in ws:
@@ -69,7 +71,7 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.arange(0, len(starts), WINDOW)
             rows.append((np.full(len(cuts), i), np.diff(np.append(cuts, len(starts))), starts, ends, own))
             held += len(starts)
-            if held > 1 << 18:
+            if held > TOKENS:
                 yield out(rows)
                 rows, held = [], 0
         if rows:

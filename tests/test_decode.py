@@ -1,10 +1,11 @@
 from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.operators.decode import argmax_labels, best_disjoint, chosen, decoded, labels, spans_of, viterbi_labels
-from spanloom.plans.decoders import CLASSES, true_labels
+from spanloom.plans.decoders import CLASSES, _scores, true_labels
 
 NAMES = labels(("x", "y"))
 
@@ -81,3 +82,18 @@ def test_true_labels():
     assert [labels(CLASSES)[k] for k in true_labels(text, starts, ends)] == ["O", "B-email", "B-card", "O"]
     secret = 'token = "' + "0a" * 20 + '"'
     assert [labels(CLASSES)[k] for k in true_labels(secret, np.array([0, 6, 8]), np.array([5, 7, 50]))] == ["B-secret", "I-secret", "I-secret"]
+
+
+def test_scoring_holds_a_bounded_share_of_a_batch():
+    """Nor all words of a batch nor all its texts and scores at once."""
+    import tracemalloc
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(8000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        sizes = [b.num_rows for b in _scores(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == 8000 and max(sizes) <= 2000 and peak < 30e6
