@@ -12,9 +12,10 @@ shingle costs about one point.
 
 Registers are banded.  In each bucket every text is checked against the bucket's
 smallest id; afterwards buckets whose texts are still in several classes compare
-those across classes, signatures first and each pair in its first common band,
-and report only links that join two classes.  Each candidate is verified by the
-overlap of the two multisets.
+those across classes: signatures tell, each pair in its first common band, which
+texts may still have a link, and all of those in a bucket are held against each
+other.  A link is verified by the overlap of the two multisets; what joins two
+classes is reported once for each bucket.
 """
 
 from __future__ import annotations
@@ -196,40 +197,67 @@ def _undecided(m: int, least: float):
     return run, schema
 
 
-def _decide(m: int, least: float, k: int, similarity: float):
-    """Links that join the classes of a bucket: pairs in the order of their signatures' agreement, none within a class."""
+def join_classes(bags: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, similarity: float, cells: int = 1 << 22) -> np.ndarray:
+    """The smallest class that each text's class is joined to by texts, of any class, that are alike enough.
+
+    ``bags``: shingles and their counts of each text.  Overlaps are products of
+    matrices of texts and shingles that several texts have, up to ``cells`` entries
+    at a time, so memory grows with the texts and not with their pairs.
+    """
+    n, now = len(bags), classes.copy()
+    _, inv, size = np.unique(classes, return_inverse=True, return_counts=True)
+    order = np.lexsort((inv, size[inv]))
+    total = np.array([c.sum() for _, c in bags])
+    # An item is a shingle's i-th occurrence: texts share as many as the lesser count.
+    count = np.concatenate([c for _, c in bags])
+    row = np.repeat(np.repeat(np.argsort(order), [len(c) for _, c in bags]), count)
+    shingle = np.repeat(np.concatenate([h for h, _ in bags]), count)
+    nth = ragged(np.zeros(len(count), np.int64), count)
+    by = np.lexsort((row, nth, shingle))
+    row, shingle, nth = row[by], shingle[by], nth[by]
+    item = np.cumsum(np.concatenate([[False], (shingle[1:] != shingle[:-1]) | (nth[1:] != nth[:-1])])) if len(row) else row
+    shared = np.bincount(item)[item] > 1
+    row, item = row[shared], item[shared]
+    item = np.cumsum(np.concatenate([[False], item[1:] != item[:-1]])) if len(item) else item
+    total = total[order]
+    step, width = max(1, min(256, cells // n)), max(1, cells // n)
+    cuts = np.searchsorted(item, np.arange(0, (item[-1] + 1 if len(item) else 0) + width, width))
+    for lo in range(0, n, step):
+        own = now[order]
+        mine = np.arange(lo, min(lo + step, n))
+        others = np.arange(lo, n)
+        if (own[others] == own[lo]).all():
+            continue
+        both = np.zeros((len(mine), len(others)))
+        for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            has = np.zeros((n - lo, width), np.float32)
+            on = row[x:y] >= lo
+            has[row[x:y][on] - lo, item[x:y][on] - k * width] = 1
+            both += has[: len(mine)] @ has.T
+        alike = both / np.maximum(total[mine][:, None] + total[others] - both, 1) >= similarity
+        for i, near in zip(mine, alike, strict=True):
+            met = np.unique(own[others[near]])
+            if len(met) > 1 or len(met) and met[0] != own[i]:
+                met = np.union1d(met, own[i])
+                own[np.isin(own, met)] = met[0]
+        now[order] = own
+    return now
+
+
+def _decide(k: int, similarity: float):
+    """(a, b): a class of a bucket and a smaller one that texts of the bucket join it to."""
     schema = "a long, b long"
     to = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _by_bucket(batches, ("id", "comp", "sig", "bands", "text")):
-            ids, comps, sigs, bands = _arrays(rows, m)
-            found = list(_open_pairs(comps, sigs, bands, int(np.flatnonzero(bands[0] == key)[0]), least))
-            if not found:
-                continue
-            a = np.concatenate([np.full(len(j), i) for i, j, _ in found])
-            b = np.concatenate([j for _, j, _ in found])
-            order = np.argsort(-np.concatenate([s for *_, s in found]), kind="stable")
-            a, b = a[order], b[order]
-            bags = [multisets(*shingles(*utf8(pa.array([x[4]])), k)) for x in rows]
-            _, comps = np.unique(comps, return_inverse=True)
-            links, step = [], 64
-            while len(a):
-                now = slice(0, step)
-                left, right = ([bags[i] for i in x[now]] for x in (a, b))
-                side = lambda bag: (np.repeat(np.arange(len(bag)), [x[2].sum() for x in bag]), np.concatenate([np.repeat(x[1], x[2]) for x in bag]))
-                on = np.flatnonzero(overlaps(side(left), side(right), len(left)) >= similarity)
-                for i, j in zip(a[on], b[on], strict=True):
-                    if comps[i] != comps[j]:
-                        links.append((ids[i], ids[j]))
-                        comps[comps == comps[j]] = comps[i]
-                a, b = a[step:], b[step:]
-                still = comps[a] != comps[b]
-                a, b = a[still], b[still]
-                step = min(step * 2, 2048)
-            if links:
-                x, y = np.array(links).T
-                yield as_batch({"a": np.minimum(x, y), "b": np.maximum(x, y)}, to)
+        for _, rows in _by_bucket(batches, ("comp", "text")):
+            comps = np.array([x[0] for x in rows])
+            bags = [multisets(*shingles(*utf8(pa.array([x[1]])), k))[1:] for x in rows]
+            now = join_classes(bags, comps, similarity)
+            on = now != comps
+            if on.any():
+                a, b = np.unique(np.stack([comps[on], now[on]]), axis=1)
+                yield as_batch({"a": a, "b": b}, to)
 
     return run, schema
 
@@ -265,12 +293,12 @@ def near_classes(docs: DataFrame, words_per_shingle: int = 5, similarity: float
     rest = written(placed.join(mixed, "key").join(reps.select("id", "sig", "bands").hint("merge"), "id"), "mixed")
     run, schema = _undecided(m, similarity - slack)
     need = rest.repartition("key").sortWithinPartitions("key").select("key", "id", "comp", "sig", "bands").mapInArrow(run, schema)
-    run, schema = _decide(m, similarity - slack, words_per_shingle, similarity)
+    run, schema = _decide(words_per_shingle, similarity)
     asked = rest.join(written(need, "undecided"), ["key", "id"]).join(texts.hint("merge"), "id")
-    links2 = written(asked.repartition("key").sortWithinPartitions("key").select("key", "id", "comp", "sig", "bands", "text").mapInArrow(run, schema), "alike")
-    comp = written(components(links.select("a", "b").unionByName(links2)), "classes")
+    links2 = written(asked.select("key", "comp", "text").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema), "alike")
+    joined = written(components(links2), "joined").select(F.col("id").alias("part"), F.col("comp").alias("whole"))
     dropped(first, member, pairs, texts, placed, rest)
-    of = reps.select("h", "doc", "id").join(comp, "id", "left")
+    of = reps.select("h", "doc", "id").join(comp, "id", "left").join(joined, F.coalesce("comp", "id") == F.col("part"), "left").select("h", "doc", F.coalesce("whole", "comp").alias("comp"))
     lead = of.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc", F.col("h").alias("by"))).alias("lead")).select("comp", "lead.*").withColumnRenamed("doc", "class_id")
     of_text = of.join(lead, "comp", "left").select("h", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("by", "h") == F.col("h")).alias("leads"))
     return signed.select("doc_id", "h").join(written(of_text, "classes"), "h")

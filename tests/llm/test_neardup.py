@@ -1,11 +1,14 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from spanloom.llm import neardup
 from spanloom.llm.common import components
-from spanloom.llm.kernels import U64, mix
+from spanloom.llm.kernels import U64, mix, utf8
 from spanloom.llm.neardup import bag_min_hash, near_duplicates
 
 
@@ -105,3 +108,49 @@ def test_query(spark):
 
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op8_near_duplicates(spark, "/root/testdata/sf0.001").collect())) == brute(docs)
+
+
+def test_links_to_the_smallest_take_no_round(spark):
+    edges = spark.createDataFrame([(i, i % 3) for i in range(3, 60)], "a long, b long")
+    got = {r.id: r.comp for r in components(edges, rounds=1).collect()}
+    assert got == {i: i % 3 for i in range(60)}
+
+
+def test_a_large_bucket_of_classes_in_bounded_memory():
+    """2,000 texts of as many classes, each like its neighbours alone: what is held grows with the texts, not with their pairs."""
+    rng = random.Random(5)
+    words, texts = [f"w{i}" for i in range(120)], []
+    for i in range(2000):
+        if i % 4 == 0:
+            for j in range(0, 120, 6 if i % 200 else 1):
+                words[j] = f"n{rng.random()}"
+        texts.append(" ".join([*words, f"own{i}"]))
+    batch = pa.RecordBatch.from_pydict({"key": [7] * 2000, "comp": list(range(5000, 7000)), "text": texts})
+    tracemalloc.start()
+    try:
+        links = [x for b in neardup._decide(5, 0.8)[0](iter([batch])) for x in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    bags = [bag(t) for t in texts]
+    now = list(range(2000))
+    for i in range(2000):
+        for j in range(max(0, i - 8), i):
+            if alike(bags[i], bags[j]) >= 0.8:
+                now[i] = now[j]
+                break
+    assert len(set(now)) > 9 and sorted(links) == [(5000 + i, 5000 + c) for i, c in enumerate(now) if c != i]
+    assert most < 120e6
+
+
+def test_bags_with_repeats_join_as_brute_force_does():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 30))) for _ in range(150)]
+    bags = [bag(t) for t in texts]
+    root = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if bags[i] and alike(bags[i], bags[j]) >= 0.5:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = neardup.join_classes([neardup.multisets(*neardup.shingles(*utf8(pa.array([t])), 5))[1:] for t in texts], np.arange(150), 0.5, cells=1000)
+    assert got.tolist() == root
