@@ -8,7 +8,7 @@ array operation over all of them.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +117,13 @@ def _decode(batch: pa.RecordBatch, classes: tuple[str, ...], variants: tuple[str
 SPANS = "variant string, doc_id long, category string, start int, end int, gain long"
 
 
-def decoded(scored: DataFrame, classes: tuple[str, ...], variants: tuple[str, ...] = ("argmax", "viterbi", "by_class"), at_once: int = 1 << 20) -> DataFrame:
+def decoded(
+    scored: DataFrame,
+    classes: tuple[str, ...],
+    variants: tuple[str, ...] = ("argmax", "viterbi", "by_class"),
+    at_once: int = 1 << 20,
+    scorer: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None,
+) -> DataFrame:
     """variant, doc_id, category, start, end, gain: spans of every window by each of ``variants``.
 
     ``scored``: rows of doc_id, start and end (lists of offsets, an entry for each
@@ -125,6 +131,8 @@ def decoded(scored: DataFrame, classes: tuple[str, ...], variants: tuple[str, ..
     by_class decodes every class against O alone, so that its spans may overlap
     those of other classes; gain is what a span's labels score above O.  Windows
     without tokens give no spans; about ``at_once`` scores are decoded at a time.
+    With ``scorer``, ``scored`` is what it makes such rows from: it gets a task's
+    batches in the worker that decodes, so a task has one Python worker, not two.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -132,13 +140,13 @@ def decoded(scored: DataFrame, classes: tuple[str, ...], variants: tuple[str, ..
     to = to_arrow_schema(StructType.fromDDL(SPANS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in scorer(batches) if scorer else batches:
             step = max(1, at_once * batch.num_rows // max(1, len(batch.column("score").flatten())))
             for lo in range(0, batch.num_rows, step):
                 for cols in _decode(batch.slice(lo, step), classes, variants):
                     yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in to], schema=to)
 
-    return scored.select("doc_id", "start", "end", "score").mapInArrow(run, SPANS)
+    return (scored if scorer else scored.select("doc_id", "start", "end", "score")).mapInArrow(run, SPANS)
 
 
 def chosen(spans: list[tuple[int, int, int]]) -> list[int]:

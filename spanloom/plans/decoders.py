@@ -26,7 +26,6 @@ WIDTH = 2 * len(CLASSES) + 1
 WINDOW, LEAD = 64, 230
 #: What a task that scores holds at once: texts as strings, digests of words, and tokens with their scores, each up to one text more.
 TEXTS, DIGESTS, TOKENS = 256, 1 << 16, 1 << 16
-SCORED = "doc_id long, start array<int>, end array<int>, score array<short>"
 
 
 def true_labels(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -78,15 +77,15 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(rows)
 
 
-def scored(spark, d):
-    return docs(spark, d).where("doc_id is not null").select("doc_id", "text").mapInArrow(_scores, SCORED)
+def found(spark, d):
+    """Spans of every window by each decoder; a task scores and decodes in one Python worker."""
+    return decoded(docs(spark, d).where("doc_id is not null").select("doc_id", "text"), CLASSES, scorer=_scores)
 
 
 def variants(spark, d):
     """variant, doc_id, category, start, end of three decoders of one table of scores."""
-    spans = decoded(scored(spark, d), CLASSES)
     at = scratch(spark, "decoded")
-    spans.write.partitionBy("variant").parquet(at)
+    found(spark, d).write.partitionBy("variant").parquet(at)
     spans = spark.read.schema("doc_id long, category string, start int, end int, gain long, variant string").parquet(at)
     plain = spans.where("variant <> 'by_class'").select("variant", "doc_id", "category", "start", "end")
     return plain.unionByName(best_disjoint(spans.where("variant = 'by_class'")).select(F.lit("no_overlap").alias("variant"), "doc_id", "category", "start", "end"))

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from spanloom.operators.decode import argmax_labels, best_disjoint, chosen, decoded, labels, spans_of, viterbi_labels
+from spanloom.plans import decoders
 from spanloom.plans.decoders import CLASSES, _scores, true_labels
 
 NAMES = labels(("x", "y"))
@@ -97,3 +98,13 @@ def test_scoring_holds_a_bounded_share_of_a_batch():
     finally:
         tracemalloc.stop()
     assert sum(sizes) == 8000 and max(sizes) <= 2000 and peak < 30e6
+
+
+def test_one_worker_scores_and_decodes(spark):
+    d = "/root/testdata/sf0.001"
+    plan = decoders.found(spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    texts = decoders.docs(spark, d).where("doc_id is not null").select("doc_id", "text")
+    two = decoded(texts.mapInArrow(decoders._scores, "doc_id long, start array<int>, end array<int>, score array<short>"), decoders.CLASSES)
+    got = decoders.found(spark, d)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, two.collect())) and got.count() > 100
