@@ -18,6 +18,16 @@ from spanloom.llm.packing import pack_documents
 from spanloom.llm.substring import remove_repeats
 from spanloom.llm.toxicity import learn, without_toxic
 
+#: Texts that a task takes to Python at once; Spark's own 64 MB, in the JVM and in the worker of each core, is much of an executor here.
+ARROW_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches, unless it has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_BYTES)
+
 
 def _sized(docs: DataFrame) -> DataFrame:
     """n_chars as the text now has them."""
@@ -32,6 +42,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Whole texts of any length are read.  An empty table gives no rows; columns of
     any name stay.
     """
+    small_batches(spark)
     return without_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
@@ -42,6 +53,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text, are the same document: neither is earlier than the other.  An empty table
     gives no rows; columns of any name stay.
     """
+    small_batches(spark)
     return _sized(remove_lines(docs))
 
 
@@ -53,6 +65,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a null id goes if its text, or one like it, has an id.  An empty table gives
     no rows; columns of any name stay.
     """
+    small_batches(spark)
     return distinct_texts(docs)
 
 
@@ -63,6 +76,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from all of them, in rows that repeat as well.  An empty table gives no rows;
     columns of any name stay.
     """
+    small_batches(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = remove_repeats(docs, plain=False, carry=["doc_id", *others])
     return _sized(out.select("doc_id", F.col("kept").alias("text"), *[F.col(f"carried.`{c}`").alias(c) for c in others]).select(*docs.columns))
@@ -74,6 +88,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat are packed each; an empty table gives no rows; columns other
     than doc_id and text are left out.
     """
+    small_batches(spark)
     return pack_documents(docs)
 
 

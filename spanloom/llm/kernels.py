@@ -86,11 +86,32 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, offsets)
 
 
+#: Bytes that ``slice_hashes`` takes at a time, beside the rest of a slice.
+AT_ONCE = 1 << 20
+
+
 def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte slices, equal for equal bytes wherever they stand."""
+    """64-bit hashes of byte slices, equal for equal bytes wherever they stand.
+
+    Slices in the order of their starts are taken about ``AT_ONCE`` bytes at a
+    time: a worker keeps the powers of the longest stretch that it has seen.
+    """
     n = len(data)
     if not n or not len(start):
         return np.zeros(len(start), U64)
+    if n > 2 * AT_ONCE and len(start) > 1 and (start[1:] >= start[:-1]).all():
+        out, lo = np.empty(len(start), U64), 0
+        while lo < len(start):
+            hi = max(lo + 1, int(np.searchsorted(start, start[lo] + AT_ONCE)))
+            at = start[lo]
+            out[lo:hi] = _hashes(data[at : end[lo:hi].max()], start[lo:hi] - at, end[lo:hi] - at)
+            lo = hi
+        return out
+    return _hashes(data, start, end)
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    n = len(data)
     up, down = _powers(n + 1)
     sums = np.empty(n + 1, U64)
     sums[0] = 0

@@ -57,3 +57,19 @@ def test_empty_table(spark):
     empty = spark.read.parquet(f"{AT}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, AT).collect() == []
+
+
+def test_a_batch_is_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 500) AS text")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes], "rows": [b.num_rows]}) for b in batches)
+    corpus_pipeline.packing(spark, docs.limit(1), AT)
+    got = docs.mapInArrow(sizes, "n long, rows long").collect()
+    assert sum(r.rows for r in got) == 6000 and max(r.n for r in got) < 5 << 20
+    spark.conf.set(key, "1m")
+    corpus_pipeline.small_batches(spark)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
